@@ -70,8 +70,8 @@ def oracle() -> str:
     return f"""
 WITH s AS (
   SELECT doc_id, list_filter(list_transform(regexp_split_to_array(lower(coalesce(text, '')), '[\\n;]|\\.[ \\n]|\\.$'),
-    x -> trim(regexp_replace(x, '[^a-z0-9]+', ' ', 'g'))), x -> x <> '') AS s FROM documents),
+    lambda x: trim(regexp_replace(x, '[^a-z0-9]+', ' ', 'g'))), lambda x: x <> '') AS s FROM documents),
 i AS (
   SELECT doc_id, CAST(len(s) AS BIGINT) AS n_sentences, coalesce(array_to_string(list_filter(list_transform(s,
-    x -> map([{keys}], [{values}])[x]), x -> x IS NOT NULL), ','), '') AS sentence_ids FROM s)
+    lambda x: [{values}][list_position([{keys}], x)]), lambda x: x IS NOT NULL), ','), '') AS sentence_ids FROM s)
 SELECT doc_id, n_sentences, sentence_ids, concat_ws(',', {hits}) AS licenses FROM i"""
