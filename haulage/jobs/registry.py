@@ -1,11 +1,369 @@
-"""All registered queries of the storage operators and their SQL."""
+"""All registered queries of the storage operators and their SQL, over tables derived from the given ones."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from haulage.functions import columns as C
+from haulage.operators import acl, diff, filters, integrity, planning, report
+from haulage.sources import inventory as inv
 
-def oracle_sql() -> dict:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+PART = 5 * planning.MIB
+
+# Each derived table: its source, columns as expressions that Spark and the SQL read alike ({us}: epoch microseconds).
+DERIVED = {
+    "versions": ("lineitem", ["concat('obj/', l_orderkey, '/', l_linenumber) AS key", "{us:l_shipdate} * 1000 AS time_ns", "CAST(l_quantity * 1000 AS BIGINT) AS size", "concat(l_partkey, '-', l_suppkey, '-', CAST(floor(l_extendedprice) AS BIGINT)) AS version_id", "(l_returnflag = 'R' AND l_linestatus = 'F') AS is_marker"]),
+    "commits": ("lineitem", ["l_orderkey AS file", "CAST((l_linenumber - 1) * 1048576 AS BIGINT) AS \"start\"", "CAST(l_linenumber * 1048576 AS BIGINT) AS \"end\""]),
+    "parts": ("lineitem", ["l_orderkey AS file", "CAST(l_linenumber AS BIGINT) AS part_number", f"CAST({PART} + CASE WHEN l_orderkey % 101 = 0 THEN 1 ELSE 0 END AS BIGINT) AS part_len"]),
+    "transfers": ("events", ["{us:ts} AS ts_us", "user_id % 8 AS job", "CAST(floor(value * 1048576) AS BIGINT) AS bytes", "event_type AS event"]),
+    "content": ("documents", ["concat(source, '/', lang, '/doc_', doc_id, '.txt') AS relative_path", "doc_id", "text"]),
+    "aces": ("supplier", ["concat('share/', s_nationkey, '/', s_suppkey) AS path", "s_name AS trustee", "CAST(CASE s_suppkey % 8 WHEN 0 THEN 2032127 WHEN 1 THEN 1245631 WHEN 2 THEN 1179817 WHEN 3 THEN 1179926 WHEN 4 THEN 1179785 WHEN 5 THEN 1180063 WHEN 6 THEN 35 ELSE 0 END AS BIGINT) AS mask", "CAST(floor(s_suppkey / 8) % 4 * 8 AS BIGINT) AS flags", "CAST(s_suppkey % 2 AS BIGINT) AS type"]),
+}
+
+
+def _exprs(name: str, spark: bool) -> list[str]:
+    import re
+
+    us = (lambda m: f"unix_micros(CAST({m[1]} AS TIMESTAMP))") if spark else (lambda m: f"epoch_us({m[1]})")
+    return [re.sub(r"\{us:(\w+)\}", us, e).replace('"', "`" if spark else '"') for e in DERIVED[name][1]]
+
+
+def derived(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{DERIVED[name][0]}.parquet").selectExpr(*_exprs(name, True))
+
+
+def _with(*names: str, more: str = "") -> str:
+    ctes = [f"{n} AS (SELECT {', '.join(_exprs(n, False))} FROM {DERIVED[n][0]})" for n in names]
+    return "WITH " + ", ".join([*([inv.SQL_INV.strip()] if not names or "inv" in more else []), *ctes])
+
+
+def query(name: str, sql: str | None = None):
+    def add(f: Query) -> Query:
+        _QUERIES[name] = f
+        if sql:
+            _SQL[name] = sql
+        return f
+
+    return add
+
+
+INV = _with()
+_KIND = """CASE WHEN p.relative_path IS NULL THEN 'new' WHEN c.relative_path IS NULL THEN 'deleted' ELSE
+  CASE WHEN (p.size IS DISTINCT FROM c.size OR p.mtime_ns IS DISTINCT FROM c.mtime_ns) AND (p.mode IS DISTINCT FROM c.mode OR p.uid IS DISTINCT FROM c.uid OR p.gid IS DISTINCT FROM c.gid) THEN 'both_changed'
+  WHEN p.size IS DISTINCT FROM c.size OR p.mtime_ns IS DISTINCT FROM c.mtime_ns THEN 'data_changed'
+  WHEN p.mode IS DISTINCT FROM c.mode OR p.uid IS DISTINCT FROM c.uid OR p.gid IS DISTINCT FROM c.gid THEN 'metadata_changed' ELSE 'same' END END"""
+DIFF = f"{INV}, diff AS (SELECT coalesce(p.relative_path, c.relative_path) AS relative_path, {_KIND} AS state, p.size AS p_size, c.size AS c_size FROM inv_src p FULL JOIN inv_dst c ON p.relative_path = c.relative_path)"
+
+
+def _diff(spark: SparkSession, d: str) -> DataFrame:
+    return diff.diff_inventories(inv.inv_src(spark, d), inv.inv_dst(spark, d))
+
+
+@query("d2_diff", DIFF + " SELECT relative_path, state FROM diff")
+def d2(s, d):
+    return _diff(s, d).select("relative_path", "state")
+
+
+@query("d7_diff_summary", DIFF + " SELECT state, count(*) AS n_entries, CAST(coalesce(sum(coalesce(c_size, p_size)), 0) AS BIGINT) AS bytes FROM diff GROUP BY state")
+def d7(s, d):
+    return diff.summarize_changes(_diff(s, d))
+
+
+@query("d3_new", INV + " SELECT relative_path, size FROM inv_dst c WHERE NOT EXISTS (SELECT 1 FROM inv_src p WHERE p.relative_path = c.relative_path)")
+def d3(s, d):
+    return diff.new_entries(inv.inv_src(s, d), inv.inv_dst(s, d)).select("relative_path", "size")
+
+
+@query("d3_deleted", INV + " SELECT relative_path, size FROM inv_src c WHERE NOT EXISTS (SELECT 1 FROM inv_dst p WHERE p.relative_path = c.relative_path)")
+def d3b(s, d):
+    return diff.deleted_entries(inv.inv_src(s, d), inv.inv_dst(s, d)).select("relative_path", "size")
+
+
+@query("d4_renames", INV + """, n AS (SELECT * FROM inv_dst c WHERE NOT EXISTS (SELECT 1 FROM inv_src p WHERE p.relative_path = c.relative_path)),
+g AS (SELECT * FROM inv_src c WHERE NOT EXISTS (SELECT 1 FROM inv_dst p WHERE p.relative_path = c.relative_path))
+SELECT g.relative_path AS from_path, n.relative_path AS to_path, g.ino AS ino FROM g JOIN n ON g.ino = n.ino""")
+def d4(s, d):
+    return diff.detect_renames(inv.inv_src(s, d), inv.inv_dst(s, d))
+
+
+@query("d5_actions", DIFF + """ SELECT relative_path, CAST(0 AS INTEGER) AS step, CASE state WHEN 'new' THEN 'copy' WHEN 'deleted' THEN 'delete' WHEN 'metadata_changed' THEN 'set_metadata' ELSE 'copy' END AS action FROM diff WHERE state <> 'same'
+UNION ALL SELECT relative_path, 1, 'set_metadata' FROM diff WHERE state IN ('data_changed', 'both_changed')""")
+def d5(s, d):
+    return diff.sync_actions(_diff(s, d))
+
+
+_META = """array_to_string(list_filter([
+  CASE WHEN NOT (CASE greatest({p1}, {p2}) WHEN 1 THEN s.mtime_ns = d.mtime_ns ELSE floor(s.mtime_ns::DECIMAL(38,0) / greatest({p1}, {p2})) = floor(d.mtime_ns::DECIMAL(38,0) / greatest({p1}, {p2})) END) THEN 'mtime' END,
+  CASE WHEN s.uid <> d.uid THEN 'uid' END, CASE WHEN s.gid <> d.gid THEN 'gid' END, CASE WHEN s.mode % 4096 <> d.mode % 4096 THEN 'mode' END], lambda x: x IS NOT NULL), ',')"""
+_P = "(CASE WHEN {0} = 0 THEN 1 WHEN {0} % 1000000000 = 0 THEN 1000000000 WHEN {0} % 1000000 = 0 THEN 1000000 WHEN {0} % 1000 = 0 THEN 1000 ELSE 1 END)"
+QUICK = INV + f""", j AS (SELECT coalesce(s.relative_path, d.relative_path) AS relative_path, s.relative_path AS sp, d.relative_path AS dp, s.size AS ss, d.size AS ds,
+  {_META.format(p1=_P.format('s.mtime_ns'), p2=_P.format('d.mtime_ns'))} AS f FROM inv_src s FULL JOIN inv_dst d ON s.relative_path = d.relative_path),
+q AS (SELECT relative_path, CASE WHEN sp IS NULL THEN 'missing_source' WHEN dp IS NULL THEN 'missing_destination' WHEN ss <> ds THEN 'size' WHEN f <> '' THEN 'metadata' ELSE 'ok' END AS outcome,
+  CASE WHEN sp IS NOT NULL AND dp IS NOT NULL AND ss = ds THEN f ELSE '' END AS fields FROM j)"""
+
+
+@query("i2_quick_check", QUICK + " SELECT relative_path, outcome, fields FROM q")
+def i2(s, d):
+    return integrity.quick_check(inv.inv_src(s, d), inv.inv_dst(s, d))
+
+
+@query("i7_integrity_report", QUICK + " SELECT outcome, split_part(relative_path, '/', 1) AS top, count(*) AS n_entries FROM q GROUP BY ALL")
+def i7(s, d):
+    return integrity.integrity_report(integrity.quick_check(inv.inv_src(s, d), inv.inv_dst(s, d)))
+
+
+@query("f12_filter_size_name", INV + " SELECT relative_path FROM inv_src WHERE NOT regexp_matches(relative_path, '\\.log$') AND (size > 150000 OR regexp_matches(relative_path, '\\.gz$'))")
+def f12(s, d):
+    return filters.filter_entries(inv.inv_src(s, d), 'size > 150000 or name == "*.gz"', "extension == log").select("relative_path")
+
+
+@query("f12_filter_path_modified", INV + " SELECT relative_path FROM inv_src WHERE regexp_matches(relative_path, '^orders/1995[0-9]*/') AND mtime_ns // 1000000000 >= 796694400")
+def f12b(s, d):
+    return filters.filter_entries(inv.inv_src(s, d), 'path == "orders/1995*" and modified >= "1995-04-01"').select("relative_path")
+
+
+@query("f9_dir_date", INV + " SELECT DISTINCT split_part(relative_path, '/', 2) AS name, CAST(epoch(strptime(split_part(relative_path, '/', 2), '%Y%m%d')) AS BIGINT) AS day_s FROM inv_src")
+def f9(s, d):
+    return inv.inv_src(s, d).select(F.get(F.split("relative_path", "/"), 1).alias("name")).distinct().select("name", filters.extract_dir_date(F.col("name")).alias("day_s"))
+
+
+_DIRS = """, d0 AS (SELECT DISTINCT regexp_replace(relative_path, '/[^/]*$', '') AS p FROM inv_src),
+dirs AS (SELECT DISTINCT unnest([split_part(p, '/', 1), split_part(p, '/', 1) || '/' || split_part(p, '/', 2), p]) AS relative_path FROM d0)"""
+
+
+@query("s5_dirs", INV + _DIRS + " SELECT relative_path, true AS is_dir, CAST(0 AS BIGINT) AS size, CAST(0 AS BIGINT) AS mtime_ns FROM dirs")
+def s5(s, d):
+    return inv.synthesize_dirs(inv.inv_src(s, d))
+
+
+@query("f8_filter_dir_date", INV + _DIRS + " SELECT relative_path FROM dirs WHERE NOT (regexp_matches(split_part(relative_path, '/', -1), '^[0-9]{8}$') AND split_part(relative_path, '/', -1) < '19950101')")
+def f8(s, d):
+    return filters.filter_entries(inv.synthesize_dirs(inv.inv_src(s, d)), 'dir_date >= "1995-01-01"').select("relative_path")
+
+
+@query("s2_normalize", INV + """ SELECT 's3' AS backend, relative_path, regexp_replace(relative_path, '/[^/]*$', '') AS parent_path, split_part(relative_path, '/', -1) AS name,
+  nullif(regexp_extract(split_part(relative_path, '/', -1), '^.+\\.([^.]*)$', 1), '') AS extension, CAST(4 AS BIGINT) AS depth, size, mtime_ns AS ctime_ns FROM inv_src""")
+def s2(s, d):
+    raw = inv.inv_src(s, d).withColumn("path", F.concat(F.lit("/bucket/"), F.replace("relative_path", F.lit("/"), F.lit("\\"))))
+    return inv.normalize_entries(raw, "s3", "/bucket").select("backend", "relative_path", "parent_path", "name", "extension", "depth", "size", "ctime_ns")
+
+
+@query("w2_subtree", INV + " SELECT relative_path FROM inv_src WHERE starts_with(relative_path, 'orders/19950101/')")
+def w2(s, d):
+    return inv.subtree(inv.inv_src(s, d), "orders/19950101").select("relative_path")
+
+
+@query("w1_limit_depth", INV + _DIRS + " SELECT relative_path FROM dirs WHERE len(string_split(relative_path, '/')) <= 2")
+def w1(s, d):
+    return inv.limit_depth(inv.synthesize_dirs(inv.inv_src(s, d)), 2).select("relative_path")
+
+
+@query("w5_tree_stats", INV + " SELECT regexp_extract(split_part(relative_path, '/', -1), '^.+\\.([^.]*)$', 1) AS extension, count(*) AS n_files, CAST(sum(size) AS BIGINT) AS bytes, max(size) AS largest FROM inv_src GROUP BY 1")
+def w5(s, d):
+    return inv.tree_stats(inv.inv_src(s, d))
+
+
+@query("w6_rollup_sizes", INV + """, e AS (SELECT unnest([split_part(relative_path, '/', 1), split_part(relative_path, '/', 1) || '/' || split_part(relative_path, '/', 2), regexp_replace(relative_path, '/[^/]*$', '')]) AS dir_path, size FROM inv_src)
+SELECT dir_path, count(*) AS n_files, CAST(sum(size) AS BIGINT) AS bytes, max(size) AS largest FROM e GROUP BY 1""")
+def w6(s, d):
+    return inv.rollup_sizes(inv.inv_src(s, d))
+
+
+_VERSIONS = _with("versions") + """, alive AS (SELECT key FROM versions GROUP BY key HAVING coalesce(max(time_ns) FILTER (is_marker), 0) <= coalesce(max(time_ns) FILTER (NOT is_marker), 0))"""
+
+
+@query("v2_live_versions", _VERSIONS + """ SELECT key, time_ns, size, version_id, count(*) OVER (PARTITION BY key) AS version_count,
+  row_number() OVER (PARTITION BY key ORDER BY time_ns DESC, version_id DESC, size DESC) = 1 AS is_latest FROM versions WHERE NOT is_marker AND key IN (SELECT key FROM alive)""")
+def v2(s, d):
+    return planning.live_versions(derived(s, d, "versions"))
+
+
+@query("v3_latest", _with("versions") + " SELECT key, version_id, size FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY time_ns DESC, version_id DESC, size DESC) AS rn FROM versions) WHERE rn = 1")
+def v3(s, d):
+    return diff.latest(derived(s, d, "versions"), "key", [F.desc("time_ns"), F.desc("version_id"), F.desc("size")]).select("key", "version_id", "size")
+
+
+@query("p1_chunks", INV + " SELECT relative_path, i AS chunk, i * 65536 AS \"start\", least((i + 1) * 65536, size) AS \"end\" FROM (SELECT relative_path, size, unnest(range((size + 65535) // 65536)) AS i FROM inv_src)")
+def p1(s, d):
+    return planning.plan_chunks(inv.inv_src(s, d), 65536)
+
+
+_BIG = INV + f", big AS (SELECT relative_path, size * 1000 AS size, greatest({PART}, ((size * 1000 + 9999) // 10000 + 1048575) // 1048576 * 1048576) AS part FROM inv_src WHERE size > 0), pp AS (SELECT *, unnest(range(1, (size + part - 1) // part + 1)) AS part_number FROM big)"
+
+
+def _big(s, d):
+    return inv.inv_src(s, d).withColumn("size", F.col("size") * 1000)
+
+
+@query("p3_parts", _BIG + " SELECT relative_path, part_number, (part_number - 1) * part AS \"start\", least(size - (part_number - 1) * part, part) AS part_len FROM pp")
+def p3(s, d):
+    return planning.plan_parts(_big(s, d))
+
+
+@query("p4_copy_ranges", _BIG + " SELECT relative_path, part_number, 'bytes=' || (part_number - 1) * part || '-' || (least(part_number * part, size) - 1) AS bytes FROM pp")
+def p4(s, d):
+    return planning.copy_ranges(_big(s, d))
+
+
+@query("p5_route", INV + " SELECT relative_path, CASE WHEN size * 1000 <= 5242880 THEN 'single' ELSE 'multipart' END AS route FROM inv_src")
+def p5(s, d):
+    return planning.upload_route(_big(s, d))
+
+
+_COVER = _with("commits") + """, w AS (SELECT *, max("end") OVER (PARTITION BY file ORDER BY "start", "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen FROM commits),
+n AS (SELECT *, CASE WHEN seen IS NULL OR "start" > seen THEN 1 ELSE 0 END AS fresh FROM w),
+i AS (SELECT *, sum(fresh) OVER (PARTITION BY file ORDER BY "start", "end", fresh DESC ROWS UNBOUNDED PRECEDING) AS island FROM n),
+cover AS (SELECT file, min("start") AS "start", max("end") AS "end" FROM i GROUP BY file, island)"""
+
+
+@query("r8_coalesce_ranges", _COVER + ' SELECT file, "start", "end" FROM cover')
+def r8(s, d):
+    return planning.coalesce_ranges(derived(s, d, "commits"))
+
+
+def _files(s, d, size: int):
+    return s.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderkey").alias("file"), F.lit(size).cast("long").alias("size"))
+
+
+@query("r3_missing_intervals", _COVER + """, ends AS (SELECT file, "start", "end" FROM cover WHERE file IN (SELECT o_orderkey FROM orders) UNION ALL SELECT o_orderkey, 7340032, 7340032 FROM orders)
+SELECT file, f AS "start", "start" AS "end" FROM (SELECT *, coalesce(max("end") OVER (PARTITION BY file ORDER BY "start", "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS f FROM ends) WHERE "start" > f""")
+def r3(s, d):
+    return planning.missing_intervals(derived(s, d, "commits"), _files(s, d, 7 * planning.MIB))
+
+
+@query("r6_interval_bytes", _COVER + ' SELECT file, CAST(sum("end" - "start") AS BIGINT) AS bytes, count(*) AS n_intervals FROM cover GROUP BY file')
+def r6(s, d):
+    return planning.interval_bytes(planning.coalesce_ranges(derived(s, d, "commits")))
+
+
+@query("r2_committed_parts", _with("parts") + f""", bad AS (SELECT file FROM parts WHERE part_len <> {PART})
+SELECT file, (part_number - 1) * {PART} AS "start", part_number * {PART} AS "end" FROM parts WHERE file NOT IN (SELECT file FROM bad) AND file IN (SELECT o_orderkey FROM orders)""")
+def r2(s, d):
+    return planning.committed_parts(derived(s, d, "parts"), _files(s, d, 7 * PART), PART)
+
+
+def _packages(s, d):
+    return inv.inv_src(s, d).select("relative_path", "size", F.substring_index("relative_path", "/", 2).alias("package"))
+
+
+_PACK = INV + ", pk AS (SELECT relative_path, size, split_part(relative_path, '/', 1) || '/' || split_part(relative_path, '/', 2) AS package, 512 + (size + 511) // 512 * 512 AS b FROM inv_src)"
+
+
+@query("t1_tar_size", _PACK + " SELECT package, CAST(sum(b) + 1024 AS BIGINT) AS tar_bytes, count(*) AS n_members FROM pk GROUP BY package")
+def t1(s, d):
+    return planning.tar_size(_packages(s, d))
+
+
+@query("t2_tar_manifest", _PACK + " SELECT package, substr(relative_path, length(package) + 2) AS member, '0' AS type_flag, size, CAST(coalesce(sum(b) OVER (PARTITION BY package ORDER BY relative_path ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS header_offset FROM pk")
+def t2(s, d):
+    return planning.tar_manifest(_packages(s, d))
+
+
+@query("x1_plan_delete", INV + _DIRS + """, e AS (SELECT relative_path, true AS is_dir FROM dirs UNION ALL SELECT relative_path, false FROM inv_src), k AS (SELECT *, len(string_split(relative_path, '/')) * 2 + CASE WHEN is_dir THEN 0 ELSE 1 END AS dep FROM e)
+SELECT relative_path, is_dir, (SELECT max(dep) FROM k) - dep AS wave FROM k""")
+def x1(s, d):
+    files = inv.inv_src(s, d)
+    return planning.plan_delete(files.select("relative_path", F.lit(False).alias("is_dir")).unionByName(inv.synthesize_dirs(files).select("relative_path", "is_dir")))
+
+
+@query("x3_reconcile_delete", INV + " SELECT s.relative_path, f.error FROM inv_src s LEFT JOIN (SELECT relative_path, 'denied' AS error FROM inv_src WHERE ino % 37 = 0) f ON s.relative_path = f.relative_path")
+def x3(s, d):
+    src = inv.inv_src(s, d)
+    return planning.reconcile_delete(src, src.where("ino % 37 = 0").select("relative_path", F.lit("denied").alias("error")))
+
+
+_ACES = _with("aces")
+
+
+@query("a3_acl_summary", _ACES + " SELECT path, count(*) AS n_aces, count(*) FILTER (flags & 16 = 0) AS n_explicit, count(*) FILTER (flags & 16 <> 0) AS n_inherited FROM aces GROUP BY path")
+def a3(s, d):
+    return acl.acl_summary(derived(s, d, "aces"))
+
+
+@query("a7_who_can", _ACES + """, p AS (SELECT trustee, type, unnest(CASE mask WHEN 2032127 THEN ['FullControl'] WHEN 1245631 THEN ['Modify'] WHEN 1179817 THEN ['ReadAndExecute'] WHEN 1179926 THEN ['Write'] WHEN 1179785 THEN ['Read']
+  WHEN 1180063 THEN ['Read', 'Write'] WHEN 35 THEN ['ReadData', 'WriteData', 'ExecuteFile'] ELSE [] END) AS permission FROM aces)
+SELECT permission, CAST(sum(CASE WHEN type = 0 THEN 1 ELSE -1 END) AS BIGINT) AS net, count(DISTINCT trustee) AS n_trustees FROM p GROUP BY permission""")
+def a7(s, d):
+    return acl.who_can(derived(s, d, "aces"))
+
+
+@query("a4_acl_diff", _ACES + """ SELECT path, CAST(count(*) FILTER (mask % 3 = 0) AS BIGINT) AS only_src, CAST(count(*) FILTER (mask % 3 = 0) AS BIGINT) AS only_dst FROM aces WHERE flags & 16 = 0 AND mask % 3 = 0 GROUP BY path""")
+def a4(s, d):
+    a = derived(s, d, "aces")
+    return acl.acl_diff(a, a.withColumn("mask", F.when(F.col("mask") % 3 == 0, F.col("mask") + 1).otherwise(F.col("mask"))))
+
+
+_LOG = _with("transfers")
+
+
+@query("g1_transfer_report", _LOG + " SELECT job, count(*) AS ops, CAST(sum(bytes) AS BIGINT) AS bytes, (max(ts_us) - min(ts_us)) / 1e6 AS elapsed_s, CASE WHEN max(ts_us) > min(ts_us) THEN CAST(sum(bytes) AS BIGINT) / 1048576 / ((max(ts_us) - min(ts_us)) / 1e6) ELSE 0.0 END AS mib_s FROM transfers GROUP BY job")
+def g1(s, d):
+    return report.transfer_report(derived(s, d, "transfers"))
+
+
+@query("g2_throughput", _LOG + " SELECT ts_us // 3600000000 * 3600 AS window_start, count(*) AS ops, CAST(sum(bytes) AS BIGINT) AS bytes FROM transfers GROUP BY 1")
+def g2(s, d):
+    return report.throughput_windows(derived(s, d, "transfers"), 3600)
+
+
+@query("g3_rate_violations", _LOG + """, w AS (SELECT job, ts_us, CAST(sum(bytes) OVER (PARTITION BY job ORDER BY ts_us RANGE BETWEEN 600000000 PRECEDING AND CURRENT ROW) AS BIGINT) AS in_window FROM transfers)
+SELECT DISTINCT job, ts_us, in_window FROM w WHERE in_window > 1024 * 600 + 1048576""")
+def g3(s, d):
+    return report.rate_violations(derived(s, d, "transfers"), "1 KiB/s", 1 << 20, 600)
+
+
+@query("g4_expected_requests", INV + " SELECT CAST(sum((size + 65535) // 65536) AS BIGINT) AS requests, CAST(sum(size) AS BIGINT) AS bytes FROM inv_src")
+def g4(s, d):
+    return report.expected_requests(inv.inv_src(s, d))
+
+
+@query("g5_error_summary", _LOG + " SELECT event, job, count(*) AS n FROM transfers WHERE event = 'error' GROUP BY ALL")
+def g5(s, d):
+    return report.error_summary(derived(s, d, "transfers").where("event = 'error'"))
+
+
+@query("c1_content_hash", _with("content") + " SELECT relative_path, CASE WHEN length(text) = 0 THEN '' ELSE sha256(text) END AS digest FROM content")
+def c1(s, d):
+    return derived(s, d, "content").select("relative_path", integrity.content_hash(F.col("text")).alias("digest"))
+
+
+@query("c7_duplicate_content", _with("content") + " SELECT strlen(text) AS size, sha256(text) AS digest, count(*) AS n_files, min(relative_path) AS first_path FROM content WHERE strlen(text) > 0 GROUP BY 1, 2 HAVING count(*) > 1")
+def c7(s, d):
+    files = derived(s, d, "content").select("relative_path", F.octet_length("text").cast("long").alias("size"), integrity.content_hash(F.col("text")).alias("digest"))
+    return integrity.duplicate_content(files)
+
+
+@query("c3_verify_copy", _with("content") + """ SELECT relative_path, CASE WHEN doc_id % 31 = 0 AND length(text) > 0 THEN 'size' WHEN doc_id % 9 = 0 AND length(text) > 0 THEN 'integrity' ELSE 'ok' END AS status FROM content""")
+def c3(s, d):
+    src = derived(s, d, "content")
+    changed = F.when((F.col("doc_id") % 31 == 0) & (F.length("text") > 0), F.expr("substring(text, 2)")).when((F.col("doc_id") % 9 == 0) & (F.length("text") > 0), F.concat(F.when(F.expr("substring(text, 1, 1) = '#'"), F.lit("*")).when(F.expr("octet_length(substring(text, 1, 1)) = 2"), F.lit("͸")).otherwise(F.lit("#")), F.expr("substring(text, 2)"))).otherwise(F.col("text"))
+    side = lambda t: (F.octet_length(t).cast("long").alias("length"), integrity.content_hash(t).alias("digest"))
+    return integrity.verify_copy(src.select("relative_path", F.octet_length("text").cast("long").alias("size"), *side(F.col("text"))), src.select("relative_path", *side(changed)))
+
+
+@query("k_columns", INV + """ SELECT relative_path, ino, mtime_ns // 1000000000 AS secs, strftime(make_timestamp(mtime_ns // 1000), '%Y-%m-%d %H:%M:%S') || '.' || lpad(CAST(mtime_ns % 1000000000 AS VARCHAR), 9, '0') AS shown,
+  CAST(mtime_ns // 100 + 116444736000000000 AS BIGINT) AS filetime, 'b/' || replace(relative_path, ' ', '%20') AS copy_source FROM inv_src""")
+def k(s, d):
+    m = F.col("mtime_ns")
+    return inv.inv_src(s, d).select("relative_path", "ino", C.ns_to_secs(m).alias("secs"), C.ns_to_string(m).alias("shown"), C.ns_to_filetime(m).alias("filetime"), C.copy_source(F.lit("b"), F.col("relative_path")).alias("copy_source"))
+
+
+@query("k_urls", """SELECT page_id, 's3+https://***:***@' || regexp_extract(url, '://([^/]*)', 1) || '/x' AS redacted, 's3' AS kind, split_part(regexp_extract(url, '://([^/?#]*)', 1), '.', 1) AS bucket, 'x' AS prefix FROM pages""")
+def ku(s, d):
+    url = F.concat(F.lit("s3+https://AK"), F.col("page_id"), F.lit(":S/K@"), F.regexp_extract("url", "://([^/]*)", 1), F.lit("/x"))
+    parts = C.s3_parts(url)
+    return s.read.parquet(f"{d}/pages.parquet").select("page_id", C.redact_url(url).alias("redacted"), C.storage_type(url).alias("kind"), parts["bucket"].alias("bucket"), parts["prefix"].alias("prefix"))
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
