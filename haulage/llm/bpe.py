@@ -20,7 +20,7 @@ from tokenizers import Tokenizer
 
 from haulage.llm.common import as_bytes
 
-LEAF, FIRST_WINDOW, KEPT_RUNS = 2048, 64, 400_000
+LEAF, FIRST_WINDOW, KEPT_RUNS = 2048, 64, 80_000
 _SPACES = frozenset("\t\n\x0b\x0c\r ")
 
 
@@ -142,7 +142,7 @@ def coder(path: str) -> Coder:
     return _coders[path]
 
 
-def _groups(texts: list[bytes], most: int = 4 << 20) -> Iterator[list[bytes]]:
+def _groups(texts: list[bytes], most: int = 1 << 20) -> Iterator[list[bytes]]:
     """Texts in lists of about `most` bytes."""
     some, size = [], 0
     for t in texts:
