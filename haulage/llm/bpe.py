@@ -20,7 +20,7 @@ from tokenizers import Tokenizer
 
 from haulage.llm.common import as_bytes
 
-LEAF, FIRST_WINDOW, KEPT_RUNS = 2048, 64, 80_000
+LEAF, FIRST_WINDOW, KEPT_RUNS = 2048, 64, 100_000
 _SPACES = frozenset("\t\n\x0b\x0c\r ")
 
 
@@ -46,7 +46,10 @@ class Coder:
         self.leaf = leaf
         self.specials = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.reach = max(map(len, self.specials), default=1)
+        self.vocab = [self.tok.id_to_token(i) for i in range(self.tok.get_vocab_size())]
+        self.joined = self.tok.decoder is None  # without a decoder, decoding joins the tokens with spaces
         self.known: dict[bytes, tuple[bytes, str]] = {}
+        self.older: dict[bytes, tuple[bytes, str]] = {}
 
     def _ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
@@ -109,10 +112,15 @@ class Coder:
 
     def pieces(self, texts: list[bytes]) -> list[list[tuple[bytes, str]]]:
         """For each text, (ids as little-endian words, decoded text) of its runs in order."""
-        known, split = self.known, [t.split() for t in texts]
-        if len(known) > KEPT_RUNS:
-            known.clear()
-        new = list({r for runs in split for r in runs if r not in known})
+        if len(self.known) > KEPT_RUNS:  # what is not met again while as many are learnt is forgotten
+            self.known, self.older = {}, self.known
+        known, older, split, new = self.known, self.older, [t.split() for t in texts], []
+        for r in {r for runs in split for r in runs}:
+            if r not in known:
+                if r in older:
+                    known[r] = older[r]
+                else:
+                    new.append(r)
         plain = [r for r in new if len(r) <= self.leaf]
         for at in range(0, len(plain), 20_000):
             some = plain[at : at + 20_000]
@@ -126,10 +134,13 @@ class Coder:
         return [[known.get(r) or long[r] for r in runs] for runs in split]
 
     def _decode(self, ids: list[int]) -> str:
+        if self.joined:
+            vocab = self.vocab
+            return " ".join([vocab[i] for i in ids])
         return self.tok.decode(ids, skip_special_tokens=False)
 
     def decode(self, ids: list[int]) -> str:
-        return self._decode(ids)
+        return self.tok.decode(ids, skip_special_tokens=False)
 
 
 _coders: dict[str, Coder] = {}
@@ -142,7 +153,7 @@ def coder(path: str) -> Coder:
     return _coders[path]
 
 
-def _groups(texts: list[bytes], most: int = 1 << 20) -> Iterator[list[bytes]]:
+def _groups(texts: list[bytes], most: int = 2 << 20) -> Iterator[list[bytes]]:
     """Texts in lists of about `most` bytes."""
     some, size = [], 0
     for t in texts:
