@@ -28,7 +28,8 @@ STARTS = range(3, 9)
 #: Least z-score, log-odds and number of toxic documents of a token (among a million tokens chance alone gives many
 #: of 2.5); weight of the prior in documents of each class.
 MIN_Z, MIN_ODDS, MIN_TOXIC, PRIOR_DOCS = 4.0, 2.0, 3, 50.0
-MEMO = 100_000
+#: Entries a worker holds: remembered words, and counted features before they are passed on.
+MEMO, KEPT_FEATURES = 100_000, 150_000
 
 
 def features(word: bytes) -> list[str]:
@@ -107,7 +108,7 @@ def _count_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     for batch in batches:
         for text, toxic in zip(as_bytes(batch.column(0)), batch.column(1).to_pylist()):
             counts[bool(toxic)].update({f for w in set(words_of(text)) for f in features(w)})
-            if len(counts[0]) > 500_000:
+            if len(counts[0]) + len(counts[1]) > KEPT_FEATURES:
                 yield _flush(counts)
     yield _flush(counts)
 
@@ -214,11 +215,13 @@ def score(docs: DataFrame, model: Model, folds: int = 5, held: int = 0) -> DataF
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
-            words = [words_of(t) for t in as_bytes(batch.column(1))]
-            p = np.array([m.probability(w) for w in words])
             kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())]))
-            n = [math.log(max(len(w), 1)) for w in words]
-            segs = [[{"start": a, "end": b, "score": s} for a, b, s in m.segments(w) if m.decay * s > k] for w, k in zip(words, n)]
+            p, segs = np.zeros(batch.num_rows), []
+            for i, text in enumerate(as_bytes(batch.column(1))):  # the words of one text at a time
+                words = words_of(text)
+                n = math.log(max(len(words), 1))
+                p[i] = m.probability(words)
+                segs.append([{"start": a, "end": b, "score": s} for a, b, s in m.segments(words) if m.decay * s > n])
             yield pa.record_batch([batch.column(0), batch.column(2), pa.array(p), pa.array((p >= 0.5).astype(np.int32)), pa.array(segs, kind)], names=["doc_id", "held_out", "score", "predicted", "segments"])
 
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
