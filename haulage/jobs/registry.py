@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from haulage.functions import columns as C
-from haulage.operators import acl, diff, filters, integrity, planning, report
+from haulage.operators import acl, chunks, diff, filters, integrity, objects, planning, report
 from haulage.sources import inventory as inv
+from haulage.streaming import jobs as streams
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -21,6 +22,9 @@ DERIVED = {
     "versions": ("lineitem", ["concat('obj/', l_orderkey, '/', l_linenumber) AS key", "{us:l_shipdate} * 1000 AS time_ns", "CAST(l_quantity * 1000 AS BIGINT) AS size", "concat(l_partkey, '-', l_suppkey, '-', CAST(floor(l_extendedprice) AS BIGINT)) AS version_id", "(l_returnflag = 'R' AND l_linestatus = 'F') AS is_marker"]),
     "commits": ("lineitem", ["l_orderkey AS file", "CAST((l_linenumber - 1) * 1048576 AS BIGINT) AS \"start\"", "CAST(l_linenumber * 1048576 AS BIGINT) AS \"end\""]),
     "parts": ("lineitem", ["l_orderkey AS file", "CAST(l_linenumber AS BIGINT) AS part_number", f"CAST({PART} + CASE WHEN l_orderkey % 101 = 0 THEN 1 ELSE 0 END AS BIGINT) AS part_len"]),
+    "uploads": ("lineitem", ["l_orderkey AS key", "{us:l_shipdate} AS initiated", "concat(l_partkey, '-', l_suppkey) AS upload_id"]),
+    "tags": ("lineitem", ["l_orderkey AS file", "CAST(l_linenumber AS BIGINT) AS pos", "concat('line', l_linenumber) AS tag", "l_returnflag AS value"]),
+    "messages": ("events", ["event_id AS seq", "CASE event_id % 5 WHEN 0 THEN 'Deleted' WHEN 1 THEN 'Renamed' ELSE 'Scanned' END AS kind", "concat('u', user_id) AS relative_path", "CASE WHEN event_id % 5 = 1 THEN concat('u', user_id + 1) END AS from_path", "CAST(floor(value) AS BIGINT) AS size"]),
     "transfers": ("events", ["{us:ts} AS ts_us", "user_id % 8 AS job", "CAST(floor(value * 1048576) AS BIGINT) AS bytes", "event_type AS event"]),
     "content": ("documents", ["concat(source, '/', lang, '/doc_', doc_id, '.txt') AS relative_path", "doc_id", "text"]),
     "aces": ("supplier", ["concat('share/', s_nationkey, '/', s_suppkey) AS path", "s_name AS trustee", "CAST(CASE s_suppkey % 8 WHEN 0 THEN 2032127 WHEN 1 THEN 1245631 WHEN 2 THEN 1179817 WHEN 3 THEN 1179926 WHEN 4 THEN 1179785 WHEN 5 THEN 1180063 WHEN 6 THEN 35 ELSE 0 END AS BIGINT) AS mask", "CAST(floor(s_suppkey / 8) % 4 * 8 AS BIGINT) AS flags", "CAST(s_suppkey % 2 AS BIGINT) AS type"]),
@@ -361,6 +365,124 @@ def ku(s, d):
     return s.read.parquet(f"{d}/pages.parquet").select("page_id", C.redact_url(url).alias("redacted"), C.storage_type(url).alias("kind"), parts["bucket"].alias("bucket"), parts["prefix"].alias("prefix"))
 
 
+@query("v1_object_history", _with("versions") + """, k AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY time_ns, is_marker, version_id, size) AS position, count(*) OVER (PARTITION BY key) AS version_count FROM versions),
+l AS (SELECT key FROM k WHERE position = version_count AND NOT is_marker) SELECT key, position, time_ns, CASE WHEN is_marker THEN 0 ELSE size END AS size, is_marker, version_count FROM k WHERE key IN (SELECT key FROM l)""")
+def v1(s, d):
+    return objects.object_history(derived(s, d, "versions"))
+
+
+@query("v4_join_tags", _with("tags") + """, t AS (SELECT file, string_agg(tag || '=' || value, '&' ORDER BY pos, tag, value) AS tag_text, count(*) AS n_tags FROM tags GROUP BY file)
+SELECT o_orderkey AS file, tag_text, n_tags FROM orders LEFT JOIN t ON o_orderkey = file""")
+def v4(s, d):
+    tagged = objects.join_tags(_files(s, d, 1), derived(s, d, "tags"))
+    return tagged.select("file", "tag_text", F.when(F.col("tags").isNotNull(), F.size("tags")).cast("long").alias("n_tags"))
+
+
+@query("r1_pick_uploads", _with("uploads") + " SELECT key, initiated, upload_id, CASE WHEN row_number() OVER (PARTITION BY key ORDER BY initiated DESC, upload_id DESC) = 1 THEN 'keep' ELSE 'abort' END AS action FROM uploads")
+def r1(s, d):
+    return planning.pick_uploads(derived(s, d, "uploads"))
+
+
+@query("r4_prefix_missing", INV + """, p AS (SELECT relative_path, size, CASE ino % 4 WHEN 0 THEN size WHEN 1 THEN size // 2 WHEN 2 THEN size + 1 END AS part_len FROM inv_src)
+SELECT relative_path, CASE WHEN part_len IS NULL OR part_len > size THEN 0 ELSE part_len END AS "start", size AS "end" FROM p WHERE CASE WHEN part_len IS NULL OR part_len > size THEN 0 ELSE part_len END < size""")
+def r4(s, d):
+    src = inv.inv_src(s, d)
+    partial = src.where("ino % 4 < 3").selectExpr("relative_path", "CASE ino % 4 WHEN 0 THEN size WHEN 1 THEN size div 2 ELSE size + 1 END AS part_len")
+    return planning.prefix_missing(partial, src.select("relative_path", "size"))
+
+
+@query("r7_can_complete", _with("parts") + f""", f AS (SELECT o_orderkey AS file, CAST((o_orderkey % 7 + 1) * {PART} AS BIGINT) AS size FROM orders),
+j AS (SELECT f.file, size, p.part_number, p.part_len FROM f LEFT JOIN parts p ON f.file = p.file)
+SELECT file, coalesce(count(part_number) = size // {PART} AND count(DISTINCT part_number) = size // {PART} AND min(part_number) = 1 AND max(part_number) = size // {PART} AND bool_and(part_len = {PART}), false) AS complete FROM j GROUP BY file, size""")
+def r7(s, d):
+    files = s.read.parquet(f"{d}/orders.parquet").selectExpr("o_orderkey AS file", f"CAST((o_orderkey % 7 + 1) * {PART} AS BIGINT) AS size")
+    return objects.can_complete(derived(s, d, "parts"), files, PART)
+
+
+@query("d6_metadata_carry", DIFF + """, a AS (SELECT relative_path, CASE state WHEN 'new' THEN 'copy' WHEN 'deleted' THEN 'delete' WHEN 'metadata_changed' THEN 'set_metadata' ELSE 'copy' END AS action FROM diff WHERE state <> 'same' UNION ALL SELECT relative_path, 'set_metadata' FROM diff WHERE state IN ('data_changed', 'both_changed'))
+SELECT relative_path, action, CASE WHEN action <> 'set_metadata' THEN '' ELSE CASE length(relative_path) % 3 WHEN 0 THEN 'atime,mtime,uid,gid,mode' WHEN 1 THEN 'atime,mtime' ELSE 'mtime,mode' END END AS attributes FROM a""")
+def d6(s, d):
+    actions = diff.sync_actions(_diff(s, d)).withColumn("src_kind", F.expr("element_at(array('nas', 's3', 'hdfs'), CAST(length(relative_path) % 3 + 1 AS INT))"))
+    return diff.metadata_carry(actions, "nas").select("relative_path", "action", "attributes")
+
+
+@query("d8_merge_messages", _with("messages") + """, e AS (SELECT seq, kind, relative_path, size FROM messages UNION ALL SELECT seq, 'Deleted', from_path, NULL FROM messages WHERE kind = 'Renamed'),
+l AS (SELECT *, row_number() OVER (PARTITION BY relative_path ORDER BY seq DESC) AS rn FROM e) SELECT relative_path, size FROM l WHERE rn = 1 AND kind <> 'Deleted'""")
+def d8(s, d):
+    return diff.merge_scan_messages(derived(s, d, "messages"))
+
+
+def _bytes(files: DataFrame, text: str, step: int) -> DataFrame:
+    """Chunks of a text column's bytes."""
+    raw = files.select("relative_path", F.col(text).cast("binary").alias("raw"))
+    return chunks.cut_chunks(raw, F.length("raw"), lambda at: F.substring(F.col("raw"), (at + 1).cast("int"), F.lit(step)), step)
+
+
+def _sides(s, d) -> DataFrame:
+    """Contents and their damaged copies: the first e is now E, or the last character is lost."""
+    damaged = F.when(F.col("doc_id") % 31 == 0, F.expr("left(text, length(text) - 1)")).when(F.col("doc_id") % 9 == 0, F.expr("CASE WHEN instr(text, 'e') > 0 THEN overlay(text PLACING 'E' FROM instr(text, 'e') FOR 1) ELSE text END")).otherwise(F.col("text"))
+    return derived(s, d, "content").withColumn("copied", damaged)
+
+
+_CUT = "(doc_id % 31 = 0 AND length(text) > 0)"
+
+
+@query("i5_full_check", _with("content") + f""" SELECT relative_path, CAST(CASE WHEN {_CUT} THEN strlen(left(text, length(text) - 1)) WHEN doc_id % 31 <> 0 AND doc_id % 9 = 0 AND instr(text, 'e') > 0 THEN strlen(left(text, instr(text, 'e') - 1)) END AS BIGINT) AS first_diff FROM content""")
+def i5(s, d):
+    both = _sides(s, d)
+    return chunks.full_check_chunks(_bytes(both, "text", 4096), _bytes(both, "copied", 1000), both)
+
+
+@query("i6_stream_shape", _with("content") + f""" SELECT relative_path, 'destination' AS side, CASE WHEN doc_id % 7 = 0 AND strlen(c) > 1000 THEN 'offset' ELSE 'length' END AS error, CASE WHEN doc_id % 7 = 0 AND strlen(c) > 1000 THEN 1000 ELSE strlen(c) END AS "at"
+FROM (SELECT *, CASE WHEN {_CUT} THEN left(text, length(text) - 1) ELSE text END AS c FROM content) WHERE strlen(c) > 0 AND ((doc_id % 7 = 0 AND strlen(c) > 1000) OR {_CUT})""")
+def i6(s, d):
+    both = _sides(s, d)
+    own = lambda c, side, step: _bytes(both, c, step).select("relative_path", F.lit(side).alias("side"), F.col("offset").alias("seq"), "offset", F.length("data").cast("long").alias("length"))
+    shifted = F.when((F.regexp_extract("relative_path", r"_(\d+)\.txt$", 1).cast("long") % 7 == 0) & (F.col("seq") == 1000), F.col("offset") + 1).otherwise(F.col("offset"))
+    every = own("text", "source", 4096).unionByName(own("copied", "destination", 1000).withColumn("offset", shifted))
+    return chunks.stream_shape_errors(every, both.select("relative_path", F.octet_length("text").cast("long").alias("size")))
+
+
+@query("c2_tree_hash", _with("content") + """, p AS (SELECT relative_path, i, sha256(substr(text, CAST(i * 1000 + 1 AS BIGINT), 1000)) AS h FROM content, unnest(range(0, (length(text) + 999) // 1000)) AS r(i))
+SELECT relative_path, count(*) AS n_chunks, sha256(string_agg(h, '' ORDER BY i)) AS digest FROM p GROUP BY relative_path""")
+def c2(s, d):
+    files = derived(s, d, "content")
+    return chunks.tree_hash_chunks(chunks.cut_chunks(files, F.length("text"), lambda at: F.substring(F.col("text"), (at + 1).cast("int"), F.lit(1000)), 1000))
+
+
+@query("g6_stream_scan", "SELECT concat('o', o_orderkey, CASE o_orderkey % 2 WHEN 0 THEN '.log' ELSE '.csv' END) AS relative_path, CAST(floor(o_totalprice) AS BIGINT) AS size FROM orders WHERE CAST(floor(o_totalprice) AS BIGINT) > 150000 AND o_orderkey % 2 <> 0")
+def g6(s, d):
+    entries = streams.read_stream(s, f"{d}/orders.parquet").selectExpr("concat('o', o_orderkey, CASE o_orderkey % 2 WHEN 0 THEN '.log' ELSE '.csv' END) AS relative_path", "CAST(floor(o_totalprice) AS BIGINT) AS size")
+    return streams.drain(streams.stream_scan(entries, "size > 150000", "extension == log"))
+
+
+@query("g7_stream_commits", _with("commits") + ' SELECT file, CAST(sum("end" - "start") AS BIGINT) AS bytes, count(*) AS n_commits FROM (SELECT DISTINCT * FROM commits) GROUP BY file')
+def g7(s, d):
+    # all commits are in one micro-batch, before any watermark has advanced
+    events = streams.read_stream(s, f"{d}/lineitem.parquet").selectExpr(*_exprs("commits", True), "CAST(l_shipdate AS TIMESTAMP) AS ts")
+    kept = streams.drain(streams.stream_commits(events, "36500 days"))
+    return kept.groupBy("file").agg(F.sum(F.col("end") - F.col("start")).alias("bytes"), F.count("*").alias("n_commits"))
+
+
+@query("g8_stream_throughput", _LOG + " SELECT ts_us // 3600000000 * 3600 AS window_start, count(*) AS ops, CAST(sum(bytes) AS BIGINT) AS bytes FROM transfers GROUP BY 1")
+def g8(s, d):
+    log = streams.read_stream(s, f"{d}/events.parquet").selectExpr("CAST(ts AS TIMESTAMP) AS ts", "CAST(floor(value * 1048576) AS BIGINT) AS bytes")
+    return streams.drain(streams.stream_throughput(log, "1 hour"), "complete")
+
+
+@query("g9_stream_deletes", "SELECT CASE WHEN event_type = 'error' THEN 'failed' ELSE 'deleted' END AS status, count(*) AS n FROM events GROUP BY 1")
+def g9(s, d):
+    results = streams.read_stream(s, f"{d}/events.parquet").select(F.when(F.col("event_type") == "error", F.col("event_type")).alias("error"))
+    return streams.drain(streams.stream_delete_progress(results), "complete")
+
+
+@query("k_more_columns", INV + """ SELECT relative_path, CAST(mtime_ns - 800000000000000000 AS DOUBLE) / 86400e9 AS days, CAST(CASE WHEN mode = 33188 THEN 420 ELSE 292 END AS BIGINT) AS smb, mtime_ns // 1000000 AS ms, size * 1000000 AS ns, 'r/' || relative_path AS joined, substr(relative_path, 8) AS inner_path FROM inv_src""")
+def km(s, d):
+    m, path = F.col("mtime_ns"), F.col("relative_path")
+    joined = C.join_paths(F.lit("r//"), F.concat(F.lit("/"), path))
+    return inv.inv_src(s, d).select(path, C.days_between(F.lit(800000000000000000), m).alias("days"), C.smb_mode(F.lit(False), F.col("mode") != 33188).alias("smb"), C.ns_to_millis(m).alias("ms"), C.millis_to_ns(F.col("size")).alias("ns"), joined.alias("joined"), C.strip_root(path, "orders/").alias("inner_path"))
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 
