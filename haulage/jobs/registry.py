@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from haulage.functions import columns as C
-from haulage.operators import acl, chunks, diff, filters, integrity, objects, planning, report
+from haulage.operators import acl, chunks, diff, filters, integrity, objects, planning, report, tree
 from haulage.sources import inventory as inv
 from haulage.streaming import jobs as streams
 
@@ -132,6 +132,13 @@ def f12b(s, d):
     return filters.filter_entries(inv.inv_src(s, d), 'path == "orders/1995*" and modified >= "1995-04-01"').select("relative_path")
 
 
+@query("f13_filter_tree", INV + """, d0 AS (SELECT DISTINCT regexp_replace(relative_path, '/[^/]*$', '') AS p FROM inv_src), e AS (SELECT relative_path FROM inv_src UNION SELECT p FROM d0 UNION SELECT regexp_replace(p, '/[^/]*$', '') FROM d0)
+SELECT relative_path FROM e WHERE split_part(relative_path, '/', 2) <= '19950101' AND split_part(relative_path, '/', 2) NOT LIKE '19940%'""")
+def f13(s, d):
+    files = inv.inv_src(s, d).select("relative_path", F.lit(False).alias("is_dir"), "size", "mtime_ns")
+    return tree.filter_tree(files.unionByName(inv.synthesize_dirs(files)), "dir_date <= 19950101", 'extension == log or path == "orders/19940*"').select("relative_path")
+
+
 @query("f9_dir_date", INV + " SELECT DISTINCT split_part(relative_path, '/', 2) AS name, CAST(epoch(strptime(split_part(relative_path, '/', 2), '%Y%m%d')) AS BIGINT) AS day_s FROM inv_src")
 def f9(s, d):
     return inv.inv_src(s, d).select(F.get(F.split("relative_path", "/"), 1).alias("name")).distinct().select("name", filters.extract_dir_date(F.col("name")).alias("day_s"))
