@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from haulage.functions import columns as C
-from haulage.operators import acl, chunks, diff, filters, integrity, objects, planning, report, tree
+from haulage.operators import acl, chunks, diff, filters, integrity, objects, outcomes, planning, report, tree
 from haulage.sources import inventory as inv
 from haulage.streaming import jobs as streams
 
@@ -25,6 +25,8 @@ DERIVED = {
     "uploads": ("lineitem", ["l_orderkey AS key", "{us:l_shipdate} AS initiated", "concat(l_partkey, '-', l_suppkey) AS upload_id"]),
     "tags": ("lineitem", ["l_orderkey AS file", "CAST(l_linenumber AS BIGINT) AS pos", "concat('line', l_linenumber) AS tag", "l_returnflag AS value"]),
     "messages": ("events", ["event_id AS seq", "CASE event_id % 5 WHEN 0 THEN 'Deleted' WHEN 1 THEN 'Renamed' ELSE 'Scanned' END AS kind", "concat('u', user_id) AS relative_path", "CASE WHEN event_id % 5 = 1 THEN concat('u', user_id + 1) END AS from_path", "CAST(floor(value) AS BIGINT) AS size"]),
+    "copies": ("orders", ["o_orderkey AS file", "CASE WHEN o_orderkey % 11 = 0 THEN 'read failed' END AS read_error", "CASE WHEN o_orderkey % 7 = 0 THEN 'write failed' END AS write_error", "o_orderkey % 5 <> 0 AS verified", "CASE WHEN o_orderkey % 13 <> 0 THEN o_orderkey % 3 <> 0 END AS committed", "o_orderkey % 2 = 0 AS reserve"]),
+    "failures": ("events", ["event_id", "CASE event_id % 5 WHEN 0 THEN 'TimedOut' WHEN 1 THEN 'NotFound' WHEN 2 THEN 'S3Error' WHEN 3 THEN 'PermissionDenied' ELSE 'NotConnected' END AS kind", "event_id % 7 = 0 AS hdfs"]),
     "transfers": ("events", ["{us:ts} AS ts_us", "user_id % 8 AS job", "CAST(floor(value * 1048576) AS BIGINT) AS bytes", "event_type AS event"]),
     "content": ("documents", ["concat(source, '/', lang, '/doc_', doc_id, '.txt') AS relative_path", "doc_id", "text"]),
     "aces": ("supplier", ["concat('share/', s_nationkey, '/', s_suppkey) AS path", "s_name AS trustee", "CAST(CASE s_suppkey % 8 WHEN 0 THEN 2032127 WHEN 1 THEN 1245631 WHEN 2 THEN 1179817 WHEN 3 THEN 1179926 WHEN 4 THEN 1179785 WHEN 5 THEN 1180063 WHEN 6 THEN 35 ELSE 0 END AS BIGINT) AS mask", "CAST(floor(s_suppkey / 8) % 4 * 8 AS BIGINT) AS flags", "CAST(s_suppkey % 2 AS BIGINT) AS type"]),
@@ -490,6 +492,32 @@ def km(s, d):
     return inv.inv_src(s, d).select(path, C.days_between(F.lit(800000000000000000), m).alias("days"), C.smb_mode(F.lit(False), F.col("mode") != 33188).alias("smb"), C.ns_to_millis(m).alias("ms"), C.millis_to_ns(F.col("size")).alias("ns"), joined.alias("joined"), C.strip_root(path, "orders/").alias("inner_path"))
 
 
+@query("d9_plan_renames", INV + """, p AS (SELECT relative_path AS f, CASE WHEN ino % 41 = 0 THEN relative_path || '/sub' WHEN ino % 3 = 0 THEN 'archive/' || relative_path WHEN ino % 19 = 0 THEN replace(relative_path, 'orders/', 'moved/') ELSE relative_path END AS t, size AS e FROM inv_src)
+SELECT f AS from_path, t AS to_path, CASE WHEN f = t THEN 'noop' WHEN starts_with(t, f || '/') THEN 'subtree' WHEN a.relative_path IS NOT NULL THEN CASE WHEN a.size <> e THEN 'source_size' ELSE 'copy' END
+  WHEN b.relative_path IS NOT NULL THEN CASE WHEN b.size = e THEN 'done' ELSE 'destination_size' END ELSE 'missing' END AS status
+FROM p LEFT JOIN inv_dst a ON a.relative_path = f LEFT JOIN inv_dst b ON b.relative_path = t""")
+def d9(s, d):
+    to = F.expr("CASE WHEN ino % 41 = 0 THEN relative_path || '/sub' WHEN ino % 3 = 0 THEN 'archive/' || relative_path WHEN ino % 19 = 0 THEN replace(relative_path, 'orders/', 'moved/') ELSE relative_path END")
+    pairs = inv.inv_src(s, d).select(F.col("relative_path").alias("from_path"), to.alias("to_path"), F.col("size").alias("expected_size"))
+    return outcomes.plan_renames(pairs, inv.inv_dst(s, d))
+
+
+@query("c5_attribute_errors", _with("copies") + " SELECT file, CASE WHEN write_error IS NOT NULL THEN 'destination' WHEN read_error IS NOT NULL THEN 'source' END AS side, coalesce(write_error, read_error) AS error FROM copies")
+def c5(s, d):
+    return outcomes.attribute_errors(derived(s, d, "copies")).select("file", "side", "error")
+
+
+@query("c6_safe_to_delete", _with("copies") + " SELECT file FROM copies WHERE verified AND committed AND NOT reserve")
+def c6(s, d):
+    return outcomes.safe_to_delete_source(derived(s, d, "copies")).select("file")
+
+
+@query("i8_retries", _with("failures") + """, r AS (SELECT *, kind IN ('TimedOut', 'S3Error', 'NotConnected') AND NOT hdfs AS again FROM failures), w(attempt, delay_ms) AS (VALUES (1, 200), (2, 500), (3, 1000))
+SELECT event_id, attempt, delay_ms FROM r JOIN w ON again UNION ALL SELECT event_id, 0, NULL FROM r WHERE NOT again""")
+def i8(s, d):
+    return outcomes.split_retryable(derived(s, d, "failures")).select("event_id", "attempt", "delay_ms")
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 
