@@ -512,6 +512,14 @@ def c6(s, d):
     return outcomes.safe_to_delete_source(derived(s, d, "copies")).select("file")
 
 
+@query("i9_hdfs_mtime", INV + """ SELECT s.relative_path, CASE WHEN s.ino % 4 = 0 THEN true WHEN s.ino % 2 = 1 THEN s.mtime_ns // 1000000 = d.mtime_ns // 1000000 ELSE s.mtime_ns = d.mtime_ns END AS same_time FROM inv_src s JOIN inv_dst d ON s.relative_path = d.relative_path""")
+def i9(s, d):
+    other = inv.inv_dst(s, d).select("relative_path", F.col("mtime_ns").alias("other_ns"))
+    both = inv.inv_src(s, d).join(other, "relative_path")
+    kind = F.when(F.col("ino") % 4 == 0, "s3").when(F.col("ino") % 2 == 1, "hdfs").otherwise("nas")
+    return both.select("relative_path", integrity.hdfs_mtime_match(F.col("mtime_ns"), F.col("other_ns"), F.lit("nas"), kind).alias("same_time"))
+
+
 @query("i8_retries", _with("failures") + """, r AS (SELECT *, kind IN ('TimedOut', 'S3Error', 'NotConnected') AND NOT hdfs AS again FROM failures), w(attempt, delay_ms) AS (VALUES (1, 200), (2, 500), (3, 1000))
 SELECT event_id, attempt, delay_ms FROM r JOIN w ON again UNION ALL SELECT event_id, 0, NULL FROM r WHERE NOT again""")
 def i8(s, d):

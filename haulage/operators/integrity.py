@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from haulage.functions.columns import floor_div
+from haulage.functions.columns import floor_div, trunc_div
 
 
 def entry_kind(is_dir: Column, is_symlink: Column) -> Column:
@@ -30,6 +30,12 @@ def mtime_matches(a: Column, b: Column, auto: bool = True, tolerance_ns: int = 0
     return equal.otherwise(floor_div(a, 1_000_000_000) == floor_div(b, 1_000_000_000)) | near
 
 
+def hdfs_mtime_match(src_ns: Column, dst_ns: Column, src_kind: Column, dst_kind: Column) -> Column:
+    """Milliseconds agree where a side is hdfs, nanoseconds elsewhere; an s3 destination always matches. Null if a time is."""
+    ms = trunc_div(src_ns, 1_000_000) == trunc_div(dst_ns, 1_000_000)
+    return F.when(dst_kind == "s3", F.lit(True)).when((src_kind == "hdfs") | (dst_kind == "hdfs"), ms).otherwise(src_ns == dst_ns)
+
+
 def metadata_mismatches(src: str, dst: str, tolerance_ns: int = 0, dst_kind: str = "nas", src_kind: str = "nas") -> Column:
     """Names of the differing fields in a fixed order: mtime, uid, gid, owner, group, mode. Owners are compared only
     between like stores and only where both sides have them; object-store destinations have nothing to compare."""
