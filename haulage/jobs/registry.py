@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from haulage.functions import columns as C
-from haulage.operators import acl, chunks, diff, filters, integrity, objects, outcomes, planning, report, tree
+from haulage.operators import acl, blobs, chunks, diff, filters, integrity, objects, order, outcomes, planning, report, tree
 from haulage.sources import inventory as inv
 from haulage.streaming import jobs as streams
 
@@ -526,6 +526,77 @@ def i8(s, d):
     return outcomes.split_retryable(derived(s, d, "failures")).select("event_id", "attempt", "delay_ms")
 
 
+@query("v5_name_order", INV + " SELECT relative_path, row_number() OVER (ORDER BY split_part(relative_path, '/', -1), mtime_ns, relative_path) - 1 AS position FROM inv_src")
+def v5(s, d):
+    return order.name_order(inv.inv_src(s, d)).select("relative_path", "position")
+
+
+def _tree(s, d) -> DataFrame:
+    """Files and directories; some directories are hidden from pages but walked."""
+    files = inv.inv_src(s, d)
+    every = files.select("relative_path", F.lit(False).alias("is_dir")).unionByName(inv.synthesize_dirs(files).select("relative_path", "is_dir"))
+    return every.withColumn("visible", ~F.col("is_dir") | ~F.endswith("relative_path", F.lit("7")))
+
+
+_PAGES = INV + _DIRS + """, e AS (SELECT relative_path AS p, false AS sub, true AS vis FROM inv_src UNION ALL SELECT relative_path, true, right(relative_path, 1) <> '7' FROM dirs),
+i AS (SELECT *, CASE WHEN contains(p, '/') THEN regexp_replace(p, '/[^/]*$', '') ELSE '' END AS page, split_part(p, '/', -1) AS name FROM e),
+d AS (SELECT '' AS p UNION ALL SELECT p FROM i WHERE sub),
+f AS (SELECT p FROM i JOIN (SELECT page, max(name) AS last FROM i WHERE sub AND vis GROUP BY page) USING (page) WHERE sub AND name < last),
+u AS (SELECT p, unnest(list_transform(range(1, len(string_split(p, '/')) + 1), lambda k : array_to_string(string_split(p, '/')[1:k], '/'))) AS above FROM d),
+later AS (SELECT DISTINCT u.p FROM u JOIN f ON u.above = f.p),
+n AS (SELECT page AS p, count(*) FILTER (NOT sub OR vis) AS n, bool_or(sub) AS parent FROM i GROUP BY page),
+g AS (SELECT d.p, coalesce(n.n, 0) AS n, coalesce(n.parent, false) OR later.p IS NOT NULL AS gap FROM d LEFT JOIN n ON n.p = d.p LEFT JOIN later ON later.p = d.p),
+w AS (SELECT *, CAST(coalesce(sum(n + gap::INTEGER) OVER (ORDER BY string_split(p, '/') ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS first FROM g)"""
+
+
+@query("w3_number_pages", _PAGES + " SELECT i.p AS relative_path, i.page, first + row_number() OVER (PARTITION BY page ORDER BY sub, name) - 1 AS ndx FROM i JOIN w ON w.p = i.page WHERE NOT sub OR vis")
+def w3(s, d):
+    return order.number_pages(_tree(s, d))[0]
+
+
+@query("w3_pages", _PAGES + " SELECT p AS dir_path, first AS ndx_start, n AS n_entries, CASE WHEN gap THEN first + n ELSE -1 END AS gap_ndx FROM w WHERE n > 0")
+def w3b(s, d):
+    return order.number_pages(_tree(s, d))[1]
+
+
+@query("w4_find_packages", INV + _DIRS + " SELECT relative_path AS package FROM dirs WHERE len(string_split(relative_path, '/')) = 3 AND split_part(relative_path, '/', 2) <= '19960301'")
+def w4(s, d):
+    return order.find_packages(inv.synthesize_dirs(inv.inv_src(s, d)), "dir_date <= 19960301 or (dir_date > 19960301 and name == x)", 1, 3)
+
+
+@query("r5_validate_state", INV + " SELECT ino AS file, size, CASE WHEN ino % 6 = 0 THEN NULL WHEN ino % 5 = 0 THEN 'unreadable state' WHEN ino % 4 = 0 THEN 'size changed: was ' || (size + 1) || ', now ' || size END AS error FROM inv_src")
+def r5(s, d):
+    files = inv.inv_src(s, d).select(F.col("ino").alias("file"), "size")
+    state = F.concat(F.lit('{"size":'), (F.col("size") + F.when(F.col("file") % 4 == 0, 1).otherwise(0)).cast("string"), F.when(F.col("file") % 5 == 0, "").otherwise(',"missing":[[8,16]]}'))
+    return planning.validate_prior_state(files.where("file % 6 <> 0").select("file", state.alias("state")), files)
+
+
+@query("a5_nfs4_acl", _ACES + " SELECT path, type, flags, mask, trustee AS who, CAST(NULL AS VARCHAR) AS error FROM aces WHERE mask <> 0 UNION ALL SELECT path, NULL, NULL, NULL, NULL, 'ACE who: unexpected end' FROM aces WHERE mask = 0")
+def a5(s, d):
+    lists = derived(s, d, "aces").groupBy("path").agg(F.collect_list(F.struct("type", "flags", "mask", F.col("trustee").alias("who"))).alias("aces"))
+    blob = blobs.encode_nfs4_acl(F.col("aces"))
+    lists = lists.select("path", blob.alias("blob"), F.exists("aces", lambda a: a["mask"] == 0).alias("short"))
+    lists = lists.select("path", F.when(F.col("short"), F.expr("substring(blob, 1, octet_length(blob) - 1)")).otherwise(F.col("blob")).alias("blob"))
+    out = lists.select("path", blobs.decode_nfs4_acl(F.col("blob")).alias("x"))
+    return out.select("path", "x.error", F.explode_outer("x.aces").alias("a")).select("path", "a.type", "a.flags", "a.mask", "a.who", "error")
+
+
+@query("a6_xattr", "SELECT c_custkey AS file, 'user.name' AS name, c_name AS value FROM customer UNION ALL SELECT c_custkey, 'user.segment', c_mktsegment FROM customer")
+def a6(s, d):
+    pair = lambda n, c: F.struct(F.lit(n).alias("name"), F.col(c).cast("binary").alias("value"))
+    rows = s.read.parquet(f"{d}/customer.parquet").select(F.col("c_custkey").alias("file"), F.array(pair("user.name", "c_name"), pair("user.segment", "c_mktsegment")).alias("pairs"))
+    out = rows.select("file", blobs.encode_xattr(F.col("pairs")).alias("blob")).select("file", blobs.decode_xattr(F.col("blob")).alias("x"))
+    return out.select("file", F.explode("x.xattrs").alias("a")).select("file", "a.name", F.col("a.value").cast("string").alias("value"))
+
+
+@query("t3_ustar_header", INV + """ SELECT relative_path, lpad(format('{:o}', mode), 7, '0') || '|' || lpad(format('{:o}', coalesce(uid, 0)), 7, '0') || '|' || lpad(format('{:o}', gid), 7, '0') || '|' || lpad(format('{:o}', size), 11, '0') || '|' || lpad(format('{:o}', mtime_ns // 1000000000), 11, '0') AS numbers, CAST(512 AS INTEGER) AS n_bytes FROM inv_dst WHERE starts_with(relative_path, 'orders/')""")
+def t3(s, d):
+    head = blobs.ustar_header(F.col("relative_path"), F.col("size"), F.col("mtime_ns"), F.col("mode"), F.col("uid"), F.col("gid"), F.lit("0"), F.lit(""))
+    rows = inv.inv_dst(s, d).where("startswith(relative_path, 'orders/')").select("relative_path", head.alias("head"))
+    field = lambda at, n: F.substring("head", at, n).cast("string")
+    return rows.select("relative_path", F.concat_ws("|", field(101, 7), field(109, 7), field(117, 7), field(125, 11), field(137, 11)).alias("numbers"), F.octet_length("head").alias("n_bytes"))
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 

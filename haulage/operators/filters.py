@@ -221,6 +221,16 @@ class Inputs:
         self.mtime_ns = F.col("mtime_ns") if self.mtime_ns is None else self.mtime_ns
 
 
+def _dir_date(c: Condition, x: Inputs) -> tuple[Column, Column]:
+    when, limit = extract_dir_date(path_name(x.path)), _epoch(_unquote(c.value))
+    return when, _compare(c.op, trunc_div(when, _DAY), limit // _DAY) if c.op in ("==", "!=") else _compare(c.op, when, limit)
+
+
+def dir_date_holds(c: Condition, x: Inputs) -> Column:
+    """Whether the name has a date that meets the condition; false without a date."""
+    return F.coalesce(_dir_date(c, x)[1], F.lit(False))
+
+
 def _leaf(c: Condition, x: Inputs) -> Column:
     if c.field in ("name", "extension"):
         value = path_name(x.path) if c.field == "name" else F.when(~x.is_dir, F.coalesce(path_extension(x.path), F.lit("")))
@@ -240,8 +250,7 @@ def _leaf(c: Condition, x: Inputs) -> Column:
     if c.field == "modified":
         return _modified(c, x)
     if c.field == "dir_date":
-        when, limit = extract_dir_date(path_name(x.path)), _epoch(_unquote(c.value))
-        hit = _compare(c.op, trunc_div(when, _DAY), limit // _DAY) if c.op in ("==", "!=") else _compare(c.op, when, limit)
+        when, hit = _dir_date(c, x)
         return F.when(~x.is_dir | when.isNull(), F.lit(NONPATH)).when(hit, F.lit(PATH)).otherwise(F.lit(FULL))
     return _path(c, x)
 

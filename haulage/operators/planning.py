@@ -89,6 +89,15 @@ def pick_uploads(uploads: DataFrame, key: str = "key") -> DataFrame:
     return uploads.withColumn("action", F.when(rn == 1, "keep").otherwise("abort"))
 
 
+def validate_prior_state(states: DataFrame, files: DataFrame, key: str = "file") -> DataFrame:
+    """files (key, size) with error: null where there is no prior state (key, state: JSON with size) or its size still
+    holds. A state of unreadable JSON or without a size is an error; of several states of a key the greatest text counts."""
+    prior = states.groupBy(key).agg(F.max("state").alias("_s")).select(key, F.col("_s"), F.from_json("_s", "size long")["size"].alias("_was"))
+    both = files.join(prior, key, "left")
+    bad = F.when(F.col("_s").isNull(), None).when(F.col("_was").isNull(), "unreadable state")
+    return both.select(key, "size", bad.when(F.col("_was") != F.col("size"), F.concat(F.lit("size changed: was "), F.col("_was").cast("string"), F.lit(", now "), F.col("size").cast("string"))).alias("error"))
+
+
 def tar_blocks(size: Column) -> Column:
     """Bytes of a member: its header and its content in blocks of 512."""
     return F.lit(512) + _ceil_div(size, 512) * 512
