@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from haulage.llm.common import as_bytes, fold
+from haulage.llm.common import as_bytes, fold, pieces
 from haulage.llm.decontaminate import words_of
 
 #: Bound of the labelled sample (rows with the smallest hash of their id) and of the model's tokens.
@@ -105,7 +105,7 @@ def _sample(docs: DataFrame, labels: DataFrame, folds: int, held: int, rows: int
 
 def _count_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts: tuple[Counter, Counter] = (Counter(), Counter())
-    for batch in batches:
+    for batch in pieces(batches):
         for text, toxic in zip(as_bytes(batch.column(0)), batch.column(1).to_pylist()):
             counts[bool(toxic)].update({f for w in set(words_of(text)) for f in features(w)})
             if len(counts[0]) + len(counts[1]) > KEPT_FEATURES:
@@ -149,7 +149,7 @@ def calibrate(sample: DataFrame, model: Model) -> Model:
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hist: Counter = Counter()
-        for batch in batches:
+        for batch in pieces(batches):
             for text, toxic in zip(as_bytes(batch.column(0)), batch.column(1).to_pylist()):
                 if not toxic:
                     hist.update(round(model.of(w), 1) for w in words_of(text))
@@ -159,7 +159,7 @@ def calibrate(sample: DataFrame, model: Model) -> Model:
     model.decay = _decay(np.array([r.score for r in hist], float), np.array([r.n for r in hist], float))
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             x = [model.inputs(words_of(t)) for t in as_bytes(batch.column(0))]
             yield pa.record_batch([pa.array([v[k] for v in x], pa.float64()) for k in range(3)] + [batch.column(1)], names=["a", "b", "c", "toxic"])
 
@@ -214,7 +214,7 @@ def score(docs: DataFrame, model: Model, folds: int = 5, held: int = 0) -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for batch in batches:
+        for batch in pieces(batches):
             kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())]))
             p, segs = np.zeros(batch.num_rows), []
             for i, text in enumerate(as_bytes(batch.column(1))):  # the words of one text at a time
@@ -235,7 +235,7 @@ def drop_toxic(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for batch in batches:
+        for batch in pieces(batches):
             yield batch.filter(pa.array([m.probability(words_of(t)) < threshold for t in as_bytes(batch.column(place))], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
