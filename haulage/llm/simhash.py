@@ -19,6 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from haulage.llm import nearcopies
 from haulage.llm.common import as_bytes, cut
 from haulage.llm.components import connected_components
 
@@ -228,8 +229,11 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return marked.join(named, "fp", "left").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def drop_near_copies(docs: DataFrame, radius: int = 3) -> DataFrame:
-    """docs without the members of each group but its least doc_id (rows with a null doc_id stay)."""
-    groups = simhash_groups(docs, radius=radius)
+def drop_near_copies(docs: DataFrame, similarity: float = nearcopies.SIMILARITY) -> DataFrame:
+    """docs without the members of each group of near copies but its least doc_id (rows with a null doc_id stay).
+
+    Near copies share five-word shingles, not fingerprints: see nearcopies.
+    """
+    groups = nearcopies.groups(docs, similarity)
     gone = cut(groups.where("doc_id != component_id").select("doc_id").distinct())
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
