@@ -1,7 +1,8 @@
 """Licence scans by sentence rules.
 
-A text is cut into sentences, each is normalised and mapped to the identifier of a known licence sentence; the
-sequence of identifiers of a text is then matched against rules, each an ordered sequence of identifiers.
+A text's words, whatever line ends, comment marks or punctuation stand between them, are searched for known licence
+sentences, wrapped or continued ones too; the sequence of their identifiers is then matched against rules, each an
+ordered sequence of identifiers. The SQL twin knows the first tables and whole unwrapped sentences only.
 """
 
 from __future__ import annotations
@@ -40,6 +41,52 @@ RULES = {
     "all-rights-reserved": ["RESERVED"],
     "BSD-reserved": ["RESERVED", "BSD-GRANT"],
 }
+# Real sentences of further licences and headers, and the rules over them.
+MORE_SENTENCES = {
+    "apache license version 2 0 january 2004": "APACHE-2-TITLE",
+    "spdx license identifier apache 2 0": "APACHE-2-NAME",
+    "spdx license identifier mit": "MIT-NAME",
+    "the above copyright notice and this permission notice including the next paragraph shall be included in all copies": "MIT-NOTICE",
+    "licensed under the gnu general public license version 2": "GPL-2-NAME",
+    "licensed under the gnu general public license version 3": "GPL-3-NAME",
+    "gnu general public license version 2 june 1991": "GPL-2-NAME",
+    "gnu general public license version 3 29 june 2007": "GPL-3-NAME",
+    "gnu general public license as published by the free software foundation either version 2 of the license": "GPL-2-NAME",
+    "gnu general public license as published by the free software foundation either version 3 of the license": "GPL-3-NAME",
+    "gnu general public license version 2 as published by the free software foundation": "GPL-2-NAME",
+    "gnu general public license as published by the free software foundation version 2 of the license": "GPL-2-NAME",
+    "gnu general public license as published by the free software foundation version 3 of the license": "GPL-3-NAME",
+    "spdx license identifier gpl 2 0": "GPL-2-NAME",
+    "spdx license identifier gpl 3 0": "GPL-3-NAME",
+    "this file is free software you can redistribute it": "GPL-GRANT",
+    "this library is free software you can redistribute it": "LGPL-GRANT",
+    "gnu lesser general public license as published by the free software foundation either version 2 1 of the license": "LGPL-2-NAME",
+    "gnu lesser general public license as published by the free software foundation either version 3 of the license": "LGPL-3-NAME",
+    "gnu affero general public license as published by the free software foundation either version 3 of the license": "AGPL-3-NAME",
+    "redistributions of source code must retain the above copyright notice": "BSD-SOURCE",
+    "redistributions in binary form must reproduce the above copyright notice": "BSD-BINARY",
+    "may be used to endorse or promote products derived from this software without specific prior written permission": "BSD-ENDORSE",
+    "subject to the terms of the mozilla public license v 2 0": "MPL-2-NAME",
+    "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted": "ISC-GRANT",
+    "this is free and unencumbered software released into the public domain": "UNLICENSE",
+    "licensed under a creative commons attribution 4 0 international license": "CC-BY-4-NAME",
+    "licensed under the creative commons attribution 4 0 international license": "CC-BY-4-NAME",
+    "licensed under a creative commons attribution noncommercial 4 0 international license": "CC-BY-NC-4-NAME",
+    "licensed under the creative commons attribution noncommercial 4 0 international license": "CC-BY-NC-4-NAME",
+}
+MORE_RULES = {
+    "Apache-2.0-text": ["APACHE-2-TITLE"],
+    "GPL-2.0": ["GPL-2-NAME"],
+    "LGPL-grant": ["LGPL-GRANT"],
+    "LGPL-2.1": ["LGPL-2-NAME"],
+    "LGPL-3.0": ["LGPL-3-NAME"],
+    "AGPL-3.0": ["AGPL-3-NAME"],
+    "BSD-2-Clause": ["BSD-GRANT", "BSD-SOURCE", "BSD-BINARY"],
+    "BSD-3-Clause": ["BSD-GRANT", "BSD-SOURCE", "BSD-BINARY", "BSD-ENDORSE"],
+    "MPL-2.0": ["MPL-2-NAME"],
+    "ISC": ["ISC-GRANT"],
+    "Unlicense": ["UNLICENSE"],
+}
 
 
 def sentences(text: Column) -> Column:
@@ -51,14 +98,18 @@ def sentences(text: Column) -> Column:
 def scan(docs: DataFrame) -> DataFrame:
     """One row per input row: doc_id, n_sentences, sentence_ids and licenses (comma-joined, the latter sorted).
 
-    A rule matches where its identifiers stand one after another among the text's recognised sentences. Null texts
-    have no sentences; texts without a licence give empty strings; further columns are ignored.
+    A rule matches where its identifiers stand one after another among the text's recognised sentences. A sentence is
+    recognised anywhere among the text's words, at the longest of those that begin there. Null texts have no sentences;
+    texts without a licence give empty strings; further columns are ignored.
     """
-    known = F.create_map(*[F.lit(x) for pair in SENTENCES.items() for x in pair])
-    own = docs.select("doc_id", sentences(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("s"))
-    own = own.select("doc_id", F.size("s").cast("long").alias("n_sentences"), F.array_join(F.filter(F.transform("s", lambda s: F.try_element_at(known, s)), lambda i: i.isNotNull()), ",").alias("sentence_ids"))
+    table, rules = SENTENCES | MORE_SENTENCES, RULES | MORE_RULES
+    known = F.create_map(*[F.lit(x) for pair in table.items() for x in pair])
+    any_known = r"\b(" + "|".join(sorted(table, key=len, reverse=True)) + r")\b"
+    own = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("t"))
+    found = F.regexp_extract_all(F.regexp_replace(F.lower("t"), "[^a-z0-9]+", " "), F.lit(any_known), F.lit(1))
+    own = own.select("doc_id", F.size(sentences(F.col("t"))).cast("long").alias("n_sentences"), F.array_join(F.transform(found, lambda s: F.try_element_at(known, s)), ",").alias("sentence_ids"))
     line = F.concat(F.lit(","), "sentence_ids", F.lit(","))
-    hits = [F.when(line.contains("," + ",".join(ids) + ","), F.lit(name)) for name, ids in sorted(RULES.items())]
+    hits = [F.when(line.contains("," + ",".join(ids) + ","), F.lit(name)) for name, ids in sorted(rules.items())]
     return own.select("doc_id", "n_sentences", "sentence_ids", F.concat_ws(",", *hits).alias("licenses"))
 
 
