@@ -230,10 +230,12 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def drop_near_copies(docs: DataFrame, similarity: float = nearcopies.SIMILARITY) -> DataFrame:
-    """docs without the members of each group of near copies but its least doc_id (rows with a null doc_id stay).
+    """docs without the rows of each group of near copies but its least (doc_id, text); rows with a null doc_id stay.
 
-    Near copies share five-word shingles, not fingerprints: see nearcopies.
+    Near copies share five-word shingles, not fingerprints: see nearcopies. Of a doc_id with several texts only the
+    copied ones go; rows that repeat both the doc_id and the text of the row that stays, stay too.
     """
-    groups = nearcopies.groups(docs, similarity)
-    gone = cut(groups.where("doc_id != component_id").select("doc_id").distinct())
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    groups = nearcopies.groups(docs, similarity).where("doc_id is not null")
+    gone = cut(groups.where(~F.struct("doc_id", "text_hash").eqNullSafe(F.col("keep"))).select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_t")).distinct())
+    same = (docs["doc_id"].cast("long") == F.col("_d")) & (F.xxhash64(docs["text"].cast("string")) == F.col("_t"))
+    return docs.join(gone, same, "left_anti").select(docs.columns)

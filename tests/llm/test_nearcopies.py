@@ -78,3 +78,10 @@ def test_large_buckets(spark, small):
             words = edited(rng, words, 0.8, 0.96)
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     assert {r.doc_id: r.component_id for r in nearcopies.groups(docs, small=small).collect()} == brute(texts)
+
+
+def test_repeated_id_with_two_texts(spark):
+    first, second = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    rows = [(3, first), (5, first + " end"), (5, second), (5, second), (6, second + " end")]
+    got = simhash.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, got)) == [(3, first), (5, second), (5, second)]
