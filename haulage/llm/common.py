@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Bytes of an Arrow batch on its way to a Python worker.
+BATCH_BYTES = 2 << 20
 _own_dir: list[str] = []
 
 
@@ -18,24 +20,57 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all machines share: spark.checkpoint.dir, or a fresh local one where it is unset (tests)."""
+    """The folder all machines share: spark.checkpoint.dir.
+
+    In local mode, where there is one machine, a fresh temporary folder stands in for it; on a cluster an unset
+    spark.checkpoint.dir is an error.
+    """
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if base:
         return base.rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
     if not _own_dir:
         _own_dir.append("file://" + tempfile.mkdtemp(prefix="haulage-"))
     return _own_dir[0]
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write df to the shared folder and read it back.
+def cut(df: DataFrame, *spent: DataFrame) -> DataFrame:
+    """Write df to the shared folder and read it back; then delete the earlier cuts that nothing needs any more.
 
     The written files survive the loss of any executor, and the reread frame carries no partitioning, so a
-    later join exchanges both sides and AQE may split a hot key.
+    later join exchanges both sides and AQE may split a hot key. The write's own shuffle files go when it ends.
     """
-    path = f"{shared_dir(df.sparkSession)}/haulage-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/haulage-{uuid.uuid4().hex}"
+    clean = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(clean, "false")
+    spark.conf.set(clean, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(clean, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.cut_path = path
+    drop_cuts(*spent)
+    return out
+
+
+def drop_cuts(*spent: DataFrame) -> None:
+    """Delete the files of cuts whose dependants have all been written."""
+    for df in spent:
+        path = getattr(df, "cut_path", None)
+        if path:
+            jvm = df.sparkSession.sparkContext._jvm
+            place = jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def in_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """df.mapInArrow with batches of a few megabytes, however long the texts are (a setting of the session)."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df.mapInArrow(run, schema)
 
 
 def pieces(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
