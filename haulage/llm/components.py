@@ -30,10 +30,10 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = cut(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = cut(large)
+        large = cut(large, e, low)
         low = cut(large.groupBy("u").agg(F.min("v").alias("m")))
         kept = large.join(low, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = cut(kept.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
+        e = cut(kept.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), large, low)
         after = _mark(e)
         if after == before:
             break
