@@ -1,98 +1,221 @@
 """Main text of web pages by the line-block distribution.
 
-A page's markup is stripped to lines, one for each block element. Text lengths are summed over sliding windows of
-lines; where the sum surges above a threshold a passage begins, where it dives below it ends. The passage with the
-most text marks the main content; it is widened to the blocks of the innermost container that holds it, and blocks
-inside elements that never hold an article (menus, footers, adverts, forms, comments, ...) are left out.
+A page's markup is stripped to lines, one for each block element, and each line counts its characters outside links.
+The counts are summed over sliding windows of lines; where the sum surges above a threshold a passage begins, where it
+dives below it ends. The passage with the most text (three times as much if an article or main element holds it) is
+the main content. It is widened to the innermost container that holds most of it, or that container's article, with the
+headings of the passage. Scripts, forms and named furniture (menus, footers, adverts, reader comments, ...) never
+stay; blocks with names that may be furniture or content (related, tags, share, ...) stay if they surge themselves.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-WINDOW, SURGE = 3, 80
+from haulage.llm.common import in_batches, pieces
 
-_RAW = re.compile(r"(?is)<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<(script|style|noscript|template|svg|iframe|object|canvas|textarea|select|math)\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*>.*?(?:</\1\s*>|$)|<(?:head)\b[^>]*>.*?(?:</head\s*>|(?=<body\b))|<[!?][^>]*>")
-_TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>")
-_NAMES = re.compile(r"(?i)\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
-_SHY = re.compile(r"(?i)\b(?:hidden\b|aria-hidden\s*=\s*[\"']?true|style\s*=\s*[\"'][^\"']*display\s*:\s*none)")
+WINDOW, SURGE, IN_ARTICLE = 3, 80, 3
+
+_NAME = re.compile(r"/?([a-zA-Z][a-zA-Z0-9:-]*)")
+_ATTR = re.compile(r"(?i)(?:^|[\s\"'/])(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?(?=[\s\"'/>]|$)")
+_QUOTE = re.compile(r"=\s*([\"'])")
+_HIDING = re.compile(r"(?i)display\s*:\s*none|visibility\s*:\s*hidden")
 # Element names by their role in a page.
-_BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead title tr ul".split())
+_RAW = frozenset("script style noscript template svg iframe canvas textarea select title".split())
+_BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul label button".split())
 _CONTAINERS = frozenset("article body div main section td".split())
-_NEVER = frozenset("nav footer aside form button menu dialog title label input".split())
+_NEVER = frozenset("nav footer aside form button menu dialog label".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_OPTIONAL = frozenset("p li dt dd tr td th option".split())
-# Words of class, id and role names that mark what is no article.
-_SHUNNED = frozenset("ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments respond disqus consent cookie cookies copyright disclaimer footer gdpr header masthead menu menus modal nav navbar navigation newsletter notice notices notification popup promo promoted promotion recommended related search share sharing sidebar sidebars signup skip social sponsor sponsored subscribe subscription tags toolbar widget widgets contentinfo complementary alert reactions replies reply discussion feedback login paywall".split())
+_REPEATED = frozenset("p li dt dd tr td th option".split())
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+_NAMED_BY_ID = frozenset("div section ul ol table header nav aside footer form dl".split())
+# Words of class, id and role names that mark what is no article, and those that may mark either.
+_SHUNNED = frozenset("ad ads advert adverts advertisement advertisements advertising adsense banner breadcrumb breadcrumbs comment comments commentlist respond disqus consent cookie cookies copyright disclaimer footer gdpr masthead menu menus modal nav navbar navigation newsletter notice notices notification notifications popup promo promoted promotion sidebar sidebars signup sponsor sponsored subscribe subscription toolbar contentinfo complementary alert reply replies login paywall widget widgets".split())
+_EITHER = frozenset("related recommended search share sharing social tags skip reactions feedback".split())
+_OF_ARTICLE = frozenset("article post entry story content title".split())
+
+
+@dataclass
+class Page:
+    """Lines of a page and the elements that hold them, in page order."""
+
+    text: list[str] = field(default_factory=list)
+    plain: list[int] = field(default_factory=list)  # characters outside links
+    node: list[int] = field(default_factory=list)
+    heading: list[bool] = field(default_factory=list)
+    parent: list[int] = field(default_factory=lambda: [-1])
+    last: list[int] = field(default_factory=lambda: [0])  # the last element opened inside
+    article: list[int] = field(default_factory=lambda: [0])  # the nearest article or main element, or 0
+    either: list[int] = field(default_factory=lambda: [0])  # the nearest element that may be furniture, or 0
+    shunned: list[bool] = field(default_factory=lambda: [False])
+    holds: list[bool] = field(default_factory=lambda: [True])  # a container of blocks
+
+
+def _words(value: str) -> list[list[str]]:
+    return [re.split(r"[^a-z0-9]+", re.sub(r"([a-z])([A-Z])", r"\1-\2", token).lower()) for token in value.split()]
 
 
-def _shunned(name: str, attrs: str, inside: bool) -> bool:
+def _kind(name: str, attrs: str, inside: bool) -> int:
+    """2: never article text; 1: may be; 0: no mark of furniture."""
     if name in _NEVER or (name == "header" and not inside):
-        return True
-    if not attrs or name in ("html", "body", "main", "article"):
-        return False
-    if _SHY.search(attrs):
-        return True
-    for m in _NAMES.finditer(attrs):
-        words = re.split(r"[^a-z0-9]+", re.sub(r"([a-z])([A-Z])", r"\1-\2", m[1] or m[2] or m[3] or "").lower())
-        if any(w in _SHUNNED and not (inside and w == "header") for w in words):
-            return True
-    return False
-
-
-def blocks_of(page: str) -> list[tuple[str, tuple[int, ...], bool]]:
-    """(text, enclosing containers, within article or main) of each block that is not shunned, in page order."""
-    out: list[tuple[str, tuple[int, ...], bool]] = []
-    stack: list[tuple[str, int, bool]] = []  # open block elements: name, container number or 0, shunned
+        return 2
+    if not attrs:
+        return 0
+    kind = 0
+    for m in _ATTR.finditer(attrs):
+        what, value = m[1].lower(), html.unescape(m[2] or m[3] or m[4] or "")
+        if what == "hidden" and value.lower() != "until-found" or what == "aria-hidden" and value.lower() == "true" or what == "style" and _HIDING.search(value):
+            return 2
+        if what not in ("class", "id", "role") or name in ("html", "body", "main", "article") or name in _HEADINGS:
+            continue
+        if what == "id" and (name not in _NAMED_BY_ID or (name == "section" and inside)):
+            continue
+        for words in _words(value):
+            if any(w in _SHUNNED for w in words) or ("header" in words and not inside and not _OF_ARTICLE.intersection(words)):
+                return 2
+            if any(w in _EITHER for w in words):
+                kind = 1
+    return kind
+
+
+def _tags(page: str) -> Iterator[tuple[int, int, str, bool, str]]:
+    """(start, end, name, closing, attributes) of each tag; comments, declarations and raw elements have no name.
+
+    Every search goes on from where the last one ended, or is not made again once it has failed, so a page is scanned in
+    time that is linear in its length.
+    """
+    at, quotes = 0, {'"', "'"}
+    while (at := page.find("<", at)) >= 0:
+        if page.startswith("<!--", at):
+            end = page.find("-->", at + 4)
+            yield at, (end := len(page) if end < 0 else end + 3), "", False, ""
+        elif page.startswith("<![CDATA[", at):
+            end = page.find("]]>", at)
+            yield at, (end := len(page) if end < 0 else end + 3), "", False, ""
+        elif page.startswith(("<!", "<?"), at):
+            end = page.find(">", at)
+            yield at, (end := len(page) if end < 0 else end + 1), "", False, ""
+        elif m := _NAME.match(page, at + 1):
+            end = _tag_end(page, m.end(), quotes)
+            if end < 0:
+                return  # no tag can end any more: the rest is text
+            name, closing = m[1].lower(), page[at + 1] == "/"
+            attrs = page[m.end() : end - 1]
+            if name in _RAW and not closing and not attrs.endswith("/"):
+                shut = re.compile(rf"(?i)</{name}(?=[\s/>])[^>]*>?").search(page, end)
+                yield at, (end := shut.end() if shut else len(page)), "", False, ""
+            else:
+                yield at, end, name, closing, attrs
+        else:
+            end = at + 1
+        at = end
+
+
+def _tag_end(page: str, begin: int, quotes: set[str]) -> int:
+    """The place after the tag's closing sign, or -1; signs in quoted attributes do not close it."""
+    at = begin
+    while (end := page.find(">", at)) >= 0:
+        m = _QUOTE.search(page, at, end) if quotes else None
+        if not m or m[1] not in quotes:
+            return end + 1
+        shut = page.find(m[1], m.end())
+        if shut < 0:  # an unclosed quote does not hide the rest of the page
+            quotes.discard(m[1])
+            return end + 1
+        at = shut + 1
+    if at == begin:
+        return -1
+    quotes.clear()  # quotes hide every closing sign from here on, so they mean nothing
+    return page.find(">", begin) + 1
+
+
+def parse(page: str) -> Page:
+    """The page's lines that are not in scripts, forms or named furniture."""
+    p = Page()
+    stack: list[tuple[str, int]] = [("", 0)]
+    opened: Counter = Counter()
     parts: list[str] = []
-    number = 0
+    plain, links, heads = 0, 0, 0
 
     def flush() -> None:
+        nonlocal plain
         text = " ".join(html.unescape("".join(parts)).split())
         parts.clear()
-        if text and not any(s for _, _, s in stack):
-            out.append((text, tuple(c for _, c, _ in stack if c), any(n in ("article", "main") for n, _, _ in stack)))
+        if text and not p.shunned[stack[-1][1]]:
+            p.text.append(text)
+            p.plain.append(min(plain, len(text)))
+            p.node.append(stack[-1][1])
+            p.heading.append(heads > 0)
+        plain = 0
+
+    def said(text: str) -> None:
+        nonlocal plain
+        parts.append(text)
+        if not links:
+            plain += len(text.strip())
+
+    def pop() -> None:
+        nonlocal heads
+        name, node = stack.pop()
+        opened[name] -= 1
+        heads -= name in _HEADINGS
+        p.last[node] = len(p.parent) - 1
 
-    page = _RAW.sub(" ", page)
     at = 0
-    for m in _TAG.finditer(page):
-        parts.append(page[at : m.start()])
-        at = m.end()
-        close, name, attrs = m[1], m[2].lower(), m[3]
+    for start, end, name, closing, attrs in _tags(page):
+        said(page[at:start])
+        at = end
         if name == "br":
             parts.append(" ")
+        elif name == "a":
+            links = 0 if closing else 1
+        if not name or name in _VOID and name != "hr":
             continue
-        tracked = name in _BLOCKS or name in _NEVER
-        if not tracked:
-            if not close and not attrs.endswith("/") and name not in _VOID and _shunned(name, attrs, any(n in ("article", "main") for n, _, _ in stack)):
+        block = name in _BLOCKS
+        if closing:
+            if opened[name]:
                 flush()
-                stack.append((name, 0, True))
-            elif close and stack and stack[-1][0] == name:
+                while stack[-1][0] != name:
+                    pop()
+                pop()
+            elif block:
                 flush()
-                stack.pop()
+            continue
+        inside = p.article[stack[-1][1]] > 0
+        kind = 0 if attrs.endswith("/") and not block else _kind(name, attrs, inside)
+        if not block and not kind and not (stack[-1][0] == name and p.shunned[stack[-1][1]]):
             continue
         flush()
-        if close:
-            k = len(stack) - 1
-            while k >= 0 and stack[k][0] != name:
-                k -= 1
-            if k >= 0:
-                del stack[k:]
-        elif name not in _VOID:
-            if name in _OPTIONAL and stack and stack[-1][0] == name:
-                stack.pop()
-            inside = any(n in ("article", "main") for n, _, _ in stack)
-            number += 1
-            stack.append((name, number if name in _CONTAINERS else 0, _shunned(name, attrs, inside)))
-    parts.append(page[at:])
+        if name == "hr":
+            continue
+        links = 0 if block else links
+        if name in _REPEATED and stack[-1][0] == name:
+            pop()
+        up = stack[-1][1]
+        node = len(p.parent)
+        p.parent.append(up)
+        p.last.append(node)
+        p.shunned.append(p.shunned[up] or kind == 2)
+        p.holds.append(name in _CONTAINERS)
+        p.article.append(node if name in ("article", "main") else p.article[up])
+        p.either.append(node if kind == 1 else p.either[up])
+        stack.append((name, node))
+        opened[name] += 1
+        heads += name in _HEADINGS
+    said(page[at:])
     flush()
-    return out
+    while len(stack) > 1:
+        pop()
+    p.last[0] = len(p.parent) - 1
+    return p
 
 
 def passages(lengths: list[int], window: int = WINDOW, surge: int = SURGE) -> list[tuple[int, int]]:
@@ -114,26 +237,42 @@ def passages(lengths: list[int], window: int = WINDOW, surge: int = SURGE) -> li
     return out
 
 
+def _main_part(p: Page, lengths: list[int], window: int, surge: int) -> tuple[int, int, tuple[int, int]]:
+    """First and last element of the main content, and its passage."""
+    weight = lambda i: lengths[i] * (IN_ARTICLE if p.article[p.node[i]] else 1)
+    found = passages(lengths, window, surge) or [(0, len(lengths))]
+    a, b = max(found, key=lambda r: (sum(weight(i) for i in range(*r)), -r[0]))
+    held = [0] * len(p.parent)
+    for i in range(a, b):
+        held[p.node[i]] += weight(i)
+    for node in range(len(held) - 1, 0, -1):
+        held[p.parent[node]] += held[node]
+    inner = max((k for k, w in enumerate(held) if 2 * w > held[0] and p.holds[k]), default=0)  # numbered as they open: the innermost
+    if p.article[inner]:
+        inner = p.article[inner]
+    return inner, p.last[inner], (a, b)
+
+
 def extract(page: str | None, window: int = WINDOW, surge: int = SURGE) -> str:
     """The main text of a page, blocks joined by newlines; empty for a null or empty page or one without text."""
-    blocks = blocks_of(page or "")
-    if any(b[2] for b in blocks):
-        blocks = [b for b in blocks if b[2]]
-    if not blocks:
+    p = parse(page or "")
+    own: dict[int, list[int]] = {}
+    for i, node in enumerate(p.node):
+        if p.either[node]:
+            own.setdefault(p.either[node], []).append(i)
+    out = {i for lines in own.values() if not passages([p.plain[i] for i in lines], window, surge) for i in lines}
+    left = [i for i in range(len(p.text)) if i not in out]
+    if not left:
         return ""
-    lengths = [len(t) for t, _, _ in blocks]
-    found = passages(lengths, window, surge) or [(0, len(blocks))]
-    a, b = max(found, key=lambda p: (sum(lengths[p[0] : p[1]]), -p[0]))
-    core = blocks[a:b]
-    if core[0][2]:  # inside article or main elements: every such element that the passage touches, whole
-        touched = {c for _, path, _ in core for c in path}
-        return "\n".join(t for t, path, _ in blocks if touched.intersection(path))
-    weight: dict[int, int] = {}
-    for (_, path, _), n in zip(core, lengths[a:b]):
-        for c in path:
-            weight[c] = weight.get(c, 0) + n
-    inner = max((c for c, w in weight.items() if 2 * w > sum(lengths[a:b])), default=0)  # numbered as they open
-    return "\n".join(t for t, path, _ in blocks if not inner or inner in path)
+    p.text, p.plain, p.node, p.heading = ([column[i] for i in left] for column in (p.text, p.plain, p.node, p.heading))
+    low, high, (a, b) = _main_part(p, p.plain, window, surge)
+    if not p.article[low]:
+        first = next(i for i, node in enumerate(p.node) if low <= node <= high)
+        while a < first and not all(p.heading[a:first]):  # headings right before the element that the passage reaches
+            a += 1
+    else:
+        a = len(p.text)
+    return "\n".join(t for i, (t, node) in enumerate(zip(p.text, p.node)) if low <= node <= high or (a <= i < b and p.heading[i] and node < low))
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:
@@ -141,9 +280,9 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     columns are ignored; an empty table gives an empty result."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches, 64):
             texts = [extract(h) for h in batch.column(2).to_pylist()]
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     src = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    return src.mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return in_batches(src, run, "page_id long, url string, text string, n_chars long")

@@ -1,4 +1,5 @@
 import re
+import time
 
 import duckdb
 
@@ -32,6 +33,15 @@ def test_chat_reads_back(spark):
     assert chat.chat_digests(df.where("false")).count() == 0
 
 
+def test_chat_merges_and_masks(spark):
+    rows = [(1, 0, "user", "q <|end|>"), (1, 1, "assistant", "a\\"), (1, 2, "assistant", "<|role:user|>"), (1, 3, "user", "q"), (1, 4, "assistant", "b"), (2, 0, "user", "q")]
+    made = chat.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    back = {r.conv_id: r for r in chat.read_back(made).collect()}
+    text = back[1].formatted
+    assert text == r"<|role:user|>q <\|end|><|end|><|role:assistant|>a\\<|next|><\|role:user|><|end|><|role:user|>q<|end|><|role:assistant|>b<|end|>"
+    assert [text[s.start : s.end] for s in back[1].loss_spans] == ["a\\\\", "<\\|role:user|>", "b"] and back[2].loss_spans == []
+
+
 def test_licenses_odd_rows(spark):
     text = "Intro.\nAll rights reserved. Redistribution and use in source and binary forms, with or without modification, are permitted; x"
     df = spark.createDataFrame([(1, text, 1), (2, None, 1), (3, "", 1), (3, "Released under the MIT License.", 1), (None, "LICENSED UNDER CC-BY 4.0", 1)], "doc_id long, text string, licenses int")
@@ -61,6 +71,41 @@ def test_html_shapes():
     assert html_extract.extract("plain &lt;text&gt; only") == "plain <text> only"
 
 
+def test_html_without_article_elements(spark, sf001):
+    """Surge and dive points alone find what the article element marks."""
+    pages = [r.html for r in spark.read.parquet(f"{sf001}/pages.parquet").collect()]
+    bare = [p.replace("<article", "<div").replace("</article", "</div") for p in pages]
+    assert [html_extract.extract(p) for p in bare] == [html_extract.extract(p) for p in pages]
+
+
+def test_html_keeps_what_is_content():
+    long = "<p>" + "words that go on for a while and make a paragraph of some length, " * 3 + "end.</p>"
+    words = re.sub("<.*?>", "", long)
+    page = f"""<nav><a>Home</a></nav><div class='post-header'><h1>Title</h1></div><div class='post'>{long}<section id='discussion'><h2>Discussion</h2>{long}</section>
+    <section class='related-work'>{long}</section><p>foo<!-- x -->bar <math>x+y</math></p><div class='related'><ul><li><a>{"Other page " * 20}</a></li></ul></div></div>
+    <div class='comments'>{long * 9}</div><aside>{long * 9}</aside>"""
+    for p in (page, "<article>" + page + "</article>"):
+        assert html_extract.extract(p) == f"Title\n{words}\nDiscussion\n{words}\n{words}\nfoobar x+y"
+    assert html_extract.extract("a < b <b>c</b> & d <a title=it's x>k</a> it's") == "a < b c & d k it's"
+    teasers = f"<div class=teasers><article><p>Short.</p></article><article><p>One more.</p></article></div><div>{long * 8}</div>"
+    assert html_extract.extract(teasers) == "\n".join([words] * 8)
+
+
+def test_html_time_is_linear():
+    for part in ("<a ", "<a b='", '<a b=">"', "<div>x", "</p><p", "<!--", "<div></p>", "<script>", "<span class=ad>x"):
+        began = time.process_time()
+        html_extract.extract(part * (500_000 // len(part)))
+        assert time.process_time() - began < 5
+
+
+def test_html_odd_rows(spark):
+    rows = [(1, "u", "<p>a", 1), (1, "u", "<p>a", 1), (None, None, None, 1), (2, "v", "<p>" + "long " * 400_000, 1)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, text int")
+    got = sorted(((r.page_id, r.url, r.text[:9], r.n_chars) for r in html_extract.extract_pages(df).collect()), key=str)
+    assert got == [(1, "u", "a", 1), (1, "u", "a", 1), (2, "v", "long long", 1_999_999), (None, None, "", 0)]
+    assert html_extract.extract_pages(df.where("false")).count() == 0
+
+
 def test_passages():
     assert html_extract.passages([5, 5, 100, 90, 5, 5, 5, 5, 5], window=2, surge=80) == [(1, 5)]
     assert html_extract.passages([], 3, 10) == []
