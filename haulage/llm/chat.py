@@ -1,8 +1,10 @@
 """Chat formatting with Spark expressions only, and the way back.
 
-A conversation becomes one text. Each run of turns of one role is a block `<|role|>` ... `<|end|>`; turns merged into
-one block are parted by `<|next|>`. Inside roles and texts every `\\` is written `\\\\` and every `<|` is written
-`<\\|`, so a control string can only come from the template and every text comes back as it was.
+A conversation becomes one text. Each run of turns of one role is a block `<|role:...|>` ... `<|end|>`; turns merged into
+one block are parted by `<|next|>`. Inside texts every `\\` is written `\\\\` and every `<|` is written `<\\|`; inside
+roles every `\\` is written `\\\\` and every `|` is written `\\p`. So `<|` and `|>` as control signs can only come from
+the template, every text comes back as it was, and the loss mask (the spans of the assistant's texts) can be read from
+the formatted text alone.
 """
 
 from __future__ import annotations
@@ -10,7 +12,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-OPEN, CLOSE, END, NEXT = "<|", "|>", "<|end|>", "<|next|>"
+OPEN, CLOSE, END, NEXT, ROLE = "<|", "|>", "<|end|>", "<|next|>", "role:"
+_BLOCKS = "array<struct<role:string,texts:array<string>>>"
+_READ = "struct<role:string,at:int,turns:array<struct<role:string,text:string,start:int,end:int>>>"
 
 
 def escape(text: Column) -> Column:
@@ -22,46 +26,75 @@ def unescape(text: Column) -> Column:
     return F.regexp_replace(text, r"\\([\\|])", "$1")
 
 
+def escape_role(role: Column) -> Column:
+    return F.replace(F.replace(role, F.lit("\\"), F.lit("\\\\")), F.lit("|"), F.lit("\\p"))
+
+
+def unescape_role(role: Column) -> Column:
+    return F.array_join(F.transform(F.split(role, r"\\\\", -1), lambda s: F.replace(s, F.lit("\\p"), F.lit("|"))), "\\")
+
+
 def format_conversations(turns: DataFrame) -> DataFrame:
     """One row per conv_id: formatted, the whole conversation in the template.
 
     turns: conv_id, turn, role, text. Turns are sorted by turn (null turns first), then role, then text; adjacent
-    turns of one role are merged into a block. Null roles and texts count as empty, repeated rows are turns of their
-    own, a null conv_id is a conversation like any other, further columns are ignored, an empty table gives none.
+    turns of one role are merged into a block by an array aggregation. Null roles and texts count as empty, repeated
+    rows are turns of their own, a null conv_id is a conversation like any other, further columns are ignored, an empty
+    table gives none. A conversation is one value, so its turns meet in one row.
     """
     turn = F.struct(F.col("turn").cast("long").alias("turn"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     told = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
-    marked = F.transform("turns", lambda t, i: F.concat(
-        F.when(i == 0, F.concat(F.lit(OPEN), _role(t.role), F.lit(CLOSE)))
-        .when(F.get("turns", i - 1).role == t.role, F.lit(NEXT))
-        .otherwise(F.concat(F.lit(END), F.lit(OPEN), _role(t.role), F.lit(CLOSE))),
-        escape(t.text)))
-    return told.select("conv_id", F.concat(F.array_join(marked, ""), F.lit(END)).alias("formatted"))
+    return told.select("conv_id", F.array_join(F.transform(merged("turns"), _block), "").alias("formatted"))
+
+
+def merged(turns: str) -> Column:
+    """Blocks (role, texts) of the adjacent turns of one role."""
+
+    def add(blocks: Column, turn: Column) -> Column:
+        last = F.try_element_at(blocks, F.lit(-1))
+        longer = F.struct(last.role.alias("role"), F.concat(last.texts, F.array(turn.text)).alias("texts"))
+        new = F.struct(turn.role.alias("role"), F.array(turn.text).alias("texts"))
+        same = F.coalesce(last.role == turn.role, F.lit(False))
+        return F.when(same, F.concat(F.slice(blocks, F.lit(1), F.greatest(F.size(blocks) - 1, F.lit(0))), F.array(longer))).otherwise(F.concat(blocks, F.array(new))).cast(_BLOCKS)
+
+    return F.aggregate(turns, F.array().cast(_BLOCKS), add)
+
+
+def _block(block: Column) -> Column:
+    head = F.concat(F.lit(OPEN + ROLE), escape_role(block.role), F.lit(CLOSE))
+    return F.concat(head, F.array_join(F.transform(block.texts, escape), NEXT), F.lit(END))
 
 
-def _role(role: Column) -> Column:
-    """Roles also protect the closing sign; an empty or template-like role cannot be mistaken."""
-    return F.concat(F.lit("role:"), F.replace(escape(role), F.lit("|>"), F.lit("\\|>")))
+def read_back(formatted: DataFrame, learn: str = "assistant") -> DataFrame:
+    """turns (role, text, and its start and end in the formatted text, in characters) and loss_spans, the start and end
+    of each text of the role to learn, as read from the formatted text alone. A null formatted text has neither."""
+    parts = F.filter(F.split("formatted", r"<\|", -1), lambda p, i: i > 0)  # before the first sign there is nothing
 
+    def read(acc: Column, part: Column) -> Column:
+        head = F.substring_index(part, CLOSE, 1)
+        role = F.when(F.startswith(head, F.lit(ROLE)), unescape_role(F.substr(head, F.lit(len(ROLE) + 1)))).otherwise(acc.role)
+        start = acc.at + len(OPEN) + F.length(head) + len(CLOSE)
+        end = acc.at + len(OPEN) + F.length(part)
+        turn = F.struct(role.alias("role"), unescape(F.substr(part, F.length(head) + len(CLOSE) + 1)).alias("text"), start.alias("start"), end.alias("end"))
+        turns = F.when(head == "end", acc.turns).otherwise(F.concat(acc.turns, F.array(turn)))
+        return F.struct(role.alias("role"), end.alias("at"), turns.alias("turns")).cast(_READ)
 
-def read_back(formatted: DataFrame) -> DataFrame:
-    """conv_id, turns (array of role and text) and loss_spans as read from the formatted text alone."""
-    blocks = F.filter(F.split("formatted", r"<\|end\|>"), lambda b: b != "")
-    role_of = lambda b: F.regexp_extract(b, r"(?s)^<\|role:((?:\\.|[^\\|]|\|(?!>))*)\|>", 1)
-    body_of = lambda b: F.regexp_replace(b, r"(?s)^<\|role:(?:\\.|[^\\|]|\|(?!>))*\|>", "")
-    turns = F.flatten(F.transform(blocks, lambda b: F.transform(F.split(body_of(b), r"<\|next\|>", -1), lambda t: F.struct(unescape(role_of(b)).alias("role"), unescape(t).alias("text")))))
-    return formatted.select("*", turns.alias("turns"))
+    start = F.struct(F.lit("").alias("role"), F.lit(0).alias("at"), F.array().alias("turns")).cast(_READ)
+    turns = F.aggregate(parts, start, read).turns
+    out = formatted.select("*", turns.alias("turns"))
+    spans = F.transform(F.filter("turns", lambda t: t.role == learn), lambda t: F.struct(t.start.alias("start"), t.end.alias("end")))
+    return out.select("*", spans.alias("loss_spans"))
 
 
 def chat_digests(turns: DataFrame) -> DataFrame:
-    """Per conversation, from the formatted text read back: counts and digests of its turns and of its loss text."""
+    """Per conversation, from the formatted text read back: counts and digests of its turns and of the text under the
+    loss mask."""
     back = read_back(format_conversations(turns))
-    loss = F.array_join(F.transform(F.filter("turns", lambda t: t.role == "assistant"), lambda t: t.text), "")
+    under = F.transform("loss_spans", lambda s: unescape(F.substr("formatted", s.start + 1, s.end - s.start)))
     return back.select(
         "conv_id",
         F.size("turns").cast("long").alias("n_turns"),
         F.sha2(F.array_join(F.transform("turns", lambda t: F.concat(t.role, F.lit("\n"), t.text, F.lit("\n"))), ""), 256).alias("turns_sha256"),
-        F.length(loss).cast("long").alias("loss_chars"),
-        F.sha2(loss, 256).alias("loss_sha256"),
+        F.array_join(under, "").alias("loss"),
         F.length("formatted").cast("long").alias("formatted_chars"),
-    )
+    ).select("conv_id", "n_turns", "turns_sha256", F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), "formatted_chars")

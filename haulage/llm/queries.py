@@ -72,7 +72,7 @@ m AS (
   SELECT *, lag(role) OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS before FROM t),
 e AS (
   SELECT *, length(replace(replace(text, '\', '\\'), '<|', '<\|')) AS text_len,
-    length(replace(replace(replace(role, '\', '\\'), '<|', '<\|'), '|>', '\|>')) AS role_len FROM m)
+    length(replace(replace(role, '\', '\\'), '|', '\p')) AS role_len FROM m)
 SELECT conv_id, CAST(count(*) AS BIGINT) AS n_turns,
   sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
   CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
@@ -80,17 +80,5 @@ SELECT conv_id, CAST(count(*) AS BIGINT) AS n_turns,
   CAST(sum(text_len + CASE WHEN before IS NULL OR before <> role THEN 16 + role_len ELSE 8 END) AS BIGINT) AS formatted_chars
 FROM e GROUP BY conv_id"""
 
-_ANN_SQL = """
-WITH v AS (
-  SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
-  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
-    AND len(list_filter(embedding, x -> x <> 0)) > 0),
-d AS (
-  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, list_distance(q.e, c.e) AS score
-  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0)
-SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id FROM (
-  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS rank FROM d) WHERE rank <= 10"""
-
-
 def oracle_sql() -> dict[str, str]:
     return {"op4_chat": _CHAT_SQL, "op5_licenses": licenses.oracle()}
