@@ -1,15 +1,17 @@
-"""BPE encoding and decoding with a public tokenizer file, by tree concatenation for long unsplit text.
-
-A tokenizer of the word kind never merges across white space, so a text is the concatenation of its runs without
-ASCII white space; short runs are encoded in batches and remembered. A long run is cut into leaves, the leaves are
-encoded in one parallel batch, and neighbours are joined as a tree: a window around each join is re-encoded and
-grows until its first tokens agree with the left side and its last ones with the right side. Neighbouring tokens of
-the spliced sequence then all occur side by side in one of three exact encodings, which makes it the exact encoding.
+"""BPE encoding and decoding with a public tokenizer file, by tree concatenation.
+
+A long text is cut into halves, and these again, wherever that falls; the leaves are encoded in one parallel batch, and
+neighbours are joined as a tree: a window of runs around each join is encoded again and grows until its first run
+agrees with the left side and its last one with the right side. The tokenizer never merges across ASCII white space,
+so runs between white space are encoded once and remembered. A long run without white space is cut into leaves and
+joined in the same way by its tokens. Neighbouring tokens of the spliced sequence then all occur side by side in one of
+three exact encodings, which makes it the exact encoding.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,10 +20,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from haulage.llm.common import as_bytes
+from haulage.llm.common import as_bytes, in_batches
 
-LEAF, FIRST_WINDOW, KEPT_RUNS = 2048, 64, 100_000
-_SPACES = frozenset("\t\n\x0b\x0c\r ")
+#: Bytes of a leaf of a run and of a text, characters of the first window of a run, runs that a worker remembers.
+LEAF, TEXT_LEAF, FIRST_WINDOW, KEPT_RUNS = 2048, 8192, 64, 100_000
+_SPACES = frozenset(b"\t\n\x0b\x0c\r ")
+_SPACE = re.compile(rb"[\t\n\x0b\x0c\r ]")
 
 
 def default_tokenizer() -> str:
@@ -39,17 +43,18 @@ def _inert(c: str) -> bool:
 class Coder:
     """Encodes and decodes whole texts exactly as the tokenizer does; remembers short runs within a memory bound."""
 
-    def __init__(self, path: str, leaf: int = LEAF):
+    def __init__(self, path: str, leaf: int = LEAF, text_leaf: int = TEXT_LEAF):
         self.tok = Tokenizer.from_file(path)
         self.tok.no_truncation()
         self.tok.no_padding()
-        self.leaf = leaf
+        self.leaf, self.text_leaf = leaf, text_leaf
         self.specials = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.reach = max(map(len, self.specials), default=1)
         self.vocab = [self.tok.id_to_token(i) for i in range(self.tok.get_vocab_size())]
         self.joined = self.tok.decoder is None  # without a decoder, decoding joins the tokens with spaces
         self.known: dict[bytes, tuple[bytes, str]] = {}
         self.older: dict[bytes, tuple[bytes, str]] = {}
+        self.long: dict[bytes, tuple[bytes, str]] = {}  # of the texts at hand
 
     def _ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
@@ -114,9 +119,37 @@ class Coder:
         """For each text, (ids as little-endian words, decoded text) of its runs in order."""
         if len(self.known) > KEPT_RUNS:  # what is not met again while as many are learnt is forgotten
             self.known, self.older = {}, self.known
-        known, older, split, new = self.known, self.older, [t.split() for t in texts], []
-        for r in {r for runs in split for r in runs}:
-            if r not in known:
+        self.long.clear()
+        trees = [self._leaves(t) for t in texts]
+        split = [[leaf.split() for leaf in tree] for tree in trees]
+        self._learn({r for leaves in split for runs in leaves for r in runs})
+        out = []
+        for tree, leaves in zip(trees, split):
+            nodes = [(runs, self._coded(runs)) for runs in leaves]
+            glued = [a[-1] not in _SPACES and b[0] not in _SPACES for a, b in zip(tree, tree[1:])]
+            while len(nodes) > 1:
+                odd = [nodes[-1]] if len(nodes) % 2 else []
+                nodes = [self._join_runs(x, y, g) for x, y, g in zip(nodes[::2], nodes[1::2], glued[::2])] + odd
+                glued = glued[1::2]
+            out.append(nodes[0][1] if nodes else [])
+        return out
+
+    def _leaves(self, text: bytes) -> list[bytes]:
+        """The text halved again and again; a run longer than a leaf of runs is not cut here."""
+        if len(text) <= self.text_leaf:
+            return [text] if text else []
+        at = len(text) // 2
+        while at < len(text) and text[at] & 0xC0 == 0x80:  # between characters
+            at += 1
+        if not _SPACE.search(text, at, at + self.leaf):
+            space = _SPACE.search(text, at)
+            at = space.start() if space else len(text)
+        return [text] if at >= len(text) else self._leaves(text[:at]) + self._leaves(text[at:])
+
+    def _learn(self, runs: set[bytes]) -> None:
+        known, older, new = self.known, self.older, []
+        for r in runs:
+            if r not in known and r not in self.long:
                 if r in older:
                     known[r] = older[r]
                 else:
@@ -126,12 +159,27 @@ class Coder:
             some = plain[at : at + 20_000]
             for r, ids in zip(some, self._ids([r.decode() for r in some])):
                 known[r] = (np.array(ids, "<u4").tobytes(), self._decode(ids))
-        long = {}
         for r in new:
             if len(r) > self.leaf:
                 ids = [i for i, _, _ in self.run_spans(r.decode())]
-                long[r] = (np.array(ids, "<u4").tobytes(), self._decode(ids))
-        return [[known.get(r) or long[r] for r in runs] for runs in split]
+                self.long[r] = (np.array(ids, "<u4").tobytes(), self._decode(ids))
+
+    def _coded(self, runs: list[bytes]) -> list[tuple[bytes, str]]:
+        return [self.known.get(r) or self.long[r] for r in runs]
+
+    def _join_runs(self, left: tuple, right: tuple, glued: bool) -> tuple[list[bytes], list[tuple[bytes, str]]]:
+        """Runs and codes of two neighbours; glued: the cut between them has no white space at either side."""
+        (a, coded_a), (b, coded_b), width = left, right, 2
+        while True:
+            i, j = max(0, len(a) - width), min(len(b), width)
+            runs = (b" ".join(a[i:]) + (b"" if glued else b" ") + b" ".join(b[:j])).split()
+            self._learn(set(runs))
+            window = self._coded(runs)
+            ok_a = i == 0 or (runs[0] == a[i] and window[0] == coded_a[i])
+            ok_b = j == len(b) or (runs[-1] == b[j - 1] and window[-1] == coded_b[j - 1])
+            if ok_a and ok_b:
+                return a[:i] + runs + b[j:], coded_a[:i] + window + coded_b[j:]
+            width *= 2
 
     def _decode(self, ids: list[int]) -> str:
         if self.joined:
@@ -193,4 +241,4 @@ def encode_texts(docs: DataFrame, path: str, with_ids: bool = True, id_col: str
                 at += len(some)
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>, decoded string" if with_ids else "")
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
+    return in_batches(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), run, schema)

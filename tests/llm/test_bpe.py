@@ -48,3 +48,23 @@ def test_odd_rows(spark):
         assert (got[i].n_tokens, got[i].ids_sha256, got[i].decoded_sha256) == want(t)
         assert got[i].decoded == TOK.decode(got[i].ids, skip_special_tokens=False)
     assert bpe.encode_texts(df.where("false"), PATH).count() == 0
+
+
+def test_tree_concatenation_of_long_texts():
+    """Texts cut anywhere into small leaves, also within words, special tokens and characters of several bytes."""
+    rng = random.Random(9)
+    words = ["the", "don't", "<|endoftext|>", "日本語", "é" * 9, "a" * 70, "naïve", "x1y2", ",", "'ll", "Ünïcödé", "été"]
+    for leaf, text_leaf in ((16, 24), (64, 100), (2048, 8192)):
+        own = bpe.Coder(PATH, leaf=leaf, text_leaf=text_leaf)
+        for n in (0, 1, 30, 400, 5000):
+            text = "".join(rng.choice(words) + rng.choice(["", " ", " ", "\n", "  ", "\t "]) for _ in range(n))
+            assert own.encode(text) == TOK.encode(text, add_special_tokens=False).ids, (leaf, n)
+
+
+def test_long_texts_reach_the_tree(spark, sf001, monkeypatch):
+    joins = []
+    own = bpe.Coder(PATH)
+    monkeypatch.setattr(own, "_join_runs", lambda *a, f=own._join_runs: (joins.append(1), f(*a))[1])
+    texts = [r.text.encode() for r in spark.read.parquet(f"{sf001}/documents.parquet").where("length(text) > 20000").collect()]
+    own.pieces(texts)
+    assert texts and len(joins) >= 2 * len(texts)
