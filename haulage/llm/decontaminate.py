@@ -7,7 +7,6 @@ shorter item) the words under the window are hit.
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator
 
@@ -16,11 +15,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from haulage.llm.common import as_bytes
+from haulage.llm.common import as_bytes, cut, in_batches, pieces
 
 WINDOW = 10
-#: Most characters of items in one automaton; a larger benchmark is scanned in several passes.
-SHARD_CHARS = 8_000_000
+#: Most characters of items in one automaton, which takes about 130 bytes for each; a larger benchmark is scanned in
+#: several passes, each with the automaton of one shard.
+SHARD_CHARS = 1_000_000
 #: Lower-cases A-Z and turns every other ASCII byte but digits and letters into a space.
 _TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 _WORD = re.compile(rb"[^ ]+")
@@ -166,70 +166,118 @@ def without_spans(text: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join([*out, text[last:]])
 
 
-def _automata(benchmark: DataFrame, window: int, shard_chars: int) -> list:
-    """Broadcast automata, each of a shard of items; the size of the items is measured first."""
+_FOUND = "spans array<struct<start:long,end:long>>, items array<long>"
+
+
+def _shards(benchmark: DataFrame, shard_chars: int) -> tuple[DataFrame, int]:
+    """The items with a text, and how many shards they make; their size is measured first."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null")
     total = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
-    shards = max(1, -(-total // shard_chars))
-    out = []
-    for k in range(shards):
-        rows = items.where(F.pmod(F.xxhash64("item_id"), F.lit(shards)) == k).collect()
-        out.append(benchmark.sparkSession.sparkContext.broadcast(Automaton([(r.item_id, (r.text or "").encode()) for r in rows], window)))
-    return out
+    return items, max(1, -(-total // shard_chars))
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", shard_chars: int = SHARD_CHARS) -> DataFrame:
-    """One row per input row: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, spans (word positions).
+def _automaton(items: DataFrame, shards: int, k: int, window: int):
+    """The broadcast automaton of one shard. An item longer than a shard is one by itself."""
+    rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)) == k).collect()
+    return items.sparkSession.sparkContext.broadcast(Automaton([(r.item_id, r.text.encode()) for r in rows], window))
 
-    Null texts have no words; wordless items and items with a null id or text have no window; an empty benchmark
-    hits nothing. Repeated rows give repeated results; further columns are ignored.
-    """
-    automata = _automata(benchmark, window, shard_chars)
+
+def _scan(texts: DataFrame, automaton, hits_only: bool) -> DataFrame:
+    """(doc_id, text_hash, n_words, spans, items) of the rows of texts (doc_id, text_hash, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            words, hit, n_items, digest, where = [], [], [], [], []
-            for text in as_bytes(batch.column(1)):
+        own = automaton.value
+        for batch in pieces(batches):
+            words, where, items = [], [], []
+            for text in as_bytes(batch.column(2)):
                 w = words_of(text)
-                spans, found = _scan_all(automata, w)
+                spans, found = own.scan(w)
                 words.append(len(w))
-                hit.append(sum(b - a for a, b in spans))
-                n_items.append(len(found))
-                digest.append(hashlib.sha256(",".join(sorted(map(str, found))).encode()).hexdigest())
                 where.append([{"start": a, "end": b} for a, b in spans])
+                items.append(sorted(found))
             spans_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-            yield pa.record_batch([batch.column(0), pa.array(words, pa.int64()), pa.array(hit, pa.int64()), pa.array(n_items, pa.int64()), pa.array(digest), pa.array([h > 0 for h in hit]), pa.array(where, spans_type)], names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans"])
+            out = pa.record_batch([batch.column(0), batch.column(1), pa.array(words, pa.int64()), pa.array(where, spans_type), pa.array(items, pa.list_(pa.int64()))], names=["doc_id", "text_hash", "n_words", "spans", "items"])
+            yield out.filter(pa.array([bool(x) for x in where], pa.bool_())) if hits_only else out
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans array<struct<start:long,end:long>>")
+    return in_batches(texts, run, f"doc_id long, text_hash long, n_words long, {_FOUND}")
 
 
-def _scan_all(automata: list, words: list[bytes]) -> tuple[list[tuple[int, int]], set[int]]:
-    if len(automata) == 1:
-        return automata[0].value.scan(words)
-    spans, found = [], set()
-    for a in automata:
-        s, f = a.value.scan(words)
-        spans += s
-        found |= f
-    return _merge(spans), found
+def _merge_passes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, text_hash, all spans, all items) with overlapping spans made one."""
+    for batch in pieces(batches):
+        spans = [[{"start": a, "end": b} for a, b in _merge([(x["start"], x["end"]) for x in row])] for row in batch.column(2).to_pylist()]
+        yield batch.set_column(2, batch.schema.field(2), pa.array(spans, batch.schema.field(2).type))
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_coverage: float = 0.5, text_col: str = "text", shard_chars: int = SHARD_CHARS) -> DataFrame:
+def found_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", shard_chars: int = SHARD_CHARS) -> DataFrame:
+    """(doc_id, n_words, spans, items) of each row of docs, however many shards the benchmark makes.
+
+    With several shards, each pass writes what it found by document (id and hash of the text), one automaton at a time
+    is held by the driver and the workers, and the passes are merged by a grouping of the documents that were hit.
+    """
+    items, shards = _shards(benchmark, shard_chars)
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col).cast("string")).alias("text_hash"), F.col(text_col).cast("string").alias("text"))
+    if shards == 1:
+        return _scan(texts, _automaton(items, 1, 0, window), False)
+    parts = []
+    for k in range(shards):
+        automaton = _automaton(items, shards, k, window)
+        parts.append(cut(_scan(texts, automaton, True)))
+        automaton.destroy()
+    every = parts[0]
+    for part in parts[1:]:
+        every = every.unionByName(part)
+    every = every.groupBy("doc_id", "text_hash").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
+    merged = cut(in_batches(every, _merge_passes, f"doc_id long, text_hash long, {_FOUND}"), *parts)
+    plain = _scan(texts, items.sparkSession.sparkContext.broadcast(Automaton([], window)), False).select("doc_id", "text_hash", "n_words")
+    same = plain["doc_id"].eqNullSafe(merged["doc_id"]) & (plain["text_hash"] == merged["text_hash"])
+    none = lambda c: F.coalesce(merged[c], F.array().cast(merged.schema[c].dataType))
+    return plain.join(merged, same, "left").select(plain["doc_id"], plain["text_hash"], "n_words", none("spans").alias("spans"), none("items").alias("items"))
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", shard_chars: int = SHARD_CHARS) -> DataFrame:
+    """One row per input row: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, spans (word positions).
+
+    Null texts have no words; wordless items and items with a null id or text have no window; an empty benchmark
+    hits nothing. Repeated rows give repeated results; further columns are ignored.
+    """
+    found = found_spans(docs, benchmark, window, id_col, text_col, shard_chars)
+    hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s.end - s.start)
+    names = F.array_join(F.sort_array(F.transform("items", lambda i: i.cast("string"))), ",")
+    return found.select("doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(names, 256).alias("items_sha256"), (F.size("spans") > 0).alias("contaminated"), "spans")
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_coverage: float = 0.5, text_col: str = "text", id_col: str = "doc_id", shard_chars: int = SHARD_CHARS) -> DataFrame:
     """docs with the hit spans cut out of their texts; a document of which more than max_coverage of the words are hit
     is dropped whole. All columns stay; documents without a hit are untouched (null texts too)."""
-    automata = _automata(benchmark, window, shard_chars)
+    items, shards = _shards(benchmark, shard_chars)
     place = docs.columns.index(text_col)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts, keep = as_bytes(batch.column(place)), []
-            for k, text in enumerate(texts):
-                w = words_of(text)
-                spans, _ = _scan_all(automata, w)
-                keep.append(sum(b - a for a, b in spans) <= max_coverage * len(w))
-                if spans and keep[-1]:
-                    texts[k] = without_spans(text, spans)
-            column = pa.array(texts, pa.binary()).cast(batch.schema.field(place).type)
-            yield batch.set_column(place, batch.schema.field(place), column).filter(pa.array(keep, pa.bool_()))
-
-    return docs.mapInArrow(run, docs.schema)
+    def cleaned(batch: pa.RecordBatch, spans: list[list[tuple[int, int]]]) -> pa.RecordBatch:
+        texts, keep = as_bytes(batch.column(place)), []
+        for k, (text, own) in enumerate(zip(texts, spans)):
+            keep.append(not own or sum(b - a for a, b in own) <= max_coverage * len(words_of(text)))
+            if own and keep[-1]:
+                texts[k] = without_spans(text, own)
+        column = pa.array(texts, pa.binary()).cast(batch.schema.field(place).type)
+        return batch.set_column(place, batch.schema.field(place), column).filter(pa.array(keep, pa.bool_()))
+
+    if shards == 1:
+        automaton = _automaton(items, 1, 0, window)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            own = automaton.value
+            for batch in pieces(batches):
+                yield cleaned(batch, [own.scan(words_of(t))[0] for t in as_bytes(batch.column(place))])
+
+        return in_batches(docs, run, docs.schema)
+    found = found_spans(docs, benchmark, window, id_col, text_col, shard_chars).where(F.size("spans") > 0)
+    found = found.select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_t"), F.col("spans").alias("_s")).dropDuplicates(["_d", "_t"])
+    same = docs[id_col].cast("long").eqNullSafe(F.col("_d")) & (F.xxhash64(docs[text_col].cast("string")) == F.col("_t"))
+
+    def run_joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches):
+            spans = [[(x["start"], x["end"]) for x in row or ()] for row in batch.column(batch.num_columns - 1).to_pylist()]
+            yield cleaned(batch.select(range(batch.num_columns - 1)), spans)
+
+    return in_batches(docs.join(found, same, "left").select(*[docs[c] for c in docs.columns], "_s"), run_joined, docs.schema)
