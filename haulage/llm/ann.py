@@ -15,8 +15,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from haulage.llm.common import in_batches
+
 #: Vectors in a block, and queries whose heaps a task holds at once.
 BLOCK, HELD = 4096, 65_536
+#: Most components of which the sum of products of int8 codes is exact in 32-bit floats.
+_FLOAT_DIM = (1 << 24) // 127**2
 _BLOCK = "dim int, ids binary, vecs binary"
 
 
@@ -55,12 +59,13 @@ def _pack(block: int):
 
 
 def _codes(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """int8 codes (as float32, whose products are exact here), scales, squared norms of the coded vectors, errors."""
+    """int8 codes (as floats wide enough for exact products), scales, squared norms of the coded vectors, errors."""
     scale = np.abs(x).max(axis=1) / 127.0
     scale[scale == 0] = 1.0
     q = np.rint(x / scale[:, None])
     coded = q * scale[:, None]
-    return q.astype(np.float32), scale, np.einsum("ij,ij->i", coded, coded), np.linalg.norm(x - coded, axis=1) * (1 + 1e-9) + 1e-12
+    exact = np.float32 if x.shape[1] <= _FLOAT_DIM else np.float64
+    return q.astype(exact), scale, np.einsum("ij,ij->i", coded, coded), np.linalg.norm(x - coded, axis=1) * (1 + 1e-9) + 1e-12
 
 
 class _Best:
@@ -107,19 +112,20 @@ class _Best:
                     self.far[i] = best[-1][0]
 
 
-def _tiles(k: int):
-    """mapInArrow over tiles (query block, candidate block): each task's k best of every query it met."""
+def _tiles(most: int):
+    """mapInArrow over tiles (query block, candidate block): each task's `most` best of every query it met."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best: dict[bytes, _Best] = {}
         for batch in batches:
-            for t in batch.to_pylist():
-                key = t["q_ids"]
+            for k in range(batch.num_rows):
+                dim, ids, vecs, q_ids, q_vecs = (column[k] for column in batch.columns)
+                dim, key = dim.as_py(), q_ids.as_py()
                 if key not in best:
                     while best and sum(len(b.ids) for b in best.values()) > HELD:
                         yield report(best.pop(next(iter(best))))
-                    best[key] = _Best(np.frombuffer(key, np.int64), np.frombuffer(t["q_vecs"]).reshape(-1, t["dim"]), k)
-                best[key].meet(np.frombuffer(t["ids"], np.int64), np.frombuffer(t["vecs"]).reshape(-1, t["dim"]))
+                    best[key] = _Best(np.frombuffer(key, np.int64), np.frombuffer(q_vecs.as_buffer()).reshape(-1, dim).copy(), most)
+                best[key].meet(np.frombuffer(ids.as_buffer(), np.int64), np.frombuffer(vecs.as_buffer()).reshape(-1, dim))
         for b in best.values():
             yield report(b)
 
@@ -138,13 +144,13 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, block: int = BL
     neighbour. Rows that repeat a vec_id count once (the smallest vector). Fewer than k candidates give all of them.
     """
     once = lambda df: _usable(df).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
-    cand = once(vectors).mapInArrow(_pack(block), _BLOCK)
-    asked = once(queries).mapInArrow(_pack(block), _BLOCK)
+    cand = in_batches(once(vectors), _pack(block), _BLOCK)
+    asked = in_batches(once(queries), _pack(block), _BLOCK)
     asked = asked.select(F.col("dim").alias("q_dim"), F.col("ids").alias("q_ids"), F.col("vecs").alias("q_vecs"))
     tiles = cand.sparkSession.conf.get("spark.sql.shuffle.partitions")
     cand = cand.withColumn("tile", F.pmod(F.xxhash64("ids"), F.lit(int(tiles))))
     asked = asked.withColumn("tile", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(int(tiles) - 1).cast("long"))))
     pairs = cand.join(asked.hint("shuffle_hash"), (cand["tile"] == asked["tile"]) & (F.col("dim") == F.col("q_dim"))).select("dim", "ids", "vecs", "q_ids", "q_vecs")
-    found = pairs.mapInArrow(_tiles(k), "query_id long, vec_id long, score double")
+    found = in_batches(pairs, _tiles(k), "query_id long, vec_id long, score double")
     ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id")))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
