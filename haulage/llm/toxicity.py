@@ -19,17 +19,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from haulage.llm.common import as_bytes, fold, pieces
+from haulage.llm.common import as_bytes, fold, in_batches, pieces
 from haulage.llm.decontaminate import words_of
 
-#: Bound of the labelled sample (rows with the smallest hash of their id) and of the model's tokens.
-SAMPLE_ROWS, MODEL_TOKENS = 20_000, 65_536
+#: Bound of the labelled sample (rows with the smallest hash of their id); the model's tokens are bounded by it.
+SAMPLE_ROWS = 20_000
 STARTS = range(3, 9)
 #: Least z-score, log-odds and number of toxic documents of a token (among a million tokens chance alone gives many
 #: of 2.5); weight of the prior in documents of each class.
 MIN_Z, MIN_ODDS, MIN_TOXIC, PRIOR_DOCS = 4.0, 2.0, 3, 50.0
 #: Entries a worker holds: remembered words, and counted features before they are passed on.
-MEMO, KEPT_FEATURES = 100_000, 150_000
+MEMO, KEPT_FEATURES = 50_000, 100_000
 
 
 def features(word: bytes) -> list[str]:
@@ -78,22 +78,28 @@ class Model:
                 del stack[k:]
         return [(a, b, high - low) for a, b, low, high in stack]
 
-    def inputs(self, words: list[bytes]) -> tuple[float, float, float]:
+    def inputs(self, n_words: int, segments: list[tuple[int, int, float]]) -> tuple[float, float, float]:
         """Best normalised segment score, sum of the normalised scores that stand out, log length."""
-        n = math.log(max(len(words), 1))
+        n = math.log(max(n_words, 1))
         best, total = -n, 0.0
-        for _, _, s in self.segments(words):
+        for _, _, s in segments:
             norm = self.decay * s - n
             best = max(best, norm)
             total += max(0.0, self.decay * s - 1.0)
         return best, math.log1p(total), n
 
-    def probability(self, words: list[bytes]) -> float:
+    def probability(self, n_words: int, segments: list[tuple[int, int, float]]) -> float:
         c = self.curve
-        x = self.inputs(words)
+        x = self.inputs(n_words, segments)
         z = c[0] + c[1] * x[0] + c[2] * x[1] + c[3] * x[2]
         return 1 / (1 + math.exp(-min(max(z, -700), 700)))
 
+    def judge(self, text: bytes | None) -> tuple[float, int, list[tuple[int, int, float]]]:
+        """Probability, number of words and segments of a text, by one scan."""
+        words = words_of(text)
+        found = self.segments(words)
+        return self.probability(len(words), found), len(words), found
+
 
 def _sample(docs: DataFrame, labels: DataFrame, folds: int, held: int, rows: int) -> DataFrame:
     """Texts and labels of at most `rows` labelled documents outside the held-out fold."""
@@ -121,14 +127,15 @@ def _flush(counts: tuple[Counter, Counter]) -> pa.RecordBatch:
     return out
 
 
-def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, sample_rows: int = SAMPLE_ROWS, model_tokens: int = MODEL_TOKENS) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, sample_rows: int = SAMPLE_ROWS) -> Model:
     """Learn from labelled documents outside the held-out fold; only doc_id and toxic of labels are read.
 
-    The sample and the model have fixed bounds, so both may go to the driver. Without labels of both kinds the model
+    The sample has a fixed bound, and so have the tokens that at least MIN_TOXIC of its documents hold and that are
+    significant; all of them make the model. Without labels of both kinds the model
     has no tokens and calls every text clean.
     """
     sample = _sample(docs, labels, folds, held, sample_rows)
-    counts = sample.mapInArrow(_count_features, "feature string, toxic long, clean long").groupBy("feature").agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c"))
+    counts = in_batches(sample, _count_features, "feature string, toxic long, clean long").groupBy("feature").agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c"))
     sizes = sample.agg(F.coalesce(F.sum("toxic"), F.lit(0)), F.count("*")).first()
     n_t, n_c = float(sizes[0]), float(sizes[1] - sizes[0])
     if not n_t or not n_c:
@@ -139,7 +146,7 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, sampl
     delta = odds("t", n_t) - odds("c", n_c)
     z = delta / F.sqrt(1 / (F.col("t") + a) + 1 / (F.col("c") + a))
     best = counts.where(F.col("t") >= MIN_TOXIC).select("feature", delta.alias("delta"), z.alias("z")).where((F.col("z") >= MIN_Z) & (F.col("delta") >= MIN_ODDS))
-    rows = best.orderBy(F.desc("z"), "feature").limit(model_tokens).collect()
+    rows = best.collect()
     model = Model({r.feature: float(r.delta) for r in rows})
     return calibrate(sample, model)
 
@@ -155,15 +162,15 @@ def calibrate(sample: DataFrame, model: Model) -> Model:
                     hist.update(round(model.of(w), 1) for w in words_of(text))
         yield pa.record_batch([pa.array(list(hist.keys()), pa.float64()), pa.array(list(hist.values()), pa.int64())], names=["score", "n"])
 
-    hist = sample.mapInArrow(scan, "score double, n long").groupBy("score").agg(F.sum("n").alias("n")).collect()
+    hist = in_batches(sample, scan, "score double, n long").groupBy("score").agg(F.sum("n").alias("n")).collect()
     model.decay = _decay(np.array([r.score for r in hist], float), np.array([r.n for r in hist], float))
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
-            x = [model.inputs(words_of(t)) for t in as_bytes(batch.column(0))]
+            x = [model.inputs(len(w), model.segments(w)) for w in map(words_of, as_bytes(batch.column(0)))]
             yield pa.record_batch([pa.array([v[k] for v in x], pa.float64()) for k in range(3)] + [batch.column(1)], names=["a", "b", "c", "toxic"])
 
-    rows = np.array(sample.mapInArrow(measure, "a double, b double, c double, toxic int").collect(), float).reshape(-1, 4)
+    rows = np.array(in_batches(sample, measure, "a double, b double, c double, toxic int").collect(), float).reshape(-1, 4)
     model.curve = _logistic(rows[:, :3], rows[:, 3])
     model.memo = {}
     return model
@@ -218,15 +225,14 @@ def score(docs: DataFrame, model: Model, folds: int = 5, held: int = 0) -> DataF
             kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())]))
             p, segs = np.zeros(batch.num_rows), []
             for i, text in enumerate(as_bytes(batch.column(1))):  # the words of one text at a time
-                words = words_of(text)
-                n = math.log(max(len(words), 1))
-                p[i] = m.probability(words)
-                segs.append([{"start": a, "end": b, "score": s} for a, b, s in m.segments(words) if m.decay * s > n])
+                p[i], size, found = m.judge(text)
+                n = math.log(max(size, 1))
+                segs.append([{"start": a, "end": b, "score": s} for a, b, s in found if m.decay * s > n])
             yield pa.record_batch([batch.column(0), batch.column(2), pa.array(p), pa.array((p >= 0.5).astype(np.int32)), pa.array(segs, kind)], names=["doc_id", "held_out", "score", "predicted", "segments"])
 
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     src = src.withColumn("held_out", fold(F.col("doc_id"), folds) == held)
-    return src.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int, segments array<struct<start:long,end:long,score:double>>")
+    return in_batches(src, run, "doc_id long, held_out boolean, score double, predicted int, segments array<struct<start:long,end:long,score:double>>")
 
 
 def drop_toxic(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
@@ -236,6 +242,6 @@ def drop_toxic(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFra
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in pieces(batches):
-            yield batch.filter(pa.array([m.probability(words_of(t)) < threshold for t in as_bytes(batch.column(place))], pa.bool_()))
+            yield batch.filter(pa.array([m.judge(t)[0] < threshold for t in as_bytes(batch.column(place))], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return in_batches(docs, run, docs.schema)
