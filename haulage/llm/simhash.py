@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from haulage.llm import nearcopies
-from haulage.llm.common import as_bytes, cut
+from haulage.llm.common import as_bytes, cut, in_batches
 from haulage.llm.components import connected_components
 
 SHINGLE, SEED = 3, 42
@@ -222,7 +222,7 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     null ids have it). Further columns of docs are ignored; an empty table gives an empty result.
     """
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    marked = cut(src.mapInArrow(_fingerprints, "doc_id long, fp long"))
+    marked = cut(in_batches(src, _fingerprints, "doc_id long, fp long"))
     points = cut(marked.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("doc")))
     roots = connected_components(near_links(points, radius))
     named = cut(points.join(roots.withColumnRenamed("node", "doc"), "doc", "left").select("fp", F.coalesce("root", "doc").alias("component_id")))
