@@ -67,9 +67,9 @@ def drop_cuts(*spent: DataFrame) -> None:
             place.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
-def in_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+def in_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema, size: int = BATCH_BYTES) -> DataFrame:
     """df.mapInArrow with batches of a few megabytes, however long the texts are (a setting of the session)."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
     return df.mapInArrow(run, schema)
 
 

@@ -3,10 +3,15 @@
 The most frequent training tokens are symbols, all others share one escape symbol. A symbol is coded as the bits of
 its path in a Huffman tree. Each bit is predicted in several contexts: none, the previous symbol, the last frequent
 symbol, a hash of the last two frequent symbols, and what the document itself has shown so far. The predictions are
-mixed in the logistic domain with weights gated by the depth of the bit; the weights start from those learnt on
-training documents and are refined block by block while the document is read. An escaped token is then coded by its
-smoothed training frequency among the escaped tokens, so that probabilities over all known tokens and one unknown
-token sum to one. Counts cover all training documents and are gathered by shuffles that grow with them.
+mixed in the logistic domain with weights gated by the depth of the bit and refined block by block while the document
+is read. An escaped token is then coded by its smoothed training frequency among the escaped tokens, so that
+probabilities over all known tokens and one unknown token sum to one.
+
+Over these, a match predictor remembers the whole corpus: texts are cut where their tokens' hashes say so, and for each
+piece the hash of the three tokens before it is the context. Where training texts have that context, one more bit says
+whether the piece is one that followed it; the bit's probability is gated by how often the context occurred and learnt
+from all training pieces, each judged without the document that holds it. Counts of tokens, contexts and pieces cover
+all training documents and are gathered by shuffles that grow with them.
 """
 
 from __future__ import annotations
@@ -19,15 +24,21 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from haulage.llm.common import as_bytes, cut, fold
+from haulage.llm.common import as_bytes, cut, fold, in_batches
 
-#: Symbols of the mixer, most tokens whose counts are broadcast, documents that teach the first weights.
-SYMBOLS, KNOWN, TEACHERS = 1024, 131_072, 1024
-CONTEXTS, BLOCK, LANES, RATE = 1024, 128, 256, 0.15
+#: Symbols of the mixer, most tokens whose counts are broadcast (all others are joined).
+SYMBOLS, KNOWN = 1024, 131_072
+CONTEXTS, BLOCK, LANES, RATE, BATCH = 1024, 128, 256, 0.15, 6 << 20
+#: First weights: no context, the three contexts, the document itself.
+WEIGHTS = (0.1, 0.3, 0.3, 0.3, 0.1)
+#: One in PIECE tokens ends a piece; tokens before a piece that are its context; occurrences of a context told apart.
+PIECE, BEFORE, GATES, SEED = 16, 3, 4, 42
 END = b""
+_POWER = np.random.default_rng(SEED).integers(0, 1 << 64, 256, np.uint64) | np.uint64(1)
 
 
 def tokens_of(text: bytes | None) -> list[bytes]:
@@ -103,6 +114,7 @@ class Mixer:
     tree: Tree | None = None
     tables: list[np.ndarray] | None = None  # stretched predictions: no context, then the three contexts
     weights: np.ndarray | None = None
+    hashes: np.ndarray | None = None  # of the tokens, by place
 
     def __post_init__(self):
         named = self.symbol > 0
@@ -177,22 +189,23 @@ def _tables(tree: Tree, slots: np.ndarray, n: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-def _mix(m: Mixer, rows: list[np.ndarray], weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """log10 probability of each document's symbols, and the weights each ends with; documents are read side by side."""
+def _mix(m: Mixer, rows: list[np.ndarray], weights: np.ndarray) -> list[np.ndarray]:
+    """log10 probabilities of each document's symbols; documents are read side by side."""
     tree, lanes = m.tree, len(rows)
     sym, first = _chain(rows)
     nodes, depth = tree.right.shape[0], weights.shape[0]
     w = np.repeat(weights[None], lanes, axis=0).reshape(lanes * depth, -1)
-    score, shown = np.zeros(lanes), np.zeros((2, lanes * nodes), np.float32)
+    score, shown = np.zeros(len(sym)), np.zeros((2, lanes * nodes), np.float32)
+    ends = np.cumsum([len(r) for r in rows])[:-1]
     if not nodes:
-        return score, w.reshape(lanes, depth, -1)
+        return np.split(score, ends)
     c1, c2, c3 = contexts(sym, first)
     sizes = np.array([len(r) for r in rows], np.int64)
     lane = np.repeat(np.arange(lanes), sizes)
     step = (np.arange(len(sym)) - first[lane]) // BLOCK
     order = np.argsort(step, kind="stable")
-    ends = np.cumsum(np.bincount(step))
-    for a, b in zip(np.r_[0, ends[:-1]], ends):
+    stops = np.cumsum(np.bincount(step))
+    for a, b in zip(np.r_[0, stops[:-1]], stops):
         t = order[a:b]
         size = tree.size[sym[t]]
         tok = np.repeat(t, size)
@@ -202,7 +215,7 @@ def _mix(m: Mixer, rows: list[np.ndarray], weights: np.ndarray) -> tuple[np.ndar
         own, gate = d * nodes + node, d * depth + np.minimum(inner, depth - 1)
         x = np.stack([m.tables[0][node], m.tables[1][c1[tok] * nodes + node], m.tables[2][c2[tok] * nodes + node], m.tables[3][c3[tok] * nodes + node], np.log((shown[1][own] + 0.3) / (shown[0][own] + 0.3))], axis=1)
         p = 1 / (1 + np.exp(-np.clip((x * w[gate]).sum(axis=1), -12, 12)))
-        score += np.bincount(d, np.log10(np.where(bit == 1, p, 1 - p)), lanes)
+        score[t] = np.bincount(np.repeat(np.arange(len(t)), size), np.log10(np.where(bit == 1, p, 1 - p)), len(t))
         err = bit - p
         seen = np.bincount(gate, minlength=len(w))
         for k in range(x.shape[1]):
@@ -211,25 +224,40 @@ def _mix(m: Mixer, rows: list[np.ndarray], weights: np.ndarray) -> tuple[np.ndar
             hit = own[bit == v]
             if len(hit):
                 shown[v] += np.bincount(hit, minlength=shown.shape[1]).astype(np.float32)
-    return score, w.reshape(lanes, depth, -1)
+    return np.split(score, ends)
 
 
-def fit(train: DataFrame, known: int = KNOWN, symbols: int = SYMBOLS, teachers: int = TEACHERS) -> tuple[Mixer, DataFrame]:
+def hash_of(token: bytes) -> int:
+    return xxhash.xxh64_intdigest(token, SEED)
+
+
+def cut_pieces(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts of a document's pieces, and their contexts and hashes; the first tokens are a piece without context (0)."""
+    n = len(hashes)
+    marks = np.flatnonzero(hashes[:-1] % np.uint64(PIECE) == 0) + 1
+    starts = np.r_[0, BEFORE, marks[marks > BEFORE]] if n > BEFORE else np.zeros(1, np.int64)
+    place = np.arange(n) - np.repeat(starts, np.diff(np.r_[starts, n]))
+    own = np.add.reduceat(hashes * _POWER[place % len(_POWER)], starts)
+    before = sum(hashes[starts[1:] - k] * _POWER[k] for k in range(1, BEFORE + 1)) if len(starts) > 1 else np.zeros(0, np.uint64)
+    return starts, np.r_[np.uint64(0), before].astype(np.uint64), own
+
+
+def fit(train: DataFrame, known: int = KNOWN, symbols: int = SYMBOLS) -> tuple[Mixer, DataFrame]:
     """The mixer and the table (token, n) of all training tokens. train: doc_id, text.
 
-    Only the counts of at most `known` frequent tokens, the fixed-size context tables and the weights reach the
-    driver, and so are broadcast; all other counts stay a distributed table.
+    Only the counts of at most `known` frequent tokens (and of the end token) and the fixed-size context tables reach
+    the driver, and so are broadcast; all other counts stay a distributed table.
     """
     spark = train.sparkSession
     texts = train.select(F.col("text").cast("string").alias("text"))
-    counts = cut(texts.mapInArrow(_count, "token binary, n long").groupBy("token").agg(F.sum("n").alias("n")))
+    counts = cut(in_batches(texts, _count, "token binary, n long", BATCH).groupBy("token").agg(F.sum("n").alias("n")))
     sums = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    least, room = 1, known
-    for r in counts.groupBy("n").count().where(F.col("n") > sums[0] // (known * 64)).orderBy(F.desc("n")).limit(known).collect():
+    floor = sums[0] // (known * 64)  # at most 64 * known tokens are more frequent
+    least, room = floor + 1, known
+    for r in counts.groupBy("n").count().where(F.col("n") > floor).orderBy(F.desc("n")).limit(known).collect():
         room -= r["count"]
-        least = r["n"]
         if room < 0:
-            least += 1
+            least = r["n"] + 1
             break
     rows = counts.where((F.col("n") >= least) | (F.col("token") == F.lit(END))).collect() if sums[1] else []
     rows.sort(key=lambda r: (bytes(r.token) != END, -r.n, bytes(r.token)))
@@ -239,62 +267,65 @@ def fit(train: DataFrame, known: int = KNOWN, symbols: int = SYMBOLS, teachers:
     freq = np.r_[max(1, m.rare_total), m.count[symbol > 0]]
     m.tree = Tree.of(freq)
     shared = spark.sparkContext.broadcast(m)
-    got = texts.mapInArrow(_count_contexts(shared), "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    got = in_batches(texts, _count_contexts(shared), "slot int, n long", BATCH).groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
     m.tables = _tables(m.tree, got["slot"].to_numpy(), got["n"].to_numpy())
     depth = int(m.tree.size.max()) if len(m.tree.size) else 0
-    m.weights = np.tile(np.array([0.1, 0.3, 0.3, 0.3, 0.1]), (max(depth, 1), 1))
-    if depth:
-        m.weights = _teach(train, m, teachers)
+    m.weights = np.tile(np.array(WEIGHTS), (max(depth, 1), 1))
+    m.hashes = np.array([hash_of(t) for t in m.index], np.uint64)
     return m, counts
 
 
-def _teach(train: DataFrame, m: Mixer, teachers: int) -> np.ndarray:
-    """First weights: the mean of those that a bounded number of training documents end with."""
-    shared = train.sparkSession.sparkContext.broadcast(m)
-    few = train.select("doc_id").where("doc_id is not null").distinct().withColumn("_h", F.xxhash64("doc_id")).orderBy("_h", "doc_id").limit(teachers).select("doc_id")
-    some = train.select(F.col("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(few), "doc_id")
+_TOLD = "kind int, uid long, doc_id long, train boolean, n_tokens long, n_bytes long, known long, base double, piece int, context long, hash long, own_n int, own_total int, mixed double, token binary, tf long"
+_DOC, _PIECE, _TOKEN = range(3)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
-        for batch in batches:
-            texts = as_bytes(batch.column(1))
-            for at in range(0, len(texts), LANES):
-                rows = [own.symbols(p) for p in own.look_up([tokens_of(t) for t in texts[at : at + LANES]])]
-                _, w = _mix(own, rows, own.weights)
-                yield pa.record_batch([pa.array([len(rows)], pa.int64()), pa.array([w.sum(axis=0).ravel().tolist()], pa.list_(pa.float64()))], names=["n", "w"])
 
-    got = some.select("doc_id", "text").mapInArrow(run, "n long, w array<double>").collect()
-    n = sum(r.n for r in got)
-    return np.sum([r.w for r in got], axis=0).reshape(m.weights.shape) / n if n else m.weights
+def _score(shared):
+    """mapInArrow (uid, doc_id, train, text): a row for each document, one for each of its pieces with the probability
+    of the tokens that are known here, and one for each other token of a piece, whose count has to be joined."""
+    kinds = [("kind", pa.int32()), ("uid", pa.int64()), ("doc_id", pa.int64()), ("train", pa.bool_()), ("n_tokens", pa.int64()), ("n_bytes", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("piece", pa.int32()), ("context", pa.int64()), ("hash", pa.int64()), ("own_n", pa.int32()), ("own_total", pa.int32()), ("mixed", pa.float64()), ("token", pa.binary()), ("tf", pa.int64())]
 
+    def out(kind: int, n: int, **columns) -> pa.RecordBatch:
+        own = {"kind": pa.array(np.full(n, kind, np.int32))} | columns
+        return pa.record_batch([pa.array(own[name], t) if name in own else pa.nulls(n, t) for name, t in kinds], names=[name for name, _ in kinds])
 
-def _score(shared):
-    """mapInArrow (uid, doc_id, text): one row for each document with what is known here, and one for each token of it
-    whose count has to be joined."""
-    names = ["uid", "doc_id", "n_tokens", "n_bytes", "known", "base", "score", "token", "tf"]
+    def repeats(x: np.ndarray) -> np.ndarray:
+        """How often each value occurs."""
+        _, where, n = np.unique(x, return_inverse=True, return_counts=True)
+        return n[where].astype(np.int32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Mixer = shared.value
         base_of = np.log10((m.count + 1) / (m.total + m.kinds + 1))
         rare_of = np.where(m.symbol > 0, 0.0, np.log10((m.count + 1) / (m.rare_total + m.rare_kinds + 1)))
         for batch in batches:
-            uid, doc_id, texts = batch.column(0).to_numpy(), batch.column(1), as_bytes(batch.column(2))
+            uids, doc_id, train, texts = batch.column(0).to_numpy(), batch.column(1), batch.column(2).to_numpy(zero_copy_only=False), as_bytes(batch.column(3))
             for at in range(0, len(texts), LANES):
                 docs = [tokens_of(t) for t in texts[at : at + LANES]]
+                n = len(docs)
                 places = m.look_up(docs)
-                mixed, _ = _mix(m, [m.symbols(p) for p in places], m.weights)
+                mixed = _mix(m, [m.symbols(p) for p in places], m.weights)
                 known = [p[p >= 0] for p in places]
-                n = len(docs)
-                none = pa.nulls(n, pa.binary())
-                yield pa.record_batch([pa.array(uid[at : at + n]), doc_id.slice(at, n), pa.array([len(d) for d in docs], pa.int64()), pa.array([len(t or b"") for t in texts[at : at + n]], pa.int64()), pa.array([len(k) for k in known], pa.int64()), pa.array([float(base_of[k].sum()) for k in known]), pa.array([float(s + rare_of[k].sum()) for s, k in zip(mixed, known)]), none, pa.nulls(n, pa.int64())], names=names)
-                owners, left, tf = [], [], []
-                for u, d, p in zip(uid[at : at + n].tolist(), docs, places):
-                    c = Counter([d[i] for i in np.flatnonzero(p < 0).tolist()])
-                    owners += [u] * len(c)
-                    left += c.keys()
-                    tf += c.values()
-                k = len(left)
-                yield pa.record_batch([pa.array(owners, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.float64()), pa.nulls(k, pa.float64()), pa.array(left, pa.binary()), pa.array(tf, pa.int64())], names=names)
+                yield out(_DOC, n, uid=uids[at : at + n], doc_id=doc_id.slice(at, n), train=train[at : at + n], n_tokens=[len(d) for d in docs], n_bytes=[len(t or b"") for t in texts[at : at + n]], known=[len(k) for k in known], base=[float(base_of[k].sum()) for k in known])
+                pieces, rare = [], []
+                for i, (d, p, score) in enumerate(zip(docs, places, mixed)):
+                    uid, seen = int(uids[at + i]), p >= 0
+                    hashes = m.hashes[np.maximum(p, 0)] if len(m.hashes) else np.zeros(len(d), np.uint64)
+                    left = np.flatnonzero(~seen)
+                    hashes[left] = np.fromiter((hash_of(d[k]) for k in left.tolist()), np.uint64, len(left))
+                    starts, context, own = cut_pieces(hashes)
+                    context[0] = hash_of(b"%d" % uid)
+                    score[seen] += rare_of[p[seen]]
+                    k = np.arange(len(starts))
+                    own_n = repeats(context * _POWER[0] + own)
+                    own_n[0] = 0  # never a match
+                    pieces.append((np.full(len(k), uid), np.full(len(k), train[at + i]), k, context.view(np.int64), own.view(np.int64), own_n, repeats(context), np.add.reduceat(score, starts)))
+                    where = np.searchsorted(starts, left, "right") - 1
+                    rare += [(uid, j, t, tf) for (j, t), tf in Counter(zip(where.tolist(), [d[k] for k in left.tolist()])).items()]
+                uid, was, k, context, own, own_n, own_total, sums = (np.concatenate(x) for x in zip(*pieces))
+                yield out(_PIECE, len(k), uid=uid, train=was, piece=k.astype(np.int32), context=context, hash=own, own_n=own_n, own_total=own_total, mixed=sums)
+                if rare:
+                    uid, where, tokens, tf = zip(*rare)
+                    yield out(_TOKEN, len(uid), uid=uid, piece=where, token=tokens, tf=tf)
 
     return run
 
@@ -302,31 +333,47 @@ def _score(shared):
 def score_documents(docs: DataFrame, folds: int = 7, held: int = 2, known: int = KNOWN, symbols: int = SYMBOLS) -> DataFrame:
     """One row per input row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte.
 
-    Learns from the rows outside the held-out fold. A null or empty text is its end token alone; without training rows
-    every probability is 1 and both scores are 0. Repeated rows count as often as they occur and are each returned;
-    further columns are ignored; bits_per_byte is null for an empty text.
+    Learns from the rows outside the held-out fold; a training row is scored without its own pieces. A null or empty
+    text is its end token alone; without training rows every probability is 1 and both scores are 0. Repeated rows
+    count as often as they occur and are each returned; further columns are ignored; bits_per_byte is null for an empty
+    text.
     """
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     m, counts = fit(src.where(fold(F.col("doc_id"), folds) != held), known, symbols)
     shared = docs.sparkSession.sparkContext.broadcast(m)
-    kinds = "uid long, doc_id long, n_tokens long, n_bytes long, known long, base double, score double, token binary, tf long"
-    told = cut(src.select(F.monotonically_increasing_id().alias("uid"), "doc_id", "text").mapInArrow(_score(shared), kinds))
+    rows = src.select(F.monotonically_increasing_id().alias("uid"), "doc_id", (fold(F.col("doc_id"), folds) != held).alias("train"), "text")
+    told = cut(in_batches(rows, _score(shared), _TOLD, BATCH))
+    pieces = told.where(F.col("kind") == _PIECE)
+    memory = cut(pieces.where("train AND own_n > 0").groupBy("context", "hash").agg(F.count("*").alias("n")))
+    totals = cut(memory.groupBy("context").agg(F.sum("n").alias("total")))
     c = F.coalesce(F.col("n"), F.lit(0)) + 1
-    rare = told.where("token is not null").select("uid", "token", "tf").join(counts, "token", "left")
-    rare = rare.groupBy("uid").agg(
+    rare = told.where(F.col("kind") == _TOKEN).select("uid", "piece", "token", "tf").join(counts, "token", "left")
+    rare = rare.groupBy("uid", "piece").agg(
         F.sum(F.when(F.col("n").isNotNull(), F.col("tf")).otherwise(0)).alias("rare_known"),
         F.sum(F.col("tf") * F.log10(c / F.lit(float(m.total + m.kinds + 1)))).alias("rare_base"),
         F.sum(F.col("tf") * F.log10(c / F.lit(float(m.rare_total + m.rare_kinds + 1)))).alias("rare_score"),
     )
-    out = told.where("token is null").join(rare, "uid", "left")
-    score = F.col("score") + F.coalesce("rare_score", F.lit(0.0))
+    own = pieces.select("uid", "piece", "train", "context", "hash", "own_n", "own_total", "mixed").join(rare, ["uid", "piece"], "left")
+    own = own.join(totals, "context", "left").join(memory, ["context", "hash"], "left")
+    without = lambda n, mine: F.coalesce(F.col(n), F.lit(0)) - F.when(F.col("train"), F.col(mine)).otherwise(0)
+    own = own.select("uid", "train", "rare_known", "rare_base", (F.col("mixed") + F.coalesce("rare_score", F.lit(0.0))).alias("plain"), without("n", "own_n").alias("n"), F.when(F.col("own_n") > 0, without("total", "own_total")).otherwise(0).alias("total"))
+    own = cut(own, memory, totals)
+    gate = F.least("total", F.lit(GATES)).cast("int")
+    learnt = own.where("train AND total > 0").groupBy(gate.alias("gate")).agg(F.count("*").alias("n"), F.count_if(F.col("n") > 0).alias("hits")).collect()
+    hit = {r.gate: (r.hits + 1) / (r.n + 2) for r in learnt}
+    p = F.get(F.lit([0.5] + [hit.get(g, 0.5) for g in range(1, GATES + 1)]), gate)
+    follow, plain = F.log10(p * F.col("n") / F.col("total")), F.log10(1 - p) + F.col("plain")
+    high = F.greatest(follow, plain)
+    score = F.when(F.col("total") <= 0, F.col("plain")).when(F.col("n") <= 0, plain).otherwise(high + F.log10(F.pow(F.lit(10.0), follow - high) + F.pow(F.lit(10.0), plain - high)))
+    sums = own.groupBy("uid").agg(F.sum(score).alias("score"), F.coalesce(F.sum("rare_known"), F.lit(0)).alias("rare_known"), F.coalesce(F.sum("rare_base"), F.lit(0.0)).alias("rare_base"))
+    out = told.where(F.col("kind") == _DOC).select("uid", "doc_id", "train", "n_tokens", "n_bytes", "known", "base").join(sums, "uid", "left")
     return out.select(
         "doc_id",
-        (fold(F.col("doc_id"), folds) == held).alias("held_out"),
+        (~F.col("train")).alias("held_out"),
         "n_tokens",
-        (F.col("known") + F.coalesce("rare_known", F.lit(0))).cast("long").alias("n_known"),
+        (F.col("known") + F.col("rare_known")).cast("long").alias("n_known"),
         F.lit(m.total).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("rare_base", F.lit(0.0))).alias("base_score"),
-        score.alias("score"),
-        F.when(F.col("n_bytes") > 0, -score / math.log10(2) / F.col("n_bytes")).alias("bits_per_byte"),
+        (F.col("base") + F.col("rare_base")).alias("base_score"),
+        "score",
+        F.when(F.col("n_bytes") > 0, -F.col("score") / math.log10(2) / F.col("n_bytes")).alias("bits_per_byte"),
     )

@@ -73,11 +73,73 @@ def test_mixing_is_a_distribution(spark):
     for w in [*every, b"unknown"]:
         place = m.index.get(w, -1)
         s = m.symbols(np.array([place]))
-        p, _ = mixing._mix(m, [s], m.weights)
-        total += 10 ** p[0] * (1 if s[0] else (every.get(w, 0) + 1) / (m.rare_total + m.rare_kinds + 1))
+        (p,) = mixing._mix(m, [s], m.weights)
+        total += 10 ** p.sum() * (1 if s[0] else (every.get(w, 0) + 1) / (m.rare_total + m.rare_kinds + 1))
     assert math.isclose(total, 1, rel_tol=1e-9)
 
 
+def plain_mix(m, sym):
+    """log10 probabilities of one document's symbols, bit by bit; weights and own counts change once a block."""
+    tree, w = m.tree, m.weights.copy()
+    shown, out = np.zeros((2, tree.right.shape[0])), []
+    c = mixing.contexts(sym, np.zeros(1, np.int64))
+    nodes = tree.right.shape[0]
+    for at in range(0, len(sym), mixing.BLOCK):
+        step, seen, hits = np.zeros_like(w), np.zeros(len(w)), []
+        for t in range(at, min(at + mixing.BLOCK, len(sym))):
+            total = 0.0
+            for d in range(tree.size[sym[t]]):
+                node, bit = tree.nodes[tree.start[sym[t]] + d], tree.bits[tree.start[sym[t]] + d]
+                x = np.array([m.tables[0][node], *[m.tables[k + 1][c[k][t] * nodes + node] for k in range(3)], math.log((shown[1][node] + 0.3) / (shown[0][node] + 0.3))])
+                p = 1 / (1 + math.exp(-min(max(float(x @ w[d]), -12), 12)))
+                total += math.log10(p if bit else 1 - p)
+                step[d] += (bit - p) * x
+                seen[d] += 1
+                hits.append((bit, node))
+            out.append(total)
+        w += mixing.RATE * step / (seen + 16)[:, None]
+        for bit, node in hits:
+            shown[bit][node] += 1
+    return out
+
+
+def test_mixing_against_a_plain_mixer(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text").where("doc_id % 7 < 4")
+    m, _ = mixing.fit(docs, symbols=64)
+    texts = [mixing.tokens_of(r.text.encode())[:400] for r in docs.limit(6).collect()]
+    rows = [m.symbols(p) for p in m.look_up(texts)]
+    for got, sym in zip(mixing._mix(m, rows, m.weights), rows):
+        assert np.allclose(got, plain_mix(m, sym), atol=1e-4)
+
+
+def test_mixing_match_predictor_against_plain_counts(spark, sf001):
+    """Scores of pieces from counts kept in dictionaries; a document that occurs twice is told apart."""
+    docs = spark.read.parquet(f"{sf001}/documents.parquet").select("doc_id", "text")
+    texts = [(r.doc_id, r.text) for r in docs.collect()]
+    train = {d: zlib.crc32(str(d).encode()) % 7 != 2 for d, _ in texts}
+    cut = {}
+    for d, t in texts:
+        starts, context, own = mixing.cut_pieces(np.array([mixing.hash_of(w) for w in mixing.tokens_of(t.encode())], np.uint64))
+        assert starts[0] == 0 and (np.diff(starts) > 0).all()
+        cut[d] = list(zip(context[1:].tolist(), own[1:].tolist()))
+    memory = Counter(x for d in cut if train[d] for x in cut[d])
+    totals = Counter(x for d in cut if train[d] for x, _ in cut[d])
+    tried, hits = Counter(), Counter()
+    for d in cut:
+        own, ctx = Counter(cut[d]), Counter(x for x, _ in cut[d])
+        for x in cut[d] if train[d] else ():
+            if totals[x[0]] > ctx[x[0]]:
+                gate = min(mixing.GATES, totals[x[0]] - ctx[x[0]])
+                tried[gate] += 1
+                hits[gate] += memory[x] > own[x]
+    assert hits[1] > 0
+    got = {r.doc_id: r.bits_per_byte for r in mixing.score_documents(docs).collect()}
+    held = [(d, t) for d, t in texts if train[d] and len(t) > 500]
+    seen = Counter(t for _, t in held)
+    twice, once = [got[d] for d, t in held if seen[t] > 1], [got[d] for d, t in held if seen[t] == 1]
+    assert len(twice) > 5 and np.mean(np.array(twice) < np.quantile(once, 0.1)) > 0.95
+
+
 def test_mixing_odd_rows(spark):
     docs = spark.createDataFrame([(1, None, 1), (2, "", 1), (3, "Word " * 60_000, 1), (3, "word", 1), (None, "w", 1)], "doc_id long, text string, score int")
     rows = mixing.score_documents(docs).collect()
