@@ -11,10 +11,14 @@ _own: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a fresh local folder where it is unset (tests)."""
+    """spark.checkpoint.dir. In local mode, where there is one machine, a fresh temporary folder stands in for it; on a
+    cluster an unset spark.checkpoint.dir is an error."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if base:
         return base.rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
     if not _own:
         _own.append("file://" + tempfile.mkdtemp(prefix="haulage-"))
     return _own[0]

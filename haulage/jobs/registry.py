@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from haulage.functions import columns as C
+from haulage.functions.shared import shared_dir
 from haulage.operators import acl, blobs, chunks, diff, filters, integrity, objects, order, outcomes, planning, report, tree
 from haulage.sources import inventory as inv
 from haulage.streaming import jobs as streams
@@ -98,10 +100,25 @@ def d4(s, d):
     return diff.detect_renames(inv.inv_src(s, d), inv.inv_dst(s, d))
 
 
-@query("d5_actions", DIFF + """ SELECT relative_path, CAST(0 AS INTEGER) AS step, CASE state WHEN 'new' THEN 'copy' WHEN 'deleted' THEN 'delete' WHEN 'metadata_changed' THEN 'set_metadata' ELSE 'copy' END AS action FROM diff WHERE state <> 'same'
-UNION ALL SELECT relative_path, 1, 'set_metadata' FROM diff WHERE state IN ('data_changed', 'both_changed')""")
+RENAMED = DIFF + f""", del AS (SELECT p.* FROM inv_src p JOIN diff USING (relative_path) WHERE state = 'deleted' AND p.ino IS NOT NULL QUALIFY count(*) OVER (PARTITION BY p.ino) = 1),
+add AS (SELECT c.* FROM inv_dst c JOIN diff USING (relative_path) WHERE state = 'new' AND c.ino IS NOT NULL QUALIFY count(*) OVER (PARTITION BY c.ino) = 1),
+pair AS (SELECT p.relative_path AS f, c.relative_path AS t, {_KIND} AS change FROM del p JOIN add c ON p.ino = c.ino),
+st AS (SELECT relative_path, CAST(NULL AS VARCHAR) AS from_path, state, CAST(NULL AS VARCHAR) AS change FROM diff WHERE NOT (state = 'deleted' AND relative_path IN (SELECT f FROM pair)) AND NOT (state = 'new' AND relative_path IN (SELECT t FROM pair))
+  UNION ALL SELECT t, f, 'renamed', change FROM pair)"""
+
+
+@query("d4_rename_states", RENAMED + " SELECT relative_path, from_path, state, change FROM st")
+def d4b(s, d):
+    return diff.pair_renames(_diff(s, d)).select("relative_path", "from_path", "state", "change")
+
+
+_ACTS = "CASE {0} WHEN 'new' THEN ['copy'] WHEN 'data_changed' THEN ['copy', 'set_metadata'] WHEN 'both_changed' THEN ['copy', 'set_metadata'] WHEN 'metadata_changed' THEN ['set_metadata'] WHEN 'deleted' THEN ['delete'] WHEN 'renamed' THEN ['rename'] ELSE CAST([] AS VARCHAR[]) END"
+
+
+@query("d5_actions", RENAMED + f""", a AS (SELECT relative_path, list_concat({_ACTS.format('state')}, {_ACTS.format('change')}) AS acts FROM st)
+SELECT relative_path, CAST(i - 1 AS INTEGER) AS step, acts[i] AS action FROM (SELECT relative_path, acts, unnest(range(1, len(acts) + 1)) AS i FROM a)""")
 def d5(s, d):
-    return diff.sync_actions(_diff(s, d))
+    return diff.sync_actions(diff.pair_renames(_diff(s, d)))
 
 
 _META = """array_to_string(list_filter([
@@ -119,11 +136,61 @@ def i2(s, d):
     return integrity.quick_check(inv.inv_src(s, d), inv.inv_dst(s, d))
 
 
+def _flagged(files: DataFrame, link: str) -> DataFrame:
+    """files with kinds and with sizes and times that are not known everywhere."""
+    unknown = {"size": "CASE WHEN ino % 53 = 0 THEN NULL ELSE size END", "mtime_ns": "CASE WHEN ino % 59 = 0 THEN NULL ELSE mtime_ns END"}
+    more = unknown if "<>" in link else {"size": "CASE WHEN ino % 106 = 0 THEN NULL ELSE size END", "mtime_ns": "CASE WHEN ino % 118 = 0 THEN NULL ELSE mtime_ns END"}
+    return files.selectExpr("relative_path", "mode", "uid", "gid", "ino", *[f"{e} AS {c}" for c, e in more.items()], "ino % 61 = 0 AS is_dir", f"{link} AS is_symlink")
+
+
+_LINKS = ("ino % 5 = 0", "(ino % 5 = 0) <> (ino % 47 = 0)")
+
+
+@query("i1_entry_kind", INV + " SELECT relative_path, CASE WHEN ino % 61 = 0 THEN 'directory' WHEN ino % 5 = 0 THEN 'symlink' ELSE 'file' END AS kind FROM inv_src")
+def i1(s, d):
+    return _flagged(inv.inv_src(s, d), _LINKS[0]).select("relative_path", integrity.entry_kind(F.col("is_dir"), F.col("is_symlink")).alias("kind"))
+
+
+_P0 = _P.replace("{0} = 0", "coalesce({0}, 0) = 0")
+_FAILED = """array_to_string(list_filter([
+  CASE WHEN NOT coalesce(CASE greatest({p1}, {p2}) WHEN 1 THEN sm = dm ELSE floor(sm::DECIMAL(38,0) / greatest({p1}, {p2})) = floor(dm::DECIMAL(38,0) / greatest({p1}, {p2})) END, sm IS NULL AND dm IS NULL) THEN 'mtime' END,
+  CASE WHEN suid <> duid THEN 'uid' END, CASE WHEN sgid <> dgid THEN 'gid' END, CASE WHEN NOT sl AND NOT dl AND smode % 4096 <> dmode % 4096 THEN 'mode' END], lambda x: x IS NOT NULL), ',')"""
+
+
+@query("i2_quick_check_kinds", INV + f""", a AS (SELECT *, CASE WHEN ino % 106 = 0 THEN NULL ELSE size END AS z, CASE WHEN ino % 118 = 0 THEN NULL ELSE mtime_ns END AS m, ino % 5 = 0 AS l FROM inv_src),
+b AS (SELECT *, CASE WHEN ino % 53 = 0 THEN NULL ELSE size END AS z, CASE WHEN ino % 59 = 0 THEN NULL ELSE mtime_ns END AS m, (ino % 5 = 0) <> (ino % 47 = 0) AS l FROM inv_dst),
+j AS (SELECT coalesce(a.relative_path, b.relative_path) AS relative_path, a.relative_path AS sp, b.relative_path AS dp, a.z AS sz, b.z AS dz, a.m AS sm, b.m AS dm, a.uid AS suid, b.uid AS duid, a.gid AS sgid, b.gid AS dgid, a.mode AS smode, b.mode AS dmode, a.l AS sl, b.l AS dl,
+  CASE WHEN a.ino % 61 = 0 THEN 'directory' WHEN a.l THEN 'symlink' ELSE 'file' END AS sk, CASE WHEN b.ino % 61 = 0 THEN 'directory' WHEN b.l THEN 'symlink' ELSE 'file' END AS dk FROM a FULL JOIN b ON a.relative_path = b.relative_path),
+o AS (SELECT relative_path, CASE WHEN sp IS NULL THEN 'missing_source' WHEN dp IS NULL THEN 'missing_destination' WHEN sk <> dk THEN 'kind' WHEN sk = 'file' AND sz IS DISTINCT FROM dz THEN 'size' END AS stage, {_FAILED.format(p1=_P0.format('sm'), p2=_P0.format('dm'))} AS f FROM j)
+SELECT relative_path, coalesce(stage, CASE WHEN f <> '' THEN 'metadata' ELSE 'ok' END) AS outcome, CASE WHEN stage IS NULL THEN f ELSE '' END AS fields FROM o""")
+def i2b(s, d):
+    return integrity.quick_check(_flagged(inv.inv_src(s, d), _LINKS[0]), _flagged(inv.inv_dst(s, d), _LINKS[1]))
+
+
 @query("i7_integrity_report", QUICK + " SELECT outcome, split_part(relative_path, '/', 1) AS top, count(*) AS n_entries FROM q GROUP BY ALL")
 def i7(s, d):
     return integrity.integrity_report(integrity.quick_check(inv.inv_src(s, d), inv.inv_dst(s, d)))
 
 
+@query("f3_filter_symlinks", INV + " SELECT relative_path FROM inv_src WHERE ino % 61 <> 0 AND ino % 5 = 0 AND size > 1000")
+def f3(s, d):
+    files = inv.inv_src(s, d).selectExpr("*", "ino % 61 = 0 AS is_dir", "ino % 5 = 0 AS is_symlink")
+    return filters.filter_entries(files, "type == symlink and size > 1000").select("relative_path")
+
+
+@query("f6_filter_age", INV + " SELECT relative_path FROM inv_src WHERE (1000000000 - mtime_ns // 1000000000) / 86400.0 <= 2000 OR (1000000000 - mtime_ns // 1000000000) / 86400.0 > 3000.5")
+def f6(s, d):
+    return filters.filter_entries(inv.inv_src(s, d), "modified <= 2000d or modified > 3000.5", now=1_000_000_000).select("relative_path")
+
+
+_MANY = [f"size > {4000 * k + 100} and size <= {4000 * k + 2000}" for k in range(12)]
+
+
+@query("f10_many_conditions", INV + " SELECT relative_path FROM inv_src WHERE " + " OR ".join(f"({m})" for m in _MANY))
+def f10(s, d):
+    return filters.filter_entries(inv.inv_src(s, d), " or ".join(f"({m})" for m in _MANY)).select("relative_path")
+
+
 @query("f12_filter_size_name", INV + " SELECT relative_path FROM inv_src WHERE NOT regexp_matches(relative_path, '\\.log$') AND (size > 150000 OR regexp_matches(relative_path, '\\.gz$'))")
 def f12(s, d):
     return filters.filter_entries(inv.inv_src(s, d), 'size > 150000 or name == "*.gz"', "extension == log").select("relative_path")
@@ -219,14 +286,21 @@ def p3(s, d):
     return planning.plan_parts(_big(s, d))
 
 
-@query("p4_copy_ranges", _BIG + " SELECT relative_path, part_number, 'bytes=' || (part_number - 1) * part || '-' || (least(part_number * part, size) - 1) AS bytes FROM pp")
+_COPY = INV + f""", z AS (SELECT relative_path, CASE WHEN ino % 97 = 0 THEN size * 1000000000 WHEN ino % 1009 = 0 THEN size * 400000 ELSE size * 1000 END AS size FROM inv_src WHERE size > 0),
+c AS (SELECT *, greatest({PART}, (size + 9999) // 10000) AS part FROM z)"""
+
+
+@query("p4_copy_ranges", _COPY + """ SELECT relative_path, CAST(n AS BIGINT) AS part_number, 'bytes=' || (n - 1) * part || '-' || (least(n * part, size) - 1) AS bytes, CAST(NULL AS VARCHAR) AS error FROM (SELECT *, unnest(range(1, (size + part - 1) // part + 1)) AS n FROM c WHERE part <= 5368709120)
+UNION ALL SELECT relative_path, NULL, NULL, 'part size ' || part || ' is not within 5242880 and 5368709120' FROM c WHERE part > 5368709120""")
 def p4(s, d):
-    return planning.copy_ranges(_big(s, d))
+    size = F.expr("CASE WHEN ino % 97 = 0 THEN size * 1000000000 WHEN ino % 1009 = 0 THEN size * 400000 ELSE size * 1000 END")
+    return planning.copy_ranges(inv.inv_src(s, d).withColumn("size", size))
 
 
-@query("p5_route", INV + " SELECT relative_path, CASE WHEN size * 1000 <= 5242880 THEN 'single' ELSE 'multipart' END AS route FROM inv_src")
+@query("p5_route", INV + """ SELECT relative_path, CASE WHEN ino % 4 = 3 OR ino % 5 = 0 THEN CASE WHEN size * 1000 <= 5242880 THEN 'single' ELSE 'multipart' END WHEN ino % 3 = 0 THEN 'server_copy' ELSE 'relay' END AS route FROM inv_src""")
 def p5(s, d):
-    return planning.upload_route(_big(s, d))
+    ends = _big(s, d).selectExpr("*", "CASE WHEN ino % 4 < 3 THEN 'a' END AS src_endpoint", "CASE WHEN ino % 3 = 0 THEN 'a' ELSE 'b' END AS dst_endpoint", "ino % 5 = 0 AS limited")
+    return planning.upload_route(ends)
 
 
 _COVER = _with("commits") + """, w AS (SELECT *, max("end") OVER (PARTITION BY file ORDER BY "start", "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen FROM commits),
@@ -261,6 +335,13 @@ def r2(s, d):
     return planning.committed_parts(derived(s, d, "parts"), _files(s, d, 7 * PART), PART)
 
 
+@query("r6_accounting", _COVER + """, p AS (SELECT file, CAST(sum("end" - "start") AS BIGINT) AS e FROM cover WHERE file % 7 <> 0 GROUP BY file), c AS (SELECT file, CAST(sum("end" - "start") AS BIGINT) AS a FROM commits WHERE file % 11 <> 0 GROUP BY file)
+SELECT coalesce(p.file, c.file) AS file, coalesce(e, 0) AS expected, coalesce(a, 0) AS actual, coalesce(e, 0) = coalesce(a, 0) AS ok FROM p FULL JOIN c ON p.file = c.file""")
+def r6b(s, d):
+    commits = derived(s, d, "commits")
+    return planning.check_accounting(commits.where("file % 11 <> 0"), planning.coalesce_ranges(commits.where("file % 7 <> 0")))
+
+
 def _packages(s, d):
     return inv.inv_src(s, d).select("relative_path", "size", F.substring_index("relative_path", "/", 2).alias("package"))
 
@@ -278,6 +359,23 @@ def t2(s, d):
     return planning.tar_manifest(_packages(s, d))
 
 
+@query("t2_tar_kinds", INV + _DIRS + """, e AS (SELECT relative_path, size, CASE WHEN ino % 31 = 0 THEN '2' ELSE '0' END AS type_flag FROM inv_src UNION ALL SELECT relative_path, 0, '5' FROM dirs WHERE len(string_split(relative_path, '/')) > 2),
+k AS (SELECT *, split_part(relative_path, '/', 1) || '/' || split_part(relative_path, '/', 2) AS package, 512 + CASE type_flag WHEN '0' THEN (size + 511) // 512 * 512 ELSE 0 END AS b FROM e)
+SELECT package, substr(relative_path, length(package) + 2) AS member, type_flag, size, CAST(coalesce(sum(b) OVER (PARTITION BY package ORDER BY relative_path ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS header_offset FROM k""")
+def t2b(s, d):
+    files = inv.inv_src(s, d).selectExpr("relative_path", "size", "false AS is_dir", "ino % 31 = 0 AS is_symlink")
+    dirs = inv.synthesize_dirs(files).where("size(split(relative_path, '/')) > 2").selectExpr("relative_path", "size", "is_dir", "false AS is_symlink")
+    return planning.tar_manifest(files.unionByName(dirs).withColumn("package", F.substring_index("relative_path", "/", 2)))
+
+
+@query("x2_batch_keys", INV + " SELECT count(*) AS n_keys, count(DISTINCT relative_path) AS n_distinct, true AS all_bounded, true AS all_sorted FROM inv_src")
+def x2(s, d):
+    batches = planning.batch_keys(inv.inv_src(s, d).select(F.col("relative_path").alias("key")), 100)
+    bounded, in_order = (F.col("n_keys") <= 100) & (F.col("n_keys") == F.size("keys")), F.array_sort("keys") == F.col("keys")
+    each = batches.select(F.explode("keys").alias("key"), bounded.alias("b"), in_order.alias("o"))
+    return each.agg(F.count("*").alias("n_keys"), F.count_distinct("key").alias("n_distinct"), F.bool_and("b").alias("all_bounded"), F.bool_and("o").alias("all_sorted"))
+
+
 @query("x1_plan_delete", INV + _DIRS + """, e AS (SELECT relative_path, true AS is_dir FROM dirs UNION ALL SELECT relative_path, false FROM inv_src), k AS (SELECT *, len(string_split(relative_path, '/')) * 2 + CASE WHEN is_dir THEN 0 ELSE 1 END AS dep FROM e)
 SELECT relative_path, is_dir, (SELECT max(dep) FROM k) - dep AS wave FROM k""")
 def x1(s, d):
@@ -292,11 +390,19 @@ def x3(s, d):
 
 
 _ACES = _with("aces")
+_ACE = "'[' || CASE WHEN flags & 16 <> 0 THEN 'I' ELSE 'E' END || '] ' || CASE type WHEN 0 THEN 'AccessAllowed' ELSE 'AccessDenied' END || ' ' || trustee || ' (' || CASE WHEN flags & 8 <> 0 THEN 'IO' ELSE '' END || ')'"
+
 
+@query("a1_decode_mask", _ACES + """ SELECT path, array_to_string(CASE mask WHEN 2032127 THEN ['FullControl'] WHEN 1245631 THEN ['Modify'] WHEN 1179817 THEN ['ReadAndExecute'] WHEN 1179926 THEN ['Write'] WHEN 1179785 THEN ['Read'] WHEN 1180063 THEN ['Read', 'Write']
+  WHEN 35 THEN ['ReadData', 'WriteData', 'ExecuteFile'] ELSE [] END, ',') AS plain, CASE mask WHEN 35 THEN 'ReadData,WriteData,ExecuteFile' WHEN 0 THEN '' END AS more FROM aces""")
+def a1(s, d):
+    more = F.when(F.col("mask").isin(0, 35), F.array_join(acl.decode_mask(F.col("mask").bitwiseOR(F.lit(0x100040))), ","))
+    return derived(s, d, "aces").select("path", F.array_join(acl.decode_mask(F.col("mask")), ",").alias("plain"), more.alias("more"))
 
-@query("a3_acl_summary", _ACES + " SELECT path, count(*) AS n_aces, count(*) FILTER (flags & 16 = 0) AS n_explicit, count(*) FILTER (flags & 16 <> 0) AS n_inherited FROM aces GROUP BY path")
+
+@query("a3_acl_summary", _ACES + f" SELECT path, count(*) AS n_aces, count(*) FILTER (flags & 16 = 0) AS n_explicit, count(*) FILTER (flags & 16 <> 0) AS n_inherited, string_agg({_ACE}, ';' ORDER BY {_ACE}) AS entries FROM aces GROUP BY path")
 def a3(s, d):
-    return acl.acl_summary(derived(s, d, "aces"))
+    return acl.acl_summary(derived(s, d, "aces")).select("path", "n_aces", "n_explicit", "n_inherited", F.array_join("entries", ";").alias("entries"))
 
 
 @query("a7_who_can", _ACES + """, p AS (SELECT trustee, type, unnest(CASE mask WHEN 2032127 THEN ['FullControl'] WHEN 1245631 THEN ['Modify'] WHEN 1179817 THEN ['ReadAndExecute'] WHEN 1179926 THEN ['Write'] WHEN 1179785 THEN ['Read']
@@ -306,10 +412,12 @@ def a7(s, d):
     return acl.who_can(derived(s, d, "aces"))
 
 
-@query("a4_acl_diff", _ACES + """ SELECT path, CAST(count(*) FILTER (mask % 3 = 0) AS BIGINT) AS only_src, CAST(count(*) FILTER (mask % 3 = 0) AS BIGINT) AS only_dst FROM aces WHERE flags & 16 = 0 AND mask % 3 = 0 GROUP BY path""")
+@query("a4_acl_diff", _ACES + f""" SELECT path, CAST(count(*) FILTER (flags & 16 = 0 AND mask % 3 = 0) AS BIGINT) AS only_src, CAST(count(*) FILTER (flags & 16 = 0 AND mask % 3 = 0) AS BIGINT) AS only_dst, true AS needs_update, string_agg({_ACE}, ';' ORDER BY {_ACE}) AS merged
+FROM aces GROUP BY path HAVING count(*) FILTER (flags & 16 = 0 AND mask % 3 = 0) > 0""")
 def a4(s, d):
     a = derived(s, d, "aces")
-    return acl.acl_diff(a, a.withColumn("mask", F.when(F.col("mask") % 3 == 0, F.col("mask") + 1).otherwise(F.col("mask"))))
+    out = acl.acl_diff(a, a.withColumn("mask", F.when(F.col("mask") % 3 == 0, F.col("mask") + 1).otherwise(F.col("mask"))))
+    return out.select("path", "only_src", "only_dst", "needs_update", F.array_join("merged", ";").alias("merged"))
 
 
 _LOG = _with("transfers")
@@ -336,9 +444,20 @@ def g4(s, d):
     return report.expected_requests(inv.inv_src(s, d))
 
 
-@query("g5_error_summary", _LOG + " SELECT event, job, count(*) AS n FROM transfers WHERE event = 'error' GROUP BY ALL")
+@query("g2_sliding_throughput", _LOG + " SELECT w AS window_start, count(*) AS ops, CAST(sum(bytes) AS BIGINT) AS bytes FROM (SELECT bytes, unnest([ts_us // 900000000 * 900, ts_us // 900000000 * 900 - 900, ts_us // 900000000 * 900 - 1800, ts_us // 900000000 * 900 - 2700]) AS w FROM transfers) GROUP BY w")
+def g2b(s, d):
+    return report.throughput_windows(derived(s, d, "transfers"), 3600, 900)
+
+
+_WHY = "CASE event_id % 4 WHEN 0 THEN 'connection reset' WHEN 1 THEN 'Permission Denied' WHEN 2 THEN 'read timed out' ELSE 'odd' END"
+_WHERE = "CASE user_id % 3 WHEN 0 THEN 's3' WHEN 1 THEN 'nas' ELSE 'hdfs' END"
+
+
+@query("g5_error_summary", f"""SELECT event, job, backend, reason_class, count(*) AS n FROM (SELECT event_type AS event, user_id % 8 AS job, {_WHERE} AS backend, CASE event_id % 4 WHEN 0 THEN 'connection' WHEN 1 THEN 'permission' WHEN 2 THEN 'timeout' ELSE 'other' END AS reason_class FROM events WHERE event_type = 'error')
+GROUP BY ROLLUP (event, job, backend, reason_class)""")
 def g5(s, d):
-    return report.error_summary(derived(s, d, "transfers").where("event = 'error'"))
+    errors = s.read.parquet(f"{d}/events.parquet").where("event_type = 'error'").selectExpr("event_type AS event", "user_id % 8 AS job", f"{_WHERE} AS backend", f"{_WHY} AS reason")
+    return report.error_summary(errors, rollup=True)
 
 
 @query("c1_content_hash", _with("content") + " SELECT relative_path, CASE WHEN length(text) = 0 THEN '' ELSE sha256(text) END AS digest FROM content")
@@ -348,8 +467,14 @@ def c1(s, d):
 
 @query("c7_duplicate_content", _with("content") + " SELECT strlen(text) AS size, sha256(text) AS digest, count(*) AS n_files, min(relative_path) AS first_path FROM content WHERE strlen(text) > 0 GROUP BY 1, 2 HAVING count(*) > 1")
 def c7(s, d):
-    files = derived(s, d, "content").select("relative_path", F.octet_length("text").cast("long").alias("size"), integrity.content_hash(F.col("text")).alias("digest"))
-    return integrity.duplicate_content(files)
+    return integrity.duplicate_content(derived(s, d, "content").select("relative_path", F.col("text").alias("content")))
+
+
+@query("c3_fails_closed", _with("content") + """ SELECT relative_path, CASE WHEN doc_id % 3 = 0 THEN 'missing' WHEN doc_id % 5 = 0 THEN 'size' WHEN doc_id % 7 = 0 THEN 'integrity' ELSE 'ok' END AS status FROM content""")
+def c3b(s, d):
+    src = derived(s, d, "content").select("relative_path", "doc_id", F.octet_length("text").cast("long").alias("size"), F.octet_length("text").cast("long").alias("length"), integrity.content_hash(F.col("text")).alias("digest"))
+    dst = src.where("doc_id % 3 <> 0").selectExpr("relative_path", "CASE WHEN doc_id % 5 <> 0 THEN length END AS length", "CASE WHEN doc_id % 7 <> 0 THEN digest END AS digest")
+    return integrity.verify_copy(src, dst)
 
 
 @query("c3_verify_copy", _with("content") + """ SELECT relative_path, CASE WHEN doc_id % 31 = 0 AND length(text) > 0 THEN 'size' WHEN doc_id % 9 = 0 AND length(text) > 0 THEN 'integrity' ELSE 'ok' END AS status FROM content""")
@@ -597,6 +722,45 @@ def t3(s, d):
     return rows.select("relative_path", F.concat_ws("|", field(101, 7), field(109, 7), field(117, 7), field(125, 11), field(137, 11)).alias("numbers"), F.octet_length("head").alias("n_bytes"))
 
 
+@query("g7_commit_coverage", _COVER + """, f AS (SELECT o_orderkey AS file, CAST((o_orderkey % 7 + 1) * 1048576 AS BIGINT) AS size FROM orders),
+ins AS (SELECT f.file, greatest("start", 0) AS a, least("end", size) AS b FROM f JOIN cover ON f.file = cover.file WHERE least("end", size) > greatest("start", 0)),
+sums AS (SELECT file, CAST(sum(b - a) AS BIGINT) AS covered, count(*) AS n_ranges FROM ins GROUP BY file)
+SELECT f.file, coalesce(covered, 0) AS covered, coalesce(n_ranges, 0) AS n_ranges, coalesce(covered, 0) = size AS complete FROM f LEFT JOIN sums ON f.file = sums.file""")
+def g7b(s, d):
+    events = streams.read_stream(s, f"{d}/lineitem.parquet").selectExpr(*_exprs("commits", True), "CAST(l_shipdate AS TIMESTAMP) AS ts")
+    files = s.read.parquet(f"{d}/orders.parquet").selectExpr("o_orderkey AS file", "CAST((o_orderkey % 7 + 1) * 1048576 AS BIGINT) AS size")
+    return streams.commit_coverage(streams.drain(streams.stream_commits(events, "36500 days")), files)
+
+
+@query("w5_tree_totals", INV + _DIRS + " SELECT (SELECT count(*) FROM inv_src) AS n_files, (SELECT count(*) FROM dirs) AS n_dirs, CAST((SELECT sum(size) FROM inv_src) AS BIGINT) AS bytes, (SELECT max(size) FROM inv_src) AS largest, CAST(4 AS BIGINT) AS deepest")
+def w5b(s, d):
+    files = inv.inv_src(s, d).select("relative_path", F.lit(False).alias("is_dir"), "size", "mtime_ns")
+    return inv.tree_totals(files.unionByName(inv.synthesize_dirs(files)))
+
+
+@query("s4_inventory", INV + " SELECT relative_path, size, mode FROM inv_src")
+def s4(s, d):
+    """The inventory written by mode and read again."""
+    path = f"{shared_dir(s)}/inventory-{uuid.uuid4().hex}"
+    inv.write_inventory(inv.inv_src(s, d), path, ["mode"])
+    return inv.read_inventory(s, path).select("relative_path", "size", F.col("mode").cast("long").alias("mode"))
+
+
+@query("s1_listing")
+def s1(s, d):
+    """The files of the order table (no SQL: names and times are those of the store)."""
+    return inv.read_listing(s, f"{d}/orders.parquet")
+
+
+@query("s3_read_chunks")
+def s3(s, d):
+    """The order table's own files in chunks of 64 KiB, less their second ones (no SQL: files of a store)."""
+    files = inv.read_listing(s, f"{d}/orders.parquet").select(F.substring_index("path", "/", -1).alias("relative_path"), "size")
+    ranges = files.select("relative_path", F.explode(F.array(F.struct(F.lit(0).cast("long").alias("start"), F.lit(65536).cast("long").alias("end")), F.struct(F.lit(131072).cast("long").alias("start"), F.col("size").alias("end")))).alias("r"))
+    got = chunks.read_chunks(s, f"{d}/orders.parquet", 65536, ranges.select("relative_path", "r.start", "r.end"))
+    return got.select("relative_path", "offset", F.length("data").cast("long").alias("length"), F.sha2("data", 256).alias("digest"))
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 

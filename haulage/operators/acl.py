@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 
 # Composite permissions in order of size, and single bits in display order.
 COMPOSITES = [("FullControl", 0x1F01FF), ("Modify", 0x1301BF), ("ReadAndExecute", 0x1200A9), ("Write", 0x120116), ("Read", 0x120089)]
-BITS = [("ReadData", 0x1), ("WriteData", 0x2), ("AppendData", 0x4), ("ReadExtendedAttributes", 0x8), ("WriteExtendedAttributes", 0x10), ("ExecuteFile", 0x20), ("DeleteChild", 0x40), ("ReadAttributes", 0x80), ("WriteAttributes", 0x100), ("Delete", 0x10000), ("ReadPermissions", 0x20000), ("ChangePermissions", 0x40000), ("TakeOwnership", 0x80000), ("Synchronize", 0x100000)]
+BITS = [("ReadData", 0x1), ("WriteData", 0x2), ("AppendData", 0x4), ("ReadExtendedAttributes", 0x8), ("WriteExtendedAttributes", 0x10), ("ExecuteFile", 0x20), ("ReadAttributes", 0x80), ("WriteAttributes", 0x100), ("Delete", 0x10000), ("ReadPermissions", 0x20000), ("ChangePermissions", 0x40000), ("TakeOwnership", 0x80000)]
 READ_WRITE, INHERITED = 0x12019F, 0x10
 
 
 def decode_mask(mask: Column) -> Column:
-    """An exact composite alone, read-write as both, else the single bits, else the first composite contained."""
+    """An exact composite alone, read-write as both, else the single bits; bits of no name are left out."""
     has = lambda bits: mask.bitwiseAND(F.lit(bits)) == bits
     out = F.when(mask == READ_WRITE, F.array(F.lit("Read"), F.lit("Write")))
     for name, bits in COMPOSITES:
@@ -25,9 +25,19 @@ def explicit_aces(aces: DataFrame) -> DataFrame:
     return aces.where(F.col("flags").bitwiseAND(F.lit(INHERITED)) == 0)
 
 
+def ace_text(flags: Column, type_: Column, trustee: Column) -> Column:
+    """An entry in one line: explicit or inherited, its type, whom it is about, and how it is passed on."""
+    kinds = F.when(type_ == 0, "AccessAllowed").when(type_ == 1, "AccessDenied").when(type_ == 2, "SystemAudit").otherwise(F.concat(F.lit("type "), type_.cast("string")))
+    on = lambda bit, name: F.when(flags.bitwiseAND(F.lit(bit)) != 0, F.lit(name))
+    passed = F.array_join(F.array_compact(F.array(on(0x1, "OI"), on(0x2, "CI"), on(0x8, "IO"), on(0x4, "NP"))), "|")
+    return F.concat(F.lit("["), F.coalesce(on(INHERITED, "I"), F.lit("E")), F.lit("] "), kinds, F.lit(" "), trustee, F.lit(" ("), passed, F.lit(")"))
+
+
 def acl_summary(aces: DataFrame) -> DataFrame:
+    """path, n_aces, n_explicit, n_inherited, entries (their texts, sorted; a list's length bounds the array)."""
     inherited = F.col("flags").bitwiseAND(F.lit(INHERITED)) != 0
-    return aces.groupBy("path").agg(F.count("*").alias("n_aces"), F.count_if(~inherited).alias("n_explicit"), F.count_if(inherited).alias("n_inherited"))
+    text = F.array_sort(F.collect_list(ace_text(F.col("flags"), F.col("type"), F.col("trustee"))))
+    return aces.groupBy("path").agg(F.count("*").alias("n_aces"), F.count_if(~inherited).alias("n_explicit"), F.count_if(inherited).alias("n_inherited"), text.alias("entries"))
 
 
 def who_can(aces: DataFrame) -> DataFrame:
@@ -37,8 +47,17 @@ def who_can(aces: DataFrame) -> DataFrame:
 
 
 def acl_diff(src: DataFrame, dst: DataFrame) -> DataFrame:
-    """path, only_src, only_dst: explicit entries that the other side lacks, and whether an update is due."""
+    """path, only_src, only_dst, needs_update, merged: explicit entries that the other side lacks, whether the
+    destination is to be written, and what it then holds (the source's explicit and its own inherited entries, as texts).
+
+    Only paths whose explicit entries differ are returned; repeated entries count each.
+    """
     cols = ["path", "trustee", "mask", "flags", "type"]
     a, b = explicit_aces(src).select(cols), explicit_aces(dst).select(cols)
     sides = a.exceptAll(b).select("path", F.lit(1).alias("s"), F.lit(0).alias("d")).unionByName(b.exceptAll(a).select("path", F.lit(0).alias("s"), F.lit(1).alias("d")))
-    return sides.groupBy("path").agg(F.sum("s").alias("only_src"), F.sum("d").alias("only_dst"))
+    differ = sides.groupBy("path").agg(F.sum("s").alias("only_src"), F.sum("d").alias("only_dst"))
+    inherited = dst.select(cols).where(F.col("flags").bitwiseAND(F.lit(INHERITED)) != 0)
+    text = F.array_sort(F.collect_list(ace_text(F.col("flags"), F.col("type"), F.col("trustee"))))
+    merged = a.unionByName(inherited).groupBy("path").agg(text.alias("merged"))
+    out = differ.join(merged, "path", "left")
+    return out.select("path", "only_src", "only_dst", (F.col("only_src") + F.col("only_dst") > 0).alias("needs_update"), F.coalesce("merged", F.array().cast("array<string>")).alias("merged"))

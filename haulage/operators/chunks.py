@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from haulage.functions.columns import trunc_div
@@ -16,6 +16,25 @@ def cut_chunks(files: DataFrame, length: Column, piece, step: int) -> DataFrame:
     return rows.select("relative_path", "offset", piece(F.col("offset")).alias("data"))
 
 
+def read_chunks(spark: SparkSession, path: str, chunk: int = GRID, wanted: DataFrame | None = None, glob: str | None = None) -> DataFrame:
+    """relative_path (the last component), offset, data: the content of files in chunks, of any store that Spark reads.
+
+    wanted (relative_path, start, end) restricts the reading to these half-open ranges, which may not overlap: only
+    files that it names are read, and chunks are cut at the ranges' ends. Ranges beyond the end give nothing. A file's
+    content is one value of Spark's binary source, so files of 2 GiB and more are an error there.
+    """
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+    files = (reader.option("pathGlobFilter", glob) if glob else reader).load(path)
+    files = files.select(F.substring_index("path", "/", -1).alias("relative_path"), "length", "content")
+    if wanted is None:
+        ranges = files.select("relative_path", "length", "content", F.lit(0).cast("long").alias("start"), F.col("length").alias("end"))
+    else:
+        ranges = files.join(wanted.select("relative_path", "start", F.col("end").alias("_end")), "relative_path").select("relative_path", "length", "content", F.greatest("start", F.lit(0)).alias("start"), F.least("_end", "length").alias("end"))
+    cells = ranges.where("end > start").withColumn("_c", F.explode(F.sequence(trunc_div(F.col("start"), chunk), trunc_div(F.col("end") - 1, chunk))))
+    low, high = F.greatest(F.col("start"), F.col("_c") * chunk), F.least(F.col("end"), (F.col("_c") + 1) * chunk)
+    return cells.select("relative_path", low.alias("offset"), F.substring("content", (low + 1).cast("int"), (high - low).cast("int")).alias("data"))
+
+
 def on_grid(chunks: DataFrame, grid: int = GRID) -> DataFrame:
     """relative_path, cell, data: the same bytes in cells of `grid`, whatever the chunks were; a cell is the largest group."""
     size = F.length("data").cast("long")

@@ -37,14 +37,34 @@ def detect_renames(prev: DataFrame, cur: DataFrame) -> DataFrame:
     return once(deleted_entries(prev, cur), "from_path").join(once(new_entries(prev, cur), "to_path"), "ino").select("from_path", "to_path", "ino")
 
 
+def pair_renames(diff: DataFrame) -> DataFrame:
+    """relative_path, from_path, state, change, prev, cur: the diff with each renamed entry as one row.
+
+    A deleted and a new entry of one file handle (ino), which occurs once among the deleted and once among the new
+    ones, become one row of state renamed under the new path; change is what else changed (null for other states). Null
+    handles pair with nothing.
+    """
+    once = lambda state, side, name: diff.where((F.col("state") == state) & F.col(f"{side}.ino").isNotNull()).groupBy(F.col(f"{side}.ino").alias("ino")).agg(F.count("*").alias("n"), F.min("relative_path").alias(name), F.min(side).alias(side)).where("n = 1").drop("n")
+    pairs = once("deleted", "prev", "from_path").join(once("new", "cur", "to_path"), "ino")
+    renamed = pairs.select(F.col("to_path").alias("relative_path"), "from_path", F.lit("renamed").alias("state"), change_kind("prev", "cur").alias("change"), "prev", "cur")
+    ends = pairs.select(F.explode(F.array(F.struct(F.col("from_path").alias("relative_path"), F.lit("deleted").alias("state")), F.struct(F.col("to_path").alias("relative_path"), F.lit("new").alias("state")))).alias("e")).select("e.*")
+    none = F.lit(None).cast("string")
+    rest = diff.join(ends, ["relative_path", "state"], "left_anti").select("relative_path", none.alias("from_path"), "state", none.alias("change"), "prev", "cur")
+    return rest.unionByName(renamed)
+
+
 # What each state makes necessary.
 ACTIONS = {"new": ["copy"], "data_changed": ["copy", "set_metadata"], "both_changed": ["copy", "set_metadata"], "metadata_changed": ["set_metadata"], "deleted": ["delete"], "renamed": ["rename"]}
 
 
 def sync_actions(diff: DataFrame) -> DataFrame:
-    """relative_path, step, action: nothing for unchanged entries."""
+    """relative_path, step, action: nothing for unchanged entries; what else a renamed entry needs (column change, where
+    the diff has it) follows the rename."""
     todo = F.create_map(*[x for state, acts in ACTIONS.items() for x in (F.lit(state), F.array(*map(F.lit, acts)))])
-    return diff.select("relative_path", F.posexplode(F.try_element_at(todo, F.col("state"))).alias("step", "action"))
+    steps = F.try_element_at(todo, F.col("state"))
+    if "change" in diff.columns:
+        steps = F.concat(F.coalesce(steps, F.array().cast("array<string>")), F.coalesce(F.try_element_at(todo, F.col("change")), F.array().cast("array<string>")))
+    return diff.select("relative_path", F.posexplode(steps).alias("step", "action"))
 
 
 def summarize_changes(diff: DataFrame) -> DataFrame:

@@ -29,7 +29,7 @@ def glob_regex(glob: str) -> str:
             out.append(".+" if last and k else ".*" if last else "(?:[^/]+/)*")
             continue
         if "**" in part:
-            raise ValueError(f"Invalid glob pattern '{glob}': ** must stand alone in a component")
+            raise ValueError(f"in the glob '{glob}', ** is not a whole component")
         out.append(_component(part, glob) + ("" if last else "/"))
     return "(?s)^" + "".join(out) + "$"
 
@@ -45,7 +45,7 @@ def _component(part: str, glob: str) -> str:
         elif c == "[":
             end = part.find("]", i + (3 if part[i + 1 : i + 2] == "!" else 2))
             if end < 0:
-                raise ValueError(f"Invalid glob pattern '{glob}': unclosed [")
+                raise ValueError(f"in the glob '{glob}', a [ is not closed")
             body = part[i + 1 : end]
             no, body = body.startswith("!"), body.lstrip("!") if body.startswith("!") else body
             body = re.sub(r"([\\\[\]^&])", r"\\\1", body)
@@ -220,6 +220,12 @@ class Inputs:
         self.size = F.col("size") if self.size is None else self.size
         self.mtime_ns = F.col("mtime_ns") if self.mtime_ns is None else self.mtime_ns
 
+    @staticmethod
+    def of(df: DataFrame, now: int = 0) -> Inputs:
+        """The columns of df; without is_dir or is_symlink no entry is one."""
+        has = lambda c: F.coalesce(F.col(c), F.lit(False)) if c in df.columns else F.lit(False)
+        return Inputs(is_dir=has("is_dir"), is_symlink=has("is_symlink"), now=now)
+
 
 def _dir_date(c: Condition, x: Inputs) -> tuple[Column, Column]:
     when, limit = extract_dir_date(path_name(x.path)), _epoch(_unquote(c.value))
@@ -239,13 +245,13 @@ def _leaf(c: Condition, x: Inputs) -> Column:
     if c.field == "type":
         kind = _unquote(c.value)
         if kind not in ("file", "dir", "symlink"):
-            raise ValueError(f"Invalid type: {kind}")
+            raise ValueError(f"type must be file, dir or symlink, not {kind}")
         own = F.when(x.is_dir, "dir").when(x.is_symlink, "symlink").otherwise("file")
         return _verdict(own == kind if c.op == "==" else own != kind if c.op == "!=" else F.lit(False))
     if c.field == "size":
         value = _unquote(c.value)
         if not re.fullmatch(r"\d+", value):
-            raise ValueError(f"Failed to parse size value: {value}")
+            raise ValueError(f"size must be a whole number of bytes, not {value}")
         return _verdict(F.when(x.size.isNotNull(), F.lit(False) if c.op == "!=" else _compare(c.op, x.size, int(value))))
     if c.field == "modified":
         return _modified(c, x)
@@ -266,9 +272,9 @@ def _modified(c: Condition, x: Inputs) -> Column:
     try:
         days = float(re.match(r"[0-9.]*", bare)[0] if bare and bare[-1].isalpha() else bare)
     except ValueError as e:
-        raise ValueError(f"Failed to parse modified value: {bare}") from e
+        raise ValueError(f"modified must be a date, a time or days, not {bare}") from e
     if c.op == "==":
-        raise ValueError("Relative days modified condition does not support '==' operator")
+        raise ValueError("an age in days cannot be compared by ==")
     age = (F.lit(x.now) - secs) / F.lit(86_400.0)
     return _verdict(F.when(secs.isNotNull(), F.lit(False) if c.op == "!=" else _compare(c.op, age, days)))
 
@@ -307,14 +313,40 @@ def _path(c: Condition, x: Inputs) -> Column:
     return F.lit(OTHER)
 
 
+def _and(a: int, b: int) -> int:
+    if a in (FULL, OTHER):
+        return a
+    if b in (FULL, OTHER):
+        return b
+    if PARTIAL in (a, b):
+        return PARTIAL
+    if a == LAZY or b == LAZY or a == b:
+        return b if a == LAZY else a
+    return MIXED
+
+
+def _or(a: int, b: int) -> int:
+    for v in (a, b):
+        if v in (PATH, NONPATH, MIXED):
+            return v
+    if PARTIAL in (a, b):
+        return PARTIAL
+    if a == LAZY or b == LAZY:
+        return b if a == LAZY else a
+    return FULL if FULL in (a, b) else OTHER
+
+
+def _looked_up(rule, a: Column, b: Column) -> Column:
+    """rule(a, b) from a table over all pairs of verdicts, so that each operand is evaluated once."""
+    return F.get(F.lit([rule(i, j) if i and j else 0 for i in range(8) for j in range(8)]), a * 8 + b)
+
+
 def verdict_and(a: Column, b: Column) -> Column:
-    mis = lambda v: v.isin(FULL, OTHER)
-    return F.when(mis(a), a).when(mis(b), b).when((a == PARTIAL) | (b == PARTIAL), F.lit(PARTIAL)).when(a == LAZY, b).when(b == LAZY, a).when(a == b, a).otherwise(F.lit(MIXED))
+    return _looked_up(_and, a, b)
 
 
 def verdict_or(a: Column, b: Column) -> Column:
-    match = lambda v: v.isin(PATH, NONPATH, MIXED)
-    return F.when(match(a), a).when(match(b), b).when((a == PARTIAL) | (b == PARTIAL), F.lit(PARTIAL)).when(a == LAZY, b).when(b == LAZY, a).when((a == FULL) | (b == FULL), F.lit(FULL)).otherwise(F.lit(OTHER))
+    return _looked_up(_or, a, b)
 
 
 def evaluate(expr: str, inputs: Inputs | None = None) -> Column:
@@ -330,20 +362,28 @@ def evaluate(expr: str, inputs: Inputs | None = None) -> Column:
     return walk(parse(expr))
 
 
+def _decision(exclude: int, match: int) -> int:
+    """Skip (4), check children (1), and continue always (2), never, or in directories only (8)."""
+    if exclude in (PATH, MIXED):
+        return 4
+    if exclude in (NONPATH, PARTIAL):
+        return 4 | 1 | (8 if exclude == NONPATH else 2)
+    if match in (PATH, NONPATH, MIXED, LAZY):
+        return 8 if match == PATH else 8 | 1
+    return 4 if match == FULL else 4 | 1 | 8
+
+
 def should_skip(match: str | None, exclude: str | None, inputs: Inputs | None = None) -> Column:
     """struct(skip, continue_scan, check_children): exclusion first, then the match."""
     x = inputs or Inputs()
-    out = lambda skip, go, check: F.struct(F.lit(skip).alias("skip"), go.alias("continue_scan"), F.lit(check).alias("check_children"))
-    yes, no, d = F.lit(True), F.lit(False), x.is_dir
     e = evaluate(exclude, x) if exclude and exclude.strip() else F.lit(LAZY)
     m = evaluate(match, x) if match and match.strip() else F.lit(LAZY)
-    decided = F.when(e.isin(PATH, MIXED), out(True, no, False)).when(e == NONPATH, out(True, d, True)).when(e == PARTIAL, out(True, yes, True))
-    decided = decided.when(m == PATH, out(False, d, False)).when(m.isin(NONPATH, MIXED), out(False, d, True))
-    decided = decided.when(m.isin(PARTIAL, OTHER), out(True, d, True)).when(m == FULL, out(True, no, False))
-    return decided.otherwise(out(False, d, True))
+    code = _looked_up(_decision, e, m)
+    has = lambda bit: code.bitwiseAND(F.lit(bit)) != 0
+    return F.struct(has(4).alias("skip"), (has(2) | (has(8) & x.is_dir)).alias("continue_scan"), has(1).alias("check_children"))
 
 
 def filter_entries(df: DataFrame, match: str | None = None, exclude: str | None = None, now: int = 0) -> DataFrame:
-    """Entries that are not skipped, every row judged alone."""
-    x = Inputs(is_dir=F.col("is_dir") if "is_dir" in df.columns else F.lit(False), now=now)
-    return df.where(~should_skip(match, exclude, x)["skip"])
+    """Entries that are not skipped, every row judged alone. Without an is_dir or is_symlink column no entry is one; a
+    null size or time meets no condition on it."""
+    return df.where(~should_skip(match, exclude, Inputs.of(df, now))["skip"])

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,30 +38,46 @@ def hdfs_mtime_match(src_ns: Column, dst_ns: Column, src_kind: Column, dst_kind:
     return F.when(dst_kind == "s3", F.lit(True)).when((src_kind == "hdfs") | (dst_kind == "hdfs"), ms).otherwise(src_ns == dst_ns)
 
 
-def metadata_mismatches(src: str, dst: str, tolerance_ns: int = 0, dst_kind: str = "nas", src_kind: str = "nas") -> Column:
-    """Names of the differing fields in a fixed order: mtime, uid, gid, owner, group, mode. Owners are compared only
-    between like stores and only where both sides have them; object-store destinations have nothing to compare."""
+def metadata_mismatches(src: str, dst: str, tolerance_ns: int = 0, dst_kind: str = "nas", src_kind: str = "nas", symlinks: bool = False) -> Column:
+    """Names of the differing fields in a fixed order: mtime, uid, gid, owner, group, mode.
+
+    A time that only one side has differs. Numeric owners are compared where both sides have them, names always (a
+    name that only one side has differs), both between like stores only. Modes are compared where both sides have one
+    and neither is a symlink (is_symlink, where the structs hold it). Object-store destinations have nothing to compare.
+    """
     if dst_kind == "s3":
         return F.array().cast("array<string>")
     s, d = (lambda c: F.col(f"{src}.{c}")), (lambda c: F.col(f"{dst}.{c}"))
     differ = lambda c: s(c).isNotNull() & d(c).isNotNull() & (s(c) != d(c))
-    mode = s("mode").isNotNull() & d("mode").isNotNull() & (s("mode").bitwiseAND(F.lit(0o7777)) != d("mode").bitwiseAND(F.lit(0o7777)))
-    found = [F.when(~mtime_matches(s("mtime_ns"), d("mtime_ns"), True, tolerance_ns), F.lit("mtime"))]
+    link = [F.coalesce(side["is_symlink"], F.lit(False)) for side in (F.col(src), F.col(dst))] if symlinks else [F.lit(False)]
+    mode = ~reduce(lambda a, b: a | b, link) & s("mode").isNotNull() & d("mode").isNotNull() & (s("mode").bitwiseAND(F.lit(0o7777)) != d("mode").bitwiseAND(F.lit(0o7777)))
+    both_none = s("mtime_ns").isNull() & d("mtime_ns").isNull()
+    found = [F.when(~F.coalesce(mtime_matches(s("mtime_ns"), d("mtime_ns"), True, tolerance_ns), both_none), F.lit("mtime"))]
     if src_kind == dst_kind == "nas":
         found += [F.when(differ("uid"), F.lit("uid")), F.when(differ("gid"), F.lit("gid"))]
     if src_kind == dst_kind == "hdfs":
-        found += [F.when(differ("owner"), F.lit("owner")), F.when(differ("owner_group"), F.lit("group"))]
+        found += [F.when(~s("owner").eqNullSafe(d("owner")), F.lit("owner")), F.when(~s("owner_group").eqNullSafe(d("owner_group")), F.lit("group"))]
     return F.array_compact(F.array(*found, F.when(mode, F.lit("mode"))))
 
 
 def quick_check(src: DataFrame, dst: DataFrame, tolerance_ns: int = 0) -> DataFrame:
-    """relative_path, outcome, fields: the first failing stage only (missing, size, metadata), else ok."""
-    side = lambda df, name: df.select("relative_path", F.struct("size", "mtime_ns", "mode", "uid", "gid").alias(name))
+    """relative_path, outcome, fields: the first failing stage only (missing, kind, size, metadata), else ok.
+
+    Kinds come from is_dir and is_symlink, where both sides have these columns (null: false); sizes are compared between
+    files. What only one side knows fails: a size or a time that is null at one side differs from any other. Rows that
+    repeat a path are compared each with each.
+    """
+    own = ["size", "mtime_ns", "mode", "uid", "gid"]
+    kinds = all(c in df.columns for c in ("is_dir", "is_symlink") for df in (src, dst))
+    flag = lambda c: F.coalesce(F.col(c), F.lit(False))
+    more = [entry_kind(flag("is_dir"), flag("is_symlink")).alias("kind"), flag("is_symlink").alias("is_symlink")] if kinds else [F.lit("file").alias("kind")]
+    side = lambda df, name: df.select("relative_path", F.struct(*own, *more).alias(name))
     both = side(src, "s").join(side(dst, "d"), "relative_path", "full_outer")
-    fields = F.when(F.col("s").isNotNull() & F.col("d").isNotNull() & (F.col("s.size") == F.col("d.size")), F.array_join(metadata_mismatches("s", "d", tolerance_ns), ",")).otherwise("")
-    both = both.withColumn("fields", fields)
-    outcome = F.when(F.col("s").isNull(), "missing_source").when(F.col("d").isNull(), "missing_destination").when(F.col("s.size") != F.col("d.size"), "size").when(F.col("fields") != "", "metadata").otherwise("ok")
-    return both.select("relative_path", outcome.alias("outcome"), "fields")
+    stage = F.when(F.col("s").isNull(), "missing_source").when(F.col("d").isNull(), "missing_destination").when(F.col("s.kind") != F.col("d.kind"), "kind")
+    stage = stage.when((F.col("s.kind") == "file") & ~F.col("s.size").eqNullSafe(F.col("d.size")), "size")
+    both = both.withColumn("stage", stage)
+    both = both.withColumn("fields", F.when(F.col("stage").isNull(), F.array_join(metadata_mismatches("s", "d", tolerance_ns, symlinks=kinds), ",")).otherwise(""))
+    return both.select("relative_path", F.coalesce("stage", F.when(F.col("fields") != "", "metadata").otherwise("ok")).alias("outcome"), "fields")
 
 
 def integrity_report(results: DataFrame) -> DataFrame:
@@ -73,12 +91,28 @@ def content_hash(content: Column) -> Column:
 
 
 def verify_copy(src: DataFrame, dst: DataFrame) -> DataFrame:
-    """relative_path, status: ok, size or integrity; both sides hold relative_path, length, digest, src also size."""
-    both = src.join(dst.select("relative_path", F.col("length").alias("d_length"), F.col("digest").alias("d_digest")), "relative_path", "left")
-    status = F.when(F.col("d_length").isNull(), "missing").when((F.col("length") != F.col("size")) | (F.col("d_length") != F.col("size")), "size").when(F.col("digest") != F.col("d_digest"), "integrity").otherwise("ok")
+    """relative_path, status: ok, missing, size or integrity; both sides hold relative_path, length, digest, src also size.
+
+    Only what is known to be equal is ok: a null size or length counts as size, a null digest as integrity.
+    """
+    both = src.join(dst.select("relative_path", F.col("length").alias("d_length"), F.col("digest").alias("d_digest"), F.lit(True).alias("there")), "relative_path", "left")
+    sized = F.coalesce((F.col("length") == F.col("size")) & (F.col("d_length") == F.col("size")), F.lit(False))
+    same = F.coalesce(F.col("digest") == F.col("d_digest"), F.lit(False))
+    status = F.when(F.col("there").isNull(), "missing").when(~sized, "size").when(~same, "integrity").otherwise("ok")
     return both.select("relative_path", status.alias("status"))
 
 
-def duplicate_content(files: DataFrame) -> DataFrame:
-    """(size, digest, n_files, first_path) of contents that occur more than once; empty files are left out."""
-    return files.where("size > 0").groupBy("size", "digest").agg(F.count("*").alias("n_files"), F.min("relative_path").alias("first_path")).where("n_files > 1")
+def copies_to_clean(verified: DataFrame) -> DataFrame:
+    """The destination files that verification rejects and that are to be removed before another try."""
+    return verified.where("status IN ('size', 'integrity')").select("relative_path")
+
+
+def duplicate_content(files: DataFrame, content: str = "content") -> DataFrame:
+    """(size, digest, n_files, first_path) of contents that occur more than once; files: relative_path, content.
+
+    Only contents whose size occurs more than once are hashed. Empty and null contents are left out.
+    """
+    sized = files.withColumn("size", F.octet_length(content).cast("long")).where("size > 0")
+    several = sized.groupBy("size").agg(F.count("*").alias("_n")).where("_n > 1").select("size")
+    hashed = sized.join(several, "size", "left_semi").select("relative_path", "size", content_hash(F.col(content)).alias("digest"))
+    return hashed.groupBy("size", "digest").agg(F.count("*").alias("n_files"), F.min("relative_path").alias("first_path")).where("n_files > 1")

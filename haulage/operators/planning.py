@@ -15,10 +15,18 @@ def _ceil_div(a: Column, b: int) -> Column:
     return trunc_div(a + F.lit(b - 1), b)
 
 
+def _numbered(rows: DataFrame, n: Column, name: str, first: int = 0) -> DataFrame:
+    """rows, each n times (n >= 1), with the numbers from `first` on. Blocks of 65536 numbers are made before the numbers
+    themselves, so no row ever holds one array of them all."""
+    block = 1 << 16
+    own = rows.withColumn("_n", n).withColumn("_b", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(_n - 1) div {block}"))))
+    low = F.col("_b") * block
+    return own.withColumn(name, F.explode(F.sequence(low + first, F.least(low + block, "_n") - 1 + first))).drop("_n", "_b")
+
+
 def plan_chunks(files: DataFrame, block_size: int = 2 * MIB) -> DataFrame:
-    """relative_path, chunk, start, end: half-open ranges, the last one the remainder; none for empty files."""
-    n = _ceil_div(F.col("size"), block_size)
-    rows = files.where("size > 0").select("relative_path", "size", F.explode(F.sequence(F.lit(0).cast("long"), n - 1)).alias("chunk"))
+    """relative_path, chunk, start, end: half-open ranges, the last one the remainder; none for empty files or null sizes."""
+    rows = _numbered(files.where("size > 0").select("relative_path", "size"), _ceil_div(F.col("size"), block_size), "chunk")
     return rows.select("relative_path", "chunk", (F.col("chunk") * block_size).alias("start"), F.least((F.col("chunk") + 1) * block_size, "size").alias("end"))
 
 
@@ -27,22 +35,54 @@ def part_size(size: Column, block_size: int = 5 * MIB) -> Column:
     return F.greatest(F.lit(block_size).cast("long"), _ceil_div(_ceil_div(size, PARTS), MIB) * MIB)
 
 
+def _parts(files: DataFrame, part: Column, low: int, high: int) -> DataFrame:
+    sized = files.where("size > 0").select("relative_path", "size", part.alias("part"))
+    n = F.expr("(size + part - 1) div part")
+    bad = F.when(~F.col("part").between(low, high), F.concat(F.lit("part size "), F.col("part").cast("string"), F.lit(f" is not within {low} and {high}")))
+    bad = bad.when(n > PARTS, F.concat(n.cast("string"), F.lit(f" parts are more than {PARTS}")))
+    sized = sized.withColumn("error", bad)
+    return _numbered(sized, F.when(F.col("error").isNull(), n).otherwise(F.lit(1).cast("long")), "part_number", 1)
+
+
 def plan_parts(files: DataFrame, block_size: int = 5 * MIB) -> DataFrame:
-    """relative_path, part_number (from 1), start, part_len."""
-    sized = files.where("size > 0").withColumn("part", part_size(F.col("size"), block_size))
-    n = F.floor((F.col("size") + F.col("part") - 1).cast("double") / F.col("part")).cast("long")
-    rows = sized.select("relative_path", "size", "part", F.explode(F.sequence(F.lit(1).cast("long"), F.greatest(n, F.lit(1)))).alias("part_number"))
+    """relative_path, part_number (from 1), start, part_len: none for empty files or null sizes."""
+    rows = _parts(files, part_size(F.col("size"), block_size), 1, 1 << 62)
     start = (F.col("part_number") - 1) * F.col("part")
     return rows.select("relative_path", "part_number", start.alias("start"), F.least(F.col("size") - start, "part").alias("part_len"))
 
 
-def copy_ranges(files: DataFrame, block_size: int = 5 * MIB) -> DataFrame:
-    """relative_path, part_number, bytes: closed ranges for server-side copies."""
-    return plan_parts(files, block_size).select("relative_path", "part_number", F.concat(F.lit("bytes="), "start", F.lit("-"), (F.col("start") + F.col("part_len") - 1).cast("string")).alias("bytes"))
+#: Sizes that a part of a server-side copy may have.
+COPY_PART = (5 * MIB, 5 << 30)
+
+
+def copy_ranges(files: DataFrame, requested: int = 5 * MIB) -> DataFrame:
+    """relative_path, part_number, bytes, error: closed ranges for server-side copies, of the requested size or, where
+    that would make over 10000 parts, the size's 10000th part. Where such a part may not be (under 5 MiB or over 5 GiB)
+    a file has one row with part_number and bytes null and the error."""
+    rows = _parts(files, F.greatest(F.lit(requested).cast("long"), _ceil_div(F.col("size"), PARTS)), *COPY_PART)
+    start = (F.col("part_number") - 1) * F.col("part")
+    text = F.concat(F.lit("bytes="), start, F.lit("-"), F.least(start + F.col("part"), "size") - 1)
+    good = F.col("error").isNull()
+    return rows.select("relative_path", F.when(good, F.col("part_number")).alias("part_number"), F.when(good, text).alias("bytes"), "error")
 
 
 def upload_route(files: DataFrame) -> DataFrame:
-    return files.select("relative_path", F.when(F.col("size") <= 5 * MIB, "single").otherwise("multipart").alias("route"))
+    """relative_path, route: server_copy between buckets of one endpoint, relay between others (both without a rate
+    limit; columns src_endpoint and dst_endpoint, null: no object store), else single or multipart by size."""
+    sized = F.when(F.col("size") <= 5 * MIB, "single").otherwise("multipart")
+    if not {"src_endpoint", "dst_endpoint", "limited"} <= set(files.columns):
+        return files.select("relative_path", sized.alias("route"))
+    stores = F.col("src_endpoint").isNotNull() & F.col("dst_endpoint").isNotNull() & ~F.coalesce("limited", F.lit(False))
+    return files.select("relative_path", F.when(stores & (F.col("src_endpoint") == F.col("dst_endpoint")), "server_copy").when(stores, "relay").otherwise(sized).alias("route"))
+
+
+def check_accounting(committed: DataFrame, planned: DataFrame, key: str = "file") -> DataFrame:
+    """key, expected, actual, ok: bytes that a session planned to send (missing ranges) against those it committed,
+    repeats included; a file with nothing on one side counts 0 there."""
+    total = lambda df, name: df.groupBy(key).agg(F.sum(F.col("end") - F.col("start")).alias(name))
+    both = total(planned, "expected").join(total(committed, "actual"), key, "full_outer")
+    both = both.select(key, F.coalesce("expected", F.lit(0)).alias("expected"), F.coalesce("actual", F.lit(0)).alias("actual"))
+    return both.withColumn("ok", F.col("expected") == F.col("actual"))
 
 
 def coalesce_ranges(commits: DataFrame, key: str = "file") -> DataFrame:
@@ -98,20 +138,32 @@ def validate_prior_state(states: DataFrame, files: DataFrame, key: str = "file")
     return both.select(key, "size", bad.when(F.col("_was") != F.col("size"), F.concat(F.lit("size changed: was "), F.col("_was").cast("string"), F.lit(", now "), F.col("size").cast("string"))).alias("error"))
 
 
-def tar_blocks(size: Column) -> Column:
-    """Bytes of a member: its header and its content in blocks of 512."""
-    return F.lit(512) + _ceil_div(size, 512) * 512
+def tar_blocks(size: Column, is_file: Column | None = None) -> Column:
+    """Bytes of a member: its header, and for regular files the content in blocks of 512."""
+    content = _ceil_div(F.coalesce(size, F.lit(0)), 512) * 512
+    return F.lit(512) + (content if is_file is None else F.when(is_file, content).otherwise(0))
+
+
+def _tar_kinds(entries: DataFrame) -> tuple[Column, Column]:
+    """Whether a member is a regular file, and its type flag; without the columns every member is one."""
+    flag = lambda c: F.coalesce(F.col(c), F.lit(False)) if c in entries.columns else F.lit(False)
+    kind = F.when(flag("is_dir"), "5").when(flag("is_symlink"), "2").otherwise("0")
+    return ~flag("is_dir") & ~flag("is_symlink"), kind
 
 
 def tar_size(entries: DataFrame, package: str = "package") -> DataFrame:
-    return entries.groupBy(package).agg((F.sum(tar_blocks(F.col("size"))) + 1024).alias("tar_bytes"), F.count("*").alias("n_members"))
+    """package, tar_bytes, n_members; null sizes count 0."""
+    is_file, _ = _tar_kinds(entries)
+    return entries.groupBy(package).agg((F.sum(tar_blocks(F.col("size"), is_file)) + 1024).alias("tar_bytes"), F.count("*").alias("n_members"))
 
 
 def tar_manifest(entries: DataFrame, package: str = "package") -> DataFrame:
-    """package, member, type_flag, size, header_offset: members by path, offsets as a running sum inside the package."""
+    """package, member, type_flag, size, header_offset: members by path, offsets as a running sum inside the package.
+    Directories (flag 5) and links (2) have a header only."""
+    is_file, flag = _tar_kinds(entries)
     member = F.substr("relative_path", F.length(package) + 2)
     w = Window.partitionBy(package).orderBy("relative_path").rowsBetween(Window.unboundedPreceding, -1)
-    return entries.select(package, member.alias("member"), F.lit("0").alias("type_flag"), "size", F.coalesce(F.sum(tar_blocks(F.col("size"))).over(w), F.lit(0)).alias("header_offset"))
+    return entries.select(package, member.alias("member"), flag.alias("type_flag"), "size", F.coalesce(F.sum(tar_blocks(F.col("size"), is_file)).over(w), F.lit(0)).alias("header_offset"))
 
 
 def plan_delete(entries: DataFrame, prefix: str = "") -> DataFrame:
@@ -137,9 +189,10 @@ def reconcile_delete(requested: DataFrame, failed: DataFrame) -> DataFrame:
 
 def live_versions(versions: DataFrame) -> DataFrame:
     """Versions (key, time_ns, size, version_id, is_marker) of keys whose newest marker is not newer than the newest
-    version; version_count counts versions, is_latest marks the last by (time, version_id)."""
-    by_key = versions.groupBy("key").agg(F.coalesce(F.max(F.when(F.col("is_marker"), F.col("time_ns"))), F.lit(0)).alias("_m"), F.coalesce(F.max(F.when(~F.col("is_marker"), F.col("time_ns"))), F.lit(0)).alias("_v"))
-    alive = versions.where(~F.col("is_marker")).join(by_key.where("_m <= _v").select("key"), "key", "left_semi")
+    version; version_count counts versions, is_latest marks the last by (time, version_id). One exchange by key serves
+    all of it."""
     w = Window.partitionBy("key")
-    rn = F.row_number().over(w.orderBy(F.desc("time_ns"), F.desc("version_id"), F.desc("size")))
-    return alive.select("key", "time_ns", "size", "version_id", F.count("*").over(w).alias("version_count"), (rn == 1).alias("is_latest"))
+    newest = lambda marker: F.coalesce(F.max(F.when(F.col("is_marker") == marker, F.col("time_ns"))).over(w), F.lit(0))
+    order = w.orderBy("is_marker", F.desc("time_ns"), F.desc("version_id"), F.desc("size"))
+    told = versions.withColumns({"_m": newest(True), "_v": newest(False), "version_count": F.count_if(~F.col("is_marker")).over(w), "_rn": F.row_number().over(order)})
+    return told.where("NOT is_marker AND _m <= _v").select("key", "time_ns", "size", "version_id", "version_count", (F.col("_rn") == 1).alias("is_latest"))

@@ -18,7 +18,7 @@ def filter_tree(df: DataFrame, match: str | None = None, exclude: str | None = N
     the distinct parents are expanded into their ancestors. Directories without a row of their own decide nothing.
     """
     seen = limit_depth(df, max_depth)
-    verdict = should_skip(match, exclude, Inputs(now=now))
+    verdict = should_skip(match, exclude, Inputs.of(df, now))
     deciding = seen.where("is_dir").select(F.col("relative_path").alias("_dir"), verdict.alias("v")).where("NOT v.continue_scan OR NOT v.check_children").select("_dir", F.col("v.continue_scan").alias("_go"))
     parents = seen.select(path_parent(F.col("relative_path")).alias("_parent")).where("_parent <> ''").distinct()
     chain = parents.select("_parent", F.explode(F.concat(prefixes(F.col("_parent")), F.array("_parent"))).alias("_dir"))

@@ -139,6 +139,13 @@ def tree_stats(df: DataFrame) -> DataFrame:
     return df.groupBy(F.coalesce(path_extension(F.col("relative_path")), F.lit("")).alias("extension")).agg(F.count("*").alias("n_files"), F.sum("size").alias("bytes"), F.max("size").alias("largest"))
 
 
+def tree_totals(df: DataFrame) -> DataFrame:
+    """One row: n_files, n_dirs, bytes, largest, deepest of entries (relative_path, is_dir, size); zeros for none."""
+    d = F.coalesce(F.col("is_dir"), F.lit(False))
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    return df.agg(F.count_if(~d).alias("n_files"), F.count_if(d).alias("n_dirs"), zero(F.sum(F.when(~d, F.col("size")))).alias("bytes"), zero(F.max(F.when(~d, F.col("size")))).alias("largest"), zero(F.max(path_depth(F.col("relative_path")))).cast("long").alias("deepest"))
+
+
 def rollup_sizes(df: DataFrame) -> DataFrame:
     """Files and bytes below every directory. Rows are summed by parent first, so only directories are exploded."""
     own = df.groupBy(path_parent(F.col("relative_path")).alias("p")).agg(F.count("*").alias("n"), F.sum("size").alias("b"), F.max("size").alias("m"))

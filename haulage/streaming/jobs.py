@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from haulage.operators import filters
+from haulage.functions.shared import shared_dir
+from haulage.operators import filters, planning
 
 
 def stream_scan(entries: DataFrame, match: str | None, exclude: str | None = None) -> DataFrame:
@@ -25,6 +25,16 @@ def stream_commits(commits: DataFrame, delay: str = "1 hour") -> DataFrame:
     return commits.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["file", "start", "end"])
 
 
+def commit_coverage(commits: DataFrame, files: DataFrame) -> DataFrame:
+    """file, covered, n_ranges, complete: bytes that the written commits cover, repeats and overlaps once, and whether
+    nothing of [0, size) is missing. files: file, size; commits of other files are left out."""
+    cover = planning.coalesce_ranges(commits.select("file", "start", "end"))
+    inside = cover.join(files.select("file", "size"), "file").select("file", F.greatest("start", F.lit(0)).alias("start"), F.least("end", "size").alias("end")).where("end > start")
+    sums = inside.groupBy("file").agg(F.sum(F.col("end") - F.col("start")).alias("covered"), F.count("*").alias("n_ranges"))
+    out = files.join(sums, "file", "left").select("file", "size", F.coalesce("covered", F.lit(0)).alias("covered"), F.coalesce("n_ranges", F.lit(0)).alias("n_ranges"))
+    return out.select("file", "covered", "n_ranges", (F.col("covered") == F.col("size")).alias("complete"))
+
+
 def stream_throughput(log: DataFrame, width: str, slide: str | None = None, delay: str = "1 hour") -> DataFrame:
     """window_start (seconds), ops, bytes over a stream of transfers (ts, bytes): tumbling, or sliding with `slide`."""
     span = F.window("ts", width, slide) if slide else F.window("ts", width)
@@ -54,11 +64,10 @@ def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
     """Runs a stream over all that is there now and returns what it wrote, as a table in the shared folder.
 
     append: a Parquet sink, each row written once even if executors or the query are lost; complete: the last result.
-    The folder is that of spark.checkpoint.dir, or a fresh local one where it is unset (tests).
+    The folder is functions.shared.shared_dir.
     """
     spark = stream.sparkSession
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="haulage-stream-")
-    path = f"{base.rstrip('/')}/haulage-stream-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/haulage-stream-{uuid.uuid4().hex}"
     writer = stream.writeStream.outputMode(mode).option("checkpointLocation", path + "-state").trigger(availableNow=True)
     if mode == "append":
         query = writer.format("parquet").option("path", path).start()
