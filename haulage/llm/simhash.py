@@ -51,6 +51,8 @@ CELLS = _cell_masks(list(range(32)))
 #: A cell that outgrew a task is dealt again by the segments left over, now by their bits themselves: of six groups of
 #: those, three are untouched by three flipped bits.
 FINE_CELLS = [[mask for mask, _ in _cell_masks(rest)] for _, rest in CELLS]
+#: A fine cell that outgrew a task is dealt once more, by the bits themselves of the segments that the first cells took.
+FINEST_CELLS = [[mask for mask, _ in _cell_masks([s for s in range(32) if s not in set(rest)])] for _, rest in CELLS]
 
 
 def fingerprint(text: bytes | None) -> int:
@@ -148,7 +150,11 @@ def _links(cell: np.ndarray, doc: np.ndarray, fp: np.ndarray, radius: int) -> tu
 
 def _meet(keys: int, radius: int, most: int | None):
     """mapInArrow over rows (keys..., doc, fp) sorted by the keys: links inside cells; the rows of a cell of more
-    than `most` go on unlinked, to be dealt more finely."""
+    than `most` go on unlinked, with the numbers of their masks (the first key, or the first two), to be dealt more
+    finely."""
+
+    def masks(rows: np.ndarray) -> np.ndarray:
+        return rows[:, 0] if keys == 2 else rows[:, 0] * 32 + rows[:, 1]
 
     def out(kind: int, a, b, combo) -> pa.RecordBatch:
         n = len(a)
@@ -162,7 +168,7 @@ def _meet(keys: int, radius: int, most: int | None):
             if hot is not None:
                 same = np.all(rows[:, :keys] == np.frombuffer(hot, np.int64), axis=1)
                 if same.any():
-                    yield out(1, rows[same, keys], rows[same, keys + 1], rows[same, 0])
+                    yield out(1, rows[same, keys], rows[same, keys + 1], masks(rows[same]))
                 if same.all():
                     continue
                 hot, rows = None, rows[~same]
@@ -175,7 +181,7 @@ def _meet(keys: int, radius: int, most: int | None):
             yield from finish(done)
             if most and len(held) > most:
                 hot = held[0, :keys].tobytes()
-                yield out(1, held[:, keys], held[:, keys + 1], held[:, 0])
+                yield out(1, held[:, keys], held[:, keys + 1], masks(held))
                 held = held[:0]
         yield from finish(held)
 
@@ -211,7 +217,16 @@ def near_links(points: DataFrame, radius: int = 3, most: int = 16384) -> DataFra
     fine = over.select("combo", "doc", "fp", F.posexplode(F.element_at(masks, (F.col("combo") + 1).cast("int"))).alias("sub", "mask"))
     fine = fine.select("combo", F.col("sub").cast("long").alias("sub"), F.col("fp").bitwiseAND(F.col("mask")).alias("mask"), embed(F.col("fp")).bitwiseAND(F.element_at(coarse, (F.col("combo") + 1).cast("int"))).alias("cell"), "doc", "fp")
     fine = fine.repartition("combo", "sub", "mask", "cell").sortWithinPartitions("combo", "sub", "mask", "cell")
-    return links.unionByName(fine.mapInArrow(_meet(4, radius, None), _LINK).select("a", "b"))
+    second = cut(fine.mapInArrow(_meet(4, radius, most), _LINK))
+    links, over = links.unionByName(second.where("kind = 0").select("a", "b")), second.where("kind = 1").select(F.col("combo").alias("code"), F.col("a").alias("doc"), F.col("b").alias("fp"))
+    if over.isEmpty():
+        return links
+    table = lambda cells: F.array(*[F.array(*[F.lit(_signed(m)) for m in ms]) for ms in cells])
+    at = (F.shiftright("code", 5) + 1).cast("int")
+    same = [F.col("fp").bitwiseAND(F.get(F.element_at(table(FINE_CELLS), at), F.col("code").bitwiseAND(F.lit(31)).cast("int"))), embed(F.col("fp")).bitwiseAND(F.element_at(coarse, at))]
+    finest = over.select("code", F.xxhash64(*same).alias("cell"), "doc", "fp", F.posexplode(F.element_at(table(FINEST_CELLS), at)).alias("sub", "mask"))
+    finest = finest.select("code", F.xxhash64("cell", "sub", F.col("fp").bitwiseAND(F.col("mask"))).alias("cell"), "doc", "fp").repartition("code", "cell").sortWithinPartitions("code", "cell")
+    return links.unionByName(finest.mapInArrow(_meet(2, radius, None), _LINK).select("a", "b"))
 
 
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 3) -> DataFrame:

@@ -57,7 +57,7 @@ def test_links_and_hot_cells(spark):
     rows = [(i, simhash._signed(f)) for i, f in enumerate(sorted(fps))]
     points = spark.createDataFrame(rows, "doc long, fp long")
     want = brute({i: f & (2**64 - 1) for i, f in rows})
-    for most in (16384, 8):
+    for most in (16384, 8, 2):
         links = simhash.near_links(points, most=most)
         roots = {r.node: r.root for r in simhash.connected_components(links).collect()}
         assert {i: roots.get(i, i) for i, _ in rows} == want
