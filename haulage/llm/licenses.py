@@ -2,7 +2,7 @@
 
 A text's words, whatever line ends, comment marks or punctuation stand between them, are searched for known licence
 sentences, wrapped or continued ones too; the sequence of their identifiers is then matched against rules, each an
-ordered sequence of identifiers. The SQL twin knows the first tables and whole unwrapped sentences only.
+ordered sequence of identifiers.
 """
 
 from __future__ import annotations
@@ -115,14 +115,17 @@ def scan(docs: DataFrame) -> DataFrame:
 
 def oracle() -> str:
     """The same scan in DuckDB's SQL."""
-    keys = ", ".join(f"'{k}'" for k in SENTENCES)
-    values = ", ".join(f"'{v}'" for v in SENTENCES.values())
-    hits = ", ".join(f"CASE WHEN contains(',' || sentence_ids || ',', ',{','.join(ids)},') THEN '{name}' END" for name, ids in sorted(RULES.items()))
+    table, rules = SENTENCES | MORE_SENTENCES, RULES | MORE_RULES
+    keys = ", ".join(f"'{k}'" for k in table)
+    values = ", ".join(f"'{v}'" for v in table.values())
+    known = "|".join(sorted(table, key=len, reverse=True))
+    hits = ", ".join(f"CASE WHEN contains(',' || sentence_ids || ',', ',{','.join(ids)},') THEN '{name}' END" for name, ids in sorted(rules.items()))
     return f"""
 WITH s AS (
   SELECT doc_id, list_filter(list_transform(regexp_split_to_array(lower(coalesce(text, '')), '[\\n;]|\\.[ \\n]|\\.$'),
-    lambda x: trim(regexp_replace(x, '[^a-z0-9]+', ' ', 'g'))), lambda x: x <> '') AS s FROM documents),
+    lambda x: trim(regexp_replace(x, '[^a-z0-9]+', ' ', 'g'))), lambda x: x <> '') AS s,
+    regexp_extract_all(regexp_replace(lower(coalesce(text, '')), '[^a-z0-9]+', ' ', 'g'), '\\b({known})\\b', 1) AS found FROM documents),
 i AS (
-  SELECT doc_id, CAST(len(s) AS BIGINT) AS n_sentences, coalesce(array_to_string(list_filter(list_transform(s,
-    lambda x: [{values}][list_position([{keys}], x)]), lambda x: x IS NOT NULL), ','), '') AS sentence_ids FROM s)
+  SELECT doc_id, CAST(len(s) AS BIGINT) AS n_sentences, coalesce(array_to_string(list_transform(found,
+    lambda x: [{values}][list_position([{keys}], x)]), ','), '') AS sentence_ids FROM s)
 SELECT doc_id, n_sentences, sentence_ids, concat_ws(',', {hits}) AS licenses FROM i"""
