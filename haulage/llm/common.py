@@ -40,17 +40,13 @@ def cut(df: DataFrame, *spent: DataFrame) -> DataFrame:
     """Write df to the shared folder and read it back; then delete the earlier cuts that nothing needs any more.
 
     The written files survive the loss of any executor, and the reread frame carries no partitioning, so a
-    later join exchanges both sides and AQE may split a hot key. The write's own shuffle files go when it ends.
+    later join exchanges both sides and AQE may split a hot key. Shuffle files go when their query ends (a setting of
+    the session); a stage whose files are gone is run again if it is needed again.
     """
     spark = df.sparkSession
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
     path = f"{shared_dir(spark)}/haulage-{uuid.uuid4().hex}"
-    clean = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(clean, "false")
-    spark.conf.set(clean, "true")
-    try:
-        df.write.parquet(path)
-    finally:
-        spark.conf.set(clean, before)
+    df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.cut_path = path
     drop_cuts(*spent)

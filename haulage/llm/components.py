@@ -38,4 +38,6 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     roots = e.select(F.col("v").alias("node")).distinct().withColumn("root", F.col("node"))
-    return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
+    out = e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
+    out.cut_path = e.cut_path  # for drop_cuts
+    return out
