@@ -240,7 +240,7 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     marked = cut(in_batches(src, _fingerprints, "doc_id long, fp long"))
     points = cut(marked.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("doc")))
     roots = connected_components(near_links(points, radius))
-    named = cut(points.join(roots.withColumnRenamed("node", "doc"), "doc", "left").select("fp", F.coalesce("root", "doc").alias("component_id")))
+    named = cut(points.join(roots.withColumnRenamed("node", "doc"), "doc", "left").select("fp", F.coalesce("root", "doc").alias("component_id")), roots, points)
     return marked.join(named, "fp", "left").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 

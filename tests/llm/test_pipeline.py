@@ -44,3 +44,31 @@ def test_stages(spark, small):
         now = got
     out = corpus_pipeline.STAGES[-1][1](spark, docs, small).collect()
     assert {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in out} == {d: want(t) for d, t in now.items()}
+
+
+def test_stages_on_odd_rows(spark, small):
+    """Null, empty, repeated and long texts, null and clashing ids, and no rows at all, through every stage."""
+    import corpus_pipeline
+
+    long = "\n".join(f"line {k} of a long text that nobody else has written before, number {k * k}" for k in range(20_000))
+    rows = [(1, None), (2, ""), (3, long), (4, "twice the same row\nand a second line"), (4, "twice the same row\nand a second line"), (5, "one id"), (5, "with two different texts"), (None, "no id at all"), (6, "ONE ID"), (7, "  \t ")]
+    kind = "doc_id long, text string, lang string, source string, n_chars long"
+    docs = spark.createDataFrame([(d, t, "en", None, len(t or "")) for d, t in rows], kind)
+    empty = docs.where("false")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, small)
+        got = out.collect()
+        assert out.columns == docs.columns and stage(spark, empty, small).count() == 0
+        docs = spark.createDataFrame(got, docs.schema)
+        ids = sorted(str(r.doc_id) for r in got)
+        if name == "simhash":  # of the texts without words the first stays, which is the null text of id 1
+            assert ids == ["1", "3", "4", "4", "5", "5", "None"]
+        elif name != "decontamination":
+            assert ids == sorted(str(d) for d, _ in rows)
+            if name == "line_dedup":
+                assert [r.text for r in got if r.doc_id == 6] == [""] and [r.text for r in got if r.doc_id == 1] == [None]
+                assert [r.text for r in got if r.doc_id == 4] == [rows[3][1]] * 2
+    coded = corpus_pipeline.STAGES[-1][1](spark, docs, small).collect()
+    assert sorted(str(r.doc_id) for r in coded) == ["1", "3", "4", "4", "5", "5", "None"]
+    assert [r.decoded for r in coded if r.doc_id == 5] != [] and [r.n_tokens for r in coded if r.doc_id == 1] == [0]
+    assert corpus_pipeline.STAGES[-1][1](spark, empty, small).count() == 0

@@ -59,3 +59,19 @@ def test_odd_rows(spark):
     assert len(rows) == 5 and not any(r.predicted for r in rows)
     assert toxicity.drop_toxic(docs, m).columns == docs.columns
     assert toxicity.score(docs.where("false"), m).count() == 0
+
+
+def test_odd_rows_with_a_fitted_model(spark):
+    """Long, null, empty, repeated and clashing rows against a model that has tokens; ids that repeat keep their texts apart."""
+    clean, foul = "the garden is green and the sky is wide today", "you vile rotten scum and vile rotten liar"
+    rows = [(k, f"{clean if k % 10 else foul} word{k % 7}") for k in range(600)]
+    labels = spark.createDataFrame([(k, 1, int(k % 10 == 0)) for k in range(600)] + [(None, 1, 1), (7, 0, None)], "doc_id long, quality int, toxic int")
+    m = toxicity.fit(spark.createDataFrame(rows, "doc_id long, text string"), labels)
+    assert m.score and toxicity.fit(spark.createDataFrame(rows, "doc_id long, text string").where("false"), labels).score == {}
+    odd = [(1000, None, 5), (1001, "", 5), (1002, clean + " x" * 300_000, 5), (1003, foul, 5), (1003, foul, 5), (1003, clean, 5), (None, foul, 5)]
+    docs = spark.createDataFrame(odd, "doc_id long, text string, score int")
+    got = sorted(((r.doc_id, r.predicted) for r in toxicity.score(docs, m).collect()), key=str)
+    assert got == [(1000, 0), (1001, 0), (1002, 0), (1003, 0), (1003, 1), (1003, 1), (None, 1)]
+    kept = toxicity.drop_toxic(docs, m)
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [1000, 1001, 1002, 1003]
+    assert toxicity.score(docs.where("false"), m).count() == 0
