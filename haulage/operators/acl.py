@@ -22,6 +22,7 @@ def decode_mask(mask: Column) -> Column:
 
 
 def explicit_aces(aces: DataFrame) -> DataFrame:
+    """Entries that are not inherited; one with null flags is neither and is left out."""
     return aces.where(F.col("flags").bitwiseAND(F.lit(INHERITED)) == 0)
 
 
@@ -41,7 +42,7 @@ def acl_summary(aces: DataFrame) -> DataFrame:
 
 
 def who_can(aces: DataFrame) -> DataFrame:
-    """Trustees by permission: allows less denials."""
+    """Trustees by permission: allows less denials. Null masks and masks of no named bit grant nothing."""
     each = aces.select("trustee", "type", F.explode(decode_mask(F.col("mask"))).alias("permission"))
     return each.groupBy("permission").agg(F.sum(F.when(F.col("type") == 0, 1).otherwise(-1)).alias("net"), F.count_distinct("trustee").alias("n_trustees"))
 

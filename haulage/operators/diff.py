@@ -16,7 +16,8 @@ def change_kind(src: str, dst: str) -> Column:
 
 
 def diff_inventories(prev: DataFrame, cur: DataFrame) -> DataFrame:
-    """relative_path, state, prev and cur (structs): one full outer join on the path."""
+    """relative_path, state, prev and cur (structs): one full outer join on the path. A null path matches no other, so it
+    is deleted on one side and new on the other; rows that repeat a path are compared each with each."""
     side = lambda df, name: df.select("relative_path", F.struct(*ATTRS).alias(name))
     both = side(prev, "prev").join(side(cur, "cur"), "relative_path", "full_outer")
     state = F.when(F.col("prev").isNull(), "new").when(F.col("cur").isNull(), "deleted").otherwise(change_kind("prev", "cur"))
@@ -24,10 +25,12 @@ def diff_inventories(prev: DataFrame, cur: DataFrame) -> DataFrame:
 
 
 def new_entries(prev: DataFrame, cur: DataFrame) -> DataFrame:
+    """Rows of cur whose path prev lacks; a null path counts as lacking."""
     return cur.join(prev, "relative_path", "left_anti")
 
 
 def deleted_entries(prev: DataFrame, cur: DataFrame) -> DataFrame:
+    """Rows of prev whose path cur lacks; a null path counts as lacking."""
     return prev.join(cur, "relative_path", "left_anti")
 
 
@@ -68,7 +71,7 @@ def sync_actions(diff: DataFrame) -> DataFrame:
 
 
 def summarize_changes(diff: DataFrame) -> DataFrame:
-    """Entries and bytes by state."""
+    """Entries and bytes by state; a null size counts 0, an empty diff gives no row."""
     return diff.groupBy("state").agg(F.count("*").alias("n_entries"), F.coalesce(F.sum(F.coalesce("cur.size", "prev.size")), F.lit(0)).alias("bytes"))
 
 
@@ -87,7 +90,8 @@ def metadata_carry(actions: DataFrame, dst_backend: str) -> DataFrame:
 
 def merge_scan_messages(log: DataFrame) -> DataFrame:
     """The inventory after a message log (seq, kind, relative_path, from_path, size): the last message of a path wins,
-    deleted paths and the old names of renamed ones go."""
+    deleted paths and the old names of renamed ones go. Messages without a path are about the null path; of messages
+    that share a seq the greatest by (kind, size) counts."""
     gone = log.where("kind = 'Renamed'").select("seq", F.lit("Deleted").alias("kind"), F.col("from_path").alias("relative_path"), F.lit(None).cast("long").alias("size"))
     every = log.select("seq", "kind", "relative_path", "size").unionByName(gone)
     last = every.groupBy("relative_path").agg(F.max(F.struct("seq", "kind", "size")).alias("m"))
@@ -95,4 +99,5 @@ def merge_scan_messages(log: DataFrame) -> DataFrame:
 
 
 def latest(df: DataFrame, key: str, order: list) -> DataFrame:
+    """The first row of each key (a null key is one) by the given order; rows that tie in it all are alike."""
     return df.withColumn("_rn", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where("_rn = 1").drop("_rn")

@@ -11,16 +11,17 @@ from haulage.functions.columns import floor_div, trunc_div
 
 
 def entry_kind(is_dir: Column, is_symlink: Column) -> Column:
+    """directory, symlink or file; null flags count as false."""
     return F.when(is_dir, "directory").when(is_symlink, "symlink").otherwise("file")
 
 
 def precision(ns: Column) -> Column:
-    """The unit in which a time seems to be kept, in nanoseconds; zero seems exact."""
+    """The unit in which a time seems to be kept, in nanoseconds; zero seems exact, and so does null."""
     return F.when(ns == 0, 1).when(ns % 1_000_000_000 == 0, 1_000_000_000).when(ns % 1_000_000 == 0, 1_000_000).when(ns % 1000 == 0, 1000).otherwise(1).cast("long")
 
 
 def mtime_matches(a: Column, b: Column, auto: bool = True, tolerance_ns: int = 0) -> Column:
-    """Equal in the coarser of both apparent precisions (auto) or exactly, or at most the tolerance apart."""
+    """Equal in the coarser of both apparent precisions (auto) or exactly, or at most the tolerance apart; null if a time is."""
     wide = lambda c: c.cast("decimal(20,0)")
     near = F.abs(wide(a) - wide(b)) <= F.lit(tolerance_ns)
     if not auto:
@@ -81,12 +82,12 @@ def quick_check(src: DataFrame, dst: DataFrame, tolerance_ns: int = 0) -> DataFr
 
 
 def integrity_report(results: DataFrame) -> DataFrame:
-    """Entries by outcome and top directory."""
+    """Entries by outcome and top directory (null for a null path)."""
     return results.groupBy("outcome", F.substring_index("relative_path", "/", 1).alias("top")).agg(F.count("*").alias("n_entries"))
 
 
 def content_hash(content: Column) -> Column:
-    """SHA-256 in hex; empty content has the empty digest."""
+    """SHA-256 in hex; empty content has the empty digest, null content a null one."""
     return F.when(F.length(content) == 0, F.lit("")).otherwise(F.sha2(content, 256))
 
 

@@ -86,7 +86,8 @@ def check_accounting(committed: DataFrame, planned: DataFrame, key: str = "file"
 
 
 def coalesce_ranges(commits: DataFrame, key: str = "file") -> DataFrame:
-    """key, start, end: merged coverage of possibly repeated and overlapping ranges (touching ones merge)."""
+    """key, start, end: merged coverage of possibly repeated and overlapping ranges (touching ones merge).
+    Empty, reversed and null ranges are left out; a null key is one."""
     w = Window.partitionBy(key).orderBy("start", "end")
     seen = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
     islands = commits.where("end > start").withColumn("_new", (seen.isNull() | (F.col("start") > seen)).cast("long"))
@@ -95,7 +96,8 @@ def coalesce_ranges(commits: DataFrame, key: str = "file") -> DataFrame:
 
 
 def missing_intervals(committed: DataFrame, files: DataFrame, key: str = "file") -> DataFrame:
-    """key, start, end: the complement of the committed ranges in [0, size); the whole file where none is."""
+    """key, start, end: the complement of the committed ranges in [0, size); the whole file where none is.
+    Commits of files that are not listed, and files without a size, give nothing."""
     inside = committed.join(files.select(key, "size"), key).select(key, F.greatest("start", F.lit(0)).alias("start"), F.least("end", "size").alias("end")).where("end > start")
     ends = inside.unionByName(files.where("size > 0").select(key, F.col("size").alias("start"), F.col("size").alias("end")))
     w = Window.partitionBy(key).orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
@@ -104,6 +106,7 @@ def missing_intervals(committed: DataFrame, files: DataFrame, key: str = "file")
 
 
 def interval_bytes(intervals: DataFrame, key: str = "file") -> DataFrame:
+    """key, bytes, n_intervals; a null end counts no bytes."""
     return intervals.groupBy(key).agg(F.sum(F.col("end") - F.col("start")).alias("bytes"), F.count("*").alias("n_intervals"))
 
 
@@ -115,7 +118,8 @@ def prefix_missing(part_files: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def committed_parts(parts: DataFrame, files: DataFrame, part: int, key: str = "file") -> DataFrame:
-    """Ranges of uploaded parts (key, part_number, part_len); one bad part invalidates the whole upload."""
+    """Ranges of uploaded parts (key, part_number, part_len); one bad part invalidates the whole upload
+    (a part with a null number or length is left out of the judgement); uploads of unlisted files are left out."""
     total = _ceil_div(F.col("size"), part)
     both = parts.join(files.select(key, "size"), key)
     good = (F.col("part_number") >= 1) & (F.col("part_number") <= total) & (F.col("part_len") == F.least(F.lit(part).cast("long"), F.col("size") - (F.col("part_number") - 1) * part))

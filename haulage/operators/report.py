@@ -11,7 +11,8 @@ MIB = 1 << 20
 
 
 def transfer_report(log: DataFrame) -> DataFrame:
-    """job, ops, bytes, elapsed_s, mib_s: rates are 0 where no time passed. log: job, ts_us, bytes."""
+    """job, ops, bytes, elapsed_s, mib_s: rates are 0 where no time passed. log: job, ts_us, bytes; null bytes
+    count 0 (a job of nulls alone has null bytes), a null job is one, an empty log gives no row."""
     sums = log.groupBy("job").agg(F.count("*").alias("ops"), F.sum("bytes").alias("bytes"), ((F.max("ts_us") - F.min("ts_us")) / 1e6).alias("elapsed_s"))
     return sums.withColumn("mib_s", F.when(F.col("elapsed_s") > 0, F.col("bytes") / MIB / F.col("elapsed_s")).otherwise(F.lit(0.0)))
 
@@ -58,6 +59,7 @@ def rate_violations(log: DataFrame, limit: str | int, burst: int, seconds: int)
 
 
 def expected_requests(files: DataFrame, burst: int = 65_536) -> DataFrame:
+    """One row: requests of at most `burst` bytes and bytes of all files; null sizes are left out, no files give nulls."""
     return files.agg(F.sum(((F.col("size") + burst - 1) - (F.col("size") + burst - 1) % burst) / burst).cast("long").alias("requests"), F.sum("size").alias("bytes"))
 
 
