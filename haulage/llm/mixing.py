@@ -36,7 +36,7 @@ CONTEXTS, BLOCK, LANES, RATE, BATCH = 1024, 128, 256, 0.15, 6 << 20
 #: First weights: no context, the three contexts, the document itself.
 WEIGHTS = (0.1, 0.3, 0.3, 0.3, 0.1)
 #: One in PIECE tokens ends a piece; tokens before a piece that are its context; occurrences of a context told apart.
-PIECE, BEFORE, GATES, SEED = 16, 3, 4, 42
+PIECE, BEFORE, GATES, SEED = 24, 3, 4, 42
 END = b""
 _POWER = np.random.default_rng(SEED).integers(0, 1 << 64, 256, np.uint64) | np.uint64(1)
 
@@ -231,15 +231,18 @@ def hash_of(token: bytes) -> int:
     return xxhash.xxh64_intdigest(token, SEED)
 
 
-def cut_pieces(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts of a document's pieces, and their contexts and hashes; the first tokens are a piece without context (0)."""
+def cut_pieces(hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts of the pieces of a chain of documents (first: their starts), and the pieces' contexts and hashes. A
+    document's first tokens are a piece without context (0)."""
     n = len(hashes)
-    marks = np.flatnonzero(hashes[:-1] % np.uint64(PIECE) == 0) + 1
-    starts = np.r_[0, BEFORE, marks[marks > BEFORE]] if n > BEFORE else np.zeros(1, np.int64)
+    into = np.arange(n) - np.repeat(first, np.diff(np.r_[first, n]))  # place in the document
+    begin = (into == 0) | (into == BEFORE)
+    begin[1:] |= (hashes[:-1] % np.uint64(PIECE) == 0) & (into[1:] > BEFORE)
+    starts = np.flatnonzero(begin)
     place = np.arange(n) - np.repeat(starts, np.diff(np.r_[starts, n]))
     own = np.add.reduceat(hashes * _POWER[place % len(_POWER)], starts)
-    before = sum(hashes[starts[1:] - k] * _POWER[k] for k in range(1, BEFORE + 1)) if len(starts) > 1 else np.zeros(0, np.uint64)
-    return starts, np.r_[np.uint64(0), before].astype(np.uint64), own
+    before = sum(hashes[np.maximum(starts - k, 0)] * _POWER[k] for k in range(1, BEFORE + 1))
+    return starts, np.where(into[starts] == 0, np.uint64(0), before), own
 
 
 def fit(train: DataFrame, known: int = KNOWN, symbols: int = SYMBOLS) -> tuple[Mixer, DataFrame]:
@@ -275,14 +278,14 @@ def fit(train: DataFrame, known: int = KNOWN, symbols: int = SYMBOLS) -> tuple[M
     return m, counts
 
 
-_TOLD = "kind int, uid long, doc_id long, train boolean, n_tokens long, n_bytes long, known long, base double, piece int, context long, hash long, own_n int, own_total int, mixed double, token binary, tf long"
+_TOLD = "kind int, uid long, doc_id long, train boolean, n_tokens long, n_bytes long, known long, base double, piece int, context long, hash long, own_n int, own_total int, mixed double, token binary"
 _DOC, _PIECE, _TOKEN = range(3)
 
 
 def _score(shared):
     """mapInArrow (uid, doc_id, train, text): a row for each document, one for each of its pieces with the probability
     of the tokens that are known here, and one for each other token of a piece, whose count has to be joined."""
-    kinds = [("kind", pa.int32()), ("uid", pa.int64()), ("doc_id", pa.int64()), ("train", pa.bool_()), ("n_tokens", pa.int64()), ("n_bytes", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("piece", pa.int32()), ("context", pa.int64()), ("hash", pa.int64()), ("own_n", pa.int32()), ("own_total", pa.int32()), ("mixed", pa.float64()), ("token", pa.binary()), ("tf", pa.int64())]
+    kinds = [("kind", pa.int32()), ("uid", pa.int64()), ("doc_id", pa.int64()), ("train", pa.bool_()), ("n_tokens", pa.int64()), ("n_bytes", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("piece", pa.int32()), ("context", pa.int64()), ("hash", pa.int64()), ("own_n", pa.int32()), ("own_total", pa.int32()), ("mixed", pa.float64()), ("token", pa.binary())]
 
     def out(kind: int, n: int, **columns) -> pa.RecordBatch:
         own = {"kind": pa.array(np.full(n, kind, np.int32))} | columns
@@ -306,26 +309,26 @@ def _score(shared):
                 mixed = _mix(m, [m.symbols(p) for p in places], m.weights)
                 known = [p[p >= 0] for p in places]
                 yield out(_DOC, n, uid=uids[at : at + n], doc_id=doc_id.slice(at, n), train=train[at : at + n], n_tokens=[len(d) for d in docs], n_bytes=[len(t or b"") for t in texts[at : at + n]], known=[len(k) for k in known], base=[float(base_of[k].sum()) for k in known])
-                pieces, rare = [], []
-                for i, (d, p, score) in enumerate(zip(docs, places, mixed)):
-                    uid, seen = int(uids[at + i]), p >= 0
-                    hashes = m.hashes[np.maximum(p, 0)] if len(m.hashes) else np.zeros(len(d), np.uint64)
-                    left = np.flatnonzero(~seen)
-                    hashes[left] = np.fromiter((hash_of(d[k]) for k in left.tolist()), np.uint64, len(left))
-                    starts, context, own = cut_pieces(hashes)
-                    context[0] = hash_of(b"%d" % uid)
-                    score[seen] += rare_of[p[seen]]
-                    k = np.arange(len(starts))
-                    own_n = repeats(context * _POWER[0] + own)
-                    own_n[0] = 0  # never a match
-                    pieces.append((np.full(len(k), uid), np.full(len(k), train[at + i]), k, context.view(np.int64), own.view(np.int64), own_n, repeats(context), np.add.reduceat(score, starts)))
-                    where = np.searchsorted(starts, left, "right") - 1
-                    rare += [(uid, j, t, tf) for (j, t), tf in Counter(zip(where.tolist(), [d[k] for k in left.tolist()])).items()]
-                uid, was, k, context, own, own_n, own_total, sums = (np.concatenate(x) for x in zip(*pieces))
-                yield out(_PIECE, len(k), uid=uid, train=was, piece=k.astype(np.int32), context=context, hash=own, own_n=own_n, own_total=own_total, mixed=sums)
+                uid, was = uids[at : at + n], train[at : at + n]
+                chain, first = _chain(places)
+                lane = np.repeat(np.arange(n), [len(d) for d in docs])
+                seen, score = chain >= 0, np.concatenate(mixed)
+                score[seen] += rare_of[chain[seen]]
+                left, flat = np.flatnonzero(~seen), [t for d in docs for t in d]
+                rare = [flat[k] for k in left.tolist()]
+                hashes = m.hashes[np.maximum(chain, 0)] if len(m.hashes) else np.zeros(len(chain), np.uint64)
+                hashes[left] = np.fromiter(map(hash_of, rare), np.uint64, len(rare))
+                starts, context, own = cut_pieces(hashes, first)
+                doc = lane[starts]
+                head = np.r_[True, doc[1:] != doc[:-1]]
+                number = np.arange(len(starts)) - np.repeat(np.flatnonzero(head), np.bincount(doc))
+                context[head] = uid.astype(np.uint64)[doc[head]] * _POWER[-1] + _POWER[-2]  # nobody else's
+                apart = doc.astype(np.uint64) * _POWER[-3]
+                own_n = repeats(context * _POWER[0] + own + apart)
+                own_n[head] = 0  # never a match
+                yield out(_PIECE, len(starts), uid=uid[doc], train=was[doc], piece=number.astype(np.int32), context=context.view(np.int64), hash=own.view(np.int64), own_n=own_n, own_total=repeats(context + apart), mixed=np.add.reduceat(score, starts))
                 if rare:
-                    uid, where, tokens, tf = zip(*rare)
-                    yield out(_TOKEN, len(uid), uid=uid, piece=where, token=tokens, tf=tf)
+                    yield out(_TOKEN, len(rare), uid=uid[lane[left]], piece=number[np.searchsorted(starts, left, "right") - 1].astype(np.int32), token=rare)
 
     return run
 
@@ -344,28 +347,36 @@ def score_documents(docs: DataFrame, folds: int = 7, held: int = 2, known: int =
     rows = src.select(F.monotonically_increasing_id().alias("uid"), "doc_id", (fold(F.col("doc_id"), folds) != held).alias("train"), "text")
     told = cut(in_batches(rows, _score(shared), _TOLD, BATCH))
     pieces = told.where(F.col("kind") == _PIECE)
-    memory = cut(pieces.where("train AND own_n > 0").groupBy("context", "hash").agg(F.count("*").alias("n")))
-    totals = cut(memory.groupBy("context").agg(F.sum("n").alias("total")))
+    # Contexts that occur once teach nothing about another piece, so only the others go on.
+    totals = pieces.groupBy("context").agg(F.count("*").alias("every"), F.count_if(F.col("train") & (F.col("own_n") > 0)).alias("total"))
+    totals = cut(totals.where("every > 1 AND total > 0").select("context", "total"))
+    marked = cut(pieces.where("own_n > 0").select("uid", "piece", "train", "context", "hash", "own_n", "own_total", "mixed").join(totals, "context"), totals)
+    memory = cut(marked.where("train").groupBy("context", "hash").agg(F.count("*").alias("n")))
+    without = lambda n, mine: F.coalesce(F.col(n), F.lit(0)) - F.when(F.col("train"), F.col(mine)).otherwise(0)
+    found = marked.join(memory, ["context", "hash"], "left").select("uid", "piece", "train", "mixed", without("n", "own_n").alias("n"), without("total", "own_total").alias("total"))
+    found = cut(found.where("total > 0"), marked, memory)
     c = F.coalesce(F.col("n"), F.lit(0)) + 1
-    rare = told.where(F.col("kind") == _TOKEN).select("uid", "piece", "token", "tf").join(counts, "token", "left")
+    rare = told.where(F.col("kind") == _TOKEN).select("uid", "piece", "token").join(counts, "token", "left")
     rare = rare.groupBy("uid", "piece").agg(
-        F.sum(F.when(F.col("n").isNotNull(), F.col("tf")).otherwise(0)).alias("rare_known"),
-        F.sum(F.col("tf") * F.log10(c / F.lit(float(m.total + m.kinds + 1)))).alias("rare_base"),
-        F.sum(F.col("tf") * F.log10(c / F.lit(float(m.rare_total + m.rare_kinds + 1)))).alias("rare_score"),
+        F.count("n").alias("rare_known"),
+        F.sum(F.log10(c / F.lit(float(m.total + m.kinds + 1)))).alias("rare_base"),
+        F.sum(F.log10(c / F.lit(float(m.rare_total + m.rare_kinds + 1)))).alias("rare_score"),
     )
-    own = pieces.select("uid", "piece", "train", "context", "hash", "own_n", "own_total", "mixed").join(rare, ["uid", "piece"], "left")
-    own = own.join(totals, "context", "left").join(memory, ["context", "hash"], "left")
-    without = lambda n, mine: F.coalesce(F.col(n), F.lit(0)) - F.when(F.col("train"), F.col(mine)).otherwise(0)
-    own = own.select("uid", "train", "rare_known", "rare_base", (F.col("mixed") + F.coalesce("rare_score", F.lit(0.0))).alias("plain"), without("n", "own_n").alias("n"), F.when(F.col("own_n") > 0, without("total", "own_total")).otherwise(0).alias("total"))
-    own = cut(own, memory, totals)
+    rare = cut(rare)
     gate = F.least("total", F.lit(GATES)).cast("int")
-    learnt = own.where("train AND total > 0").groupBy(gate.alias("gate")).agg(F.count("*").alias("n"), F.count_if(F.col("n") > 0).alias("hits")).collect()
+    learnt = found.where("train").groupBy(gate.alias("gate")).agg(F.count("*").alias("n"), F.count_if(F.col("n") > 0).alias("hits")).collect()
     hit = {r.gate: (r.hits + 1) / (r.n + 2) for r in learnt}
-    p = F.get(F.lit([0.5] + [hit.get(g, 0.5) for g in range(1, GATES + 1)]), gate)
-    follow, plain = F.log10(p * F.col("n") / F.col("total")), F.log10(1 - p) + F.col("plain")
-    high = F.greatest(follow, plain)
-    score = F.when(F.col("total") <= 0, F.col("plain")).when(F.col("n") <= 0, plain).otherwise(high + F.log10(F.pow(F.lit(10.0), follow - high) + F.pow(F.lit(10.0), plain - high)))
-    sums = own.groupBy("uid").agg(F.sum(score).alias("score"), F.coalesce(F.sum("rare_known"), F.lit(0)).alias("rare_known"), F.coalesce(F.sum("rare_base"), F.lit(0.0)).alias("rare_base"))
+    p = F.get(F.lit([hit.get(g, 0.5) for g in range(GATES + 1)]), gate)
+    own = found.join(rare.select("uid", "piece", "rare_score"), ["uid", "piece"], "left").withColumn("plain", F.col("mixed") + F.coalesce("rare_score", F.lit(0.0)))
+    follow, other = F.log10(p * F.col("n") / F.col("total")), F.log10(1 - p) + F.col("plain")
+    high = F.greatest(follow, other)
+    score = F.when(F.col("n") <= 0, other).otherwise(high + F.log10(F.pow(F.lit(10.0), follow - high) + F.pow(F.lit(10.0), other - high)))
+    gained = own.groupBy("uid").agg(F.sum(score - F.col("plain")).alias("gained"))
+    sums = pieces.groupBy("uid").agg(F.sum("mixed").alias("mixed"))
+    rest = rare.groupBy("uid").agg(*[F.sum(c).alias(c) for c in ("rare_known", "rare_base", "rare_score")])
+    sums = sums.join(rest, "uid", "left").join(gained, "uid", "left")
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
+    sums = sums.select("uid", (F.col("mixed") + zero("rare_score") + zero("gained")).alias("score"), zero("rare_known").alias("rare_known"), zero("rare_base").alias("rare_base"))
     out = told.where(F.col("kind") == _DOC).select("uid", "doc_id", "train", "n_tokens", "n_bytes", "known", "base").join(sums, "uid", "left")
     return out.select(
         "doc_id",

@@ -119,7 +119,7 @@ def test_mixing_match_predictor_against_plain_counts(spark, sf001):
     train = {d: zlib.crc32(str(d).encode()) % 7 != 2 for d, _ in texts}
     cut = {}
     for d, t in texts:
-        starts, context, own = mixing.cut_pieces(np.array([mixing.hash_of(w) for w in mixing.tokens_of(t.encode())], np.uint64))
+        starts, context, own = mixing.cut_pieces(np.array([mixing.hash_of(w) for w in mixing.tokens_of(t.encode())], np.uint64), np.zeros(1, np.int64))
         assert starts[0] == 0 and (np.diff(starts) > 0).all()
         cut[d] = list(zip(context[1:].tolist(), own[1:].tolist()))
     memory = Counter(x for d in cut if train[d] for x in cut[d])
