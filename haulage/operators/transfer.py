@@ -105,6 +105,8 @@ def pack_to_tar(entries: DataFrame, src_root: str, dst_root: str, tasks: int = 2
         source, part = os.path.join(src_root, package, member), f"{stem(package)}.{run_id}.part"
         if os.path.getsize(source) != size:
             raise OSError(f"size changed: {member}")
+        if len(member.encode()) > 100 or size >= 8**11:
+            raise OSError(f"no ustar header can hold the name or the size: {member}")
         os.makedirs(os.path.dirname(part), exist_ok=True)
         fd = os.open(part, os.O_WRONLY | os.O_CREAT, 0o644)
         try:
