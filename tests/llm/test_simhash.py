@@ -2,7 +2,6 @@ import random
 
 import numpy as np
 import xxhash
-from pyspark.sql import functions as F
 
 from haulage.llm import simhash
 
