@@ -122,7 +122,7 @@ class Coder:
         self.long.clear()
         trees = [self._leaves(t) for t in texts]
         split = [[leaf.split() for leaf in tree] for tree in trees]
-        self._learn({r for leaves in split for runs in leaves for r in runs})
+        self._learn(set().union(*(runs for leaves in split for runs in leaves)))
         out = []
         for tree, leaves in zip(trees, split):
             nodes = [(runs, self._coded(runs)) for runs in leaves]
@@ -148,12 +148,11 @@ class Coder:
 
     def _learn(self, runs: set[bytes]) -> None:
         known, older, new = self.known, self.older, []
-        for r in runs:
-            if r not in known and r not in self.long:
-                if r in older:
-                    known[r] = older[r]
-                else:
-                    new.append(r)
+        for r in runs.difference(known, self.long):
+            if r in older:
+                known[r] = older[r]
+            else:
+                new.append(r)
         plain = [r for r in new if len(r) <= self.leaf]
         for at in range(0, len(plain), 20_000):
             some = plain[at : at + 20_000]
@@ -165,7 +164,8 @@ class Coder:
                 self.long[r] = (np.array(ids, "<u4").tobytes(), self._decode(ids))
 
     def _coded(self, runs: list[bytes]) -> list[tuple[bytes, str]]:
-        return [self.known.get(r) or self.long[r] for r in runs]
+        known = self.known
+        return [known[r] for r in runs] if not self.long else [known.get(r) or self.long[r] for r in runs]
 
     def _join_runs(self, left: tuple, right: tuple, glued: bool) -> tuple[list[bytes], list[tuple[bytes, str]]]:
         """Runs and codes of two neighbours; glued: the cut between them has no white space at either side."""
