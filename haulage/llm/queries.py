@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from haulage.llm import ann, bpe, chat, decontaminate, html_extract, licenses, linededup, mixing, simhash, toxicity
+from haulage.llm import ann, bpe, chat, decontaminate, html_extract, licenses, linededup, mixing, pii, repair, runs, simhash, toxicity
 from haulage.llm.common import table
 
 
@@ -57,8 +57,22 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.score_documents(table(spark, sf_dir, "documents"))
 
 
+def op11_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(table(spark, sf_dir, "documents"))
+
+
+def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    return repair.audit_conversations(repair.damage(turns), turns)
+
+
+def op13_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = runs.periodic_runs(table(spark, sf_dir, "documents"), runs.planted)
+    return found.drop("runs", "n_words").withColumn("collapsed_sha256", F.sha2("collapsed", 256)).drop("collapsed")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_simhash, op2_bpe, op3_line_dedup, op4_chat, op5_licenses, op6_decontaminate, op7_toxicity, op8_html, op9_ann, op10_mixing)
+    own = (op1_simhash, op2_bpe, op3_line_dedup, op4_chat, op5_licenses, op6_decontaminate, op7_toxicity, op8_html, op9_ann, op10_mixing, op11_pii, op12_repair, op13_runs)
     return {f.__name__: f for f in own}
 
 
