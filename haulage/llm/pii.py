@@ -35,7 +35,7 @@ WIDE = (
     rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{{1,64}}{_AT}[A-Za-z0-9-]{{1,63}}(?:{_DOT}[A-Za-z0-9-]{{1,63}}){{0,8}}{_DOT}[A-Za-z]{{2,63}}(?![A-Za-z0-9-])",
     r"(?<![A-Za-z0-9])(?:[0-9]{1,3}(?:(?:\.|\[\.\]|\(\.\)|\x20dot\x20)[0-9]{1,3}){3}|[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){7})(?![A-Za-z0-9])",
     r"(?<![A-Za-z0-9])[0-9](?:[\x20./_-]{0,3}[0-9]){12,18}(?![A-Za-z0-9])",
-    r"(?<![A-Za-z0-9+])(?:(?:\+[0-9]{1,3}[\x20.-]?)?\(?[0-9]{3}\)?[\x20.-]?[0-9]{3}[\x20.-][0-9]{4}|(?:00\x20?|\+)?[0-9(](?:[\x20().\-/]{0,3}[0-9]){6,14}(?![.\-/]?[0-9]))(?![A-Za-z0-9])",
+    r"(?<![A-Za-z0-9+])(?<![0-9][./-])(?:(?:\+[0-9]{1,3}[\x20.-]?)?\(?[0-9]{3}\)?[\x20.-]?[0-9]{3}[\x20.-][0-9]{4}|(?:00\x20?|\+)?[0-9(](?:[\x20().\-/]{0,3}[0-9]){6,14}(?![.\-/]?[0-9]))(?![A-Za-z0-9])",
 )
 #: Gazetteers (fixed values): top-level domains, issuers' first digits, calling codes, networks that are nobody's address.
 TLDS = "com org net edu gov mil int info biz io dev app me co uk de fr es it nl be ch at se no fi dk pl cz pt ru ua tr gr ie eu us ca mx br ar cl au nz jp cn kr in za il sg hk test example"

@@ -74,7 +74,7 @@ def test_long_texts_take_linear_time(spark):
 
 
 def test_the_method_adds_what_the_rules_miss(spark):
-    clear = [f"please write to user{k}.name@mail{k % 7}.example.com today or call +1 ({200 + k}) 555-0{100 + k} now" for k in range(100)]
+    clear = [f"please write to user{k}.name@mail{k % 7}.example.com today or call +1 ({200 + k}) 555-0{100 + k} now, card 4111 1111 1111 1111 too" for k in range(100)]
     noise = [f'token = "{k:04d}1234567890123" and build 1.{k}.3 of order 12345678901{k:02d}' for k in range(100)]
     more = ["contact jane [at] mail (dot) example (dot) org soon", "mail me: bob at example dot com please", "phone: (415) 555-0199 at noon", "host 10[.]20[.]30[.]40 is down", "pay with card 4111.1111.1111.1111 now"]
     df = spark.createDataFrame(list(enumerate(clear + noise + more)), "doc_id long, text string")
