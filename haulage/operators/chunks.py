@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import os
+from urllib.parse import urlparse
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from haulage.functions.columns import trunc_div
+from haulage.sources import store
 
 GRID = 65_536
 
@@ -16,25 +20,56 @@ def cut_chunks(files: DataFrame, length: Column, piece, step: int) -> DataFrame:
     return rows.select("relative_path", "offset", piece(F.col("offset")).alias("data"))
 
 
-def read_chunks(spark: SparkSession, path: str, chunk: int = GRID, wanted: DataFrame | None = None, glob: str | None = None) -> DataFrame:
-    """relative_path (the last component), offset, data: the content of files in chunks, of any store that Spark reads.
+def read_chunks(spark: SparkSession, path: str, chunk: int = GRID, wanted: DataFrame | None = None, glob: str | None = None, tasks: int = 200) -> DataFrame:
+    """relative_path (below path; its name, if path is a file), offset, data: the content of files in chunks.
 
-    wanted (relative_path, start, end) restricts the reading to these half-open ranges, which may not overlap: only
-    files that it names are read, and chunks are cut at the ranges' ends. Ranges beyond the end give nothing. A file's
-    content is one value of Spark's binary source, so files of 2 GiB and more are an error there.
+    wanted (relative_path, start, end) restricts the reading to these half-open ranges, which may not overlap: only they
+    are read, and chunks are cut at their ends. Ranges beyond the end and of missing files give nothing. Without
+    it the tree is walked and every file (of the glob, by name; no links) is read whole. Files of any size are read by many
+    tasks, by ranges of near equal bytes. Stores that only Spark opens (see sources.store) are read by its source of
+    binary files instead: there a file that is wanted comes whole, and one of 2 GiB and more is an error.
     """
+    if not store.opens(path):
+        return _whole_files(spark, path, chunk, wanted, glob)
+    root = store.mounted(path)
+    one = root is not None and os.path.isfile(root)
+    top = os.path.dirname(root) if one else path
+    if wanted is not None:
+        names = wanted.select("relative_path").where(F.col("relative_path") == os.path.basename(root)) if one else wanted
+        return store.read_ranges(store.clipped(wanted, store.file_sizes(names, top, tasks)), top, chunk, tasks)
+    if one:
+        sizes = store.file_sizes(spark.createDataFrame([(os.path.basename(root),)], "relative_path string"), top, 1)
+    else:
+        entries, _ = store.walk(spark, path, tasks=tasks)
+        sizes = entries.where("NOT is_dir AND NOT is_symlink AND error IS NULL").select("relative_path", "size")
+    if glob:
+        sizes = sizes.where(store.glob_matches(F.col("relative_path"), glob))
+    return store.read_ranges(sizes.select("relative_path", F.lit(0).cast("long").alias("start"), F.col("size").alias("end")), top, chunk, tasks)
+
+
+def _whole_files(spark: SparkSession, path: str, chunk: int, wanted: DataFrame | None, glob: str | None) -> DataFrame:
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     files = (reader.option("pathGlobFilter", glob) if glob else reader).load(path)
-    files = files.select(F.substring_index("path", "/", -1).alias("relative_path"), "length", "content")
+    top = urlparse(path).path.rstrip("/")
+    below = F.regexp_replace(F.col("path"), "^[^:]+:(?://[^/]*)?", "")
+    name = F.when(below == top, F.substring_index(F.lit(top), "/", -1)).otherwise(F.substr(below, F.lit(len(top) + 2)))
+    files = files.select(name.alias("relative_path"), "length", "content")
     if wanted is None:
         ranges = files.select("relative_path", "length", "content", F.lit(0).cast("long").alias("start"), F.col("length").alias("end"))
     else:
-        ranges = files.join(wanted.select("relative_path", "start", F.col("end").alias("_end")), "relative_path").select("relative_path", "length", "content", F.greatest("start", F.lit(0)).alias("start"), F.least("_end", "length").alias("end"))
-    cells = ranges.where("end > start").withColumn("_c", F.explode(F.sequence(trunc_div(F.col("start"), chunk), trunc_div(F.col("end") - 1, chunk))))
-    low, high = F.greatest(F.col("start"), F.col("_c") * chunk), F.least(F.col("end"), (F.col("_c") + 1) * chunk)
+        ranges = files.join(wanted.select("relative_path", "start", F.col("end").alias("to")), "relative_path").select("relative_path", "length", "content", F.greatest("start", F.lit(0)).alias("start"), F.least("to", "length").alias("end"))
+    cells = ranges.where("end > start").withColumn("cell", F.explode(F.sequence(trunc_div(F.col("start"), chunk), trunc_div(F.col("end") - 1, chunk))))
+    low, high = F.greatest(F.col("start"), F.col("cell") * chunk), F.least(F.col("end"), (F.col("cell") + 1) * chunk)
     return cells.select("relative_path", low.alias("offset"), F.substring("content", (low + 1).cast("int"), (high - low).cast("int")).alias("data"))
 
 
+def check_files(spark: SparkSession, files: DataFrame, src_root: str, dst_root: str, grid: int = GRID, tasks: int = 200) -> DataFrame:
+    """full_check_chunks of the files (relative_path) of two trees: only they are read, on both sides."""
+    whole = files.select("relative_path", F.lit(0).cast("long").alias("start"), F.lit(1 << 62).alias("end")).distinct()
+    side = lambda root: read_chunks(spark, root, grid, whole, tasks=tasks)
+    return full_check_chunks(side(src_root), side(dst_root), files, grid)
+
+
 def on_grid(chunks: DataFrame, grid: int = GRID) -> DataFrame:
     """relative_path, cell, data: the same bytes in cells of `grid`, whatever the chunks were; a cell is the largest group."""
     size = F.length("data").cast("long")

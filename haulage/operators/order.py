@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from haulage.functions.columns import path_components, path_depth, path_name, path_parent
+from haulage.functions.names import free
 from haulage.functions.shared import cut
 from haulage.operators import filters
 from haulage.sources.inventory import prefixes
@@ -17,20 +18,23 @@ def running(df: DataFrame, order: list, totals: dict[str, Column | None]) -> Dat
     Rows are dealt out and sorted by range and written once, so that ties keep their place; only one total per
     partition passes the driver. Equal rows count in any one order.
     """
-    spread = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id())
-    spread = cut(spread.select("*", *[w.cast("long").alias(f"_w_{n}") for n, w in totals.items() if w is not None]))
-    spread = spread.withColumn("_part", F.shiftright("_id", 33))
-    sums = [(F.count("*") if w is None else F.coalesce(F.sum(f"_w_{n}"), F.lit(0))).alias(n) for n, w in totals.items()]
-    parts = sorted(spread.groupBy("_part").agg(*sums).collect())
-    base, at = [], [0] * len(totals)
+    at, part, *weights = free([df, *[df.sparkSession.range(0).toDF(n) for n in totals]], "_id", "_part", *[f"_w_{n}" for n in totals], *[f"_b_{n}" for n in totals])
+    bases = dict(zip(totals, weights[len(totals) :]))
+    weights = {n: c for (n, w), c in zip(totals.items(), weights) if w is not None}
+    spread = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(at, F.monotonically_increasing_id())
+    spread = cut(spread.select("*", *[totals[n].cast("long").alias(c) for n, c in weights.items()]))
+    spread = spread.withColumn(part, F.shiftright(at, 33))
+    sums = [(F.coalesce(F.sum(weights[n]), F.lit(0)) if n in weights else F.count("*")).alias(bases[n]) for n in totals]
+    parts = sorted(spread.groupBy(part).agg(*sums).collect())
+    base, so_far = [], [0] * len(totals)
     for p in parts:
-        base.append((p[0], *at))
-        at = [a + b for a, b in zip(at, p[1:])]
-    schema = "_part long, " + ", ".join(f"`_b_{n}` long" for n in totals)
-    both = spread.join(F.broadcast(df.sparkSession.createDataFrame(base, schema)), "_part")
-    before = Window.partitionBy("_part").orderBy("_id").rowsBetween(Window.unboundedPreceding, -1)
-    here = {n: F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)) if w is None else F.coalesce(F.sum(f"_w_{n}").over(before), F.lit(0)) for n, w in totals.items()}
-    return both.select(*df.columns, *[(F.col(f"_b_{n}") + c).alias(n) for n, c in here.items()])
+        base.append((p[0], *so_far))
+        so_far = [a + b for a, b in zip(so_far, p[1:])]
+    schema = f"`{part}` long, " + ", ".join(f"`{c}` long" for c in bases.values())
+    both = spread.join(F.broadcast(df.sparkSession.createDataFrame(base, schema)), part)
+    before = Window.partitionBy(part).orderBy(at).rowsBetween(Window.unboundedPreceding, -1)
+    here = {n: F.coalesce(F.sum(weights[n]).over(before), F.lit(0)) if n in weights else F.col(at).bitwiseAND(F.lit((1 << 33) - 1)) for n in totals}
+    return both.select(*df.columns, *[(F.col(bases[n]) + c).alias(n) for n, c in here.items()])
 
 
 def name_order(entries: DataFrame) -> DataFrame:
