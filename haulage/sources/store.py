@@ -116,12 +116,11 @@ def walk(spark: SparkSession, root: str, match: str | None = None, exclude: str
     kept, seen, level = [], [], 0
     filtered = any(e and e.strip() for e in (match, exclude))
     while not frontier.isEmpty():
-        found = cut(frontier.repartition(tasks if level > 1 else 1 if not level else min(tasks, 16)).mapInArrow(run, f"{ENTRY}, folder string, checked boolean"))
+        found = frontier.repartition(tasks if level > 1 else 1 if not level else min(tasks, 16)).mapInArrow(run, f"{ENTRY}, folder string, checked boolean")
         verdict = should_skip(match, exclude, Inputs.of(found, now)) if filtered else F.struct(F.lit(False).alias("skip"), F.lit(True).alias("continue_scan"), F.lit(False).alias("check_children"))
-        bad = F.col("error").isNotNull()
-        judged = found.withColumn("v", verdict)
+        judged, bad = cut(found.withColumn("v", verdict)), F.col("error").isNotNull()
         kept.append(judged.where(bad | ~(F.col("checked") & F.col("v.skip"))).select(*_NAMES))
-        listed = frontier.select("relative_path").join(found.groupBy(F.col("folder").alias("relative_path")).agg(F.count_if(~bad).alias("n_entries")), "relative_path", "left")
+        listed = frontier.select("relative_path").join(judged.groupBy(F.col("folder").alias("relative_path")).agg(F.count_if(~bad).alias("n_entries")), "relative_path", "left")
         seen.append(listed.select(F.lit(level).alias("level"), "relative_path", F.coalesce("n_entries", F.lit(0)).alias("n_entries")))
         level += 1
         go = ~bad & F.col("is_dir") & (~F.col("checked") | F.col("v.continue_scan"))
