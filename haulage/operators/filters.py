@@ -188,10 +188,16 @@ def extract_dir_date(name: Column) -> Column:
     eight = lambda s: (F.length(s) >= 8) & (number(s, 1, 4) >= 1900) & valid(number(s, 5, 2), number(s, 7, 2))
     six = lambda s: (F.length(s) == 6) & valid(number(s, 3, 2), number(s, 5, 2))
     run = F.get(F.filter(runs, lambda s: eight(s) | six(s)), 0)
-    first = F.get(iso, 0)
-    days = F.when(first.isNotNull(), civil_days(number(first, 1, 4), number(first, 6, 2), number(first, 9, 2)))
-    days = days.when(F.length(run) == 6, civil_days(number(run, 1, 2) + 2000, number(run, 3, 2), number(run, 5, 2)))
-    return days.when(run.isNotNull(), civil_days(number(run, 1, 4), number(run, 5, 2), number(run, 7, 2))) * _DAY
+    date = lambda y, m, d: F.struct(y.alias("y"), m.alias("m"), d.alias("d"))
+
+    def parts(f: Column) -> Column:
+        told = F.when(f.iso.isNotNull(), date(number(f.iso, 1, 4), number(f.iso, 6, 2), number(f.iso, 9, 2)))
+        told = told.when(F.length(f.run) == 6, date(number(f.run, 1, 2) + 2000, number(f.run, 3, 2), number(f.run, 5, 2)))
+        return told.when(f.run.isNotNull(), date(number(f.run, 1, 4), number(f.run, 5, 2), number(f.run, 7, 2)))
+
+    # each step's result is bound by a transform, so that the plan names no step twice
+    found = F.transform(F.array(F.struct(F.get(iso, 0).alias("iso"), run.alias("run"))), parts)
+    return F.get(F.transform(found, lambda p: civil_days(p.y, p.m, p.d)), 0) * _DAY
 
 
 def _compare(op: str, a: Column, b) -> Column:
@@ -199,7 +205,7 @@ def _compare(op: str, a: Column, b) -> Column:
 
 
 def _verdict(match: Column) -> Column:
-    return F.when(match.isNull(), F.lit(LAZY)).when(match, F.lit(NONPATH)).otherwise(F.lit(OTHER))
+    return F.get(F.lit([OTHER, NONPATH, LAZY]), F.coalesce(match.cast("int"), F.lit(2)))
 
 
 @dataclass
@@ -378,9 +384,9 @@ def should_skip(match: str | None, exclude: str | None, inputs: Inputs | None =
     x = inputs or Inputs()
     e = evaluate(exclude, x) if exclude and exclude.strip() else F.lit(LAZY)
     m = evaluate(match, x) if match and match.strip() else F.lit(LAZY)
-    code = _looked_up(_decision, e, m)
-    has = lambda bit: code.bitwiseAND(F.lit(bit)) != 0
-    return F.struct(has(4).alias("skip"), (has(2) | (has(8) & x.is_dir)).alias("continue_scan"), has(1).alias("check_children"))
+    codes = [(_decision(i, j) if i and j else 0, d) for i in range(8) for j in range(8) for d in (False, True)]
+    told = [F.struct(F.lit(bool(c & 4)).alias("skip"), F.lit(bool(c & 2 or (c & 8 and d))).alias("continue_scan"), F.lit(bool(c & 1)).alias("check_children")) for c, d in codes]
+    return F.get(F.array(*told), (e * 8 + m) * 2 + F.coalesce(x.is_dir, F.lit(False)).cast("int"))
 
 
 def filter_entries(df: DataFrame, match: str | None = None, exclude: str | None = None, now: int = 0) -> DataFrame:
