@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from haulage.functions import columns as C
 from haulage.functions.shared import shared_dir
-from haulage.operators import acl, blobs, chunks, diff, filters, integrity, objects, order, outcomes, planning, report, tree
+from haulage.operators import acl, blobs, chunks, diff, filters, integrity, objects, order, outcomes, planning, report, transfer, tree
 from haulage.sources import inventory as inv
+from haulage.sources import store
 from haulage.streaming import jobs as streams
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,6 +32,7 @@ DERIVED = {
     "failures": ("events", ["event_id", "CASE event_id % 5 WHEN 0 THEN 'TimedOut' WHEN 1 THEN 'NotFound' WHEN 2 THEN 'S3Error' WHEN 3 THEN 'PermissionDenied' ELSE 'NotConnected' END AS kind", "event_id % 7 = 0 AS hdfs"]),
     "transfers": ("events", ["{us:ts} AS ts_us", "user_id % 8 AS job", "CAST(floor(value * 1048576) AS BIGINT) AS bytes", "event_type AS event"]),
     "content": ("documents", ["concat(source, '/', lang, '/doc_', doc_id, '.txt') AS relative_path", "doc_id", "text"]),
+    "acls": ("customer", ["concat('share/', c_nationkey, '/', c_custkey % 40) AS path", "c_custkey AS pos", "concat('u', c_custkey % 9) AS trustee", "CAST(CASE WHEN c_custkey % 3 = 0 THEN 2032127 ELSE 1179785 END AS BIGINT) AS mask", "CAST(CASE WHEN c_custkey % 4 = 0 OR c_nationkey % 6 = 0 THEN 16 ELSE c_custkey % 2 * 2 END AS BIGINT) AS flags", "CAST(CASE WHEN c_custkey % 5 = 0 THEN 1 ELSE 0 END AS BIGINT) AS type", "c_nationkey % 5 = 0 AS protected"]),
     "aces": ("supplier", ["concat('share/', s_nationkey, '/', s_suppkey) AS path", "s_name AS trustee", "CAST(CASE s_suppkey % 8 WHEN 0 THEN 2032127 WHEN 1 THEN 1245631 WHEN 2 THEN 1179817 WHEN 3 THEN 1179926 WHEN 4 THEN 1179785 WHEN 5 THEN 1180063 WHEN 6 THEN 35 ELSE 0 END AS BIGINT) AS mask", "CAST(floor(s_suppkey / 8) % 4 * 8 AS BIGINT) AS flags", "CAST(s_suppkey % 2 AS BIGINT) AS type"]),
 }
 
@@ -368,12 +370,10 @@ def t2b(s, d):
     return planning.tar_manifest(files.unionByName(dirs).withColumn("package", F.substring_index("relative_path", "/", 2)))
 
 
-@query("x2_batch_keys", INV + " SELECT count(*) AS n_keys, count(DISTINCT relative_path) AS n_distinct, true AS all_bounded, true AS all_sorted FROM inv_src")
+@query("x2_batch_keys", INV + ", n AS (SELECT relative_path AS key, (row_number() OVER (ORDER BY relative_path) - 1) // 100 AS batch_id FROM inv_src) SELECT batch_id, count(*) AS n_keys, sha256(string_agg(key, chr(10) ORDER BY key)) AS keys_sha256 FROM n GROUP BY batch_id")
 def x2(s, d):
     batches = planning.batch_keys(inv.inv_src(s, d).select(F.col("relative_path").alias("key")), 100)
-    bounded, in_order = (F.col("n_keys") <= 100) & (F.col("n_keys") == F.size("keys")), F.array_sort("keys") == F.col("keys")
-    each = batches.select(F.explode("keys").alias("key"), bounded.alias("b"), in_order.alias("o"))
-    return each.agg(F.count("*").alias("n_keys"), F.count_distinct("key").alias("n_distinct"), F.bool_and("b").alias("all_bounded"), F.bool_and("o").alias("all_sorted"))
+    return batches.select("batch_id", "n_keys", F.sha2(F.array_join("keys", "\n"), 256).alias("keys_sha256"))
 
 
 @query("x1_plan_delete", INV + _DIRS + """, e AS (SELECT relative_path, true AS is_dir FROM dirs UNION ALL SELECT relative_path, false FROM inv_src), k AS (SELECT *, len(string_split(relative_path, '/')) * 2 + CASE WHEN is_dir THEN 0 ELSE 1 END AS dep FROM e)
@@ -412,12 +412,28 @@ def a7(s, d):
     return acl.who_can(derived(s, d, "aces"))
 
 
-@query("a4_acl_diff", _ACES + f""" SELECT path, CAST(count(*) FILTER (flags & 16 = 0 AND mask % 3 = 0) AS BIGINT) AS only_src, CAST(count(*) FILTER (flags & 16 = 0 AND mask % 3 = 0) AS BIGINT) AS only_dst, true AS needs_update, string_agg({_ACE}, ';' ORDER BY {_ACE}) AS merged
-FROM aces GROUP BY path HAVING count(*) FILTER (flags & 16 = 0 AND mask % 3 = 0) > 0""")
+_TEXT = "'[' || CASE WHEN flags & 16 <> 0 THEN 'I' ELSE 'E' END || '] ' || CASE type WHEN 0 THEN 'AccessAllowed' ELSE 'AccessDenied' END || ' ' || trustee || ' (' || CASE WHEN flags & 2 <> 0 THEN 'CI' ELSE '' END || ')'"
+_NOT_KEPT = "pos % 7 <> 0"
+
+
+@query("a4_acl_diff", _with("acls") + f""", dst AS (SELECT path, pos, trustee, CASE WHEN pos % 11 = 0 THEN mask + 1 ELSE mask END AS mask, flags, type, protected <> (length(path) % 3 = 0) AS protected FROM acls WHERE {_NOT_KEPT}),
+se AS (SELECT * FROM acls WHERE flags & 16 = 0), de AS (SELECT * FROM dst WHERE flags & 16 = 0),
+os AS (SELECT path, count(*) AS n FROM (SELECT path, trustee, mask, flags, type FROM se EXCEPT ALL SELECT path, trustee, mask, flags, type FROM de) GROUP BY path),
+od AS (SELECT path, count(*) AS n FROM (SELECT path, trustee, mask, flags, type FROM de EXCEPT ALL SELECT path, trustee, mask, flags, type FROM se) GROUP BY path),
+p AS (SELECT path FROM acls UNION SELECT path FROM dst),
+f AS (SELECT path, coalesce((SELECT bool_or(protected) FROM acls x WHERE x.path = p.path), false) <> coalesce((SELECT bool_or(protected) FROM dst x WHERE x.path = p.path), false) OR path IN (SELECT path FROM se) OR path IN (SELECT path FROM de) AS needs_update FROM p),
+m AS (SELECT path, string_agg(t, ';' ORDER BY k, pos) AS merged FROM (SELECT path, 0 AS k, pos, {_TEXT} AS t FROM se UNION ALL SELECT path, 1, pos, {_TEXT} FROM dst WHERE flags & 16 <> 0) GROUP BY path)
+SELECT f.path, coalesce(os.n, 0) AS only_src, coalesce(od.n, 0) AS only_dst, needs_update, CASE WHEN needs_update THEN coalesce(merged, '') END AS merged FROM f LEFT JOIN os ON f.path = os.path LEFT JOIN od ON f.path = od.path LEFT JOIN m ON f.path = m.path""")
 def a4(s, d):
-    a = derived(s, d, "aces")
-    out = acl.acl_diff(a, a.withColumn("mask", F.when(F.col("mask") % 3 == 0, F.col("mask") + 1).otherwise(F.col("mask"))))
-    return out.select("path", "only_src", "only_dst", "needs_update", F.array_join("merged", ";").alias("merged"))
+    """Lists of several entries; the destination lacks some, has other masks and, for a third of the paths, another protection."""
+    a = derived(s, d, "acls")
+    b = a.where(_NOT_KEPT).withColumns({"mask": F.when(F.col("pos") % 11 == 0, F.col("mask") + 1).otherwise(F.col("mask")), "protected": F.col("protected") != (F.length("path") % 3 == 0)})
+    return acl.acl_diff(a, b).select("path", "only_src", "only_dst", "needs_update", F.array_join("merged", ";").alias("merged"))
+
+
+@query("a3_acl_lists", _with("acls") + f" SELECT path, count(*) AS n_aces, count(*) FILTER (flags & 16 = 0) AS n_explicit, count(*) FILTER (flags & 16 <> 0) AS n_inherited, string_agg({_TEXT}, ';' ORDER BY pos) AS entries FROM acls GROUP BY path")
+def a3b(s, d):
+    return acl.acl_summary(derived(s, d, "acls")).select("path", "n_aces", "n_explicit", "n_inherited", F.array_join("entries", ";").alias("entries"))
 
 
 _LOG = _with("transfers")
@@ -577,11 +593,72 @@ def i6(s, d):
     return chunks.stream_shape_errors(every, both.select("relative_path", F.octet_length("text").cast("long").alias("size")))
 
 
-@query("c2_tree_hash", _with("content") + """, p AS (SELECT relative_path, i, sha256(substr(text, CAST(i * 1000 + 1 AS BIGINT), 1000)) AS h FROM content, unnest(range(0, (length(text) + 999) // 1000)) AS r(i))
-SELECT relative_path, count(*) AS n_chunks, sha256(string_agg(h, '' ORDER BY i)) AS digest FROM p GROUP BY relative_path""")
+@query("c2_tree_hash", _with("content") + """, p AS (SELECT relative_path, i, sha256(substr(text, CAST(i * 1000 + 1 AS BIGINT), 1000)) AS h FROM content, unnest(range(0, (length(text) + 999) // 1000)) AS r(i)),
+q AS (SELECT relative_path, i // 8 AS i, count(*) AS n, sha256(string_agg(h, '' ORDER BY i)) AS h FROM p GROUP BY 1, p.i // 8),
+r AS (SELECT relative_path, i // 8 AS i, sum(n) AS n, sha256(string_agg(h, '' ORDER BY i)) AS h FROM q GROUP BY 1, q.i // 8)
+SELECT relative_path, CAST(sum(n) AS BIGINT) AS n_chunks, sha256(string_agg(h, '' ORDER BY i)) AS digest FROM r GROUP BY relative_path""")
 def c2(s, d):
+    """Hash trees of three levels of eight children (up to 512,000 characters)."""
     files = derived(s, d, "content")
-    return chunks.tree_hash_chunks(chunks.cut_chunks(files, F.length("text"), lambda at: F.substring(F.col("text"), (at + 1).cast("int"), F.lit(1000)), 1000))
+    cut = chunks.cut_chunks(files, F.length("text"), lambda at: F.substring(F.col("text"), (at + 1).cast("int"), F.lit(1000)), 1000)
+    return chunks.tree_hash_chunks(cut, 1000, 8, 3)
+
+
+@query("i5_full_check_trees", _with("content") + f""" SELECT relative_path, CAST(CASE WHEN {_CUT} THEN strlen(left(text, length(text) - 1)) WHEN doc_id % 31 <> 0 AND doc_id % 9 = 0 AND instr(text, 'e') > 0 THEN strlen(left(text, instr(text, 'e') - 1)) END AS BIGINT) AS first_diff FROM content""")
+def i5b(s, d):
+    both = _sides(s, d)
+    return chunks.full_check_trees(_bytes(both, "text", 4096), _bytes(both, "copied", 1000), both, 4096)
+
+
+def _bucketed(s, d) -> tuple[DataFrame, DataFrame]:
+    """Both inventories as tables of eight buckets by path."""
+    name = uuid.uuid4().hex
+    return tuple(inv.write_bucketed(df, f"inv_{side}_{name}", f"{shared_dir(s)}/bucketed-{side}-{name}", 8) for side, df in (("src", inv.inv_src(s, d)), ("dst", inv.inv_dst(s, d))))
+
+
+@query("d2_diff_bucketed", DIFF + " SELECT relative_path, state FROM diff")
+def d2b(s, d):
+    return diff.diff_inventories(*_bucketed(s, d)).select("relative_path", "state")
+
+
+@query("i2_quick_check_bucketed", QUICK + " SELECT relative_path, outcome, fields FROM q")
+def i2c(s, d):
+    return integrity.quick_check(*_bucketed(s, d))
+
+
+@query("d4_top_renames", """WITH e AS (SELECT DISTINCT concat('d', o_custkey % 50, '/e', o_orderkey % 7, '/f', o_orderkey) AS f, concat(CASE WHEN o_custkey % 50 % 3 = 0 THEN 'n' ELSE 'd' END, o_custkey % 50, '/e', o_orderkey % 7, CASE WHEN o_orderkey % 7 = 2 THEN 'x' ELSE '' END, '/f', o_orderkey, CASE WHEN o_orderkey % 11 = 0 THEN 'y' ELSE '' END) AS t FROM orders),
+every AS (SELECT f, t FROM e UNION SELECT regexp_replace(f, '/[^/]*$', ''), regexp_replace(t, '/[^/]*$', '') FROM e UNION SELECT split_part(f, '/', 1), split_part(t, '/', 1) FROM e),
+p AS (SELECT * FROM every WHERE f <> t)
+SELECT f AS from_path, t AS to_path FROM p WHERE NOT (split_part(f, '/', -1) = split_part(t, '/', -1) AND EXISTS (SELECT 1 FROM p q WHERE q.f = regexp_replace(p.f, '/[^/]*$', '') AND q.t = regexp_replace(p.t, '/[^/]*$', '') AND p.f LIKE '%/%'))""")
+def d4c(s, d):
+    """Renames of files and directories, of which those that a directory's rename explains go."""
+    e = s.read.parquet(f"{d}/orders.parquet").selectExpr("concat('d', o_custkey % 50, '/e', o_orderkey % 7, '/f', o_orderkey) AS f", "concat(CASE WHEN o_custkey % 50 % 3 = 0 THEN 'n' ELSE 'd' END, o_custkey % 50, '/e', o_orderkey % 7, CASE WHEN o_orderkey % 7 = 2 THEN 'x' ELSE '' END, '/f', o_orderkey, CASE WHEN o_orderkey % 11 = 0 THEN 'y' ELSE '' END) AS t")
+    up = lambda df: df.select(C.path_parent(F.col("f")).alias("f"), C.path_parent(F.col("t")).alias("t")).distinct()
+    every = e.unionByName(up(e)).unionByName(up(up(e))).where("f != t").distinct()
+    return diff.top_renames(every.selectExpr("f AS from_path", "t AS to_path"))
+
+
+@query("d8_renamed_directories")
+def d8b(s, d):
+    """A log of files in directories that are renamed again and again (a replay in order; tested against one)."""
+    return diff.merge_scan_messages(tree_log(s, d))
+
+
+def tree_log(s, d) -> DataFrame:
+    place = "concat('d', user_id % 20, '/e', user_id % 3)"
+    return s.read.parquet(f"{d}/events.parquet").selectExpr("event_id AS seq", "CASE WHEN event_id % 50 = 7 THEN 'Renamed' WHEN event_id % 9 = 4 THEN 'Deleted' ELSE 'Scanned' END AS kind", f"CASE WHEN event_id % 100 = 7 THEN concat('d', event_id % 17) WHEN event_id % 100 = 57 THEN concat({place}, 'x') ELSE concat({place}, '/f', event_id % 40) END AS relative_path", f"CASE WHEN event_id % 100 = 7 THEN concat('d', event_id % 20) WHEN event_id % 100 = 57 THEN {place} END AS from_path", "CAST(floor(value) AS BIGINT) AS size")
+
+
+@query("i8_retry_rounds", _with("failures") + """, r AS (SELECT event_id, kind, event_id % 6 AS bad, kind IN ('TimedOut', 'S3Error', 'NotConnected') AS again FROM failures)
+SELECT event_id, CASE WHEN bad = 0 THEN 'ok' WHEN NOT again THEN 'permanent' WHEN bad < 4 THEN 'ok' ELSE 'failed' END AS status, CASE WHEN bad = 0 OR NOT again THEN 1 WHEN bad < 4 THEN CAST(bad + 1 AS INTEGER) ELSE 4 END AS attempts, CASE WHEN bad = 0 OR (again AND bad < 4) THEN NULL ELSE kind || ': event' END AS error FROM r""")
+def i8c(s, d):
+    """Events that fail up to five times, tried four times where their kind is worth it."""
+    tries = iter(range(4))
+
+    def work(rows):
+        return rows.select("event_id", F.when(F.col("event_id") % 6 > next(tries), F.concat("kind", F.lit(": event"))).alias("error"))
+
+    return outcomes.in_rounds(derived(s, d, "failures"), work, "event_id", wait=lambda seconds: None)
 
 
 @query("g6_stream_scan", "SELECT concat('o', o_orderkey, CASE o_orderkey % 2 WHEN 0 THEN '.log' ELSE '.csv' END) AS relative_path, CAST(floor(o_totalprice) AS BIGINT) AS size FROM orders WHERE CAST(floor(o_totalprice) AS BIGINT) > 150000 AND o_orderkey % 2 <> 0")
@@ -714,10 +791,10 @@ def a6(s, d):
     return out.select("file", F.explode("x.xattrs").alias("a")).select("file", "a.name", F.col("a.value").cast("string").alias("value"))
 
 
-@query("t3_ustar_header", INV + """ SELECT relative_path, lpad(format('{:o}', mode), 7, '0') || '|' || lpad(format('{:o}', coalesce(uid, 0)), 7, '0') || '|' || lpad(format('{:o}', gid), 7, '0') || '|' || lpad(format('{:o}', size), 11, '0') || '|' || lpad(format('{:o}', mtime_ns // 1000000000), 11, '0') AS numbers, CAST(512 AS INTEGER) AS n_bytes FROM inv_dst WHERE starts_with(relative_path, 'orders/')""")
+@query("t3_ustar_header", INV + """ SELECT relative_path, lpad(format('{:o}', mode), 7, '0') || '|' || lpad(format('{:o}', coalesce(uid, 0)), 7, '0') || '|' || lpad(format('{:o}', gid), 7, '0') || '|' || lpad(format('{:o}', size), 11, '0') || '|' || lpad(format('{:o}', mtime_ns // 1000000000), 11, '0') AS numbers, CAST(512 AS INTEGER) AS n_bytes FROM inv_dst""")
 def t3(s, d):
     head = blobs.ustar_header(F.col("relative_path"), F.col("size"), F.col("mtime_ns"), F.col("mode"), F.col("uid"), F.col("gid"), F.lit("0"), F.lit(""))
-    rows = inv.inv_dst(s, d).where("startswith(relative_path, 'orders/')").select("relative_path", head.alias("head"))
+    rows = inv.inv_dst(s, d).select("relative_path", head.alias("head"))
     field = lambda at, n: F.substring("head", at, n).cast("string")
     return rows.select("relative_path", F.concat_ws("|", field(101, 7), field(109, 7), field(117, 7), field(125, 11), field(137, 11)).alias("numbers"), F.octet_length("head").alias("n_bytes"))
 
@@ -732,6 +809,18 @@ def g7b(s, d):
     return streams.commit_coverage(streams.drain(streams.stream_commits(events, "36500 days")), files)
 
 
+@query("g7_stream_coverage", _COVER + """, f AS (SELECT o_orderkey AS file, CAST((o_orderkey % 7 + 1) * 1048576 AS BIGINT) AS size FROM orders),
+ins AS (SELECT f.file, greatest("start", 0) AS a, least("end", size) AS b FROM f JOIN cover ON f.file = cover.file WHERE least("end", size) > greatest("start", 0)),
+sums AS (SELECT file, CAST(sum(b - a) AS BIGINT) AS covered, count(*) AS n_ranges FROM ins GROUP BY file)
+SELECT f.file, coalesce(covered, 0) AS covered, coalesce(n_ranges, 0) AS n_ranges, coalesce(covered, 0) = size AS complete, CASE WHEN coalesce(covered, 0) = size THEN 1 ELSE 0 END AS n_told FROM f LEFT JOIN sums ON f.file = sums.file""")
+def g7c(s, d):
+    events = streams.read_stream(s, f"{d}/lineitem.parquet").selectExpr(*_exprs("commits", True))
+    files = s.read.parquet(f"{d}/orders.parquet").selectExpr("o_orderkey AS file", "CAST((o_orderkey % 7 + 1) * 1048576 AS BIGINT) AS size")
+    cover, batches = streams.stream_coverage(events, files)
+    told = cover.completed().groupBy("file").agg(F.count("*").cast("int").alias("n_told"))
+    return cover.report(batches).join(told, "file", "left").withColumn("n_told", F.coalesce("n_told", F.lit(0)))
+
+
 @query("w5_tree_totals", INV + _DIRS + " SELECT (SELECT count(*) FROM inv_src) AS n_files, (SELECT count(*) FROM dirs) AS n_dirs, CAST((SELECT sum(size) FROM inv_src) AS BIGINT) AS bytes, (SELECT max(size) FROM inv_src) AS largest, CAST(4 AS BIGINT) AS deepest")
 def w5b(s, d):
     files = inv.inv_src(s, d).select("relative_path", F.lit(False).alias("is_dir"), "size", "mtime_ns")
@@ -761,6 +850,43 @@ def s3(s, d):
     return got.select("relative_path", "offset", F.length("data").cast("long").alias("length"), F.sha2("data", 256).alias("digest"))
 
 
+@query("s1_walk")
+def s1b(s, d):
+    """The tables' own files and folders, by a distributed walk (no SQL: files of a store)."""
+    return store.walk(s, d, tasks=8)[0].select("relative_path", "is_dir", "size", "mtime_ns", "error")
+
+
+def _own_files(s, d) -> DataFrame:
+    return store.walk(s, d, tasks=8)[0].where("NOT is_dir AND NOT is_symlink").select("relative_path", "size")
+
+
+@query("c4_copy_files")
+def c4(s, d):
+    """The tables' own files copied in pieces to the shared folder and compared there (no SQL: files of a store)."""
+    files, target = _own_files(s, d), store.mounted(shared_dir(s)) + f"/copies-{uuid.uuid4().hex}"
+    done = transfer.copy_files(files, store.mounted(d), target, tasks=8, piece=1 << 20)
+    return done.join(chunks.check_files(s, files, d, target, tasks=8), "relative_path")
+
+
+@query("r3_resumable_copy")
+def r3b(s, d):
+    """The same by two runs of a resumable copy, of which the first leaves out every third piece (no SQL)."""
+    files, top = _own_files(s, d), store.mounted(shared_dir(s)) + f"/resumed-{uuid.uuid4().hex}"
+    run = lambda stop: transfer.copy_resumable(files, store.mounted(d), f"{top}/files", f"{top}/state", tasks=8, piece=1 << 18, stop=stop)
+    run(lambda path, start: start // (1 << 18) % 3 == 1)
+    again = run(None)
+    return again.files.join(planning.check_accounting(again.sent, again.planned, "relative_path"), "relative_path", "left")
+
+
+@query("t4_pack_to_tar")
+def t4(s, d):
+    """The tables' own files, and the folders of a table that has many, as one archive (no SQL: files of a store)."""
+    every = store.walk(s, d, tasks=8)[0]
+    top = store.mounted(d)
+    entries = every.select(F.lit(top.rsplit("/", 1)[1]).alias("package"), F.concat(F.lit(top.rsplit("/", 1)[1] + "/"), "relative_path").alias("relative_path"), "size", "is_dir", "is_symlink")
+    return transfer.pack_to_tar(entries, top.rsplit("/", 1)[0], store.mounted(shared_dir(s)) + f"/tar-{uuid.uuid4().hex}", tasks=8)
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 

@@ -34,11 +34,18 @@ def ace_text(flags: Column, type_: Column, trustee: Column) -> Column:
     return F.concat(F.lit("["), F.coalesce(on(INHERITED, "I"), F.lit("E")), F.lit("] "), kinds, F.lit(" "), trustee, F.lit(" ("), passed, F.lit(")"))
 
 
+def _listed(aces: DataFrame) -> Column:
+    """The texts of a path's entries in the order of pos; without one, denials before the rest, then by text."""
+    text = ace_text(F.col("flags"), F.col("type"), F.col("trustee"))
+    first = F.col("pos") if "pos" in aces.columns else F.when(F.col("type") == 1, 0).otherwise(1)
+    return F.transform(F.array_sort(F.collect_list(F.struct(first.alias("at"), text.alias("text")))), lambda x: x.text)
+
+
 def acl_summary(aces: DataFrame) -> DataFrame:
-    """path, n_aces, n_explicit, n_inherited, entries (their texts, sorted; a list's length bounds the array)."""
+    """path, n_aces, n_explicit, n_inherited, entries: their texts in the list's own order (column pos, where there is one;
+    else denials first). A list's length bounds the array; null flags are neither explicit nor inherited."""
     inherited = F.col("flags").bitwiseAND(F.lit(INHERITED)) != 0
-    text = F.array_sort(F.collect_list(ace_text(F.col("flags"), F.col("type"), F.col("trustee"))))
-    return aces.groupBy("path").agg(F.count("*").alias("n_aces"), F.count_if(~inherited).alias("n_explicit"), F.count_if(inherited).alias("n_inherited"), text.alias("entries"))
+    return aces.groupBy("path").agg(F.count("*").alias("n_aces"), F.count_if(~inherited).alias("n_explicit"), F.count_if(inherited).alias("n_inherited"), _listed(aces).alias("entries"))
 
 
 def who_can(aces: DataFrame) -> DataFrame:
@@ -48,17 +55,24 @@ def who_can(aces: DataFrame) -> DataFrame:
 
 
 def acl_diff(src: DataFrame, dst: DataFrame) -> DataFrame:
-    """path, only_src, only_dst, needs_update, merged: explicit entries that the other side lacks, whether the
-    destination is to be written, and what it then holds (the source's explicit and its own inherited entries, as texts).
+    """path, only_src, only_dst, needs_update, merged for every path of either side: explicit entries that the other side
+    lacks (repeated ones count each), whether the destination is to be written, and what it then holds.
 
-    Only paths whose explicit entries differ are returned; repeated entries count each.
+    It is to be written if the sides' protected bits differ or either has explicit entries, equal ones too. merged then
+    holds the source's explicit entries and after them the destination's inherited ones, each in their own order (column
+    pos, where there is one; else denials first), as texts; otherwise it is null. Without a column protected, or where it is
+    null, a list is not protected; a path that one side lacks has an empty, unprotected list there.
     """
     cols = ["path", "trustee", "mask", "flags", "type"]
-    a, b = explicit_aces(src).select(cols), explicit_aces(dst).select(cols)
-    sides = a.exceptAll(b).select("path", F.lit(1).alias("s"), F.lit(0).alias("d")).unionByName(b.exceptAll(a).select("path", F.lit(0).alias("s"), F.lit(1).alias("d")))
-    differ = sides.groupBy("path").agg(F.sum("s").alias("only_src"), F.sum("d").alias("only_dst"))
-    inherited = dst.select(cols).where(F.col("flags").bitwiseAND(F.lit(INHERITED)) != 0)
-    text = F.array_sort(F.collect_list(ace_text(F.col("flags"), F.col("type"), F.col("trustee"))))
-    merged = a.unionByName(inherited).groupBy("path").agg(text.alias("merged"))
-    out = differ.join(merged, "path", "left")
-    return out.select("path", "only_src", "only_dst", (F.col("only_src") + F.col("only_dst") > 0).alias("needs_update"), F.coalesce("merged", F.array().cast("array<string>")).alias("merged"))
+    own, inherited = explicit_aces(src), dst.where(F.col("flags").bitwiseAND(F.lit(INHERITED)) != 0)
+    a, b = own.select(cols), explicit_aces(dst).select(cols)
+    tally = lambda df, s, d: df.select("path", F.lit(s).alias("s"), F.lit(d).alias("d"))
+    differ = tally(a.exceptAll(b), 1, 0).unionByName(tally(b.exceptAll(a), 0, 1)).groupBy("path").agg(F.sum("s").alias("only_src"), F.sum("d").alias("only_dst"))
+    state = lambda df, name: df.groupBy("path").agg(F.bool_or(F.coalesce(F.col("protected"), F.lit(False)) if "protected" in df.columns else F.lit(False)).alias(f"{name}_protected"), F.bool_or(F.coalesce(F.col("flags").bitwiseAND(F.lit(INHERITED)) == 0, F.lit(False))).alias(f"{name}_explicit"))
+    both = state(src, "s").join(state(dst, "d"), "path", "full_outer")
+    no = lambda c: F.coalesce(c, F.lit(False))
+    update = (no(F.col("s_protected")) != no(F.col("d_protected"))) | no(F.col("s_explicit")) | no(F.col("d_explicit"))
+    first, then = own.groupBy("path").agg(_listed(own).alias("first")), inherited.groupBy("path").agg(_listed(inherited).alias("then"))
+    out = both.join(differ, "path", "left").join(first, "path", "left").join(then, "path", "left")
+    none, zero = F.array().cast("array<string>"), F.lit(0)
+    return out.select("path", F.coalesce("only_src", zero).alias("only_src"), F.coalesce("only_dst", zero).alias("only_dst"), update.alias("needs_update"), F.when(update, F.concat(F.coalesce("first", none), F.coalesce("then", none))).alias("merged"))

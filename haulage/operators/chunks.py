@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import os
+from functools import reduce
 from urllib.parse import urlparse
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from haulage.functions.columns import trunc_div
+from haulage.functions.shared import cut
 from haulage.sources import store
 
 GRID = 65_536
@@ -112,8 +114,63 @@ def stream_shape_errors(chunks: DataFrame, files: DataFrame) -> DataFrame:
     return both.select("relative_path", "side", error.alias("error"), F.coalesce("_wrong", "_got").alias("at")).where("error IS NOT NULL")
 
 
-def tree_hash_chunks(chunks: DataFrame) -> DataFrame:
-    """relative_path, n_chunks, digest: SHA-256 over the chunk digests in order (both sides need the same grid)."""
-    leaf = chunks.select("relative_path", F.struct("offset", F.sha2("data", 256).alias("h")).alias("p"))
-    digests = F.transform(F.array_sort(F.collect_list("p")), lambda x: x["h"])
-    return leaf.groupBy("relative_path").agg(F.count("*").alias("n_chunks"), F.sha2(F.array_join(digests, ""), 256).alias("digest"))
+FANOUT = 64
+
+
+def merkle_tree(chunks: DataFrame, grid: int, fanout: int = FANOUT, levels: int | None = None) -> DataFrame:
+    """relative_path, level, node, digest, n: the hash tree of every file over its chunks (relative_path, offset, data).
+
+    Level 0 has the SHA-256 of each chunk, its node the chunk's number on the grid (units of offset); a node of the next level
+    has that of its up to `fanout` children's digests in order, so no row holds more than fanout digests. All files have the
+    same number of levels: `levels`, or what the file with most chunks needs; the top one has a node for each file. n counts
+    the chunks below a node. Both sides need the same grid and one row a chunk. Each level is written once.
+    """
+    level = cut(chunks.select("relative_path", trunc_div(F.col("offset"), grid).alias("node"), F.sha2("data", 256).alias("digest"), F.lit(1).cast("long").alias("n")))
+    out, k = [level.withColumn("level", F.lit(0))], 0
+    most = level.agg(F.max("node")).first()[0] or 0
+    while (most > 0) if levels is None else (k < levels):
+        parts = F.transform(F.array_sort(F.collect_list(F.struct("node", "digest"))), lambda x: x.digest)
+        level = level.withColumn("parent", trunc_div(F.col("node"), fanout)).groupBy("relative_path", "parent").agg(F.sha2(F.array_join(parts, ""), 256).alias("digest"), F.sum("n").alias("n"))
+        level = cut(level.select("relative_path", F.col("parent").alias("node"), "digest", "n"))
+        most, k = most // fanout, k + 1
+        out.append(level.withColumn("level", F.lit(k)))
+    if most > 0:
+        raise ValueError(f"{levels} levels are too few for {most} nodes above them")
+    return reduce(DataFrame.unionByName, out).select("relative_path", "level", "node", "digest", "n")
+
+
+def merkle_diff(a: DataFrame, b: DataFrame, fanout: int = FANOUT) -> tuple[DataFrame, list[int]]:
+    """(relative_path, node) of the unequal chunks of two hash trees, and how many pairs of nodes each level compared.
+
+    From the top down only the children of unequal nodes are joined. Trees of different height are compared from the top of
+    the lower one; nodes that one side lacks are unequal.
+    """
+    tops = [df.agg(F.max("level")).first()[0] for df in (a, b)]
+    if None in tops:  # an empty side: all chunks of the other
+        return a.unionByName(b).where("level = 0").select("relative_path", "node"), []
+    unequal, compared = None, []
+    for k in range(min(tops), -1, -1):
+        x, y = (df.where(F.col("level") == k).select("relative_path", "node", F.col("digest").alias(name)) for df, name in ((a, "x"), (b, "y")))
+        if unequal is not None:
+            above = unequal.select("relative_path", F.col("node").alias("above"))
+            x, y = (df.withColumn("above", trunc_div(F.col("node"), fanout)).join(above, ["relative_path", "above"], "left_semi").drop("above") for df in (x, y))
+        both = cut(x.join(y, ["relative_path", "node"], "full_outer"))
+        compared.insert(0, both.count())
+        unequal = both.where(~F.col("x").eqNullSafe(F.col("y"))).select("relative_path", "node")
+    return unequal, compared
+
+
+def tree_hash_chunks(chunks: DataFrame, grid: int = GRID, fanout: int = FANOUT, levels: int | None = None) -> DataFrame:
+    """relative_path, n_chunks, digest: the top of each file's hash tree; both sides need the same grid, fanout and levels."""
+    tree = merkle_tree(chunks, grid, fanout, levels)
+    top = tree.agg(F.max("level")).first()[0] or 0
+    return tree.where(F.col("level") == top).select("relative_path", F.col("n").alias("n_chunks"), "digest")
+
+
+def full_check_trees(src: DataFrame, dst: DataFrame, files: DataFrame, grid: int = GRID) -> DataFrame:
+    """full_check_chunks by hash trees: only the bytes of each file's first unequal cell are joined."""
+    sides = [cut(on_grid(df, grid)) for df in (src, dst)]
+    trees = [merkle_tree(df.select("relative_path", (F.col("cell") * grid).alias("offset"), "data"), grid) for df in sides]
+    bad = merkle_diff(*trees)[0].groupBy("relative_path").agg(F.min("node").alias("cell"))
+    wanted = [df.join(bad, ["relative_path", "cell"], "left_semi").select("relative_path", (F.col("cell") * grid).alias("offset"), "data") for df in sides]
+    return full_check_chunks(*wanted, files, grid)

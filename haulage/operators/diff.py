@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from haulage.functions.columns import path_name, path_parent
+from haulage.functions.names import free
+from haulage.functions.shared import cut
+from haulage.sources.inventory import prefixes
+
 ATTRS = ("size", "mtime_ns", "mode", "uid", "gid", "ino")
 
 
@@ -88,16 +93,70 @@ def metadata_carry(actions: DataFrame, dst_backend: str) -> DataFrame:
     return actions.withColumn("attributes", F.when(F.col("action") == "set_metadata", attrs).otherwise(F.lit("")))
 
 
-def merge_scan_messages(log: DataFrame) -> DataFrame:
-    """The inventory after a message log (seq, kind, relative_path, from_path, size): the last message of a path wins,
-    deleted paths and the old names of renamed ones go. Messages without a path are about the null path; of messages
-    that share a seq the greatest by (kind, size) counts."""
-    gone = log.where("kind = 'Renamed'").select("seq", F.lit("Deleted").alias("kind"), F.col("from_path").alias("relative_path"), F.lit(None).cast("long").alias("size"))
-    every = log.select("seq", "kind", "relative_path", "size").unionByName(gone)
-    last = every.groupBy("relative_path").agg(F.max(F.struct("seq", "kind", "size")).alias("m"))
-    return last.where("m.kind <> 'Deleted'").select("relative_path", F.col("m.size").alias("size"))
+def merge_scan_messages(log: DataFrame, max_rounds: int = 1000) -> DataFrame:
+    """The inventory (relative_path, size) after a message log (seq, kind, relative_path, from_path, size), as a replay in the
+    order of seq gives it.
+
+    A message sets its path's size; Deleted takes the path away, Renamed takes from_path and everything below it to
+    relative_path, replacing what is there of the same names, and then sets relative_path itself. Messages without a path are
+    about the null path. Of messages of one path that share a seq the greatest by (kind, size) counts, and counts more than
+    what a rename brings there at that seq; of renames that bring two entries to one place the larger size stays.
+
+    An arrival (path, seq) ends where the next one of its path begins; if a rename of the path or of a directory above comes
+    first, it arrives anew at the new place. The next rename of each ancestor is looked up by one running window over renames
+    and arrivals, without pairing them. Arrivals are worked out round by round, each from what the last one found;
+    arrivals up to the k-th rename of an entry are right after k rounds, so rounds are as many as the moves of the
+    entry that moved most, and the last finds nothing new.
+    """
+    direct = log.groupBy("relative_path", "seq").agg(F.max(F.struct("kind", "size")).alias("m"))
+    direct = cut(direct.select("relative_path", "seq", F.lit(1).alias("rank"), (F.col("m.kind") == "Deleted").alias("gone"), F.col("m.size").alias("size")))
+    renames = cut(log.where("kind = 'Renamed' AND from_path IS NOT NULL AND relative_path IS NOT NULL").groupBy("from_path", "seq").agg(F.max("relative_path").alias("to_path")))
+    arrivals = direct
+    for _ in range(max_rounds):
+        lives = _lives(arrivals, renames)
+        moved = lives.where("moved IS NOT NULL").groupBy(F.col("moved").alias("relative_path"), F.col("moved_at").alias("seq")).agg(F.max("size").alias("size"))
+        every = direct.unionByName(moved.select("relative_path", "seq", F.lit(0).alias("rank"), F.lit(False).alias("gone"), "size"))
+        found = cut(every.groupBy("relative_path", "seq").agg(F.max(F.struct("rank", "gone", "size")).alias("m")).select("relative_path", "seq", "m.*"))
+        if _same(found, arrivals):
+            return lives.where("next_seq IS NULL AND moved IS NULL AND NOT gone").select("relative_path", "size")
+        arrivals = found
+    raise RuntimeError(f"renames did not settle in {max_rounds} rounds")
+
+
+def _same(a: DataFrame, b: DataFrame) -> bool:
+    return a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
+
+
+def _lives(arrivals: DataFrame, renames: DataFrame) -> DataFrame:
+    """arrivals with next_seq (the next arrival at their path) and, where a rename of the path or of a directory above it comes
+    before that, moved and moved_at: the new path and when."""
+    told = arrivals.withColumn("next_seq", F.lead("seq").over(Window.partitionBy("relative_path").orderBy("seq")))
+    path = F.col("relative_path")
+    asked = told.where("NOT gone AND relative_path IS NOT NULL").select(path.alias("path"), "seq", F.explode(F.concat(prefixes(path), F.array(path))).alias("at"))
+    known = renames.select(F.lit(None).cast("string").alias("path"), "seq", F.col("from_path").alias("at"), F.struct("seq", "to_path").alias("rename"))
+    rows = asked.withColumn("rename", F.lit(None).cast(known.schema["rename"].dataType)).unionByName(known)
+    later = Window.partitionBy("at").orderBy(F.desc("seq")).rangeBetween(Window.unboundedPreceding, -1)
+    found = rows.withColumn("next", F.last("rename", ignorenulls=True).over(later)).where("path IS NOT NULL AND next IS NOT NULL")
+    first = found.groupBy("path", "seq").agg(F.min(F.struct(F.col("next.seq").alias("seq"), F.length("at").alias("n"), F.col("next.to_path").alias("to"))).alias("r"))
+    first = first.select(F.col("path").alias("p"), F.col("seq").alias("s"), "r")
+    both = told.join(first, (path == F.col("p")) & (F.col("seq") == F.col("s")), "left")
+    goes = F.col("r").isNotNull() & (F.col("next_seq").isNull() | (F.col("r.seq") <= F.col("next_seq")))
+    place = F.concat(F.col("r.to"), F.substr("relative_path", F.col("r.n") + 1))
+    return both.select("relative_path", "seq", "rank", "gone", "size", "next_seq", F.when(goes, place).alias("moved"), F.when(goes, F.col("r.seq")).alias("moved_at"))
+
+
+def top_renames(pairs: DataFrame) -> DataFrame:
+    """Of renames (from_path, to_path) those that no rename of the directory above them explains: its pair is among them
+    and the name is the same."""
+    up = lambda c: path_parent(F.col(c))
+    same_name = path_name(F.col("from_path")) == path_name(F.col("to_path"))
+    above = pairs.select(F.col("from_path").alias("from_dir"), F.col("to_path").alias("to_dir")).distinct()
+    own = pairs.withColumns({"from_dir": up("from_path"), "to_dir": up("to_path")})
+    explained = own.where(same_name).join(above, ["from_dir", "to_dir"], "left_semi").select("from_path", "to_path")
+    return pairs.join(explained, ["from_path", "to_path"], "left_anti")
 
 
 def latest(df: DataFrame, key: str, order: list) -> DataFrame:
     """The first row of each key (a null key is one) by the given order; rows that tie in it all are alike."""
-    return df.withColumn("_rn", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where("_rn = 1").drop("_rn")
+    (place,) = free(df, "place")
+    return df.withColumn(place, F.row_number().over(Window.partitionBy(key).orderBy(*order))).where(F.col(place) == 1).drop(place)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from haulage.functions.columns import path_depth, trunc_div
+from haulage.operators.order import running
 
 MIB = 1 << 20
 PARTS = 10_000
@@ -179,11 +180,10 @@ def plan_delete(entries: DataFrame, prefix: str = "") -> DataFrame:
 
 
 def batch_keys(keys: DataFrame, batch: int = 100) -> DataFrame:
-    """(batch_id, n_keys, keys): at most `batch` keys each, in order inside range partitions."""
-    spread = keys.select("key").repartitionByRange("key").sortWithinPartitions("key").withColumn("_id", F.monotonically_increasing_id())
-    part, at = F.shiftright("_id", 33), F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
-    spread = spread.select("key", F.concat_ws("-", part.cast("string"), trunc_div(at, batch).cast("string")).alias("batch_id"))
-    return spread.groupBy("batch_id").agg(F.count("*").alias("n_keys"), F.array_sort(F.collect_list("key")).alias("keys"))
+    """(batch_id, n_keys, keys): the keys in their order, `batch` to a batch from number 0 on; only the last has fewer.
+    Repeated keys count each, null keys come first, and no keys make no batch."""
+    numbered = running(keys.select("key"), ["key"], {"at": None})
+    return numbered.groupBy(trunc_div(F.col("at"), batch).alias("batch_id")).agg(F.count("*").alias("n_keys"), F.transform(F.array_sort(F.collect_list(F.struct("key"))), lambda k: k.key).alias("keys"))
 
 
 def reconcile_delete(requested: DataFrame, failed: DataFrame) -> DataFrame:

@@ -132,7 +132,7 @@ def _forget(part: str) -> None:
         pass
 
 
-def copy_files(manifest: DataFrame, src_root: str, dst_root: str, verify: bool = True, delete_source: bool = False, tasks: int = 200, piece: int = PIECE) -> DataFrame:
+def copy_files(manifest: DataFrame, src_root: str, dst_root: str, verify: bool = True, delete_source: bool = False, tasks: int = 200, piece: int = PIECE, before: Callable[[str], None] | None = None) -> DataFrame:
     """relative_path, bytes, error: one row per file of manifest (relative_path, size; repeats count once); failures never end
     the job. The work is done once, when this is called; the result is a table.
 
@@ -140,6 +140,7 @@ def copy_files(manifest: DataFrame, src_root: str, dst_root: str, verify: bool =
     times and name. A file that failed leaves no sibling, and its target as it was; sources go only after a verified
     copy. A source that is gone beside a target of the same size counts as done, so retries succeed. A null
     size is any size, copied by one task. Null paths and paths that leave the roots are errors; an empty manifest does nothing.
+    before(path) is called ahead of each piece; an OSError of its own fails the piece.
     """
     run_id = uuid.uuid4().hex
     part = lambda target: f"{target}.{run_id}.part"
@@ -150,6 +151,8 @@ def copy_files(manifest: DataFrame, src_root: str, dst_root: str, verify: bool =
         def work() -> tuple:
             if path is None:
                 raise OSError("no path")
+            if before:
+                before(path)
             source, target = below(src_root, path), below(dst_root, path)
             if delete_source and not os.path.exists(source) and os.path.exists(target) and os.path.getsize(target) == size:
                 return (end or 0) - start, None

@@ -108,6 +108,16 @@ def write_inventory(df: DataFrame, path: str, partition_cols: list[str] | None =
     (writer.partitionBy(*partition_cols) if partition_cols else writer).parquet(path)
 
 
+def write_bucketed(df: DataFrame, table: str, path: str, buckets: int = 200) -> DataFrame:
+    """df as the table `table` with its files at path, dealt into buckets by relative_path and sorted in them; the table, read.
+
+    Inventories of the same number of buckets are joined by relative_path without an exchange, however often: the shuffle is
+    paid once, when they are written. One file a bucket is written, so that buckets stay sorted.
+    """
+    df.repartition(buckets, "relative_path").sortWithinPartitions("relative_path").write.mode("overwrite").option("path", path).bucketBy(buckets, "relative_path").sortBy("relative_path").saveAsTable(table)
+    return df.sparkSession.table(table)
+
+
 def read_inventory(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 

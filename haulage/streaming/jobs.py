@@ -35,6 +35,85 @@ def commit_coverage(commits: DataFrame, files: DataFrame) -> DataFrame:
     return out.select("file", "covered", "n_ranges", (F.col("covered") == F.col("size")).alias("complete"))
 
 
+def _batches(spark: SparkSession, folder: str, first: int, below: int, schema: str) -> DataFrame:
+    """The rows of batches first <= batch < below of a folder with one subfolder a batch."""
+    rows = spark.read.schema(schema + ", batch long").parquet(folder)
+    return rows.where((F.col("batch") >= first) & (F.col("batch") < below))
+
+
+_COVER = "file {0}, ranges array<struct<start:long,end:long>>, complete boolean"
+
+
+class Coverage:
+    """Exact coverage of files by a stream of commits, kept as a table that each micro-batch extends.
+
+    A batch writes, under its number, the new ranges of the files it touches, merged with their last ones, and
+    the files that it completes. It reads batches before its own only and overwrites its own folders, so a batch that is
+    replayed writes the same again. Events may be late and repeated without limit: ranges are sets. Every `compact`
+    batches the last state of all files is written once, so that a batch reads few folders. A file has its ranges in one row;
+    they merge as gaps close. files: file, size (distinct); commits of other files are ignored.
+    """
+
+    def __init__(self, files: DataFrame, folder: str, compact: int = 16) -> None:
+        self.files, self.folder, self.compact = files.select("file", F.col("size").cast("long").alias("size")), folder, compact
+        self.schema = _COVER.format(files.schema["file"].dataType.simpleString())
+        spark = files.sparkSession
+        for name in ("delta", "base"):
+            spark.createDataFrame([], self.schema).write.mode("overwrite").parquet(f"{folder}/{name}/batch=-1")
+        spark.createDataFrame([], f"file {files.schema['file'].dataType.simpleString()}").write.mode("overwrite").parquet(f"{folder}/complete/batch=-1")
+
+    def state(self, below: int) -> DataFrame:
+        """file, ranges, complete of every file with commits in batches before `below`."""
+        spark = self.files.sparkSession
+        base = _batches(spark, f"{self.folder}/base", 0, below, self.schema).agg(F.max("batch")).first()[0] or 0
+        first = _batches(spark, f"{self.folder}/base", base, base + 1, self.schema).withColumn("batch", F.lit(-1).cast("long"))
+        rows = _batches(spark, f"{self.folder}/delta", base, below, self.schema).unionByName(first)
+        return rows.groupBy("file").agg(F.max_by(F.struct("ranges", "complete"), "batch").alias("s")).select("file", "s.*")
+
+    def add(self, commits: DataFrame, batch: int) -> None:
+        """Take in a micro-batch (file, start, end): what foreachBatch calls."""
+        files, before = self.files, self.state(batch)
+        if batch and batch % self.compact == 0:
+            before.write.mode("overwrite").parquet(f"{self.folder}/base/batch={batch}")
+        new = commits.join(files, "file").select("file", F.greatest("start", F.lit(0)).cast("long").alias("start"), F.least("end", "size").cast("long").alias("end")).where("end > start").distinct()
+        touched = new.select("file").distinct()
+        old = before.join(touched, "file", "left_semi")
+        every = new.unionByName(old.select("file", F.explode("ranges").alias("r")).select("file", "r.start", "r.end"))
+        merged = planning.coalesce_ranges(every).groupBy("file").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("ranges"), F.sum(F.col("end") - F.col("start")).alias("covered"))
+        state = merged.join(files, "file").select("file", "ranges", (F.col("covered") == F.col("size")).alias("complete"))
+        state.write.mode("overwrite").parquet(f"{self.folder}/delta/batch={batch}")
+        written = self.files.sparkSession.read.schema(self.schema).parquet(f"{self.folder}/delta/batch={batch}")
+        done = old.where("complete").select("file")
+        written.where("complete").select("file").join(done, "file", "left_anti").write.mode("overwrite").parquet(f"{self.folder}/complete/batch={batch}")
+
+    def completed(self) -> DataFrame:
+        """file, batch: each complete file once, with the batch that completed it. Files of size 0 need no commit and are not
+        among them."""
+        kind = self.files.schema["file"].dataType.simpleString()
+        return self.files.sparkSession.read.schema(f"file {kind}, batch long").parquet(f"{self.folder}/complete").where("batch >= 0")
+
+    def report(self, below: int) -> DataFrame:
+        """What commit_coverage gives for the commits of all batches before `below`."""
+        told = self.state(below).select("file", F.aggregate("ranges", F.lit(0).cast("long"), lambda a, r: a + r.end - r.start).alias("covered"), F.size("ranges").cast("long").alias("n_ranges"))
+        out = self.files.join(told, "file", "left").select("file", "size", F.coalesce("covered", F.lit(0)).alias("covered"), F.coalesce("n_ranges", F.lit(0)).alias("n_ranges"))
+        return out.select("file", "covered", "n_ranges", (F.col("covered") == F.col("size")).alias("complete"))
+
+
+def stream_coverage(commits: DataFrame, files: DataFrame, folder: str | None = None, compact: int = 16) -> tuple[Coverage, int]:
+    """Runs a stream of commits (file, start, end) over all that is there now into a Coverage, and the number of batches."""
+    folder = folder or f"{shared_dir(commits.sparkSession)}/haulage-coverage-{uuid.uuid4().hex}"
+    cover = Coverage(files, folder, compact)
+    seen = [0]
+
+    def take(batch: DataFrame, number: int) -> None:
+        cover.add(batch.select("file", "start", "end"), number)
+        seen[0] = max(seen[0], number + 1)
+
+    query = commits.writeStream.foreachBatch(take).option("checkpointLocation", folder + "/stream").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return cover, seen[0]
+
+
 def stream_throughput(log: DataFrame, width: str, slide: str | None = None, delay: str = "1 hour") -> DataFrame:
     """window_start (seconds), ops, bytes over a stream of transfers (ts, bytes): tumbling, or sliding with `slide`."""
     span = F.window("ts", width, slide) if slide else F.window("ts", width)

@@ -35,7 +35,7 @@ def test_against_sql(spark, sf001, con, name):
 
 
 def test_every_query_has_sql_but_those_of_a_store():
-    assert set(registry.queries()) - set(registry.oracle_sql()) == {"s1_listing", "s3_read_chunks"}
+    assert set(registry.queries()) - set(registry.oracle_sql()) == {"s1_listing", "s1_walk", "s3_read_chunks", "c4_copy_files", "r3_resumable_copy", "t4_pack_to_tar", "d8_renamed_directories"}
 
 
 def test_store_queries(spark, small):
