@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from haulage.functions.names import free
 from haulage.llm.common import as_bytes, cut, in_batches, pieces
 
 WINDOW = 10
@@ -272,12 +273,13 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, m
 
         return in_batches(docs, run, docs.schema)
     found = found_spans(docs, benchmark, window, id_col, text_col, shard_chars).where(F.size("spans") > 0)
-    found = found.select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_t"), F.col("spans").alias("_s")).dropDuplicates(["_d", "_t"])
-    same = docs[id_col].cast("long").eqNullSafe(F.col("_d")) & (F.xxhash64(docs[text_col].cast("string")) == F.col("_t"))
+    of, text_hash, cuts = free(docs, "of", "text_hash", "cuts")
+    found = found.select(F.col("doc_id").alias(of), F.col("text_hash").alias(text_hash), F.col("spans").alias(cuts)).dropDuplicates([of, text_hash])
+    same = docs[id_col].cast("long").eqNullSafe(F.col(of)) & (F.xxhash64(docs[text_col].cast("string")) == F.col(text_hash))
 
     def run_joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
             spans = [[(x["start"], x["end"]) for x in row or ()] for row in batch.column(batch.num_columns - 1).to_pylist()]
             yield cleaned(batch.select(range(batch.num_columns - 1)), spans)
 
-    return in_batches(docs.join(found, same, "left").select(*[docs[c] for c in docs.columns], "_s"), run_joined, docs.schema)
+    return in_batches(docs.join(found, same, "left").select(*[docs[c] for c in docs.columns], cuts), run_joined, docs.schema)

@@ -19,6 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from haulage.functions.names import free
 from haulage.llm import nearcopies
 from haulage.llm.common import as_bytes, cut, in_batches
 from haulage.llm.components import connected_components
@@ -251,6 +252,7 @@ def drop_near_copies(docs: DataFrame, similarity: float = nearcopies.SIMILARITY)
     copied ones go; rows that repeat both the doc_id and the text of the row that stays, stay too.
     """
     groups = nearcopies.groups(docs, similarity).where("doc_id is not null")
-    gone = cut(groups.where(~F.struct("doc_id", "text_hash").eqNullSafe(F.col("keep"))).select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_t")).distinct())
-    same = (docs["doc_id"].cast("long") == F.col("_d")) & (F.xxhash64(docs["text"].cast("string")) == F.col("_t"))
+    of, text_hash = free(docs, "of", "text_hash")
+    gone = cut(groups.where(~F.struct("doc_id", "text_hash").eqNullSafe(F.col("keep"))).select(F.col("doc_id").alias(of), F.col("text_hash").alias(text_hash)).distinct())
+    same = (docs["doc_id"].cast("long") == F.col(of)) & (F.xxhash64(docs["text"].cast("string")) == F.col(text_hash))
     return docs.join(gone, same, "left_anti").select(docs.columns)
