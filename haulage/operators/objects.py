@@ -19,7 +19,9 @@ def object_history(versions: DataFrame) -> DataFrame:
 
 
 def join_tags(objects: DataFrame, tags: DataFrame, key: str = "file") -> DataFrame:
-    """objects with tags (array of tag, value in order of pos) and their text tag=value&...; null where there are none."""
+    """objects with tags (array of tag, value in order of pos) and their text tag=value&...; null where there are none.
+    Columns tags and tag_text that objects have already are replaced; a null key has no tags."""
+    objects = objects.drop("tags", "tag_text")
     lists = tags.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "tag", "value"))).alias("_t"))
     lists = lists.select(key, F.transform("_t", lambda t: F.struct(t["tag"].alias("tag"), t["value"].alias("value"))).alias("tags"))
     return objects.join(lists, key, "left").withColumn("tag_text", F.array_join(F.transform("tags", lambda t: F.concat(t["tag"], F.lit("="), t["value"])), "&"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from haulage.functions.columns import path_depth, trunc_div
+from haulage.functions.names import free
 from haulage.operators.order import running
 
 MIB = 1 << 20
@@ -20,9 +21,10 @@ def _numbered(rows: DataFrame, n: Column, name: str, first: int = 0) -> DataFram
     """rows, each n times (n >= 1), with the numbers from `first` on. Blocks of 65536 numbers are made before the numbers
     themselves, so no row ever holds one array of them all."""
     block = 1 << 16
-    own = rows.withColumn("_n", n).withColumn("_b", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(_n - 1) div {block}"))))
-    low = F.col("_b") * block
-    return own.withColumn(name, F.explode(F.sequence(low + first, F.least(low + block, "_n") - 1 + first))).drop("_n", "_b")
+    count, number = free(rows, "count", "block")
+    own = rows.withColumn(count, n).withColumn(number, F.explode(F.sequence(F.lit(0).cast("long"), trunc_div(F.col(count) - 1, block))))
+    low = F.col(number) * block
+    return own.withColumn(name, F.explode(F.sequence(low + first, F.least(low + block, count) - 1 + first))).drop(count, number)
 
 
 def plan_chunks(files: DataFrame, block_size: int = 2 * MIB) -> DataFrame:

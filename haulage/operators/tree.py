@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from haulage.functions.columns import path_depth, path_parent
+from haulage.functions.names import free
 from haulage.operators.filters import Inputs, should_skip
 from haulage.sources.inventory import limit_depth, prefixes
 
@@ -19,9 +20,10 @@ def filter_tree(df: DataFrame, match: str | None = None, exclude: str | None = N
     """
     seen = limit_depth(df, max_depth)
     verdict = should_skip(match, exclude, Inputs.of(df, now))
-    deciding = seen.where("is_dir").select(F.col("relative_path").alias("_dir"), verdict.alias("v")).where("NOT v.continue_scan OR NOT v.check_children").select("_dir", F.col("v.continue_scan").alias("_go"))
-    parents = seen.select(path_parent(F.col("relative_path")).alias("_parent")).where("_parent <> ''").distinct()
-    chain = parents.select("_parent", F.explode(F.concat(prefixes(F.col("_parent")), F.array("_parent"))).alias("_dir"))
-    above = chain.join(deciding, "_dir").groupBy("_parent").agg(F.min_by("_go", path_depth(F.col("_dir"))).alias("_go"))
-    placed = seen.withColumn("_parent", path_parent(F.col("relative_path"))).join(above, "_parent", "left")
-    return placed.where(F.coalesce(F.col("_go"), ~verdict["skip"])).select(df.columns)
+    own, above_it, go, told = free(df, "own_dir", "dir_above", "go", "verdict")
+    deciding = seen.where("is_dir").select(F.col("relative_path").alias(above_it), verdict.alias(told)).where(f"NOT {told}.continue_scan OR NOT {told}.check_children").select(above_it, F.col(f"{told}.continue_scan").alias(go))
+    parents = seen.select(path_parent(F.col("relative_path")).alias(own)).where(F.col(own) != "").distinct()
+    chain = parents.select(own, F.explode(F.concat(prefixes(F.col(own)), F.array(own))).alias(above_it))
+    above = chain.join(deciding, above_it).groupBy(own).agg(F.min_by(go, path_depth(F.col(above_it))).alias(go))
+    placed = seen.withColumn(own, path_parent(F.col("relative_path"))).join(above, own, "left")
+    return placed.where(F.coalesce(F.col(go), ~verdict["skip"])).select(df.columns)

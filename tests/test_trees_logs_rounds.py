@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from haulage.functions.names import free
 from haulage.jobs import registry
-from haulage.operators import acl, chunks, diff, order, outcomes, packing, planning, transfer
+from haulage.operators import acl, chunks, diff, objects, order, outcomes, packing, planning, transfer, tree
 from haulage.streaming import jobs as streams
 
 LOG = "seq long, kind string, relative_path string, from_path string, size long"
@@ -163,6 +163,10 @@ def test_names_that_clash(spark):
     assert free(df, "_id", "_ID", "new") == ["_id_", "_ID__", "new"]
     assert order.running(df.drop("at"), ["relative_path"], {"at": F.lit(3)}).first().at == 0
     odd = df.selectExpr("relative_path", "1 AS place", "2 AS _rn", "'TimedOut' AS kind", "false AS hdfs", "9 AS wait", "3 AS _weight", "4 AS _before")
+    clashing = spark.createDataFrame([("a", True, 0, 0, 5, 6, 7, 8), ("a/b.txt", False, 1, 0, 5, 6, 7, 8)], "relative_path string, is_dir boolean, size long, mtime_ns long, _parent int, own_dir int, go int, verdict int")
+    assert sorted(map(tuple, tree.filter_tree(clashing, "size >= 0").collect())) == sorted(map(tuple, clashing.collect()))
+    tags = spark.createDataFrame([("k", 1, "t", "v")], "relative_path string, pos int, tag string, value string")
+    assert objects.join_tags(odd.withColumn("tags", F.lit(1)), tags, "relative_path").first().tag_text == "t=v"
     assert diff.latest(odd, "relative_path", ["place"]).columns == odd.columns
     assert outcomes.split_retryable(odd).select("wait").first()[0] == 9
     assert packing.pack(odd, F.col("_weight"), ["relative_path"], 2).first()[:] == odd.first()[:]
