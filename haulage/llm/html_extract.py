@@ -4,8 +4,10 @@ A page's markup is stripped to lines, one for each block element, and each line
 The counts are summed over sliding windows of lines; where the sum surges above a threshold a passage begins, where it
 dives below it ends. The passage with the most text (three times as much if an article or main element holds it) is
 the main content. It is widened to the innermost container that holds most of it, or that container's article, with the
-headings of the passage. Scripts, forms and named furniture (menus, footers, adverts, reader comments, ...) never
-stay; blocks with names that may be furniture or content (related, tags, share, ...) stay if they surge themselves.
+headings of the passage; further articles, or passages where there are no articles, of a comparable weight join it. Scripts,
+forms and named furniture (menus, footers, adverts, reader comments, ...) never stay, unless the page's article lies in
+them; blocks whose names only hint at furniture (related, tags, menu-du-jour, footer-wrap, ...) stay if they surge
+themselves or hold the article. Names that tell of a layout (has-sidebar, no-menu) mean nothing.
 """
 
 from __future__ import annotations
@@ -23,11 +25,14 @@ from pyspark.sql import functions as F
 from haulage.llm.common import in_batches, pieces
 
 WINDOW, SURGE, IN_ARTICLE = 3, 80, 3
+#: A part joins the main one if so many times its weight is as much.
+COMPARABLE = 3
 
 _NAME = re.compile(r"/?([a-zA-Z][a-zA-Z0-9:-]*)")
 _ATTR = re.compile(r"(?i)(?:^|[\s\"'/])(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?(?=[\s\"'/>]|$)")
 _QUOTE = re.compile(r"=\s*([\"'])")
 _HIDING = re.compile(r"(?i)display\s*:\s*none|visibility\s*:\s*hidden")
+_RIGHTS = re.compile(r"(?i)(©|\(c\)|copyright\b|all rights reserved)")
 # Element names by their role in a page.
 _RAW = frozenset("script style noscript template svg iframe canvas textarea select title".split())
 _BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul label button".split())
@@ -41,6 +46,11 @@ _NAMED_BY_ID = frozenset("div section ul ol table header nav aside footer form d
 _SHUNNED = frozenset("ad ads advert adverts advertisement advertisements advertising adsense banner breadcrumb breadcrumbs comment comments commentlist respond disqus consent cookie cookies copyright disclaimer footer gdpr masthead menu menus modal nav navbar navigation newsletter notice notices notification notifications popup promo promoted promotion sidebar sidebars signup sponsor sponsored subscribe subscription toolbar contentinfo complementary alert reply replies login paywall widget widgets".split())
 _EITHER = frozenset("related recommended search share sharing social tags skip reactions feedback".split())
 _OF_ARTICLE = frozenset("article post entry story content title".split())
+#: Words beside a marking word that leave it what it is (fixed values); words that turn it round, and names of wrappers.
+_PLAIN = frozenset("a all area bar body bottom box block center column content desktop fixed footer global group header head heading holder inner item items left list main middle mobile nav outer page panel primary region right row secondary section site small sticky strip text thread title top unit user wp form area cloud link links block policy bottom1 level depth even odd new old".split())
+_ABSENT, _WRAPPERS = frozenset("has no not with without is hide show".split()), frozenset("wrap wrapper container layout grid".split())
+_COMMENTS = frozenset("comment comments commentlist respond disqus reply replies".split())
+_QUOTED = frozenset("quote pullquote pull blockquote".split())
 
 
 @dataclass
@@ -55,7 +65,8 @@ class Page:
     last: list[int] = field(default_factory=lambda: [0])  # the last element opened inside
     article: list[int] = field(default_factory=lambda: [0])  # the nearest article or main element, or 0
     either: list[int] = field(default_factory=lambda: [0])  # the nearest element that may be furniture, or 0
-    shunned: list[bool] = field(default_factory=lambda: [False])
+    kind: list[int] = field(default_factory=lambda: [0])  # what _kind says of the element
+    name: list[str] = field(default_factory=lambda: [""])
     holds: list[bool] = field(default_factory=lambda: [True])  # a container of blocks
 
 
@@ -63,27 +74,44 @@ def _words(value: str) -> list[list[str]]:
     return [re.split(r"[^a-z0-9]+", re.sub(r"([a-z])([A-Z])", r"\1-\2", token).lower()) for token in value.split()]
 
 
+#: What an element's marks say: nothing, a hint, furniture unless the article lies in it, reader comments, never.
+NONE, HINT, MARKED, COMMENTS, NEVER = range(5)
+
+
+def _token(words: list[str], inside: bool) -> int:
+    """What one name of a class, id or role says."""
+    if words and words[0] in _ABSENT:
+        return NONE
+    marks = [w for w in words if w in _SHUNNED] + ["header"] * ("header" in words and not inside and not _OF_ARTICLE.intersection(words))
+    if not marks:
+        return HINT if _EITHER.intersection(words) else NONE
+    rest = [w for w in words if w not in marks and w not in _PLAIN and not w.isdigit()]
+    if rest:
+        known = _OF_ARTICLE.union(_WRAPPERS, _EITHER)
+        return HINT if any(w in known for w in rest) or len(rest) >= len(marks) else MARKED
+    return COMMENTS if _COMMENTS.intersection(marks) else MARKED
+
+
 def _kind(name: str, attrs: str, inside: bool) -> int:
-    """2: never article text; 1: may be; 0: no mark of furniture."""
-    if name in _NEVER or (name == "header" and not inside):
-        return 2
+    kind = MARKED if name == "form" or (name == "header" and not inside) else NEVER if name in _NEVER else NONE
     if not attrs:
-        return 0
-    kind = 0
+        return kind
+    quoted = False
     for m in _ATTR.finditer(attrs):
         what, value = m[1].lower(), html.unescape(m[2] or m[3] or m[4] or "")
         if what == "hidden" and value.lower() != "until-found" or what == "aria-hidden" and value.lower() == "true" or what == "style" and _HIDING.search(value):
-            return 2
-        if what not in ("class", "id", "role") or name in ("html", "body", "main", "article") or name in _HEADINGS:
+            return NEVER
+        if what not in ("class", "id", "role") or name in ("html", "body", "main") or name in _HEADINGS:
             continue
         if what == "id" and (name not in _NAMED_BY_ID or (name == "section" and inside)):
             continue
-        for words in _words(value):
-            if any(w in _SHUNNED for w in words) or ("header" in words and not inside and not _OF_ARTICLE.intersection(words)):
-                return 2
-            if any(w in _EITHER for w in words):
-                kind = 1
-    return kind
+        told = _words(value)
+        quoted = quoted or any(_QUOTED.intersection(words) for words in told)
+        if name == "article":  # a comment may be an article of its own
+            kind = max(kind, COMMENTS if any(_token(words, inside) == COMMENTS for words in told) else NONE)
+            continue
+        kind = max([kind, *[_token(words, inside) for words in told]])
+    return NONE if name == "aside" and inside and quoted else kind
 
 
 def _tags(page: str) -> Iterator[tuple[int, int, str, bool, str]]:
@@ -138,7 +166,7 @@ def _tag_end(page: str, begin: int, quotes: set[str]) -> int:
 
 
 def parse(page: str) -> Page:
-    """The page's lines that are not in scripts, forms or named furniture."""
+    """The page's lines that are not in scripts, and its elements with what their names say of them."""
     p = Page()
     stack: list[tuple[str, int]] = [("", 0)]
     opened: Counter = Counter()
@@ -149,7 +177,7 @@ def parse(page: str) -> Page:
         nonlocal plain
         text = " ".join(html.unescape("".join(parts)).split())
         parts.clear()
-        if text and not p.shunned[stack[-1][1]]:
+        if text:
             p.text.append(text)
             p.plain.append(min(plain, len(text)))
             p.node.append(stack[-1][1])
@@ -190,8 +218,8 @@ def parse(page: str) -> Page:
                 flush()
             continue
         inside = p.article[stack[-1][1]] > 0
-        kind = 0 if attrs.endswith("/") and not block else _kind(name, attrs, inside)
-        if not block and not kind and not (stack[-1][0] == name and p.shunned[stack[-1][1]]):
+        kind = NONE if attrs.endswith("/") and not block else _kind(name, attrs, inside)
+        if not block and not kind and not (stack[-1][0] == name and p.kind[stack[-1][1]] > HINT):
             continue
         flush()
         if name == "hr":
@@ -203,10 +231,11 @@ def parse(page: str) -> Page:
         node = len(p.parent)
         p.parent.append(up)
         p.last.append(node)
-        p.shunned.append(p.shunned[up] or kind == 2)
+        p.kind.append(kind)
+        p.name.append(name)
         p.holds.append(name in _CONTAINERS)
-        p.article.append(node if name in ("article", "main") else p.article[up])
-        p.either.append(node if kind == 1 else p.either[up])
+        p.article.append(node if name in ("article", "main") and kind != COMMENTS else p.article[up])
+        p.either.append(node if kind == HINT else p.either[up])
         stack.append((name, node))
         opened[name] += 1
         heads += name in _HEADINGS
@@ -237,42 +266,106 @@ def passages(lengths: list[int], window: int = WINDOW, surge: int = SURGE) -> li
     return out
 
 
-def _main_part(p: Page, lengths: list[int], window: int, surge: int) -> tuple[int, int, tuple[int, int]]:
-    """First and last element of the main content, and its passage."""
+def _furniture(p: Page) -> list[bool]:
+    """Which elements are furniture, or lie in some: marked elements that the page's article does not lie in."""
+    n = len(p.parent)
+    holds, main = [False] * n, [False] * n  # an article or main element, a main element below
+    for node in range(n - 1, 0, -1):
+        own = p.article[node] == node and p.kind[node] != NEVER
+        holds[p.parent[node]] |= holds[node] or own
+        main[p.parent[node]] |= main[node] or (own and p.name[node] == "main")
+    out = [False] * n
+    for node in range(1, n):
+        up, kind = p.parent[node], p.kind[node]
+        spared = holds[node] if kind == MARKED and not p.article[up] else main[node] if kind == COMMENTS else False
+        out[node] = out[up] or (kind > HINT and not spared)
+        if kind == HINT and holds[node] and not p.article[up]:
+            p.kind[node] = NONE
+    for node in range(1, n):  # hints that hold the article are none
+        p.either[node] = node if p.kind[node] == HINT else p.either[p.parent[node]]
+    return out
+
+
+def _keep(p: Page, lines: list[int]) -> None:
+    p.text, p.plain, p.node, p.heading = ([column[i] for i in lines] for column in (p.text, p.plain, p.node, p.heading))
+
+
+def _main_parts(p: Page, lengths: list[int], window: int, surge: int) -> list[tuple[int, int, tuple[int, int]]]:
+    """First and last element of each part of the main content, and its passage; the heaviest part first."""
     weight = lambda i: lengths[i] * (IN_ARTICLE if p.article[p.node[i]] else 1)
     found = passages(lengths, window, surge) or [(0, len(lengths))]
-    a, b = max(found, key=lambda r: (sum(weight(i) for i in range(*r)), -r[0]))
-    held = [0] * len(p.parent)
-    for i in range(a, b):
-        held[p.node[i]] += weight(i)
-    for node in range(len(held) - 1, 0, -1):
-        held[p.parent[node]] += held[node]
-    inner = max((k for k, w in enumerate(held) if 2 * w > held[0] and p.holds[k]), default=0)  # numbered as they open: the innermost
-    if p.article[inner]:
-        inner = p.article[inner]
-    return inner, p.last[inner], (a, b)
+    weights = {r: sum(weight(i) for i in range(*r)) for r in found}
+    main = max(found, key=lambda r: (weights[r], -r[0]))
+    parts = []
+    for a, b in sorted(found, key=lambda r: r != main):
+        if COMPARABLE * weights[a, b] < weights[main]:
+            continue
+        held = [0] * len(p.parent)
+        for i in range(a, b):
+            held[p.node[i]] += weight(i)
+        for node in range(len(held) - 1, 0, -1):
+            held[p.parent[node]] += held[node]
+        inner = max((k for k, w in enumerate(held) if 2 * w > held[0] and p.holds[k]), default=0)  # numbered as they open: the innermost
+        if p.article[inner]:
+            inner = p.article[inner]
+        else:  # a passage over several articles is theirs
+            inside = [k for k in range(1, len(held)) if p.article[k] == k]
+            if 2 * sum(held[k] for k in inside) > held[0]:
+                inner = max(inside, key=lambda k: (held[k], -k))
+        if parts and bool(p.article[inner]) != bool(p.article[parts[0][0]]):
+            continue  # beside an article only articles, beside plain passages only such
+        parts.append((inner, p.last[inner], (a, b)))
+    first = parts[0][0]
+    if p.article[first]:  # articles of which one passage reaches over several
+        sums = [0] * len(p.parent)
+        for i, node in enumerate(p.node):
+            sums[p.article[node]] += lengths[i]
+        taken = {low for low, _, _ in parts}
+        for node in range(1, len(sums)):
+            if node not in taken and p.article[node] == node and sums[node] >= surge and COMPARABLE * sums[node] >= sums[first] and not any(low <= node <= high for low, high, _ in parts):
+                parts.append((node, p.last[node], (0, 0)))
+    return parts
+
+
+def _bare(p: Page, lines: list[int]) -> list[int]:
+    """The lines without links alone and notices of rights at both ends."""
+    edge = lambda i: not p.heading[i] and (not p.plain[i] or _RIGHTS.match(p.text[i]))
+    a, b = 0, len(lines)
+    while a < b and edge(lines[a]):
+        a += 1
+    while b > a and edge(lines[b - 1]):
+        b -= 1
+    return lines[a:b] or lines
 
 
 def extract(page: str | None, window: int = WINDOW, surge: int = SURGE) -> str:
     """The main text of a page, blocks joined by newlines; empty for a null or empty page or one without text."""
     p = parse(page or "")
+    gone = _furniture(p)
+    _keep(p, [i for i, node in enumerate(p.node) if not gone[node]])
     own: dict[int, list[int]] = {}
     for i, node in enumerate(p.node):
         if p.either[node]:
             own.setdefault(p.either[node], []).append(i)
     out = {i for lines in own.values() if not passages([p.plain[i] for i in lines], window, surge) for i in lines}
-    left = [i for i in range(len(p.text)) if i not in out]
-    if not left:
+    _keep(p, [i for i in range(len(p.text)) if i not in out])
+    if not p.text:
         return ""
-    p.text, p.plain, p.node, p.heading = ([column[i] for i in left] for column in (p.text, p.plain, p.node, p.heading))
-    low, high, (a, b) = _main_part(p, p.plain, window, surge)
-    if not p.article[low]:
-        first = next(i for i, node in enumerate(p.node) if low <= node <= high)
-        while a < first and not all(p.heading[a:first]):  # headings right before the element that the passage reaches
-            a += 1
-    else:
-        a = len(p.text)
-    return "\n".join(t for i, (t, node) in enumerate(zip(p.text, p.node)) if low <= node <= high or (a <= i < b and p.heading[i] and node < low))
+    kept: set[int] = set()
+    for low, high, (a, b) in _main_parts(p, p.plain, window, surge):
+        inside = [i for i, node in enumerate(p.node) if low <= node <= high]
+        if not p.article[low]:
+            held = set(inside)
+            apart = [i for i in range(a, b) if i not in held and p.plain[i] >= surge]
+            if apart and COMPARABLE * sum(p.plain[i] for i in apart) >= sum(p.plain[i] for i in inside):  # the passage goes on outside
+                inside = list(range(min(inside[0], apart[0]), max(inside[-1], apart[-1]) + 1))
+            if low == 0 or p.name[low] == "body":
+                inside = _bare(p, inside)
+            while a < inside[0] and not all(p.heading[a : inside[0]]):  # headings right before the element that the passage reaches
+                a += 1
+            inside += [i for i in range(a, b) if p.heading[i] and p.node[i] < low]
+        kept.update(inside)
+    return "\n".join(p.text[i] for i in sorted(kept))
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:

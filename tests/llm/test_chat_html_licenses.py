@@ -1,7 +1,9 @@
+import random
 import re
 import time
 
 import duckdb
+import pytest
 
 from haulage.llm import chat, html_extract, licenses, queries
 
@@ -109,3 +111,61 @@ def test_html_odd_rows(spark):
 def test_passages():
     assert html_extract.passages([5, 5, 100, 90, 5, 5, 5, 5, 5], window=2, surge=80) == [(1, 5)]
     assert html_extract.passages([], 3, 10) == []
+
+
+LONG = "<p>" + "words that go on for a while and make a paragraph of some length, " * 3 + "end.</p>"
+
+
+@pytest.mark.parametrize("name", ["content has-sidebar", "no-sidebar", "elementor-widget-container", "quick-reply-post", "menu-du-jour recipe", "post-banner-wrap", "layout-with-ads"])
+def test_html_names_that_only_hint(name):
+    words = re.sub("<.*?>", "", LONG)
+    page = f"<body><h1>Head</h1><div class='{name}'>{LONG}{LONG}</div><div class='footer'>{LONG}</div></body>"
+    assert html_extract.extract(page) == f"Head\n{words}\n{words}"
+    assert html_extract.extract(f"<div class='{name}'><article>{LONG}</article></div>") == words
+    short = f"<article>{LONG}<div class='share-wrap footer-container'><a href=x>Share</a></div></article>"
+    assert html_extract.extract(short) == words
+
+
+def test_html_furniture_that_holds_the_article():
+    words = re.sub("<.*?>", "", LONG)
+    assert html_extract.extract(f"<form id=f><div class=menu>{LONG}</div><article>{LONG}</article></form>") == words
+    assert html_extract.extract(f"<div class='sidebar-left'><main>{LONG}</main></div>") == words
+    comments = f"<article>{LONG}</article><div class='comment-list'><article class='comment'>{LONG * 5}</article></div>"
+    assert html_extract.extract(comments) == words
+    assert html_extract.extract(f"<article>{LONG}<aside class='pullquote'>He said so.</aside><aside>{LONG}</aside>{LONG}</article>") == f"{words}\nHe said so.\n{words}"
+
+
+def test_html_articles_that_go_on():
+    words = re.sub("<.*?>", "", LONG)
+    assert html_extract.extract(f"<article>{LONG}</article><p>x</p><article>{LONG}</article><article><p>Teaser.</p></article>") == f"{words}\n{words}"
+    two = f"<div id=a>{LONG}{LONG}</div><p>a</p><p>b</p><p>c</p><p>d</p><div id=b>{LONG}</div>"
+    assert html_extract.extract(two) == f"{words}\n{words}\na\nb\nc\nd\n{words}"
+    far = f"<div id=a>{LONG}{LONG}</div>{'<p>x</p>' * 9}<div id=b>{LONG}</div>"
+    assert html_extract.extract(far) == f"{words}\n{words}\n{words}"
+    assert html_extract.extract(f"<a>Home</a><div><a>About</a></div>{LONG}<p>© 2020 us</p>") == words
+
+
+def shuffled_page(rng):
+    """A page made of parts of known kinds, and the text that a reader wants of it."""
+    para = lambda: "<p>" + " ".join(rng.choice(["alpha", "beta", "gamma", "delta"]) for _ in range(rng.randint(25, 60))) + ".</p>"
+    body = [para() for _ in range(rng.randint(2, 6))]
+    if rng.random() < 0.5:
+        body.insert(rng.randrange(1, len(body)), "<h2>Middle</h2>")
+    inner = list(body)
+    for junk in rng.sample(["<div class='advert'>Buy {}</div>", "<aside>Side {}</aside>", "<div id='newsletter'>Join {}</div>", "<form>Name {}</form>", "<script>var a = '{}'</script>", "<div class='social-share'><a>Tweet</a></div>"], rng.randint(0, 4)):
+        inner.insert(rng.randrange(len(inner) + 1), junk.format("now " * rng.randint(1, 60)))
+    tag, name = rng.choice([("article", ""), ("div", " class='content has-sidebar'"), ("div", " id='story'"), ("main", ""), ("section", " class='no-menu post'")])
+    held = f"<{tag}{name}><h1>Top</h1>{''.join(inner)}</{tag}>"
+    around = ["<nav>" + "<a>Link</a> " * rng.randint(1, 40) + "</nav>", "<header><h1>Site</h1></header>", f"<div class='sidebar'>{para()}</div>", "<footer>© all</footer>", f"<div class='comments'>{para() * 3}</div>", "<div class='cookie-notice'>We use cookies</div>"]
+    rng.shuffle(around)
+    cut = rng.randrange(len(around) + 1)
+    wrap = rng.choice(["{}", "<div class='page-wrapper'>{}</div>", "<form id='all'>{}</form>" if tag in ("article", "main") else "{}"])
+    page = "<html><body>" + wrap.format("".join(around[:cut]) + held + "".join(around[cut:])) + "</body></html>"
+    return page, "\n".join(["Top", *[re.sub("<.*?>", "", b) for b in body]])
+
+
+def test_html_of_shuffled_pages():
+    rng = random.Random(12)
+    for _ in range(400):
+        page, want = shuffled_page(rng)
+        assert html_extract.extract(page) == want, page
