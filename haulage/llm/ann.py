@@ -15,10 +15,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from haulage.llm.common import in_batches
+from haulage.llm.common import cut, in_batches
 
 #: Vectors in a block, and queries whose heaps a task holds at once.
 BLOCK, HELD = 4096, 65_536
+#: Bytes of the query vectors that one task builds (some 250,000 of 128 components).
+GROUP = 256 << 20
 #: Most components of which the sum of products of int8 codes is exact in 32-bit floats.
 _FLOAT_DIM = (1 << 24) // 127**2
 _BLOCK = "dim int, ids binary, vecs binary"
@@ -136,7 +138,7 @@ def _tiles(most: int):
     return run
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, block: int = BLOCK) -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, block: int = BLOCK, group_bytes: int = GROUP) -> DataFrame:
     """(query_id, rank, vec_id, score) of each query's k nearest vectors by Euclidean distance, ties to smaller ids.
 
     vectors and queries: vec_id, embedding. Vectors that are null, empty, zero or hold null or non-finite components,
@@ -145,12 +147,18 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, block: int = BL
     """
     once = lambda df: _usable(df).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
     cand = in_batches(once(vectors), _pack(block), _BLOCK)
-    asked = in_batches(once(queries), _pack(block), _BLOCK)
-    asked = asked.select(F.col("dim").alias("q_dim"), F.col("ids").alias("q_ids"), F.col("vecs").alias("q_vecs"))
-    tiles = cand.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    cand = cand.withColumn("tile", F.pmod(F.xxhash64("ids"), F.lit(int(tiles))))
-    asked = asked.withColumn("tile", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(int(tiles) - 1).cast("long"))))
-    pairs = cand.join(asked.hint("shuffle_hash"), (cand["tile"] == asked["tile"]) & (F.col("dim") == F.col("q_dim"))).select("dim", "ids", "vecs", "q_ids", "q_vecs")
+    asked = cut(in_batches(once(queries), _pack(block), _BLOCK).select(F.col("dim").alias("q_dim"), F.col("ids").alias("q_ids"), F.col("vecs").alias("q_vecs")))
+    # queries are dealt into groups of at most some GROUP bytes, and every group meets every tile of candidates: a
+    # task builds one group and one tile, whatever the number of queries
+    size = asked.agg(F.sum(F.length("q_vecs"))).first()[0] or 0
+    groups = max(1, -(-size // group_bytes))
+    tiles = int(cand.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    asked = asked.withColumn("q_group", F.pmod(F.xxhash64("q_ids"), F.lit(groups)))
+    asked = asked.withColumn("tile", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(tiles - 1).cast("long"))))
+    cand = cand.withColumn("tile", F.pmod(F.xxhash64("ids"), F.lit(tiles)))
+    cand = cand.withColumn("group", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))))
+    same = (cand["tile"] == asked["tile"]) & (F.col("group") == F.col("q_group")) & (F.col("dim") == F.col("q_dim"))
+    pairs = cand.join(asked.hint("shuffle_hash"), same).select("dim", "ids", "vecs", "q_ids", "q_vecs")
     found = in_batches(pairs, _tiles(k), "query_id long, vec_id long, score double")
     ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id")))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

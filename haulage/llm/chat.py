@@ -13,8 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 OPEN, CLOSE, END, NEXT, ROLE = "<|", "|>", "<|end|>", "<|next|>", "role:"
-_BLOCKS = "array<struct<role:string,texts:array<string>>>"
-_READ = "struct<role:string,at:int,turns:array<struct<role:string,text:string,start:int,end:int>>>"
+_TURNS = "array<struct<role:string,text:string,start:int,end:int>>"
 
 
 def escape(text: Column) -> Column:
@@ -47,17 +46,22 @@ def format_conversations(turns: DataFrame) -> DataFrame:
     return told.select("conv_id", F.array_join(F.transform(merged("turns"), _block), "").alias("formatted"))
 
 
-def merged(turns: str) -> Column:
-    """Blocks (role, texts) of the adjacent turns of one role."""
+def _bound(value: Column, of) -> Column:
+    """of(value), with the value worked out once."""
+    return F.get(F.transform(F.array(value), of), 0)
+
 
-    def add(blocks: Column, turn: Column) -> Column:
-        last = F.try_element_at(blocks, F.lit(-1))
-        longer = F.struct(last.role.alias("role"), F.concat(last.texts, F.array(turn.text)).alias("texts"))
-        new = F.struct(turn.role.alias("role"), F.array(turn.text).alias("texts"))
-        same = F.coalesce(last.role == turn.role, F.lit(False))
-        return F.when(same, F.concat(F.slice(blocks, F.lit(1), F.greatest(F.size(blocks) - 1, F.lit(0))), F.array(longer))).otherwise(F.concat(blocks, F.array(new))).cast(_BLOCKS)
+def _runs(items: Column, starts) -> Column:
+    """items cut before each item for which starts(item, place): arrays of items, in time linear in their number."""
+    places = F.filter(F.transform(items, lambda x, i: F.when(starts(x, i), i)), lambda i: i.isNotNull())
+    ends = lambda s, k: F.coalesce(F.get(s.places, k + 1), F.size(s.items))
+    return _bound(F.struct(items.alias("items"), places.alias("places")), lambda s: F.transform(s.places, lambda p, k: F.slice(s.items, p + 1, ends(s, k) - p)))
 
-    return F.aggregate(turns, F.array().cast(_BLOCKS), add)
+
+def merged(turns: str) -> Column:
+    """Blocks (role, texts) of the adjacent turns of one role."""
+    runs = _bound(F.col(turns), lambda all_turns: _runs(all_turns, lambda t, i: (i == 0) | (t.role != F.get(all_turns, i - 1).role)))
+    return F.transform(runs, lambda run: F.struct(F.get(run, 0).role.alias("role"), F.transform(run, lambda t: t.text).alias("texts")))
 
 
 def _block(block: Column) -> Column:
@@ -65,32 +69,50 @@ def _block(block: Column) -> Column:
     return F.concat(head, F.array_join(F.transform(block.texts, escape), NEXT), F.lit(END))
 
 
+def _before(lengths: Column) -> Column:
+    """The sums of all lengths before each place: over places in a stretch of 64, and over stretches, so that the work stays
+    small for any conversation that one value can hold."""
+    add = lambda array: F.aggregate(array, F.lit(0), lambda a, x: a + x)
+    count = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    stretches = _bound(lengths, lambda all_of: F.transform(count(F.ceil(F.size(all_of) / 64).cast("int")), lambda k: F.slice(all_of, k * 64 + 1, 64)))
+
+    def placed(s: Column) -> Column:
+        sums = F.transform(s, add)
+        whole = _bound(sums, lambda all_of: F.transform(all_of, lambda x, k: add(F.slice(all_of, F.lit(1), k))))
+        return _bound(whole, lambda w: F.flatten(F.transform(s, lambda part, k: F.transform(part, lambda x, i: F.get(w, k) + add(F.slice(part, F.lit(1), i))))))
+
+    return _bound(stretches, placed)
+
+
 def read_back(formatted: DataFrame, learn: str = "assistant") -> DataFrame:
     """turns (role, text, and its start and end in the formatted text, in characters) and loss_spans, the start and end
     of each text of the role to learn, as read from the formatted text alone. A null formatted text has neither."""
     parts = F.filter(F.split("formatted", r"<\|", -1), lambda p, i: i > 0)  # before the first sign there is nothing
+    ends = _bound(parts, lambda all_of: F.transform(F.arrays_zip(all_of.alias("part"), _before(F.transform(all_of, lambda p: F.length(p) + len(OPEN))).alias("at")), lambda z: F.struct(z.part.alias("part"), F.substring_index(z.part, CLOSE, 1).alias("head"), z["at"].alias("at"))))
+    opens = lambda p, i: F.startswith(p.head, F.lit(ROLE))
+
+    def turn(p: Column, role: Column) -> Column:
+        text = F.substr(p.part, F.length(p.head) + len(CLOSE) + 1)
+        start = p["at"] + len(OPEN) + F.length(p.head) + len(CLOSE)
+        return F.struct(role.alias("role"), unescape(text).alias("text"), start.alias("start"), (p["at"] + len(OPEN) + F.length(p.part)).alias("end"))
+
+    def block(run: Column) -> Column:
+        role = unescape_role(F.substr(F.get(run, 0).head, F.lit(len(ROLE) + 1)))
+        return _bound(role, lambda r: F.transform(F.filter(run, lambda p: p.head != "end"), lambda p: turn(p, r)))
 
-    def read(acc: Column, part: Column) -> Column:
-        head = F.substring_index(part, CLOSE, 1)
-        role = F.when(F.startswith(head, F.lit(ROLE)), unescape_role(F.substr(head, F.lit(len(ROLE) + 1)))).otherwise(acc.role)
-        start = acc.at + len(OPEN) + F.length(head) + len(CLOSE)
-        end = acc.at + len(OPEN) + F.length(part)
-        turn = F.struct(role.alias("role"), unescape(F.substr(part, F.length(head) + len(CLOSE) + 1)).alias("text"), start.alias("start"), end.alias("end"))
-        turns = F.when(head == "end", acc.turns).otherwise(F.concat(acc.turns, F.array(turn)))
-        return F.struct(role.alias("role"), end.alias("at"), turns.alias("turns")).cast(_READ)
-
-    start = F.struct(F.lit("").alias("role"), F.lit(0).alias("at"), F.array().alias("turns")).cast(_READ)
-    turns = F.aggregate(parts, start, read).turns
-    out = formatted.select("*", turns.alias("turns"))
+    turns = F.flatten(F.transform(_runs(ends, opens), block))
+    out = formatted.select("*", F.when(F.col("formatted").isNotNull(), F.coalesce(turns, F.array().cast(_TURNS))).alias("turns"))
     spans = F.transform(F.filter("turns", lambda t: t.role == learn), lambda t: F.struct(t.start.alias("start"), t.end.alias("end")))
     return out.select("*", spans.alias("loss_spans"))
 
 
 def chat_digests(turns: DataFrame) -> DataFrame:
     """Per conversation, from the formatted text read back: counts and digests of its turns and of the text under the
-    loss mask."""
+    loss mask, which is that of the turns whose starts are in it."""
     back = read_back(format_conversations(turns))
-    under = F.transform("loss_spans", lambda s: unescape(F.substr("formatted", s.start + 1, s.end - s.start)))
+    starts = F.transform("loss_spans", lambda s: s.start)
+    masked = F.map_from_arrays(starts, F.transform(starts, lambda s: F.lit(True)))
+    under = _bound(masked, lambda m: F.transform(F.filter("turns", lambda t: F.try_element_at(m, t.start)), lambda t: t.text))
     return back.select(
         "conv_id",
         F.size("turns").cast("long").alias("n_turns"),

@@ -247,3 +247,11 @@ def test_lines_odd_rows(spark):
     assert (3, "a\n\nb", 4, 1) in got and (1, None, 0, 0) in got and (2, "", 1, 0) in got
     assert [g for g in got if g[0] == 4] == [(4, "", 2, 2)] * 2 and (None, "c\nd", 2, 0) in got
     assert linededup.dedup_lines(df.where("false")).count() == 0
+
+
+def test_queries_are_dealt_into_groups(spark):
+    rng = np.random.default_rng(21)
+    x = rng.normal(size=(400, 8))
+    df = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    one = sorted(map(tuple, ann.nearest(df, df.where("vec_id % 2 = 0"), 5, 32).collect()))
+    assert one == sorted(map(tuple, ann.nearest(df, df.where("vec_id % 2 = 0"), 5, 32, group_bytes=4096).collect())) and len(one) == 1000

@@ -1,3 +1,4 @@
+import hashlib
 import random
 import re
 import time
@@ -169,3 +170,12 @@ def test_html_of_shuffled_pages():
     for _ in range(400):
         page, want = shuffled_page(rng)
         assert html_extract.extract(page) == want, page
+
+
+def test_long_conversations_take_linear_time(spark):
+    rows = spark.range(100_000).selectExpr("1L AS conv_id", "id AS turn", "CASE WHEN id % 3 = 0 THEN 'user' ELSE 'assistant' END AS role", "concat('text <|', id) AS text")
+    began = time.perf_counter()
+    (got,) = chat.chat_digests(rows).collect()
+    assert time.perf_counter() - began < 45  # 100 times 1,000 turns; a quadratic form takes half an hour
+    want = "".join(f"text <|{k}" for k in range(100_000) if k % 3)
+    assert (got.n_turns, got.loss_chars, got.loss_sha256) == (100_000, len(want), hashlib.sha256(want.encode()).hexdigest())
