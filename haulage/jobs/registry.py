@@ -850,6 +850,29 @@ def s3(s, d):
     return got.select("relative_path", "offset", F.length("data").cast("long").alias("length"), F.sha2("data", 256).alias("digest"))
 
 
+@query("d7_change_cube", DIFF + " SELECT state, top, count(*) AS n_entries, CAST(coalesce(sum(coalesce(c_size, p_size, 0)), 0) AS BIGINT) AS bytes FROM (SELECT *, split_part(relative_path, '/', 1) AS top FROM diff) GROUP BY CUBE (state, top)")
+def d7b(s, d):
+    return diff.change_cube(_diff(s, d))
+
+
+@query("i7_field_report", QUICK + ", e AS (SELECT outcome, split_part(relative_path, '/', 1) AS top, unnest(string_split(fields, ',')) AS field FROM q) SELECT outcome, field, top, count(*) AS n_entries FROM e GROUP BY GROUPING SETS ((outcome, field, top), (outcome, field))")
+def i7b(s, d):
+    return integrity.field_report(integrity.quick_check(inv.inv_src(s, d), inv.inv_dst(s, d)))
+
+
+@query("w5_page_totals", _PAGES + " SELECT (SELECT count(*) FROM w WHERE n > 0) AS n_pages, (SELECT count(*) FROM i JOIN w ON w.p = i.page WHERE NOT sub OR vis) AS n_numbered, (SELECT max(first + n - 1 + CASE WHEN gap THEN 1 ELSE 0 END) FROM w WHERE n > 0) AS max_ndx")
+def w5c(s, d):
+    return order.page_totals(*order.number_pages(_tree(s, d)))
+
+
+@query("d6_carried_values", DIFF + """, k AS (SELECT relative_path, length(relative_path) % 3 AS k FROM diff WHERE state IN ('metadata_changed', 'data_changed', 'both_changed'))
+SELECT k.relative_path, CASE WHEN k.k = 1 THEN mtime_ns END AS atime_ns, mtime_ns, CASE WHEN k.k = 0 THEN uid END AS uid, CASE WHEN k.k = 0 THEN gid END AS gid, CASE WHEN k.k <> 1 THEN mode % 4096 END AS mode FROM k JOIN inv_dst d ON d.relative_path = k.relative_path""")
+def d6b(s, d):
+    """What set_metadata writes to a file system, of entries that come from three kinds of store."""
+    actions = diff.sync_actions(_diff(s, d)).withColumn("src_kind", F.expr("element_at(array('nas', 's3', 'hdfs'), CAST(length(relative_path) % 3 + 1 AS INT))"))
+    return diff.carried_values(actions, inv.inv_dst(s, d), "nas").drop("owner", "owner_group")
+
+
 @query("s1_walk")
 def s1b(s, d):
     """The tables' own files and folders, by a distributed walk (no SQL: files of a store)."""

@@ -80,6 +80,14 @@ def summarize_changes(diff: DataFrame) -> DataFrame:
     return diff.groupBy("state").agg(F.count("*").alias("n_entries"), F.coalesce(F.sum(F.coalesce("cur.size", "prev.size")), F.lit(0)).alias("bytes"))
 
 
+def change_cube(diff: DataFrame) -> DataFrame:
+    """state, top, n_entries, bytes: summarize_changes for each state and top directory, each alone and all together (null
+    where all are meant: a null path's top is `?`). The sums are made before the cube expands them, by one shuffle."""
+    top = F.coalesce(F.substring_index("relative_path", "/", 1), F.lit("?"))
+    size = F.coalesce("cur.size", "prev.size", F.lit(0).cast("long"))
+    return diff.select("state", top.alias("top"), size.alias("size")).cube("state", "top").agg(F.count("*").alias("n_entries"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"))
+
+
 # Fixed values: (destination, source kind) and the attributes written there.
 CARRY = [("nas", "nas", "atime,mtime,uid,gid,mode"), ("nas", "s3", "atime,mtime"), ("nas", "hdfs", "mtime,mode"), ("hdfs", "nas", "mode,mtime"), ("hdfs", "s3", "mtime"), ("hdfs", "hdfs", "mode,mtime,owner,group")]
 
@@ -93,6 +101,22 @@ def metadata_carry(actions: DataFrame, dst_backend: str) -> DataFrame:
     return actions.withColumn("attributes", F.when(F.col("action") == "set_metadata", attrs).otherwise(F.lit("")))
 
 
+def carried_values(actions: DataFrame, entries: DataFrame, dst_backend: str) -> DataFrame:
+    """metadata_carry's set_metadata rows with what is written: relative_path, atime_ns, mtime_ns, uid, gid, mode, owner,
+    owner_group; null where an attribute is not carried or not known.
+
+    entries: relative_path and what is known of the source. Modes are cut to their permission bits (& 0o7777), an object
+    store's access time is its mtime, empty owners and groups are left out. A path without an entry has nulls.
+    """
+    has = set(entries.columns)
+    known = lambda c, kind: (F.col(c) if c in has else F.lit(None)).cast(kind)
+    told = entries.select("relative_path", *[known(c, "long").alias(c) for c in ("atime_ns", "mtime_ns", "uid", "gid")], known("mode", "long").bitwiseAND(F.lit(0o7777)).alias("mode"), *[F.nullif(known(c, "string"), F.lit("")).alias(c) for c in ("owner", "owner_group")])
+    set_rows = metadata_carry(actions.select("relative_path", "src_kind", "action"), dst_backend).where("action = 'set_metadata'")
+    both = set_rows.join(told, "relative_path", "left").withColumn("atime_ns", F.when(F.col("src_kind") == "s3", F.col("mtime_ns")).otherwise(F.col("atime_ns")))
+    carried = lambda name, c: F.when(F.array_contains(F.split("attributes", ","), name), F.col(c)).alias(c)
+    return both.select("relative_path", *[carried(n, c) for n, c in (("atime", "atime_ns"), ("mtime", "mtime_ns"), ("uid", "uid"), ("gid", "gid"), ("mode", "mode"), ("owner", "owner"), ("group", "owner_group"))])
+
+
 def merge_scan_messages(log: DataFrame, max_rounds: int = 1000) -> DataFrame:
     """The inventory (relative_path, size) after a message log (seq, kind, relative_path, from_path, size), as a replay in the
     order of seq gives it.

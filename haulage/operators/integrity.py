@@ -86,6 +86,16 @@ def integrity_report(results: DataFrame) -> DataFrame:
     return results.groupBy("outcome", F.substring_index("relative_path", "/", 1).alias("top")).agg(F.count("*").alias("n_entries"))
 
 
+def field_report(results: DataFrame) -> DataFrame:
+    """outcome, field, top, n_entries of quick_check's results: for each outcome and field that differs (an entry counts under
+    each of its fields; the empty text: none), by top directory and over all (top null; a null path's top is `?`)."""
+    top = F.coalesce(F.substring_index("relative_path", "/", 1), F.lit("?"))
+    each = results.select("outcome", top.alias("top"), F.explode(F.split("fields", ",")).alias("field"))
+    sums = each.groupBy("outcome", "field", "top").agg(F.count("*").alias("n"))
+    by = sums.groupingSets([["outcome", "field", "top"], ["outcome", "field"]], "outcome", "field", "top")
+    return by.agg(F.sum("n").alias("n_entries")).select("outcome", "field", "top", "n_entries")
+
+
 def content_hash(content: Column) -> Column:
     """SHA-256 in hex; empty content has the empty digest, null content a null one."""
     return F.when(F.length(content) == 0, F.lit("")).otherwise(F.sha2(content, 256))

@@ -28,7 +28,8 @@ def join_tags(objects: DataFrame, tags: DataFrame, key: str = "file") -> DataFra
 
 
 def can_complete(parts: DataFrame, files: DataFrame, part: int, key: str = "file") -> DataFrame:
-    """key, complete: parts 1..n are all there, once each, with exact lengths. parts: key, part_number, part_len."""
+    """key, complete: parts 1..n are all there, once each, with exact lengths. parts: key, part_number, part_len. A file
+    without parts, of size 0 or of null size is not complete; nulls in parts make theirs incomplete."""
     total = F.floor((F.col("size") + part - 1) / part).cast("long")
     exact = F.col("part_len") == F.least(F.lit(part).cast("long"), F.col("size") - (F.col("part_number") - 1) * part)
     both = files.select(key, "size").join(parts, key, "left").groupBy(key, "size").agg(F.count("part_number").alias("_n"), F.min("part_number").alias("_a"), F.max("part_number").alias("_z"), F.count_distinct("part_number").alias("_d"), F.bool_and(exact).alias("_ok"))

@@ -75,6 +75,14 @@ def number_pages(entries: DataFrame, max_depth: int = 0) -> tuple[DataFrame, Dat
     return rows, out
 
 
+def page_totals(rows: DataFrame, pages: DataFrame) -> DataFrame:
+    """One row over number_pages' results: n_pages, n_numbered and max_ndx, the greatest number given out, gaps included
+    (null if none)."""
+    last = F.greatest("gap_ndx", F.col("ndx_start") + F.col("n_entries") - 1)
+    both = pages.select(F.lit(1).alias("page"), last.alias("last"), F.lit(0).alias("row")).unionByName(rows.select(F.lit(0).alias("page"), F.lit(None).cast("long").alias("last"), F.lit(1).alias("row")))
+    return both.agg(F.coalesce(F.sum("page"), F.lit(0)).alias("n_pages"), F.coalesce(F.sum("row"), F.lit(0)).alias("n_numbered"), F.max("last").alias("max_ndx"))
+
+
 def _dated(node, inputs: filters.Inputs) -> Column:
     """The truth of an expression of which only dir_date conditions can hold."""
     if isinstance(node, tuple):

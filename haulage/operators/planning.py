@@ -34,7 +34,7 @@ def plan_chunks(files: DataFrame, block_size: int = 2 * MIB) -> DataFrame:
 
 
 def part_size(size: Column, block_size: int = 5 * MIB) -> Column:
-    """At least the block, and whole MiB so that no more than 10000 parts are needed."""
+    """At least the block, and whole MiB so that no more than 10000 parts are needed; a null size gets the block."""
     return F.greatest(F.lit(block_size).cast("long"), _ceil_div(_ceil_div(size, PARTS), MIB) * MIB)
 
 
@@ -131,7 +131,8 @@ def committed_parts(parts: DataFrame, files: DataFrame, part: int, key: str = "f
 
 
 def pick_uploads(uploads: DataFrame, key: str = "key") -> DataFrame:
-    """Of each key's open uploads the newest is kept, the others are to be aborted."""
+    """Of each key's open uploads the newest is kept, the others are to be aborted. Null times are the oldest, equal times go by
+    upload_id; a null key is one; rows that are equal in all of it are kept once."""
     rn = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("initiated"), F.desc("upload_id")))
     return uploads.withColumn("action", F.when(rn == 1, "keep").otherwise("abort"))
 
@@ -166,7 +167,7 @@ def tar_size(entries: DataFrame, package: str = "package") -> DataFrame:
 
 def tar_manifest(entries: DataFrame, package: str = "package") -> DataFrame:
     """package, member, type_flag, size, header_offset: members by path, offsets as a running sum inside the package.
-    Directories (flag 5) and links (2) have a header only."""
+    Directories (flag 5) and links (2) have a header only; a null size counts 0, a null path has a null member."""
     is_file, flag = _tar_kinds(entries)
     member = F.substr("relative_path", F.length(package) + 2)
     w = Window.partitionBy(package).orderBy("relative_path").rowsBetween(Window.unboundedPreceding, -1)
@@ -174,7 +175,8 @@ def tar_manifest(entries: DataFrame, package: str = "package") -> DataFrame:
 
 
 def plan_delete(entries: DataFrame, prefix: str = "") -> DataFrame:
-    """relative_path, is_dir, wave: deeper entries first, so children go before their directories."""
+    """relative_path, is_dir, wave: deeper entries first, so children go before their directories. A null is_dir is a file, a
+    null path goes with the last wave of none (null); no entries make no plan."""
     own = entries.where(F.startswith("relative_path", F.lit(prefix + "/")) | (F.col("relative_path") == prefix)) if prefix else entries
     depth = path_depth(F.col("relative_path")) * 2 + F.when(F.col("is_dir"), 0).otherwise(1)
     most = own.agg(F.max(depth)).first()[0] or 0
@@ -189,14 +191,15 @@ def batch_keys(keys: DataFrame, batch: int = 100) -> DataFrame:
 
 
 def reconcile_delete(requested: DataFrame, failed: DataFrame) -> DataFrame:
-    """relative_path, error: null where the deletion succeeded."""
+    """relative_path, error: null where the deletion succeeded. Repeated requests stay, of repeated failures one counts; a null
+    path has no failure."""
     return requested.select("relative_path").join(failed.select("relative_path", "error").dropDuplicates(["relative_path"]), "relative_path", "left")
 
 
 def live_versions(versions: DataFrame) -> DataFrame:
     """Versions (key, time_ns, size, version_id, is_marker) of keys whose newest marker is not newer than the newest
-    version; version_count counts versions, is_latest marks the last by (time, version_id). One exchange by key serves
-    all of it."""
+    version; version_count counts versions, is_latest marks the last by (time, version_id). A null key is one, null
+    times are the oldest, and a null is_marker is neither and gives no row. One exchange by key serves all of it."""
     w = Window.partitionBy("key")
     newest = lambda marker: F.coalesce(F.max(F.when(F.col("is_marker") == marker, F.col("time_ns"))).over(w), F.lit(0))
     order = w.orderBy("is_marker", F.desc("time_ns"), F.desc("version_id"), F.desc("size"))

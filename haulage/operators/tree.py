@@ -16,7 +16,8 @@ def filter_tree(df: DataFrame, match: str | None = None, exclude: str | None = N
 
     A directory that is not to be continued hides all below it; one that is continued without checks keeps all below it
     unseen by either filter. The topmost such directory of a path decides, so no level-by-level walk is needed: only
-    the distinct parents are expanded into their ancestors. Directories without a row of their own decide nothing.
+    the distinct parents are expanded into their ancestors. Directories without a row of their own decide nothing. A null path
+    is at the top; columns of any name stay.
     """
     seen = limit_depth(df, max_depth)
     verdict = should_skip(match, exclude, Inputs.of(df, now))

@@ -104,6 +104,7 @@ def read_listing(spark: SparkSession, path: str, glob: str | None = None, recurs
 
 
 def write_inventory(df: DataFrame, path: str, partition_cols: list[str] | None = None) -> None:
+    """df as Parquet at path, replacing what is there; rows stay as they are, an empty table keeps its columns."""
     writer = df.write.mode("overwrite")
     (writer.partitionBy(*partition_cols) if partition_cols else writer).parquet(path)
 
@@ -119,6 +120,7 @@ def write_bucketed(df: DataFrame, table: str, path: str, buckets: int = 200) ->
 
 
 def read_inventory(spark: SparkSession, path: str) -> DataFrame:
+    """What write_inventory has written; partition columns come last, with types that Spark infers."""
     return spark.read.parquet(path)
 
 
@@ -136,10 +138,12 @@ def synthesize_dirs(files: DataFrame) -> DataFrame:
 
 
 def limit_depth(df: DataFrame, max_depth: int | None) -> DataFrame:
+    """Entries of at most max_depth components; 0 and None are no limit. With a limit null paths go."""
     return df.where(path_depth(F.col("relative_path")) <= max_depth) if max_depth else df
 
 
 def subtree(df: DataFrame, sub_path: str) -> DataFrame:
+    """The directory sub_path itself and all below it; an empty sub_path is everything, else null paths go."""
     p = sub_path.strip("/")
     return df.where((F.col("relative_path") == p) | F.startswith("relative_path", F.lit(p + "/"))) if p else df
 
