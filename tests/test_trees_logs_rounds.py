@@ -29,7 +29,7 @@ def replay(rows):
 
 def test_renamed_directories_equal_a_replay(spark):
     rng = random.Random(8)
-    for trial in range(6):
+    for trial in range(3):
         names = ["a", "b", "c", "a/x", "a/y", "b/x", "a/x/1", "a/x/2", "b/x/1", "c/z/3", None]
         rows = []
         for seq in range(60):
@@ -94,19 +94,19 @@ def test_coverage_in_the_stream(spark, tmp_path):
     rng = random.Random(10)
     files = spark.createDataFrame([(f"f{k}", 100 + k) for k in range(8)] + [("never", 5)], "file string, size long")
     events = [(f"f{rng.randrange(9)}", a := rng.randint(-5, 110), a + rng.randint(-3, 30)) for _ in range(700)] + [(None, 0, 5), ("f1", None, 4)]
-    batches = [events[k * 35 : (k + 1) * 35] + events[:5] for k in range(21)]
+    batches = [events[k * 64 : (k + 1) * 64] + events[:5] for k in range(11)]
     schema = "file string, start long, end long"
     for k, rows in enumerate(batches):
         spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/in/{k:03d}")
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
     cover, n = streams.stream_coverage(stream, files, f"{tmp_path}/out", compact=4)
-    assert n == 21
+    assert n == 11
     whole = spark.createDataFrame([e for b in batches for e in b], schema)
     want = sorted(map(tuple, streams.commit_coverage(whole, files).collect()))
     assert sorted(map(tuple, cover.report(n).collect())) == want and any(w[3] for w in want)
     told = sorted(map(tuple, cover.completed().collect()))
     assert sorted(t[0] for t in told) == sorted(w[0] for w in want if w[3])
-    for number in (20, 8):  # batches that are run again write what they wrote
+    for number in (10, 8):  # batches that are run again write what they wrote
         cover.add(spark.read.parquet(f"{tmp_path}/in/{number:03d}"), number)
     assert sorted(map(tuple, cover.report(n).collect())) == want and sorted(map(tuple, cover.completed().collect())) == told
 
