@@ -51,6 +51,6 @@ def test_stages_keep_columns_of_any_name(spark):
     assert {(r.doc_id, r.n_dropped, tuple(r[n] for n in names)) for r in lines.collect()} == {(1, 0, tuple(range(9))), (2, 1, tuple(range(9))), (3, 0, tuple(range(9)))}
     near = simhash.drop_near_copies(df)
     assert near.columns == df.columns and sorted(r[0] for r in near.collect()) == [1, 3]
-    items = spark.createDataFrame([("a", text), ("b", "x " * 40)], "item_id string, text string")
+    items = spark.createDataFrame([(1, text), (2, "x " * 40)], "item_id long, text string")
     clean = decontaminate.decontaminate(df, items, shard_chars=40)
     assert clean.columns == df.columns and [tuple(r[n] for n in names) for r in clean.collect()] == [tuple(range(9))]
