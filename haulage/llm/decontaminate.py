@@ -2,7 +2,8 @@
 
 The automaton accepts every run of words of any item. Training text is streamed through it word by word; the length
 of the longest suffix that is a run of some item is tracked, and wherever it reaches the window length (or a whole
-shorter item) the words under the window are hit.
+shorter item) the words under the window are hit. A benchmark too large for one automaton is cut into shards; texts
+meet only the automata of shards with which they share some words on end.
 """
 
 from __future__ import annotations
@@ -12,6 +13,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,9 +22,13 @@ from haulage.functions.names import free
 from haulage.llm.common import as_bytes, cut, in_batches, pieces
 
 WINDOW = 10
-#: Most characters of items in one automaton, which takes about 130 bytes for each; a larger benchmark is scanned in
-#: several passes, each with the automaton of one shard.
+#: Characters of items in one automaton, which takes about 130 bytes for each. A benchmark of up to as many is one
+#: broadcast automaton; a larger one is cut into shards, of which tasks build the automata.
 SHARD_CHARS = 1_000_000
+#: Words on end that route texts to shards, and bits of the set that tells which of them the benchmark has.
+GRAM, BITS = 6, 1 << 27
+#: Bytes of texts that one automaton of a shard is built for.
+TASK_BYTES = 64 << 20
 #: Lower-cases A-Z and turns every other ASCII byte but digits and letters into a space.
 _TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 _WORD = re.compile(rb"[^ ]+")
@@ -177,32 +184,143 @@ def _shards(benchmark: DataFrame, shard_chars: int) -> tuple[DataFrame, int]:
     return items, max(1, -(-total // shard_chars))
 
 
-def _automaton(items: DataFrame, shards: int, k: int, window: int):
-    """The broadcast automaton of one shard. An item longer than a shard is one by itself."""
-    rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)) == k).collect()
-    return items.sparkSession.sparkContext.broadcast(Automaton([(r.item_id, r.text.encode()) for r in rows], window))
+def _automaton(items: DataFrame, window: int):
+    """The broadcast automaton of a benchmark that makes one shard."""
+    return items.sparkSession.sparkContext.broadcast(Automaton([(r.item_id, r.text.encode()) for r in items.collect()], window))
 
 
-def _scan(texts: DataFrame, automaton, hits_only: bool) -> DataFrame:
+def _scanned(own: Automaton, batch: pa.RecordBatch) -> pa.RecordBatch:
+    """(doc_id, text_hash, n_words, spans, items) of a batch (doc_id, text_hash, text, more)."""
+    words, where, items = [], [], []
+    for text in as_bytes(batch.column(2)):
+        w = words_of(text)
+        spans, found = own.scan(w)
+        words.append(len(w))
+        where.append([{"start": a, "end": b} for a, b in spans])
+        items.append(sorted(found))
+    spans_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+    return pa.record_batch([batch.column(0), batch.column(1), pa.array(words, pa.int64()), pa.array(where, spans_type), pa.array(items, pa.list_(pa.int64()))], names=["doc_id", "text_hash", "n_words", "spans", "items"])
+
+
+def _scan(texts: DataFrame, automaton) -> DataFrame:
     """(doc_id, text_hash, n_words, spans, items) of the rows of texts (doc_id, text_hash, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = automaton.value
         for batch in pieces(batches):
-            words, where, items = [], [], []
-            for text in as_bytes(batch.column(2)):
-                w = words_of(text)
-                spans, found = own.scan(w)
-                words.append(len(w))
-                where.append([{"start": a, "end": b} for a, b in spans])
-                items.append(sorted(found))
-            spans_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-            out = pa.record_batch([batch.column(0), batch.column(1), pa.array(words, pa.int64()), pa.array(where, spans_type), pa.array(items, pa.list_(pa.int64()))], names=["doc_id", "text_hash", "n_words", "spans", "items"])
-            yield out.filter(pa.array([bool(x) for x in where], pa.bool_())) if hits_only else out
+            yield _scanned(own, batch)
 
     return in_batches(texts, run, f"doc_id long, text_hash long, n_words long, {_FOUND}")
 
 
+def _hashes(words: list[bytes], known: dict[bytes, int]) -> np.ndarray:
+    """64-bit hashes of words; known remembers a bounded number of them."""
+    if len(known) > 1 << 18:
+        known.clear()
+    return np.fromiter((known.get(w) or known.setdefault(w, xxhash.xxh64_intdigest(w)) for w in words), np.uint64, len(words))
+
+
+def _grams(h: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of each `size` words on end, of hashes of the words."""
+    out = np.full(max(0, len(h) - size + 1), size, np.uint64)
+    for j in range(size if len(out) else 0):
+        out = out * np.uint64(0x9E3779B97F4A7C15) + h[j : j + len(out)]
+    out ^= out >> np.uint64(32)
+    return out * np.uint64(0xD6E8FEB86659FD93)
+
+
+def _item_pieces(items: DataFrame, window: int, most: int) -> DataFrame:
+    """(item_id, text, keys): the items' words in pieces of some `most` bytes that share all but one word of a window with
+    the next, so every window lies in a piece; and of each window the least hash of GRAM words (of all, in shorter
+    ones) on end, with how many words that are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[bytes, int] = {}
+        for batch in pieces(batches, 16):
+            ids, texts, keys = [], [], []
+            for item, text in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1))):
+                words = words_of(text)
+                ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
+                start = 0
+                while start < len(words) and (start == 0 or len(words) - start >= window):
+                    step = max(1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + most, "right")) - start)
+                    own = words[start : start + step + window - 1]
+                    wide = min(len(own), window)
+                    size = min(wide, GRAM)
+                    least = np.unique(np.lib.stride_tricks.sliding_window_view(_grams(_hashes(own, known), size), wide - size + 1).min(axis=1))
+                    ids.append(item)
+                    texts.append(b" ".join(own))
+                    keys.append([{"key": k, "size": size} for k in least.view(np.int64).tolist()])
+                    start += step
+            key_type = pa.list_(pa.struct([("key", pa.int64()), ("size", pa.int32())]))
+            yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(texts, pa.binary()).cast(pa.string()), pa.array(keys, key_type)], names=["item_id", "text", "keys"])
+
+    return in_batches(items, run, "item_id long, text string, keys array<struct<key:long,size:int>>")
+
+
+def _bits(keys: DataFrame):
+    """A broadcast bit set of BITS bits in which every key has one."""
+    at = F.shiftrightunsigned(F.col("key").bitwiseAND(BITS - 1), 6).alias("at")
+    rows = keys.select(at, F.expr("shiftleft(1L, cast(key & 63 as int))").alias("bit")).groupBy("at").agg(F.bit_or("bit").alias("bits")).toArrow()
+    bits = np.zeros(BITS // 64, np.uint64)
+    bits[rows["at"].to_numpy()] = rows["bits"].to_numpy().view(np.uint64)
+    return keys.sparkSession.sparkContext.broadcast(bits)
+
+
+def _routed(texts: DataFrame, bits, sizes: list[int]) -> DataFrame:
+    """(doc_id, text_hash, n_words, keys, text): the corpus pass. keys: hashes of words on end that have their bit; texts
+    without one are left out of their rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, known = bits.value, {}
+        for batch in pieces(batches):
+            texts, keys, n_words = as_bytes(batch.column(2)), [], []
+            for k, text in enumerate(texts):
+                words = words_of(text)
+                h, found = _hashes(words, known), []
+                for size in sizes:
+                    g = _grams(h, size)
+                    at = g & np.uint64(BITS - 1)
+                    found.append(g[(own[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) == 1])
+                found = np.unique(np.concatenate(found)) if found else np.empty(0, np.uint64)
+                n_words.append(len(words))
+                keys.append(found.view(np.int64))
+                if not len(found):
+                    texts[k] = None
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(n_words, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(texts, pa.binary()).cast(pa.string())], names=["doc_id", "text_hash", "n_words", "keys", "text"])
+
+    return in_batches(texts, run, "doc_id long, text_hash long, n_words long, keys array<long>, text string")
+
+
+def _scan_dealt(rows: DataFrame, window: int) -> DataFrame:
+    """(doc_id, text_hash, spans, items) of the texts of rows (id, text_hash, text, shard, salt, kind).
+
+    Rows come grouped by (shard, salt), the items (kind 0) before the texts; a task holds one automaton at a time.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, items, own = None, [], None
+        for batch in pieces(batches):
+            marks = list(zip(*(batch.column(c).to_pylist() for c in (3, 4, 5))))
+            start = 0
+            for end in range(1, len(marks) + 1):
+                if end < len(marks) and marks[end] == marks[start]:
+                    continue
+                part, (shard, salt, kind) = batch.slice(start, end - start), marks[start]
+                start = end
+                if (shard, salt) != group:
+                    group, items, own = (shard, salt), [], None
+                if kind == 0:
+                    items += zip(part.column(0).to_pylist(), as_bytes(part.column(2)))
+                    continue
+                if own is None:
+                    own, items = Automaton(items, window), []
+                out = _scanned(own, part)
+                yield out.filter(pa.compute.greater(pa.compute.list_value_length(out["spans"]), 0)).select(["doc_id", "text_hash", "spans", "items"])
+
+    return in_batches(rows, run, f"doc_id long, text_hash long, {_FOUND}")
+
+
 def _merge_passes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc_id, text_hash, all spans, all items) with overlapping spans made one."""
     for batch in pieces(batches):
@@ -210,30 +328,43 @@ def _merge_passes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield batch.set_column(2, batch.schema.field(2), pa.array(spans, batch.schema.field(2).type))
 
 
-def found_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", shard_chars: int = SHARD_CHARS) -> DataFrame:
-    """(doc_id, n_words, spans, items) of each row of docs, however many shards the benchmark makes.
+def _found_in_shards(texts: DataFrame, items: DataFrame, shards: int, window: int, shard_chars: int) -> DataFrame:
+    """found_spans for a benchmark of many shards, each of which tasks turn into automata.
 
-    With several shards, each pass writes what it found by document (id and hash of the text), one automaton at a time
-    is held by the driver and the workers, and the passes are merged by a grouping of the documents that were hit.
+    One pass over the corpus finds the texts that share the least hash of some window of the benchmark (a bit set of
+    fixed size goes before the join with the hashes); only these texts are dealt to the shards they may match, as many
+    tasks for a shard as its texts have bytes for, and streamed through its automaton there.
     """
+    own = _item_pieces(items, window, max(1, shard_chars // 8)).withColumn("shard", F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)).cast("int"))
+    own = cut(own)
+    keys = cut(own.select("shard", F.explode("keys").alias("k")).select("shard", "k.key", "k.size").distinct())
+    sizes = sorted(r.size for r in keys.select("size").distinct().collect())
+    bits = _bits(keys)
+    routed = cut(_routed(texts, bits, sizes))
+    bits.destroy()
+    some = routed.where(F.size("keys") > 0)
+    pairs = cut(some.select("doc_id", "text_hash", F.explode("keys").alias("key")).join(keys.select("key", "shard"), "key").select("doc_id", "text_hash", "shard").distinct(), keys)
+    wanted, told = pairs.select(F.col("doc_id").alias("of"), F.col("text_hash").alias("as"), "shard"), some.select("doc_id", "text_hash", "text").dropDuplicates(["doc_id", "text_hash"])
+    dealt = cut(told.join(wanted, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("text_hash") == F.col("as"))).select("doc_id", "text_hash", "text", "shard"), pairs)
+    salts = cut(dealt.groupBy("shard").agg(F.ceil(F.sum(F.octet_length("text")) / TASK_BYTES).cast("int").alias("salts")))
+    dealt = dealt.join(salts, "shard").select(F.col("doc_id").alias("id"), "text_hash", "text", "shard", F.pmod(F.xxhash64("doc_id", "text_hash"), "salts").cast("int").alias("salt"), F.lit(1).alias("kind"))
+    every = own.join(salts, "shard").select(F.col("item_id").alias("id"), F.lit(0).cast("long").alias("text_hash"), "text", "shard", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("kind"))
+    rows = every.unionByName(dealt).repartition("shard", "salt").sortWithinPartitions("shard", "salt", "kind")
+    parts = cut(_scan_dealt(rows, window), own, dealt, salts)
+    parts = parts.groupBy("doc_id", "text_hash").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
+    merged = cut(in_batches(parts, _merge_passes, f"doc_id long, text_hash long, {_FOUND}"))
+    same = routed["doc_id"].eqNullSafe(merged["doc_id"]) & (routed["text_hash"] == merged["text_hash"])
+    none = lambda c: F.coalesce(merged[c], F.array().cast(merged.schema[c].dataType))
+    return routed.join(merged, same, "left").select(routed["doc_id"], routed["text_hash"], "n_words", none("spans").alias("spans"), none("items").alias("items"))
+
+
+def found_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", shard_chars: int = SHARD_CHARS) -> DataFrame:
+    """(doc_id, text_hash, n_words, spans, items) of each row of docs, however many shards the benchmark makes."""
     items, shards = _shards(benchmark, shard_chars)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col).cast("string")).alias("text_hash"), F.col(text_col).cast("string").alias("text"))
     if shards == 1:
-        return _scan(texts, _automaton(items, 1, 0, window), False)
-    parts = []
-    for k in range(shards):
-        automaton = _automaton(items, shards, k, window)
-        parts.append(cut(_scan(texts, automaton, True)))
-        automaton.destroy()
-    every = parts[0]
-    for part in parts[1:]:
-        every = every.unionByName(part)
-    every = every.groupBy("doc_id", "text_hash").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
-    merged = cut(in_batches(every, _merge_passes, f"doc_id long, text_hash long, {_FOUND}"), *parts)
-    plain = _scan(texts, items.sparkSession.sparkContext.broadcast(Automaton([], window)), False).select("doc_id", "text_hash", "n_words")
-    same = plain["doc_id"].eqNullSafe(merged["doc_id"]) & (plain["text_hash"] == merged["text_hash"])
-    none = lambda c: F.coalesce(merged[c], F.array().cast(merged.schema[c].dataType))
-    return plain.join(merged, same, "left").select(plain["doc_id"], plain["text_hash"], "n_words", none("spans").alias("spans"), none("items").alias("items"))
+        return _scan(texts, _automaton(items, window))
+    return _found_in_shards(texts, items, shards, window, shard_chars)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", shard_chars: int = SHARD_CHARS) -> DataFrame:
@@ -264,7 +395,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, m
         return batch.set_column(place, batch.schema.field(place), column).filter(pa.array(keep, pa.bool_()))
 
     if shards == 1:
-        automaton = _automaton(items, 1, 0, window)
+        automaton = _automaton(items, window)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own = automaton.value
