@@ -29,9 +29,20 @@ def join_tags(objects: DataFrame, tags: DataFrame, key: str = "file") -> DataFra
 
 def can_complete(parts: DataFrame, files: DataFrame, part: int, key: str = "file") -> DataFrame:
     """key, complete: parts 1..n are all there, once each, with exact lengths. parts: key, part_number, part_len. A file
-    without parts, of size 0 or of null size is not complete; nulls in parts make theirs incomplete."""
+    without parts, of size 0 or of null size is not complete; a part without a number must be a whole one and counts for none, lengths
+    that are null are not judged unless all are (an incomplete file). A file listed twice has its parts twice."""
     total = F.floor((F.col("size") + part - 1) / part).cast("long")
-    exact = F.col("part_len") == F.least(F.lit(part).cast("long"), F.col("size") - (F.col("part_number") - 1) * part)
-    both = files.select(key, "size").join(parts, key, "left").groupBy(key, "size").agg(F.count("part_number").alias("_n"), F.min("part_number").alias("_a"), F.max("part_number").alias("_z"), F.count_distinct("part_number").alias("_d"), F.bool_and(exact).alias("_ok"))
-    whole = (F.col("_n") == total) & (F.col("_d") == total) & (F.col("_a") == 1) & (F.col("_z") == total) & F.col("_ok")
-    return both.select(key, F.coalesce(whole, F.lit(False)).alias("complete"))
+    # one sort of each side serves its window and the join: parts 1, 2, ... in their order, the least of another length, the last's
+    w = Window.partitionBy(key).orderBy("part_number")
+    upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = parts.select(key, "part_number", "part_len", F.count("part_number").over(upto).alias("_n"))
+    right = F.coalesce(F.col("part_number") == F.col("_n"), F.col("part_len") == part)
+    short = F.min(F.when(F.col("part_len") != part, F.col("part_number"))).over(upto)
+    told = placed.select(key, "part_len", "_n", F.bool_and(right).over(upto).alias("_run"), short.alias("_short"), F.count("part_len").over(upto).alias("_lens"), F.lead("_n").over(w).alias("_next"))
+    last = told.where("_next IS NULL").select(key, "_n", "_run", "_short", "_lens", F.col("part_len").alias("_tail"))
+    listed = Window.partitionBy(key).orderBy("size")
+    same = F.count("*").over(listed.rangeBetween(Window.currentRow, Window.currentRow))
+    once = files.select(key, "size", same.alias("_c"), (F.row_number().over(listed) == F.rank().over(listed)).alias("_first")).where("_first")
+    exact = (F.col("_short").isNull() | (F.col("_short") >= total)) & (F.col("_tail").isNull() | (F.col("_tail") == F.col("size") - (total - 1) * part))
+    whole = (F.col("_n") > 0) & (F.col("_n") == total) & F.col("_run") & (F.col("_lens") > 0) & exact & (F.col("_c") == 1)
+    return once.join(last, key, "left").select(key, F.coalesce(whole, F.lit(False)).alias("complete"))
