@@ -92,10 +92,11 @@ def coalesce_ranges(commits: DataFrame, key: str = "file") -> DataFrame:
     """key, start, end: merged coverage of possibly repeated and overlapping ranges (touching ones merge).
     Empty, reversed and null ranges are left out; a null key is one."""
     w = Window.partitionBy(key).orderBy("start", "end")
-    seen = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    islands = commits.where("end > start").withColumn("_new", (seen.isNull() | (F.col("start") > seen)).cast("long"))
-    islands = islands.withColumn("_island", F.sum("_new").over(w.orderBy("start", "end", F.desc("_new")).rowsBetween(Window.unboundedPreceding, 0)))
-    return islands.groupBy(key, "_island").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("_island")
+    every = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    seen = commits.where("end > start").select(key, "start", F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("_seen"), F.max("end").over(every).alias("_last"), "end")
+    # what was seen before the next island ends this one; rows stay sorted, so one sort serves both windows
+    first = seen.where("_seen IS NULL OR start > _seen")
+    return first.select(key, "start", F.coalesce(F.lead("_seen").over(w), "_last").alias("end"))
 
 
 def missing_intervals(committed: DataFrame, files: DataFrame, key: str = "file") -> DataFrame:
