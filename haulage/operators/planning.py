@@ -127,8 +127,8 @@ def committed_parts(parts: DataFrame, files: DataFrame, part: int, key: str = "f
     total = _ceil_div(F.col("size"), part)
     both = parts.join(files.select(key, "size"), key)
     good = (F.col("part_number") >= 1) & (F.col("part_number") <= total) & (F.col("part_len") == F.least(F.lit(part).cast("long"), F.col("size") - (F.col("part_number") - 1) * part))
-    valid = both.groupBy(key).agg(F.bool_and(good).alias("ok")).where("ok").select(key)
-    return both.join(valid, key, "left_semi").select(key, ((F.col("part_number") - 1) * part).cast("long").alias("start"), ((F.col("part_number") - 1) * part + F.col("part_len")).cast("long").alias("end"))
+    judged = both.withColumn("_ok", F.bool_and(good).over(Window.partitionBy(key)))
+    return judged.where("_ok").select(key, ((F.col("part_number") - 1) * part).cast("long").alias("start"), ((F.col("part_number") - 1) * part + F.col("part_len")).cast("long").alias("end"))
 
 
 def pick_uploads(uploads: DataFrame, key: str = "key") -> DataFrame:
