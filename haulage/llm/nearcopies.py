@@ -1,6 +1,8 @@
-"""Near copies by the similarity of their word shingles.
+"""Near copies by SimHash fingerprints and the similarity of their word shingles.
 
-Two texts are near copies if the Jaccard similarity of their sets of five-word shingles is at least 0.8. Candidates
+Two texts are near copies if the Jaccard similarity of their sets of five-word shingles is at least 0.8. Candidates are
+first the texts of one fingerprint and the links of the grid join of fingerprints (segment-popcount embedding, see
+simhash). As edits move many near copies by more than its three bits, candidates also
 share one of 20 bands of four MinHashes (a pair of similarity 0.8 is missed once in 38,000 times); every link is
 verified on the sets themselves. A bucket of a few texts is compared whole in one task. In a larger one every text is
 held against the bucket's first; those it is not like are then compared with all others of the bucket, in blocks.
@@ -19,6 +21,8 @@ from pyspark.sql import functions as F
 
 from haulage.llm.common import as_bytes, cut, in_batches, pieces
 from haulage.llm.components import connected_components
+from haulage.llm.simhash import fingerprint
+from haulage.llm.simhash import near_links as grid_links
 
 SHINGLE, SIMILARITY, SEED = 5, 0.8, 42
 BANDS, DEPTH = 20, 4
@@ -53,15 +57,17 @@ def _long(data: bytes) -> int:
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, text_hash, text) to the name of the text's set and its 20 bands."""
+    """(doc_id, text_hash, text) to the name of the text's set, its fingerprint and its 20 bands."""
     for batch in pieces(batches):
-        keys, bands = [], []
+        keys, fps, bands = [], [], []
         for text in as_bytes(batch.column(2)):
             own = grams(text)
             low = signature(own).reshape(BANDS, DEPTH)
             keys.append(_long(own.tobytes()))
+            fps.append(fingerprint(text))
             bands.append([_long(bytes([b]) + row.tobytes()) for b, row in enumerate(low)])
-        yield pa.record_batch([batch.column(0), batch.column(1), pa.array(keys, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "text_hash", "key", "bands"])
+        fps = pa.array(np.array(fps, np.uint64).view(np.int64))
+        yield pa.record_batch([batch.column(0), batch.column(1), pa.array(keys, pa.int64()), fps, pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "text_hash", "key", "fp", "bands"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,6 +166,24 @@ def _large(members: DataFrame, sets: DataFrame, similarity: float, block: int) -
     return links.unionByName(_bucket_rows(left.unionByName(right), sets, similarity, "band", "i", "j"))
 
 
+def _texts(docs: DataFrame, points: DataFrame, keys: DataFrame) -> DataFrame:
+    """(key, text) of these keys, from the rows where they stand first."""
+    wanted = points.join(keys, "key", "left_semi").select("key", F.col("at.doc_id").alias("doc_id"), F.col("at.text_hash").alias("text_hash"))
+    return docs.join(wanted, ["doc_id", "text_hash"]).select("key", "text").dropDuplicates(["key"])
+
+
+def fingerprint_links(docs: DataFrame, points: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """Links (a, b) of similar sets among the pairs that the fingerprints' grid join links, and between the sets of each
+    fingerprint and its first; points: (key, at (doc_id, text_hash), fp)."""
+    reps = cut(points.groupBy("fp").agg(F.min("key").alias("doc"), F.max("key").alias("last")))
+    same = points.join(reps.where("doc != last"), "fp").where("key != doc").select("key", F.col("doc").alias("rep"))
+    pairs = cut(same.unionByName(grid_links(reps.select("doc", "fp")).select(F.col("a").alias("key"), F.col("b").alias("rep"))).distinct(), reps)
+    ends = pairs.select("key").unionByName(pairs.select(F.col("rep").alias("key"))).distinct()
+    own = cut(in_batches(_texts(docs, points, ends), _sets, "key long, sig binary, grams binary")).select("key", "grams")
+    both = pairs.join(own, "key").join(own.select(F.col("key").alias("rep"), F.col("grams").alias("rep_grams")), "rep")
+    return cut(in_batches(both.select("key", "rep", "grams", "rep_grams"), _verify(similarity), "a long, b long"), pairs)
+
+
 def near_links(docs: DataFrame, points: DataFrame, similarity: float = SIMILARITY, small: int = 256) -> DataFrame:
     """Links (a, b) that join all similar sets into the right groups; points: (key, at (doc_id, text_hash), bands)."""
     rows = points.select(F.explode("bands").alias("band"), "key")
@@ -167,8 +191,7 @@ def near_links(docs: DataFrame, points: DataFrame, similarity: float = SIMILARIT
     # Bands with the same members are one bucket.
     buckets = cut(buckets.groupBy("n", "low", "who").agg(F.min("band").alias("band")).select("band", "n"))
     members = cut(rows.join(buckets, "band").select("band", "key", "n"))
-    wanted = points.join(members.select("key").distinct(), "key", "left_semi").select("key", F.col("at.doc_id").alias("doc_id"), F.col("at.text_hash").alias("text_hash"))
-    texts = docs.join(wanted, ["doc_id", "text_hash"]).select("key", "text").dropDuplicates(["key"])
+    texts = _texts(docs, points, members.select("key").distinct())
     sets = cut(in_batches(texts, _sets, "key long, sig binary, grams binary"))
     links = cut(_bucket_rows(members.where(F.col("n") <= small).select("band", "key", F.lit(0).alias("side")), sets, similarity, "band"))
     large = members.where(F.col("n") > small)
@@ -182,10 +205,11 @@ def groups(docs: DataFrame, similarity: float = SIMILARITY, small: int = 256) ->
     Texts without words are alike. A null doc_id takes part in no group of its own.
     """
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("text_hash"), F.col("text").cast("string").alias("text"))
-    marked = cut(in_batches(src, _sketch, "doc_id long, text_hash long, key long, bands array<long>"))
-    points = cut(marked.where("doc_id is not null").groupBy("key").agg(F.min(F.struct("doc_id", "text_hash")).alias("at"), F.first("bands").alias("bands")))
-    joined = connected_components(near_links(src, points, similarity, small))
-    roots = cut(joined, joined)
+    marked = cut(in_batches(src, _sketch, "doc_id long, text_hash long, key long, fp long, bands array<long>"))
+    points = cut(marked.where("doc_id is not null").groupBy("key").agg(F.min(F.struct("doc_id", "text_hash")).alias("at"), F.min("fp").alias("fp"), F.first("bands").alias("bands")))
+    close = fingerprint_links(src, points, similarity)
+    joined = connected_components(close.unionByName(near_links(src, points, similarity, small)))
+    roots = cut(joined, joined, close)
     named = points.join(roots.withColumnRenamed("node", "key"), "key", "left").select("key", F.coalesce("root", "key").alias("root"), "at")
     named = cut(named, roots, points)
     least = cut(named.groupBy("root").agg(F.min("at").alias("keep")))

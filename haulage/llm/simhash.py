@@ -20,7 +20,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from haulage.functions.names import free
-from haulage.llm import nearcopies
 from haulage.llm.common import as_bytes, cut, in_batches
 from haulage.llm.components import connected_components
 
@@ -245,12 +244,15 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return marked.join(named, "fp", "left").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def drop_near_copies(docs: DataFrame, similarity: float = nearcopies.SIMILARITY) -> DataFrame:
+def drop_near_copies(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
     """docs without the rows of each group of near copies but its least (doc_id, text); rows with a null doc_id stay.
 
-    Near copies share five-word shingles, not fingerprints: see nearcopies. Of a doc_id with several texts only the
+    Near copies are met by the grid join of their fingerprints, verified by their five-word shingles; those whose
+    fingerprints lie apart are looked for too: see nearcopies. Of a doc_id with several texts only the
     copied ones go; rows that repeat both the doc_id and the text of the row that stays, stay too.
     """
+    from haulage.llm import nearcopies  # which needs the fingerprints from here
+
     groups = nearcopies.groups(docs, similarity).where("doc_id is not null")
     of, text_hash = free(docs, "of", "text_hash")
     gone = cut(groups.where(~F.struct("doc_id", "text_hash").eqNullSafe(F.col("keep"))).select(F.col("doc_id").alias(of), F.col("text_hash").alias(text_hash)).distinct())

@@ -85,3 +85,21 @@ def test_repeated_id_with_two_texts(spark):
     rows = [(3, first), (5, first + " end"), (5, second), (5, second), (6, second + " end")]
     got = simhash.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted(map(tuple, got)) == [(3, first), (5, second), (5, second)]
+
+
+def test_fingerprints_meet_by_the_grid_join(spark, monkeypatch):
+    """Without the bands, copies whose fingerprints are within three bits go, and only if they are similar."""
+    rng = random.Random(5)
+    words = [f"w{k}" for k in range(2000)]
+    texts = {1: " ".join(words), 2: " ".join([*words[:-1], "end"]), 3: "One two", 4: "one TWO ", 5: " ".join(f"v{rng.randrange(10**6)}" for _ in range(500))}
+    far = [*words]
+    for at in range(0, 2000, 120):
+        far[at] = f"other{at}"
+    texts[6] = " ".join(far)
+    texts[7] = " ".join(texts[5].split()[:250] * 2)
+    bits = {d: simhash.fingerprint(t.encode()) for d, t in texts.items()}
+    assert (bits[1] ^ bits[2]).bit_count() <= 3 < (bits[1] ^ bits[6]).bit_count() and jaccard(texts[1], texts[6]) >= 0.8
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {r.doc_id for r in simhash.drop_near_copies(docs).collect()} == {1, 3, 5, 7}
+    monkeypatch.setattr(nearcopies, "near_links", lambda docs, points, *_: points.select(points["key"].alias("a"), points["key"].alias("b")).where("false"))
+    assert {r.doc_id for r in simhash.drop_near_copies(docs).collect()} == {1, 3, 5, 6, 7}
