@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from haulage.functions.columns import path_name, path_parent
 from haulage.functions.names import free
 from haulage.functions.shared import cut
-from haulage.sources.inventory import prefixes
 
 ATTRS = ("size", "mtime_ns", "mode", "uid", "gid", "ino")
+#: Rounds of renames that are read side by side before they are written as one.
+UNIONS = 16
 
 
 def change_kind(src: str, dst: str) -> Column:
@@ -124,49 +127,60 @@ def merge_scan_messages(log: DataFrame, max_rounds: int = 1000) -> DataFrame:
     A message sets its path's size; Deleted takes the path away, Renamed takes from_path and everything below it to
     relative_path, replacing what is there of the same names, and then sets relative_path itself. Messages without a path are
     about the null path. Of messages of one path that share a seq the greatest by (kind, size) counts, and counts more than
-    what a rename brings there at that seq; of renames that bring two entries to one place the larger size stays.
+    what a rename brings there at that seq; of renames that bring two entries to one place the larger size stays. A null
+    seq comes before all others.
 
-    An arrival (path, seq) ends where the next one of its path begins; if a rename of the path or of a directory above comes
-    first, it arrives anew at the new place. The next rename of each ancestor is looked up by one running window over renames
-    and arrivals, without pairing them. Arrivals are worked out round by round, each from what the last one found;
-    arrivals up to the k-th rename of an entry are right after k rounds, so rounds are as many as the moves of the
-    entry that moved most, and the last finds nothing new.
+    Between two renames of a path or of directories above it nothing leaves the path, so only its last arrival of such a stay
+    counts: it is what the rename at the stay's end takes along, to a stay of another path that is known by then. The
+    first round takes every stay with a message; each later one only stays whose last arrival the round before has
+    changed, so rounds are as many as the moves of the entry that moved most, but later ones meet only what moved so often.
     """
-    direct = log.groupBy("relative_path", "seq").agg(F.max(F.struct("kind", "size")).alias("m"))
-    direct = cut(direct.select("relative_path", "seq", F.lit(1).alias("rank"), (F.col("m.kind") == "Deleted").alias("gone"), F.col("m.size").alias("size")))
-    renames = cut(log.where("kind = 'Renamed' AND from_path IS NOT NULL AND relative_path IS NOT NULL").groupBy("from_path", "seq").agg(F.max("relative_path").alias("to_path")))
-    arrivals = direct
-    for _ in range(max_rounds):
-        lives = _lives(arrivals, renames)
-        moved = lives.where("moved IS NOT NULL").groupBy(F.col("moved").alias("relative_path"), F.col("moved_at").alias("seq")).agg(F.max("size").alias("size"))
-        every = direct.unionByName(moved.select("relative_path", "seq", F.lit(0).alias("rank"), F.lit(False).alias("gone"), "size"))
-        found = cut(every.groupBy("relative_path", "seq").agg(F.max(F.struct("rank", "gone", "size")).alias("m")).select("relative_path", "seq", "m.*"))
-        if _same(found, arrivals):
-            return lives.where("next_seq IS NULL AND moved IS NULL AND NOT gone").select("relative_path", "size")
-        arrivals = found
+    log = log.withColumn("seq", F.coalesce("seq", F.lit(-(1 << 63))))
+    renames = cut(log.where("kind = 'Renamed' AND from_path IS NOT NULL AND relative_path IS NOT NULL").groupBy(F.col("from_path").alias("at"), "seq").agg(F.max("relative_path").alias("to_path")))
+    told = _stays(log.select("relative_path", "seq", F.lit(1).alias("rank"), "kind", "size", F.lit(None).cast("string").alias("came_from"), F.lit(0).alias("round")), renames)
+    last = told.groupBy("relative_path", "until", "place").agg(F.max(F.struct("seq", "rank", "kind", "size", "came_from", "round")).alias("m"))
+    direct, moved = cut(last.select("relative_path", "until", "place", "m.*")), []
+    going = direct.where("until IS NOT NULL AND kind <> 'Deleted'")
+    for k in range(1, max_rounds + 1):
+        arrived = going.select(F.col("place").alias("relative_path"), F.col("until").alias("seq"), F.lit(0).alias("rank"), F.lit("Renamed").alias("kind"), "size", F.col("relative_path").alias("came_from"), F.lit(k).alias("round"))
+        arrived = cut(_stays(arrived, renames))
+        if arrived.isEmpty():
+            final = reduce(DataFrame.unionByName, moved, direct).where("until IS NULL")
+            return _last_arrival(final).where("kind <> 'Deleted'").select("relative_path", "size")
+        moved = [*moved, arrived] if len(moved) < UNIONS else [cut(reduce(DataFrame.unionByName, moved, arrived))]
+        changed = arrived.where("until IS NOT NULL").select("relative_path", "until")
+        stays = reduce(DataFrame.unionByName, moved, direct).where("until IS NOT NULL").join(changed, ["relative_path", "until"], "left_semi")
+        going = cut(_last_arrival(stays).where((F.col("newest") == k) & (F.col("kind") != "Deleted")))
     raise RuntimeError(f"renames did not settle in {max_rounds} rounds")
 
 
-def _same(a: DataFrame, b: DataFrame) -> bool:
-    return a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
-
-
-def _lives(arrivals: DataFrame, renames: DataFrame) -> DataFrame:
-    """arrivals with next_seq (the next arrival at their path) and, where a rename of the path or of a directory above it comes
-    before that, moved and moved_at: the new path and when."""
-    told = arrivals.withColumn("next_seq", F.lead("seq").over(Window.partitionBy("relative_path").orderBy("seq")))
-    path = F.col("relative_path")
-    asked = told.where("NOT gone AND relative_path IS NOT NULL").select(path.alias("path"), "seq", F.explode(F.concat(prefixes(path), F.array(path))).alias("at"))
-    known = renames.select(F.lit(None).cast("string").alias("path"), "seq", F.col("from_path").alias("at"), F.struct("seq", "to_path").alias("rename"))
-    rows = asked.withColumn("rename", F.lit(None).cast(known.schema["rename"].dataType)).unionByName(known)
-    later = Window.partitionBy("at").orderBy(F.desc("seq")).rangeBetween(Window.unboundedPreceding, -1)
-    found = rows.withColumn("next", F.last("rename", ignorenulls=True).over(later)).where("path IS NOT NULL AND next IS NOT NULL")
-    first = found.groupBy("path", "seq").agg(F.min(F.struct(F.col("next.seq").alias("seq"), F.length("at").alias("n"), F.col("next.to_path").alias("to"))).alias("r"))
-    first = first.select(F.col("path").alias("p"), F.col("seq").alias("s"), "r")
-    both = told.join(first, (path == F.col("p")) & (F.col("seq") == F.col("s")), "left")
-    goes = F.col("r").isNotNull() & (F.col("next_seq").isNull() | (F.col("r.seq") <= F.col("next_seq")))
-    place = F.concat(F.col("r.to"), F.substr("relative_path", F.col("r.n") + 1))
-    return both.select("relative_path", "seq", "rank", "gone", "size", "next_seq", F.when(goes, place).alias("moved"), F.when(goes, F.col("r.seq")).alias("moved_at"))
+def _stays(arrivals: DataFrame, renames: DataFrame) -> DataFrame:
+    """arrivals with until and place: when the next rename of their path or of a directory above it comes (of several at once
+    that of the topmost), and the path after it; null where none comes.
+
+    It is looked up by a running window over each renamed directory's renames and the arrivals below it, without pairing them.
+    """
+    path, own = F.col("relative_path"), arrivals.columns
+    slashes = F.size(F.split(path, "/")) - 1
+    above = F.when(slashes > 0, F.transform(F.sequence(F.lit(1), slashes), lambda i: F.call_function("substring_index", path, F.lit("/"), i))).otherwise(F.array().cast("array<string>"))
+    at = arrivals.where(path.isNotNull()).select(path).distinct().select(path, F.explode(F.concat(above, F.array(path))).alias("at"))
+    both = arrivals.join(at.join(renames.select("at").distinct(), "at", "left_semi"), "relative_path", "left")
+    asked = both.where("at IS NOT NULL").select("at", "seq", F.struct(*own).alias("arrival"))
+    rows = asked.unionByName(renames.select("at", "seq", F.struct("seq", "to_path").alias("rename")), allowMissingColumns=True)
+    later = Window.partitionBy("at").orderBy(F.desc("seq"), F.col("rename").isNotNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = rows.withColumn("next", F.last("rename", ignorenulls=True).over(later)).where("arrival IS NOT NULL")
+    found = found.select("arrival.*", F.when(F.col("next").isNotNull(), F.struct(F.col("next.seq").alias("seq"), F.length("at").alias("n"), F.col("next.to_path").alias("to"))).alias("r"))
+    found = found.groupBy(*own).agg(F.min("r").alias("r"))
+    found = found.select(*own, F.col("r.seq").alias("until"), F.concat(F.col("r.to"), F.substr("relative_path", F.col("r.n") + 1)).alias("place"))
+    return found.unionByName(both.where("at IS NULL").drop("at"), allowMissingColumns=True)
+
+
+def _last_arrival(stays: DataFrame) -> DataFrame:
+    """relative_path, until, place, kind and size of each stay's last arrival, and newest, the latest round in which one came
+    at that time. What a later round says of one arrival (where from, and when) replaces what earlier ones said."""
+    each = stays.groupBy("relative_path", "until", "place", "came_from").agg(F.max(F.struct("seq", "rank", "round", "kind", "size")).alias("m"))
+    top = each.groupBy("relative_path", "until", "place").agg(F.max(F.struct("m.seq", "m.rank", "m.kind", "m.size")).alias("m"), F.max(F.struct("m.seq", "m.rank", "m.round")).alias("newest"))
+    return top.select("relative_path", "until", "place", "m.kind", "m.size", F.col("newest.round").alias("newest"))
 
 
 def top_renames(pairs: DataFrame) -> DataFrame:

@@ -49,6 +49,37 @@ def test_registered_log_equals_a_replay(spark, small):
     assert {r[0]: r[1] for r in registry.queries()["d8_renamed_directories"](spark, small).collect()} == replay(rows)
 
 
+def test_renames_of_odd_paths_and_at_one_time_equal_a_replay(spark):
+    """Absolute paths, doubled and trailing slashes; renames of one directory and of those in it; later news of a moved file."""
+    rng = random.Random(11)
+    names = ["/a", "/a/b", "/a//b", "/a/b/", "a", "a/b", "//a", "/a/b/c", "/z", "/z/b", "é/b", "é"]
+    rows = []
+    for seq in range(70):
+        kind = rng.choice(["Scanned", "Scanned", "Deleted", "Renamed"])
+        rows.append((seq, kind, rng.choice(names), rng.choice(names) if kind == "Renamed" else None, rng.randint(1, 99)))
+    assert {r[0]: r[1] for r in diff.merge_scan_messages(spark.createDataFrame(rows, LOG)).collect()} == replay(rows)
+    several = [(0, "Scanned", "a/b/f", None, 1), (0, "Scanned", "c/b/f", None, 9), (1, "Renamed", "x", "a", 2), (1, "Renamed", "y", "a/b", 3), (1, "Renamed", "x", "c", 2), (2, "Deleted", "x/b/f", None, None), (3, "Scanned", "x/b/f", None, 4)]
+    got = {r[0]: r[1] for r in diff.merge_scan_messages(spark.createDataFrame(several, LOG)).collect()}
+    assert got == {"x": 2, "y": 3, "x/b/f": 4}
+
+
+def test_later_rounds_of_renames_meet_only_what_moved(spark, monkeypatch):
+    rows = [(k, "Scanned", f"still/{k % 500}", None, k) for k in range(3000)] + [(3000, "Scanned", "a0/f", None, 5)]
+    rows += [(3001 + k, "Renamed", f"a{k + 1}", f"a{k}", k) for k in range(5)]
+    written, cut = [], diff.cut
+
+    def counted(df):
+        out = cut(df)
+        written.append(out.count())
+        return out
+
+    monkeypatch.setattr(diff, "cut", counted)
+    monkeypatch.setattr(diff, "UNIONS", 2)
+    got = {r[0]: r[1] for r in diff.merge_scan_messages(spark.createDataFrame(rows, LOG)).collect()}
+    assert got == {f"still/{k}": 2500 + k for k in range(500)} | {"a5/f": 5, "a5": 4}
+    assert written[1] == 500 + 6 and sum(written) < 4 * len(rows) and all(n < 30 for n in written[2:]), written
+
+
 def test_one_byte_among_many_chunks(spark):
     n = 100_000
     side = lambda bad: spark.range(n).select(F.lit("f").alias("relative_path"), (F.col("id") * 10).alias("offset"), F.when(F.col("id") == bad, F.lit("x")).otherwise(F.col("id").cast("string")).cast("binary").alias("data"))
