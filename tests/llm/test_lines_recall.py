@@ -3,6 +3,8 @@
 import random
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 from haulage.llm import decontaminate, linededup, simhash
 
 
@@ -54,3 +56,14 @@ def test_stages_keep_columns_of_any_name(spark):
     items = spark.createDataFrame([(1, text), (2, "x " * 40)], "item_id long, text string")
     clean = decontaminate.decontaminate(df, items, shard_chars=40)
     assert clean.columns == df.columns and [tuple(r[n] for n in names) for r in clean.collect()] == [tuple(range(9))]
+
+
+def test_shingles_from_bytes_are_those_of_characters(spark):
+    lines = ["", "abcd", "abcde", "abcdef ghijk lmnop", "one\ttwo\x00three\nfour", "größer als alles", "漢字かな交じり文の例です", "mixed 😀 faces 😀 twice over", "x" * 300]
+    df = spark.createDataFrame([(line,) for line in lines], "line string")
+    for k in (5, 12):
+        got = df.select("line", linededup._every(F.col("line"), k).alias("got")).collect()
+        grams = {r.line: [r.line[i : i + k] for i in range(len(r.line) - k + 1)] for r in got}
+        every = [(g,) for g in sorted({g for own in grams.values() for g in own})]
+        hashes = {r[0]: r[1] for r in spark.createDataFrame(every, "g string").select("g", F.xxhash64("g")).collect()}
+        assert {r.line: r.got for r in got} == {line: [hashes[g] for g in own] for line, own in grams.items()}
