@@ -67,3 +67,17 @@ def test_shingles_from_bytes_are_those_of_characters(spark):
         every = [(g,) for g in sorted({g for own in grams.values() for g in own})]
         hashes = {r[0]: r[1] for r in spark.createDataFrame(every, "g string").select("g", F.xxhash64("g")).collect()}
         assert {r.line: r.got for r in got} == {line: [hashes[g] for g in own] for line, own in grams.items()}
+
+
+def test_small_buckets_are_settled_without_dealing_again(spark, monkeypatch):
+    """Alike lines behind a passage that a few unlike lines share are met in its own buckets."""
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(3, 9)))
+    passage, rows = " ".join(word() for _ in range(24)), []
+    for k in range(8):
+        line = [word() for _ in range(14)]
+        rows += [(2 * k, " ".join([*line, passage])), (2 * k + 1, " ".join([*line[:-1], word(), passage]))]
+    assert all((jaccard(a, b) >= 0.8) == (i // 2 == j // 2) for i, a in rows for j, b in rows)
+    monkeypatch.setattr(linededup, "_rare", lambda *_: (_ for _ in ()).throw(AssertionError("dealt again")))
+    got = linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "n_dropped").collect()
+    assert {r.doc_id: r.n_dropped for r in got} == {d: d % 2 for d, _ in rows}
